@@ -8,6 +8,7 @@ Contract for odd input: a null or empty text has no words, all measurements 0, a
 from __future__ import annotations
 
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ _NOT_DIGIT = bytes(c for c in range(256) if not 0x30 <= c <= 0x39)
 _SYMBOLS = "#*$%&|<>"
 _SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_lines long, n_bytes long, n_upper long, n_letters long, n_shouts long, n_digits long, longest_word long"
+    "n_lines long, n_bytes long, n_upper long, n_letters long, n_shouts long, n_digits long, longest_word long, n_stutters long"
 )
 
 
@@ -82,6 +83,7 @@ def measurements(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                     len(raw.translate(None, _NOT_SHOUT)),
                     len(raw.translate(None, _NOT_DIGIT)),
                     max(map(len, words), default=0),
+                    sum(map(eq, words, words[1:])),
                 ))
             columns = np.array(rows, np.int64).reshape(len(rows), -1).T
             return {id_column: batch.column(id_column)} | dict(zip((x.split()[0] for x in _SCHEMA.split(", ")), columns, strict=False))
@@ -100,12 +102,13 @@ def rules() -> dict[str, Column]:
         "too_few_words": F.col("n_words") < 20,
         "repeated_windows": 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
         "symbols": F.col("n_symbols") > 0.1 * words,
-        "duplicate_lines": F.col("n_dup_lines") > 0.3 * F.greatest(F.col("n_lines"), F.lit(1)),
+        "duplicate_lines": (F.col("n_dup_lines") >= 4) & (F.col("n_dup_lines") > 0.5 * F.col("n_lines")),
         "upper_case": F.col("n_upper") > 0.5 * F.greatest(F.col("n_letters"), F.lit(1)),
         "shouting": F.col("n_shouts") > 0.1 * words,
         "word_length": (F.col("word_chars") < 2.5 * words) | (F.col("word_chars") > 15 * words),
         "long_word": F.col("longest_word") > 1000,
         "digits": F.col("n_digits") > 0.3 * F.greatest(F.col("n_bytes"), F.lit(1)),
+        "stutter": F.col("n_stutters") > 0.2 * words,
     }
 
 
@@ -124,7 +127,7 @@ class Policy:
 
 
 BASE = Policy("base", 1, ("too_few_words", "repeated_windows"))
-DEFAULT = Policy("web", 1, ("too_few_words", "repeated_windows", "symbols", "duplicate_lines", "upper_case", "shouting", "word_length", "long_word", "digits"))
+DEFAULT = Policy("web", 1, ("too_few_words", "repeated_windows", "symbols", "duplicate_lines", "upper_case", "shouting", "word_length", "long_word", "digits", "stutter"))
 
 
 def ledger(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
