@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asnwatch.llm.common import read
+from asnwatch.llm.common import id_bucket, read
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +36,39 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from asnwatch.llm.langid import identify, train
+
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(id_bucket(4) == 2, F.lit(False))
+    predicted = identify(docs, train(docs.filter(id_bucket(4) != 2)))
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "log_prob_per_byte")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from asnwatch.llm.toxicity import score, train
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = F.coalesce(id_bucket(3) == 1, F.lit(False))
+    scored = score(docs, train(docs, labels.filter(id_bucket(3) != 1)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from asnwatch.llm.quality_model import score, train
+
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = F.coalesce(id_bucket(3) == 1, F.lit(False))
+    scored = score(docs, train(docs, labels.filter(id_bucket(3) != 1)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality_model": op5_quality_model,
 }
 
 ORACLE_SQL: dict[str, str] = {}
