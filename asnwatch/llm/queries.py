@@ -63,12 +63,19 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from asnwatch.llm.packing import pack, token_pieces
+
+    return pack(token_pieces(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_quality_model": op5_quality_model,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
