@@ -69,6 +69,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(read(spark, sf_dir, "documents")))
 
 
+def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from asnwatch.llm.hamming_search import top_k
+
+    vectors = read(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -76,6 +83,21 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality_model": op5_quality_model,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_hamming_search": op10_hamming_search,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_hamming_search": """
+        WITH bits AS (
+            SELECT vec_id, [CASE WHEN x > 0 THEN '1' ELSE '0' END FOR x IN embedding] AS b FROM embeddings
+        ), codes AS (
+            SELECT vec_id, CAST(array_to_string(b, '') AS BIT) AS code FROM bits
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, v.vec_id AS neighbour_id, bit_count(xor(q.code, v.code)) AS distance
+            FROM codes q JOIN codes v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM pairs
+        )
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, CAST(distance AS INTEGER) AS distance FROM ranked WHERE rank <= 10
+    """,
+}
