@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 #: A slice of an Arrow batch holds at most so many rows and, unless one row is longer, bytes of text.
 SLICE_ROWS = 4096
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

@@ -69,6 +69,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(read(spark, sf_dir, "documents")))
 
 
+def op9_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from asnwatch.llm.ppm import score
+
+    held_out = F.coalesce(id_bucket(10) == 0, F.lit(False))
+    scored = score(read(spark, sf_dir, "documents"), id_bucket(10) != 0)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from asnwatch.llm.hamming_search import top_k
 
@@ -83,6 +91,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality_model": op5_quality_model,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_ppm_scoring": op9_ppm_scoring,
     "op10_hamming_search": op10_hamming_search,
 }
 
