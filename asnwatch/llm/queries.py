@@ -63,6 +63,12 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from asnwatch.llm.sentencepiece_fst import encode
+
+    return encode(read(spark, sf_dir, "documents"), digest=True)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from asnwatch.llm.packing import pack, token_pieces
 
@@ -90,6 +96,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_quality_model": op5_quality_model,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ppm_scoring": op9_ppm_scoring,
     "op10_hamming_search": op10_hamming_search,

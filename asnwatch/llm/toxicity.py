@@ -26,8 +26,9 @@ SAMPLE_PER_CLASS = 10_000
 SHARDS = 4
 EPOCHS = 8
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 3.0, 0.0
-#: A hash must occur in so many sampled texts to be learned.
+#: A hash must occur in so many sampled texts, and in this share of them, to be learned.
 LEAST_TEXTS = 2
+LEAST_SHARE = 0.0005
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _GRAMS = ((0,), (0, 1), (0, 2))
@@ -113,7 +114,8 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
                 h, c = np.unique(np.frombuffer(b"".join(batch.column("grams").to_pylist()), np.uint32), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64))], names=["hash", "n"])
 
-    kept = rows.mapInArrow(frequent, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TEXTS)
+    least = max(LEAST_TEXTS, LEAST_SHARE * rows.count())
+    kept = rows.mapInArrow(frequent, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     hashes = np.sort(kept.select("hash").toArrow()["hash"].to_numpy().astype(np.uint32))  # bounded by the sample
     prior = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
     z, n = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1)
