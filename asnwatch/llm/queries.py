@@ -63,6 +63,12 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from asnwatch.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from asnwatch.llm.sentencepiece_fst import encode
 
@@ -96,6 +102,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_quality_model": op5_quality_model,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ppm_scoring": op9_ppm_scoring,
