@@ -17,20 +17,20 @@ SLICE_ROWS = 4096
 SLICE_BYTES = 8 << 20
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that the texts of a slice stay within SLICE_BYTES."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that the texts of a slice stay within ``most`` bytes."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes)
     start = 0
     while start < batch.num_rows:
         before = total[start - 1] if start else 0
-        end = int(np.searchsorted(total, before + SLICE_BYTES, side="right"))
+        end = int(np.searchsorted(total, before + most, side="right"))
         end = min(max(end, start + 1), start + SLICE_ROWS)
         yield batch.slice(start, end - start)
         start = end
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, text: str = "text") -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, text: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices of bounded size. ``make`` runs once for each task and returns the
     batch function, which maps a record batch to columns in the order of ``schema``."""
     kind = to_arrow_schema(StructType.fromDDL(schema))
@@ -38,13 +38,18 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, most):
                 out = each(part)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in kind], schema=kind)
 
     return df.mapInArrow(run, schema)
 
 
+def ddl(df: DataFrame, columns: list[str]) -> str:
+    """The named columns of ``df`` as a schema string."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts, null ones as empty strings."""
     return [x or "" for x in batch.column(column).to_pylist()]
@@ -78,4 +83,4 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["checkpointed", "hash_fraction", "id_bucket", "map_texts", "read", "sample_to", "slices", "texts_of"]
+__all__ = ["checkpointed", "ddl", "hash_fraction", "id_bucket", "map_texts", "read", "sample_to", "slices", "texts_of"]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asnwatch.llm.common import checkpointed, hash_fraction, map_texts, texts_of
+from asnwatch.llm.common import checkpointed, ddl, hash_fraction, map_texts, texts_of
 
 UNDETERMINED = "und"
 CHUNK = 32
@@ -220,11 +220,12 @@ def train(docs: DataFrame, pieces: list[bytes] | None = None, lang_column: str =
     return LanguageModel(languages, tuple(pieces[i] for i in used), prob[used])
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """For each row of ``docs``: id, lang_pred, score (posterior of that language under equal priors)
+def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """For each row of ``docs``: id, the columns ``carry``, lang_pred, score (posterior of that language under equal priors)
     and log_prob_per_byte of the letters. A map over rows with the model broadcast; no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(id_column, text_column)
+    kept = docs.select(*dict.fromkeys([id_column, text_column, *carry]))
+    out = list(dict.fromkeys([id_column, *carry]))
 
     def make():
         model = sent.value
@@ -254,8 +255,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
                 best[some] = total.argmax(axis=1)
                 score[some] = 1 / np.exp(total - top[:, None]).sum(axis=1)
                 rate[some] = top / size
-            return {
-                id_column: batch.column(id_column),
+            return {c: batch.column(c) for c in out} | {
                 "lang_pred": [model.languages[i] if i >= 0 else UNDETERMINED for i in best.tolist()],
                 "score": score,
                 "log_prob_per_byte": pa.array(rate, from_pandas=True),
@@ -263,4 +263,4 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
 
         return each
 
-    return map_texts(kept, make, f"{id_column} {kept.schema[id_column].dataType.simpleString()}, lang_pred string, score double, log_prob_per_byte double", text_column)
+    return map_texts(kept, make, f"{ddl(kept, out)}, lang_pred string, score double, log_prob_per_byte double", text_column)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asnwatch.llm.common import checkpointed, hash_fraction, map_texts, sample_to, texts_of
+from asnwatch.llm.common import checkpointed, ddl, hash_fraction, map_texts, sample_to, texts_of
 
 #: Labelled texts that the fit reads, about, at most.
 SAMPLE = 20_000
@@ -80,8 +80,10 @@ class QualityModel:
         return self.features(stats) @ self.weights
 
     def score(self, stats: np.ndarray) -> np.ndarray:
+        if not len(self.knots):
+            return np.full(len(stats), 0.5)
         raw = self.raw(stats)
-        level = np.interp(raw, self.knots, self.levels) if len(self.knots) else np.full(len(raw), 0.5)
+        level = np.interp(raw, self.knots, self.levels)
         return level * (1 - TIE_BREAK) + np.clip(raw, 0, 1) * TIE_BREAK
 
 
@@ -157,18 +159,19 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_
     return QualityModel(model.mean, model.deviation, frequencies, phases, weights, knots, levels)
 
 
-def score(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """For each row of ``docs``: id and calibrated score from 0 to 1. A map over rows, the model broadcast."""
+def score(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """For each row of ``docs``: id, the columns ``carry`` and the calibrated score from 0 to 1. A map over rows, the model broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(id_column, text_column)
+    kept = docs.select(*dict.fromkeys([id_column, text_column, *carry]))
 
     def make():
         model = sent.value
 
         def each(batch: pa.RecordBatch) -> dict:
             stats = np.array([statistics(t) for t in texts_of(batch, text_column)], float).reshape(batch.num_rows, len(STATISTICS))
-            return {id_column: batch.column(id_column), "score": model.score(stats)}
+            return {c: batch.column(c) for c in out} | {"score": model.score(stats)}
 
         return each
 
-    return map_texts(kept, make, f"{id_column} {kept.schema[id_column].dataType.simpleString()}, score double", text_column)
+    out = list(dict.fromkeys([id_column, *carry]))
+    return map_texts(kept, make, f"{ddl(kept, out)}, score double", text_column)

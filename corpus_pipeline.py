@@ -1,15 +1,74 @@
-"""Corpus preparation in stages, each a step over all documents that its predecessor kept."""
+"""Corpus preparation in stages, each a step over all documents that its predecessor kept.
+
+Rows are kept or dropped whole: columns keep their names and values, also names that an operator uses.
+A filter that has nothing to learn from keeps every row. Rows with a null id are never duplicates;
+of rows that repeat an id one stays.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from asnwatch.llm import jaccard_join, langid, packing, quality_model
+from asnwatch.llm.common import checkpointed, id_bucket, read
+
+#: Scores below these are rejected.
+QUALITY = 0.5
+LANGUAGE = 0.5
+
+
+def _filtered(docs: DataFrame, judge: Callable[..., DataFrame], keep: Column) -> DataFrame:
+    """Rows of ``docs`` that ``judge`` gives ``keep``. The columns go along under other names, so nothing is shuffled."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    judged = judge(plain, id_column=f"c{names.index('doc_id')}", text_column=f"c{names.index('text')}", carry=tuple(plain.columns))
+    return judged.filter(keep).select(plain.columns).toDF(*names)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the quality classifier rejects; it learns from ``labels``."""
+    model = quality_model.train(docs, read(spark, sf_dir, "labels").filter(id_bucket(3) != 1))
+    return _filtered(docs, lambda df, **names: quality_model.score(df, model, **names), F.col("score") >= QUALITY)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop texts in no language that the documents' own ``lang`` column teaches."""
+    model = langid.train(docs.filter(id_bucket(4) != 2))
+    if not model.languages:
+        return docs
+    keep = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LANGUAGE)
+    return _filtered(docs, lambda df, **names: langid.identify(df, model, **names), keep)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each class of near duplicates."""
+    classes = checkpointed(jaccard_join.near_duplicates(docs))
+    dropped = classes.filter("doc_id <> class_id").select("doc_id").distinct()
+    if dropped.count() <= jaccard_join.BROADCAST_IDS:
+        dropped = F.broadcast(dropped)
+    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    repeated = classes.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the tokens of all documents into sequences."""
+    return packing.pack(packing.token_pieces(docs))
+
+
+STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("best_fit_packing", best_fit_packing)]
 
-STAGES: list = []
+#: Trained models and tokenizers are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
