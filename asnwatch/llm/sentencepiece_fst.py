@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from asnwatch.llm.common import map_texts, texts_of
 
 MARK = "▁"
-#: Segments and pairs of pieces that a task remembers.
+#: Segments and pairs of pieces that a worker remembers.
 REMEMBERED = 400_000
 _BPE = 2
 
@@ -186,6 +187,12 @@ class PieceTransducer:
         return raw.decode("utf-8", "replace")
 
 
+@lru_cache(1)
+def shared_transducer(path: str) -> PieceTransducer:
+    """One for each Python worker, so that its tasks share what it remembers."""
+    return PieceTransducer(path)
+
+
 def encode(docs: DataFrame, model: str | None = None, digest: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row of ``docs``: id and ids, or with ``digest`` n_ids, n_byte_ids, ids_crc32 (of little-endian
     unsigned 32-bit ids) and round_trip (whether the ids decode to the text). A map over rows, no shuffle."""
@@ -194,7 +201,7 @@ def encode(docs: DataFrame, model: str | None = None, digest: bool = False, id_c
     id_type = kept.schema[id_column].dataType.simpleString()
 
     def make():
-        machine = PieceTransducer(path)
+        machine = shared_transducer(path)
         is_byte = np.zeros(len(machine.pieces), bool)
         is_byte[machine.byte] = True
 
@@ -223,7 +230,7 @@ def decode(encoded: DataFrame, model: str | None = None, id_column: str = "doc_i
     kept = encoded.select(id_column, ids_column)
 
     def run(batches):
-        machine = PieceTransducer(path)
+        machine = shared_transducer(path)
         for batch in batches:
             texts = [machine.decode(np.array(x or [], np.int64)) for x in batch.column(ids_column).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(texts, pa.string())], names=[id_column, "text"])
