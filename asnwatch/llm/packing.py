@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -24,8 +25,10 @@ from asnwatch.llm.common import checkpointed, map_texts, texts_of
 
 CAPACITY = 4096
 END = 1
-#: Words whose ids a task remembers.
+#: Words whose ids a worker remembers, words encoded in one call, and bytes of text taken at a time.
 REMEMBERED = 400_000
+AT_ONCE = 10_000
+SLICE = 1 << 20
 _RANK_BITS = 44
 
 
@@ -57,12 +60,20 @@ class CachedTokenizer:
             fresh.update(set(w).difference(self.known))
         if fresh:
             new = list(fresh)
-            for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            for i in range(0, len(new), AT_ONCE):
+                part = new[i : i + AT_ONCE]
+                for w, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    self.known[w] = np.array(e.ids, "<u4").tobytes()
         known = self.known.__getitem__
         return [np.array(whole[i].ids, "<u4") if i in whole else np.frombuffer(b"".join(map(known, w)), "<u4") for i, w in enumerate(words)]
 
 
+@lru_cache(1)
+def shared_tokenizer(path: str) -> CachedTokenizer:
+    """One for each Python worker, so that its tasks share the remembered words."""
+    return CachedTokenizer(path)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -76,7 +87,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     kept = docs.select(id_column, text_column)
 
     def make():
-        model = CachedTokenizer(path)
+        model = shared_tokenizer(path)
         task = TaskContext.get().partitionId()
         counted = np.zeros(capacity + 1, np.int64)
 
@@ -95,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
 
         return each
 
-    return map_texts(kept, make, f"{id_column} {kept.schema[id_column].dataType.simpleString()}, piece int, start long, length int, ids_crc32 long, task int, nth long", text_column)
+    return map_texts(kept, make, f"{id_column} {kept.schema[id_column].dataType.simpleString()}, piece int, start long, length int, ids_crc32 long, task int, nth long", text_column, SLICE)
 
 
 def complement(counts: np.ndarray, gap: int) -> tuple[int, ...] | None:
