@@ -13,11 +13,17 @@ SWEEP_US = 60_000_000
 LAST_MESSAGE = (1 << 63) - 1
 
 
-def path_edges(updates: DataFrame) -> DataFrame:
-    """Adjacent pairs of each path, receiver first; repeated ASNs make no edge."""
+def path_pairs(updates: DataFrame, *carry: str) -> DataFrame:
+    """Adjacent pairs of each path, receiver first; repeated ASNs make no pair."""
     n = F.greatest(F.size("path") - 1, F.lit(0))
     pairs = F.arrays_zip(F.slice("path", F.lit(1), n).alias("a"), F.slice("path", F.lit(2), n).alias("b"))
-    return canonical_edge(updates.select("msg_id", "event_us", F.posexplode(pairs).alias("hop", "pair")).select("msg_id", "event_us", "hop", "pair.a", "pair.b").filter("a <> b"))
+    rows = updates.select("msg_id", "event_us", *carry, F.posexplode(pairs).alias("hop", "pair"))
+    return rows.select("msg_id", "event_us", *carry, "hop", "pair.a", "pair.b").filter("a <> b")
+
+
+def path_edges(updates: DataFrame) -> DataFrame:
+    """The pairs with their undirected key."""
+    return canonical_edge(path_pairs(updates))
 
 
 def canonical_edge(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -51,7 +51,12 @@ _PATH = "case when withdraws then cast(array() as array<bigint>) when m % 10 = 0
 
 def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages; columns as in ``schemas.UPDATES``."""
-    rows = _with_prefix(event_fields(table(spark, sf_dir, "events")))
+    return message_rows(table(spark, sf_dir, "events"))
+
+
+def message_rows(events: DataFrame) -> DataFrame:
+    """The same for any rows of ``events``, also a stream of them."""
+    rows = _with_prefix(event_fields(events))
     return rows.select(
         "msg_id", "event_us", F.timestamp_micros("event_us").alias("event_ts"),
         F.concat(F.lit("rrc0"), F.expr("m % 3").cast("string")).alias("host"), F.lit("192.0.2.1").alias("peer"), "peer_asn", F.lit("UPDATE").alias("msg_type"),
