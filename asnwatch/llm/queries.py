@@ -110,6 +110,34 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text FROM documents
+        ), w AS (
+            SELECT *, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words,
+                list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS lines FROM d
+        ), windows AS (
+            SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS run FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)
+        ), again AS (
+            SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM windows) WHERE n > 1
+        ), covered AS (
+            SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again) GROUP BY doc_id
+        ), m AS (
+            SELECT doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+                len(lines) AS n_lines, strlen(text) AS n_bytes, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+                strlen(regexp_replace(text, '[\x00-@\x5B-`{-\x7F]', '', 'g')) AS n_letters, length(regexp_replace(text, '[^!?]', '', 'g')) AS n_shouts,
+                length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digits, coalesce(list_max(list_transform(words, lambda x: strlen(x))), 0) AS longest,
+                len(list_filter(range(1, len(words)), lambda i: words[i] = words[i + 1])) AS n_stutters
+            FROM w LEFT JOIN covered c USING (doc_id)
+        ), bits AS (
+            SELECT *, CAST(n_words < 20 AS BIGINT) + 2 * CAST(100 * n_repeat_words > 30 * n_words AS BIGINT) + 4 * CAST(n_symbols > 0.1 * greatest(n_words, 1) AS BIGINT)
+                + 8 * CAST(n_dup_lines >= 4 AND n_dup_lines > 0.5 * n_lines AS BIGINT) + 16 * CAST(n_upper > 0.5 * greatest(n_letters, 1) AS BIGINT)
+                + 32 * CAST(n_shouts > 0.1 * greatest(n_words, 1) AS BIGINT) + 64 * CAST(word_chars < 2.5 * greatest(n_words, 1) OR word_chars > 15 * greatest(n_words, 1) AS BIGINT)
+                + 128 * CAST(longest > 1000 AS BIGINT) + 256 * CAST(n_digits > 0.3 * greatest(n_bytes, 1) AS BIGINT) + 512 * CAST(n_stutters > 0.2 * greatest(n_words, 1) AS BIGINT) AS fail_bits FROM m
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits, 1 AS policy_version FROM bits
+    """,
     "op10_hamming_search": """
         WITH bits AS (
             SELECT vec_id, [CASE WHEN x > 0 THEN '1' ELSE '0' END FOR x IN embedding] AS b FROM embeddings
