@@ -18,19 +18,15 @@ def apply_withdrawals(ops: DataFrame) -> DataFrame:
     return ops.withColumn("segment", F.sum((F.col("op") == "W").cast("int")).over(order))
 
 
-def origin_observations(ops: DataFrame, suppress_saturated: bool = False) -> DataFrame:
+def origin_observations(ops: DataFrame, suppress_saturated: bool = False, spread_us: int | None = None) -> DataFrame:
     """For each announcement with an origin: the origin before it, whether it is a change to an origin not
     remembered, and the number of remembered origins.
 
     Once MOST_ORIGINS are remembered no more are added, so a further origin counts as a change each time
-    it comes; with ``suppress_saturated`` only the first time. All windows share one shuffle by network."""
-    rows = apply_withdrawals(ops).filter("op = 'A' and origin_asn is not null")
-    key = [*_KEY, "segment"]
-    order = Window.partitionBy(*key).orderBy(*SEQUENCE)
-    same = Window.partitionBy(*key, "origin_asn").orderBy(*SEQUENCE)
-    rows = rows.withColumn("previous_origin", F.lag("origin_asn").over(order)).withColumn("first", F.row_number().over(same) == 1)
-    rows = rows.withColumn("rank", F.sum(F.col("first").cast("int")).over(order))
-    rows = rows.withColumn("origin_rank", F.min("rank").over(Window.partitionBy(*key, "origin_asn")))
+    it comes; with ``suppress_saturated`` only the first time. All windows share one shuffle by network.
+    If one network may hold a large part of all rows, ``spread_us`` cuts each network's history into buckets
+    of that time, which go to different tasks and open with what the buckets before them came to."""
+    rows = _in_one(ops) if spread_us is None else _spread(ops, spread_us)
     again = F.lit(False) if suppress_saturated else F.col("origin_rank") > MOST_ORIGINS
     return rows.select(
         "msg_id", "event_us", "pos", "prefix", "family", "prefix_len", "net_key", "peer_asn", "previous_origin", F.col("origin_asn").alias("new_origin"),
@@ -39,6 +35,45 @@ def origin_observations(ops: DataFrame, suppress_saturated: bool = False) -> Dat
     )
 
 
+def _in_one(ops: DataFrame) -> DataFrame:
+    """Add previous_origin, first (whether the origin is new in its segment), rank (origins so far) and
+    origin_rank (place of the origin among them), by windows over whole segments."""
+    rows = apply_withdrawals(ops).filter("op = 'A' and origin_asn is not null")
+    key = [*_KEY, "segment"]
+    order = Window.partitionBy(*key).orderBy(*SEQUENCE)
+    same = Window.partitionBy(*key, "origin_asn").orderBy(*SEQUENCE)
+    rows = rows.withColumn("previous_origin", F.lag("origin_asn").over(order)).withColumn("first", F.row_number().over(same) == 1)
+    rows = rows.withColumn("rank", F.sum(F.col("first").cast("int")).over(order))
+    return rows.withColumn("origin_rank", F.min("rank").over(Window.partitionBy(*key, "origin_asn")))
+
+
+def _spread(ops: DataFrame, spread_us: int) -> DataFrame:
+    """The same from windows within buckets. What a bucket inherits is a row for each (network, segment,
+    bucket), and an origin's first place a row for each (network, segment, origin): aggregates, not rows."""
+    earlier = lambda *key: Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    timed = ops.withColumn("bucket", F.expr(f"event_us div {spread_us}L"))
+    gone = (F.col("op") == "W").cast("int")
+    before = timed.groupBy(*_KEY, "bucket").agg(F.sum(gone).alias("n")).withColumn("opening", F.coalesce(F.sum("n").over(earlier(*_KEY)), F.lit(0))).drop("n")
+    within = Window.partitionBy(*_KEY, "bucket").orderBy(*SEQUENCE)
+    rows = timed.join(before, [*_KEY, "bucket"]).withColumn("segment", F.col("opening") + F.sum(gone).over(within)).drop("opening").filter("op = 'A' and origin_asn is not null")
+
+    key = [*_KEY, "segment"]
+    seq = F.struct(*SEQUENCE)
+    firsts = rows.groupBy(*key, "origin_asn").agg(F.min(seq).alias("first_seq"), F.min("bucket").alias("first_bucket"))
+    firsts = firsts.withColumn("origin_rank", F.row_number().over(Window.partitionBy(*key).orderBy("first_seq")))
+    ends = rows.groupBy(*key, "bucket").agg(F.max_by("origin_asn", seq).alias("last_origin"))
+    new = firsts.groupBy(*key, F.col("first_bucket").alias("bucket")).agg(F.max("origin_rank").alias("top"))
+    inherited = ends.join(new, [*key, "bucket"], "left").select(
+        *key, "bucket", F.lag("last_origin").over(Window.partitionBy(*key).orderBy("bucket")).alias("before_origin"), F.coalesce(F.max("top").over(earlier(*key)), F.lit(0)).alias("before_rank")
+    )
+    rows = rows.join(firsts.drop("first_bucket"), [*key, "origin_asn"]).withColumn("first", seq == F.col("first_seq")).drop("first_seq").join(inherited, [*key, "bucket"])
+    order = Window.partitionBy(*key, "bucket").orderBy(*SEQUENCE)
+    return rows.withColumns({
+        "previous_origin": F.coalesce(F.lag("origin_asn").over(order), F.col("before_origin")),
+        "rank": F.greatest(F.col("before_rank"), F.max(F.when(F.col("first"), F.col("origin_rank"))).over(order)),
+    })
+
+
 def prefix_origins(ops: DataFrame, as_of_us: int | None = None) -> DataFrame:
     """Networks announced and not withdrawn since: current origin and the remembered ones, in order of first
     sight. Only each key's current segment is gathered, and of it one row for each origin."""

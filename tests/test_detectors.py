@@ -40,6 +40,7 @@ def test_origins_against_single_pass(spark, seed):
     rows = [(i, "W" if rng.random() < 0.05 else "A", f"10.{rng.randrange(3)}.0.0/16", rng.choice([None, *range(25)])) for i in range(600)]
     rows = [(s, op, p, None if op == "W" else o) for s, op, p, o in rows]
     assert observed(spark, rows) == list(interpreter.origins(rows))
+    assert observed(spark, rows, spread_us=370) == list(interpreter.origins(rows))
     table = {r.net_key: (r.origin, r.origins) for r in origins.prefix_origins(ops_of(spark, rows)).collect()}
     want = {}
     for s, op, p, o in rows:
