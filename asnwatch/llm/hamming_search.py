@@ -28,21 +28,19 @@ WHOLE_STEPS = 2
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
     """Bit i is set if the sum of the components i, i + bits, ... is positive; one component each for vectors of that length."""
-    number = F.transform(vector, lambda x, i: F.struct((i % bits).alias("bit"), F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("x")))
+    real = lambda x: F.coalesce(F.nanvl(x.cast("double"), F.lit(0.0)), F.lit(0.0))
+    number = F.transform(vector, lambda x, i: F.struct((i % bits).alias("bit"), real(x).alias("x")))
     sums = F.transform(
         F.sequence(F.lit(0), F.lit(bits - 1)),
         lambda i: F.aggregate(F.filter(number, lambda c: c["bit"] == i), F.lit(0.0), lambda total, c: total + c["x"]),
     )
-    return F.aggregate(
-        F.transform(sums, lambda total, i: F.when(total > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))),
-        F.lit(0).cast("long"),
-        lambda code, bit: code.bitwiseOR(bit),
-    )
+    signs = F.transform(F.when(F.size(vector) == bits, F.transform(vector, real)).otherwise(sums), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(signs, F.lit(0).cast("long"), lambda code, bit: code.bitwiseOR(bit))
 
 
 def segments(n_codes: int, bits: int = BITS) -> list[tuple[int, int]]:
     """(lowest bit, width) of each segment: about log2 of the number of codes wide, so that buckets hold a few codes."""
-    m = max(1, min(bits, round(bits / max(math.log2(max(n_codes, 2)), 4))))
+    m = max(1, min(bits, math.ceil(bits / max(math.log2(max(n_codes, 2)), 4))))
     cuts = [bits * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
