@@ -25,6 +25,8 @@ from asnwatch.llm.licenses import word_table
 SAMPLE_PER_CLASS = 10_000
 SHARDS = 4
 EPOCHS = 8
+#: Bytes of text whose grams are held at a time.
+SLICE = 2 << 20
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 3.0, 0.0
 #: A hash must occur in so many sampled texts, and in this share of them, to be learned.
 LEAST_TEXTS = 2
@@ -105,13 +107,14 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
         return each
 
     id_type = docs.schema[id_column].dataType.simpleString()
-    rows = map_texts(sample, make, f"{id_column} {id_type}, label int, grams binary", text_column)
+    rows = map_texts(sample, make, f"{id_column} {id_type}, label int, grams binary", text_column, SLICE)
     rows = checkpointed(rows.repartition(SHARDS, id_column))
 
     def frequent(batches):
         for batch in batches:
-            if batch.num_rows:
-                h, c = np.unique(np.frombuffer(b"".join(batch.column("grams").to_pylist()), np.uint32), return_counts=True)
+            every = np.frombuffer(b"".join(batch.column("grams").to_pylist()), np.uint32)
+            for part in range(16):  # by their leading bits, so that little is held at once
+                h, c = np.unique(every[every >> 28 == part], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64))], names=["hash", "n"])
 
     least = max(LEAST_TEXTS, LEAST_SHARE * rows.count())
@@ -175,4 +178,4 @@ def score(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text
 
         return each
 
-    return map_texts(kept, make, f"{id_column} {kept.schema[id_column].dataType.simpleString()}, score double", text_column)
+    return map_texts(kept, make, f"{id_column} {kept.schema[id_column].dataType.simpleString()}, score double", text_column, SLICE)
