@@ -71,6 +71,20 @@ def sample_to(df: DataFrame, bound: int, column: str = "doc_id") -> DataFrame:
     return df if n <= bound else df.filter(hash_fraction(column) < 0.95 * bound / n)
 
 
+def largest(df: DataFrame, column: str, bound: int) -> DataFrame:
+    """Rows with the largest positive values of ``column``, ``bound`` at most, cut where values are at least 4 %
+    apart. Only a histogram of some hundred rows reaches the driver, so the size of ``df`` does not matter."""
+    step = F.floor(F.log2(column) * 16)
+    sizes = df.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    total, cut = 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > bound:
+            break
+        cut = r["step"]
+    return df.filter(step >= cut) if cut is not None else df.filter(F.lit(False))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder named by spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
@@ -83,4 +97,4 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["checkpointed", "ddl", "hash_fraction", "id_bucket", "map_texts", "read", "sample_to", "slices", "texts_of"]
+__all__ = ["checkpointed", "ddl", "hash_fraction", "id_bucket", "largest", "map_texts", "read", "sample_to", "slices", "texts_of"]
