@@ -29,9 +29,10 @@ SAMPLE_PER_LANGUAGE = 1500
 ROUNDS = 3
 #: Dirichlet count of every piece, so that none has probability 0.
 SMOOTHING = 0.05
-#: Words scored together, and words that a task remembers.
+#: Words scored together, words that a task remembers, and bytes of text whose words are held at a time.
 BATCH = 20_000
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+SLICE = 2 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -193,7 +194,7 @@ def train(docs: DataFrame, pieces: list[bytes] | None = None, lang_column: str =
 
         return each
 
-    words = map_texts(sample.select(lang_column, text_column), make_words, "lang int, word binary, n long", text_column)
+    words = map_texts(sample.select(lang_column, text_column), make_words, "lang int, word binary, n long", text_column, SLICE)
     table = checkpointed(words.groupBy("word").agg(*[F.sum(F.when(F.col("lang") == i, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i in range(len(languages))]))
     pieces = pieces or vocabulary()
 
@@ -263,4 +264,4 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
 
         return each
 
-    return map_texts(kept, make, f"{ddl(kept, out)}, lang_pred string, score double, log_prob_per_byte double", text_column)
+    return map_texts(kept, make, f"{ddl(kept, out)}, lang_pred string, score double, log_prob_per_byte double", text_column, SLICE)

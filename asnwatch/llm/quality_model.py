@@ -31,6 +31,8 @@ CALIBRATION = 4
 #: Share of the raw score in the result; it orders texts that the calibration holds equal.
 TIE_BREAK = 0.01
 SEED = 5
+#: Bytes of text taken at a time.
+SLICE = 2 << 20
 
 _UPPER = bytes(range(0x41, 0x5B))
 _GROUPS = {"upper": _UPPER, "digit": b"0123456789", "symbol": b"#*$%&|<>", "shout": b"!?", "stop": b".,;:", "bracket": b"()[]{}\"'", "high": bytes(range(0x80, 0x100))}
@@ -114,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_
 
     id_type = docs.schema[id_column].dataType.simpleString()
     joined = docs.select(id_column, text_column).join(F.broadcast(chosen), id_column)  # at most about `sample` ids
-    rows = checkpointed(map_texts(joined, make, f"{id_column} {id_type}, label int, stats array<double>", text_column).repartition(SHARDS, id_column))
+    rows = checkpointed(map_texts(joined, make, f"{id_column} {id_type}, label int, stats array<double>", text_column, SLICE).repartition(SHARDS, id_column))
     rows = rows.withColumn("calibrates", F.floor(hash_fraction(id_column) * 1_000_003) % CALIBRATION == 0)
     moments = rows.select(*[f(F.col("stats")[i]).alias(f"{f.__name__}{i}") for i in range(width) for f in (F.avg, F.stddev_pop)]).first()
     rng = np.random.default_rng(SEED)
@@ -174,4 +176,4 @@ def score(docs: DataFrame, model: QualityModel, id_column: str = "doc_id", text_
         return each
 
     out = list(dict.fromkeys([id_column, *carry]))
-    return map_texts(kept, make, f"{ddl(kept, out)}, score double", text_column)
+    return map_texts(kept, make, f"{ddl(kept, out)}, score double", text_column, SLICE)
