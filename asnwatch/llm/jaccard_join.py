@@ -5,8 +5,9 @@ TREES prefix tries. The join matches long prefixes first, in one tree, then in t
 each component with nodes in a bucket one node is verified against one of the bucket's largest
 component, and verified pairs merge components. Then the prefix is shortened until a pair at the
 threshold meets in some tree with the target recall. At that depth all pairs of a bucket whose nodes are
-not in one component yet are compared. So a crowd of near copies costs a few comparisons a node, and no
-pair goes unseen because its bucket is large.
+not in one component yet are compared. So a crowd of near copies costs a few comparisons a node to find its
+class, and no pair goes unseen because its bucket is large. Links are counted after that: both ends of a link
+are in one class, so each class is cut into blocks and every two blocks are compared exactly.
 
 Contract for odd input: a text of fewer than WORDS words is one shingle; a text without words, null
 or empty, resembles nothing and is a class of its own; copies, also repeated rows, share a class; rows
@@ -15,8 +16,6 @@ with one id are one document, and a null id has a null class; the smallest id na
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,6 +35,9 @@ SEED = 6
 MOST_BITS = 32
 #: Candidate ids are broadcast up to this number (8 bytes each), beyond it joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Nodes and bytes of shingles of a block, about, when links are counted.
+BLOCK_NODES = 512
+BLOCK_BYTES = 2 << 20
 
 _LABELS = TREES * DEPTH
 #: Trees that are matched together, few at first: each round leaves fewer components for the next.
@@ -189,10 +191,68 @@ def components(links: DataFrame) -> DataFrame:
         edges = checkpointed(small.distinct())
 
 
+def _links_of(sets: list[np.ndarray], block: np.ndarray, threshold: float) -> np.ndarray:
+    """For each set, how many sets of the other block, or of its own if there is one only, reach the threshold."""
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.bincount(code)  # by shingle: how many sets have it, and from where on their numbers are listed
+    first = np.cumsum(held) - held
+    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(code, kind="stable")]
+    low, high = block.min(), block.max()
+    out = np.zeros(len(sets), np.int64)
+    for k in np.flatnonzero(block == low):
+        mine = code[ends[k] - sizes[k] : ends[k]]
+        n = held[mine]
+        at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owners[at], minlength=len(sets))
+        linked = (both >= threshold * (sizes[k] + sizes - both)) & (block == high)
+        linked[k] = False
+        out[k] += linked.sum()
+        if low != high:
+            out += linked
+    return out
+
+
+def link_counts(roots: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, n_links): for each node of ``roots`` (node, root), the nodes of its component whose exact similarity
+    reaches the threshold. Components are cut into blocks by a hash of the node, and each two blocks of one are a
+    group of their own, so a large component is spread and its pairs are never rows."""
+    members = roots.join(sets, "node")
+    sizes = roots.join(sets.select("node", F.length("shingles").alias("size")), "node").groupBy("root")
+    blocks = sizes.agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = members.join(blocks, "root").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = each.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "shingles")
+
+    def run(batches):
+        group, nodes, block, held = None, [], [], []
+
+        def counted() -> pa.RecordBatch:
+            # Two blocks of which one is empty have no pair; its own group counts the other.
+            n = _links_of(held, np.array(block), threshold) if group[1] == group[2] or len(set(block)) > 1 else np.zeros(len(nodes), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(n, pa.int64())], names=["node", "n"])
+
+        for batch in batches:
+            for *key, node, own, raw in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "block", "shingles")), strict=True):
+                if key != group:
+                    if nodes:
+                        yield counted()
+                    group, nodes, block, held = key, [], [], []
+                nodes.append(node)
+                block.append(own)
+                held.append(np.frombuffer(raw, np.uint64))
+        if nodes:
+            yield counted()
+
+    dealt = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return dealt.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row of ``docs``: its id, class_id (the smallest id of its class: documents connected by
-    similarities of ``threshold`` and more), and n_links, the verified links of its text to different texts.
-    Links are kept as needed to connect a class; pairs within a connected crowd are not spelled out."""
+    similarities of ``threshold`` and more), and n_links, to how many different texts of its class its own
+    is as similar as that."""
     sketches = checkpointed(_sketches(docs, id_column, text_column))
     grouped = sketches.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key")
     nodes = checkpointed(grouped.agg(F.min("doc_id").alias("node"), F.min_by("signature", "doc_id").alias("signature")))
@@ -216,16 +276,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_column: st
     sets = checkpointed(map_texts(texts, make, "node long, shingles binary", text_column).dropDuplicates(["node"]))
 
     roots: DataFrame | None = None
-    links: list[DataFrame] = []
     inner = nodes.join(wanted, F.col("node") == F.col("wanted"), "left_semi")
     inner = checkpointed(inner)
     for depth, trees in [*[(DEPTH, t) for t in _ROUNDS if floor < DEPTH], (floor, tuple(range(TREES)))]:
-        links.append(checkpointed(_verified(_star_pairs(_buckets(_with_components(inner, roots), depth, trees)), sets, threshold)))
-        roots = checkpointed(components(_joined(links[-1], roots)))
-    links.append(checkpointed(_verified(_rest_pairs(_buckets(_with_components(inner, roots), floor)), sets, threshold)))
-    every = reduce(DataFrame.union, links).distinct()
-    roots = components(_joined(links[-1], roots))
-    degrees = every.select(F.col("a").alias("node")).union(every.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+        links = _verified(_star_pairs(_buckets(_with_components(inner, roots), depth, trees)), sets, threshold)
+        roots = checkpointed(components(_joined(links, roots)))
+    links = _verified(_rest_pairs(_buckets(_with_components(inner, roots), floor)), sets, threshold)
+    roots = checkpointed(components(_joined(links, roots)))
+    degrees = link_counts(roots, sets, threshold)
     classes = nodes.join(roots, "node", "left").join(degrees, "node", "left").select("set_key", F.coalesce("root", "node").alias("class_id"), "n_links")
     found = sketches.select("doc_id", "set_key").join(classes, "set_key", "left")
     return found.select(F.col("doc_id").alias(id_column), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

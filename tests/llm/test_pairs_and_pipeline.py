@@ -47,6 +47,22 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(links < 120 * 16 for *_, links in got)
 
 
+def test_near_duplicates_count_every_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 16)  # several blocks a crowd
+    rng = random.Random(5)
+    crowd, texts = [f"c{i}" for i in range(200)], []
+    for i in range(60):  # near copies of one text
+        texts.append([*crowd[:i], f"y{i}", *crowd[i + 1 :]])
+    for i in range(40):  # a chain: neighbours are linked, ends are not
+        texts.append([f"d{j}" for j in range(3 * i, 3 * i + 60)])
+    texts += [[f"w{rng.randrange(500)}" for _ in range(50)] for _ in range(10)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, texts[0], texts[70]])]  # copies are no links
+    sets = [set(jaccard_join.shingles(" ".join(t)).tolist()) for t in texts]
+    links = [sum(len(x & y) >= 0.8 * len(x | y) for y in sets) - 1 for x in sets]
+    assert min(links[:60]) == 59
+    assert [n for *_, n in near(spark, rows)] == [*links, links[0], links[70]]
+
+
 def test_near_duplicates_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, "a b"), (4, "A, b!"), (5, "b a"), (None, "a b"), (6, long), (7, long + " end"), (8, "!!"), (3, "a b")]
