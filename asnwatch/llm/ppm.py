@@ -27,9 +27,9 @@ from asnwatch.llm.common import checkpointed, largest, map_texts, texts_of
 ORDER = 3
 #: The end mark, a byte that UTF-8 never has; also what stands before a text.
 EDGE = 0xFF
-#: Contexts that the model keeps of each order at most, the most frequent. Texts in any other context are
-#: coded from the next shorter one, as for contexts never seen.
-CONTEXTS = (1, 256, 16_384, 65_536)
+#: Contexts of each order in the broadcast table, at most: all shorter ones and the most frequent of the longest.
+#: Symbols in any other context that was seen are joined by it.
+CONTEXTS = (1, 256, 65_536, 65_536)
 #: Words whose counts are broadcast, and their greatest length in bytes; all others are joined.
 FREQUENT = 65_536
 FREQUENT_BYTES = 40
@@ -105,86 +105,161 @@ def gram_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return map_texts(docs.select(text_column), make, "gram long, n long", text_column).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+@dataclass(frozen=True)
+class Counts:
+    """Sorted contexts of one order, and the counts of the symbols seen in each, from ``first`` on."""
+
+    contexts: np.ndarray
+    first: np.ndarray
+    symbols: np.ndarray
+    n: np.ndarray
+
+    @staticmethod
+    def of(gram: np.ndarray, n: np.ndarray) -> Counts:
+        order = np.argsort(gram)
+        contexts, first = np.unique(gram[order] >> 8, return_index=True)
+        return Counts(contexts, np.append(first, len(gram)), (gram[order] & 255).astype(np.uint8), n[order])
+
+    def dense(self, contexts: np.ndarray) -> np.ndarray:
+        """Counts of all 256 symbols, 0 in contexts never seen."""
+        out = np.zeros((len(contexts), 256), np.int64)
+        if len(self.contexts):
+            at = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
+            sizes = np.where(self.contexts[at] == contexts, self.first[at + 1] - self.first[at], 0)
+            which = np.repeat(self.first[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            out[np.repeat(np.arange(len(contexts)), sizes), self.symbols[which]] = self.n[which]
+        return out
+
+
+def log_rows(own: np.ndarray, shorter: list[Counts], contexts: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """log10 probabilities in ``contexts`` with the counts ``own``, a column for each symbol in use and one for all others."""
+    left = np.ones((len(contexts), 256), bool)  # symbols not excluded yet
+    scale, out = np.ones((len(contexts), 1)), np.zeros((len(contexts), 256))
+    for n in range(len(shorter), -1, -1):
+        counts = np.where(left, own if n == len(shorter) else shorter[n].dense(contexts & ((1 << 8 * n) - 1)), 0)
+        distinct = (counts > 0).sum(axis=1, keepdims=True)
+        total = np.maximum(counts.sum(axis=1, keepdims=True) + distinct, 1)
+        out += scale * counts / total
+        scale = np.where(distinct > 0, scale * distinct / total, scale)
+        left &= counts == 0
+    out += left * scale / np.maximum(left.sum(axis=1, keepdims=True), 1)
+    out = np.maximum(out, 1e-300)
+    never = np.setdiff1d(np.arange(256), used)
+    rest = out[:, never[:1]] if len(never) else np.ones((len(contexts), 1))
+    return np.log10(np.hstack([out[:, used], rest])).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class ByteModel:
     """log10 probabilities of each symbol in each kept context, all escapes and exclusions worked in.
-    Bounded by CONTEXTS times the symbols in use."""
+    Bounded by CONTEXTS times the symbols in use. The contexts seen but not kept are a bit each."""
 
     symbol: np.ndarray  # number of each byte; the last number stands for all bytes never seen
     bits: int
     row: np.ndarray  # by the numbers of the last ORDER symbols: the row of the longest kept context
     table: np.ndarray
+    rare: np.ndarray | None  # bits of the contexts of ORDER bytes that were seen and have no row, if any
 
     def log10_probability(self, texts: list[str]) -> np.ndarray:
+        """Of whole texts, but for their symbols in rare contexts."""
+        return self.parts(texts)[0]
+
+    def parts(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """The same, and of each symbol in a rare context the number of its text, the context, and its own number."""
         data, at, sizes = byte_rows(texts)
         numbers = self.symbol[data]
         context = np.zeros(len(at), np.int32)
         for n in range(ORDER, 0, -1):
             context = context << self.bits | numbers[at - n]
         value = self.table[self.row[context], numbers[at]]
+        apart, long = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if self.rare is not None:
+            long = np.zeros(len(at), np.int64)
+            for n in range(ORDER, 0, -1):
+                long = long << 8 | data[at - n]
+            apart = np.flatnonzero(self.rare[long >> 6] >> (long & 63).astype(np.uint64) & np.uint64(1))
+            value[apart] = 0
         out = np.zeros(len(texts))
         some = np.flatnonzero(sizes)
         if len(some):
             out[some] = np.add.reduceat(value, np.cumsum(sizes[some]) - sizes[some], dtype=np.float64)
-        return out
+        return out, np.repeat(np.arange(len(texts)), sizes)[apart], long[apart], numbers[at][apart]
+
+
+def _by_context(grams: DataFrame, order: int) -> DataFrame:
+    """(context, gram, n) with contexts of ``order`` bytes."""
+    counts = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
+    return counts.withColumn("context", F.shiftright("gram", 8))
 
 
 def byte_model(grams: DataFrame) -> ByteModel:
     """Fit on the counts of ``gram_counts``. The driver receives the symbols of the kept contexts only."""
-    kept = []  # by order: contexts, dense counts of their symbols
+    return fitted(grams)[0]
+
+
+def fitted(grams: DataFrame) -> tuple[ByteModel, DataFrame | None]:
+    """The model and, if not all contexts are in its table, ``rare_rows`` of the others."""
+    kept, rare = [], None  # kept by order
     for order, most in enumerate(CONTEXTS):
-        counts = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        counts = counts.withColumn("context", F.shiftright("gram", 8))
+        counts = _by_context(grams, order)
         if most < 1 << 8 * order:
-            most_frequent = largest(counts.groupBy("context").agg(F.sum("n").alias("total")), "total", most)
-            counts = counts.join(most_frequent.select("context"), "context", "left_semi")
+            most_frequent = largest(counts.groupBy("context").agg(F.sum("n").alias("total")), "total", most).select("context")
+            rare = counts.join(most_frequent, "context", "left_anti")
+            counts = counts.join(most_frequent, "context", "left_semi")
         got = counts.select("gram", "n").toArrow()
-        gram, n = got["gram"].to_numpy(), got["n"].to_numpy()
-        contexts, at = np.unique(gram >> 8, return_inverse=True)
-        dense = np.zeros((len(contexts), 256), np.int64)
-        dense[at, gram & 255] = n
-        kept.append((contexts, dense))
-    used = np.flatnonzero(kept[0][1].sum(axis=0)) if len(kept[0][0]) else np.zeros(0, np.int64)
+        kept.append(Counts.of(got["gram"].to_numpy(), got["n"].to_numpy()))
+    used = np.unique(kept[0].symbols).astype(np.int64)
     symbol = np.full(256, len(used), np.int32)
     symbol[used] = np.arange(len(used))
     width = len(used) + 1
     bits = max(1, int(width - 1).bit_length())
 
-    def lower(order: int, contexts: np.ndarray) -> np.ndarray:
-        """Counts in the contexts cut to ``order`` bytes, 0 where that context is not kept."""
-        own, dense = kept[order]
-        cut = contexts & ((1 << 8 * order) - 1)
-        at = np.minimum(np.searchsorted(own, cut), max(len(own) - 1, 0))
-        return np.where((own[at] == cut)[:, None], dense[at], 0) if len(own) else np.zeros((len(cut), 256), np.int64)
-
-    def rows_of(order: int, contexts: np.ndarray) -> np.ndarray:
-        left = np.ones((len(contexts), 256), bool)  # symbols not excluded yet
-        scale, out = np.ones((len(contexts), 1)), np.zeros((len(contexts), 256))
-        for n in range(order, -1, -1):
-            counts = np.where(left, lower(n, contexts), 0)
-            distinct = (counts > 0).sum(axis=1, keepdims=True)
-            total = np.maximum(counts.sum(axis=1, keepdims=True) + distinct, 1)
-            out += scale * counts / total
-            scale = np.where(distinct > 0, scale * distinct / total, scale)
-            left &= counts == 0
-        out += left * scale / np.maximum(left.sum(axis=1, keepdims=True), 1)
-        out = np.maximum(out, 1e-300)
-        never = np.setdiff1d(np.arange(256), used)
-        rest = out[:, never[:1]] if len(never) else np.ones((len(contexts), 1))
-        return np.log10(np.hstack([out[:, used], rest])).astype(np.float32)
-
     tables, row, first = [], np.zeros(1, np.int32), 0
     for order in range(ORDER + 1):
-        contexts = kept[order][0] if order or len(kept[0][0]) else np.zeros(1, np.int64)
+        contexts = kept[order].contexts if order else np.zeros(1, np.int64)
         if order:  # one more symbol to the left: as in the shorter context unless the longer one is kept
             row = np.tile(row, 1 << bits)
             place = np.zeros(len(contexts), np.int64)
             for n in range(order):
                 place |= symbol[contexts >> 8 * n & 255].astype(np.int64) << bits * n
             row[place] = first + np.arange(len(contexts))
-        tables += [rows_of(order, contexts[i : i + 4096]) for i in range(0, len(contexts), 4096)]
+        cuts = [contexts[i : i + 4096] for i in range(0, len(contexts), 4096)]
+        tables += [log_rows(kept[order].dense(c), kept[:order], c, used) for c in cuts]
         first += len(contexts)
-    return ByteModel(symbol, bits, row, np.vstack(tables).reshape(-1, width))
+    bitmap = None
+    if rare is not None:
+        words = rare.groupBy(F.expr("context div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(context % 64 as int)))").alias("bits")).toArrow()
+        if len(words):  # 2^18 at most
+            bitmap = np.zeros(1 << 8 * ORDER - 6, np.uint64)
+            bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    model = ByteModel(symbol, bits, row, np.vstack(tables).reshape(-1, width), bitmap)
+    return model, None if bitmap is None else rare_rows(rare, kept[:ORDER], used)
+
+
+def rare_key(context: int) -> bytes:
+    """Two spaces and the bytes of the context: neither a word nor a text's own key in ``score``."""
+    return b"  " + context.to_bytes(ORDER, "big")
+
+
+def rare_rows(rare: DataFrame, shorter: list[Counts], used: np.ndarray) -> DataFrame:
+    """(word, logs): the key of each context of ``rare`` and its row of log10 probabilities, as in a model's table."""
+    sent = rare.sparkSession.sparkContext.broadcast((shorter, used))
+
+    def run(batches):
+        shorter, used = sent.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                contexts, seen = batch.column("context").to_numpy(), batch.column("seen")
+                own = np.zeros((len(contexts), 256), np.int64)
+                flat = seen.flatten()
+                at = np.repeat(np.arange(len(contexts)), seen.value_lengths().to_numpy())
+                own[at, flat.field("gram").to_numpy() & 255] = flat.field("n").to_numpy()
+                logs = log_rows(own, shorter, contexts, used)
+                ends = np.arange(len(contexts) + 1, dtype=np.int32) * logs.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array([rare_key(c) for c in contexts.tolist()], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(logs.ravel()))], names=["word", "logs"])
+
+    return rare.groupBy("context").agg(F.collect_list(F.struct("gram", "n")).alias("seen")).mapInArrow(run, "word binary, logs array<float>")
 
 
 def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -206,14 +281,15 @@ def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
 def score(docs: DataFrame, learns: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row of ``docs``: id, n_tokens, n_known, train_tokens, base_score (log10 probability under
     smoothed word counts) and score (under the byte model). Both models learn from all rows where ``learns``
-    holds. Counts of frequent words are broadcast; rare words, each in few texts, are joined by word."""
+    holds. Counts of frequent words and rows of frequent contexts
+    are broadcast; rare words and contexts, each in few texts, are joined."""
     training = docs.filter(learns)
     counts = checkpointed(word_counts(training, text_column))
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     floor = math.log10(size["n"] + PRIOR * (size["v"] + 1))
     short = largest(counts.filter(F.length("word") <= FREQUENT_BYTES), "n", FREQUENT).collect()  # FREQUENT rows at most
     frequent = {bytes(r["word"]): r["n"] for r in short}
-    model = byte_model(checkpointed(gram_counts(training, text_column)))
+    model, others = fitted(checkpointed(gram_counts(training, text_column)))
     sent = docs.sparkSession.sparkContext.broadcast((frequent, model))
     kept = docs.select(id_column, text_column)
 
@@ -226,7 +302,8 @@ def score(docs: DataFrame, learns: Column, id_column: str = "doc_id", text_colum
         def each(batch: pa.RecordBatch) -> dict:
             nonlocal done
             texts = texts_of(batch, text_column)
-            scores = model.log10_probability(texts)
+            scores, who, context, symbol = model.parts(texts)
+            apart, times = np.unique(who.astype(np.int64) << 33 | context << 9 | symbol, return_counts=True)
             row, word, n, ids, tokens, known, base, score = [], [], [], [], [], [], [], []
             for i, text in enumerate(texts):
                 words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -246,19 +323,27 @@ def score(docs: DataFrame, learns: Column, id_column: str = "doc_id", text_colum
                 n += rare.values()
                 for column in (ids, tokens, known, base, score):
                     column += [None] * len(rare)
+            symbols = [None] * len(row) + (apart & 511).tolist()
+            row += ((apart >> 33) + (task << 40 | done)).tolist()
+            word += map(rare_key, (apart >> 9 & 0xFFFFFF).tolist())
+            n += times.tolist()
+            for column in (ids, tokens, known, base, score):
+                column += [None] * len(apart)
             done += len(texts)
-            return {"row": row, "word": word, "n": n, id_column: batch.column(id_column).take(pa.array(ids, pa.int64())), "tokens": tokens, "known": known, "base": base, "score": score}
+            return {"row": row, "word": word, "n": n, "symbol": symbols, id_column: batch.column(id_column).take(pa.array(ids, pa.int64())), "tokens": tokens, "known": known, "base": base, "score": score}
 
         return each
 
     id_type = kept.schema[id_column].dataType.simpleString()
-    rows = map_texts(kept, make, f"row long, word binary, n long, {id_column} {id_type}, tokens long, known long, base double, score double", text_column)
-    found = rows.join(counts.withColumnRenamed("n", "count"), "word", "left")
-    rare_value = F.col("n") * (F.log10(F.coalesce(F.col("count"), F.lit(0)) + PRIOR) - floor)
+    rows = map_texts(kept, make, f"row long, word binary, n long, symbol int, {id_column} {id_type}, tokens long, known long, base double, score double", text_column)
+    table = counts.select("word", F.col("n").alias("count"))
+    table = table.withColumn("logs", F.lit(None).cast("array<float>")) if others is None else table.unionByName(others, allowMissingColumns=True)
+    found = rows.join(table, "word", "left")
+    rare_value = F.when(F.col("symbol").isNull(), F.col("n") * (F.log10(F.coalesce(F.col("count"), F.lit(0)) + PRIOR) - floor))
     return found.groupBy("row").agg(
         F.max(id_column).alias(id_column),
         F.max("tokens").alias("n_tokens"),
         F.sum(F.coalesce("known", F.when(F.col("count") > 0, F.col("n")).otherwise(0))).alias("n_known"),
         F.sum(F.coalesce("base", rare_value)).alias("base_score"),
-        F.max("score").alias("score"),
+        F.sum(F.coalesce("score", F.col("n") * F.get("logs", F.col("symbol")))).alias("score"),
     ).select(id_column, "n_tokens", "n_known", F.lit(size["n"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -245,6 +245,22 @@ def test_ppm_table_against_trie(spark):
     assert ppm.ContextTrie().log10_probability("abababab" * 9, adaptive=True) > 30 * ppm.ContextTrie(0).log10_probability("a")
 
 
+def test_ppm_scores_in_contexts_beyond_the_table(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "CONTEXTS", (1, 256, 65_536, 8))
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abcdé fg", k=rng.randrange(0, 40))) for _ in range(60)] + [None, "zz", "日本"]
+    trie = ppm.ContextTrie()
+    for text in texts[:50]:
+        raw = (text or "").encode()
+        history = bytes([ppm.EDGE] * ppm.ORDER)
+        for symbol in [*raw, ppm.EDGE] if raw else []:
+            trie.learn(history, symbol)
+            history = (history + bytes([symbol]))[1:]
+    assert sum(len(c) == ppm.ORDER for c in trie.counts) > 100
+    got = {r.doc_id: r.score for r in ppm.score(docs_of(spark, texts), F.col("doc_id") < 50).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([trie.log10_probability(t or "") for t in texts], rel=1e-5)
+
+
 def test_lm_contract(spark, tmp_path):
     from zlib import crc32
 
