@@ -152,11 +152,18 @@ def churn_threshold(counts: DataFrame, min_updates: int = MIN_UPDATES, deviation
     return counts.join(known, ["msg_id", "pos"], "left")
 
 
-def detect_churn(counts: DataFrame, min_updates: int = MIN_UPDATES) -> DataFrame:
-    """Counts with ``threshold`` that rise above it: an episode begins where the vantage's count before was not above."""
+def above_threshold(min_updates: int = MIN_UPDATES) -> Column:
+    return (F.col("n_updates") >= min_updates) & F.coalesce(F.col("n_updates") > F.col("threshold"), F.lit(False))
+
+
+def detect_churn(counts: DataFrame, min_updates: int = MIN_UPDATES, running: DataFrame | None = None) -> DataFrame:
+    """Counts with ``threshold`` that rise above it: an episode begins where the vantage's count before was not above.
+    ``running`` names the vantages (prefix, peer_asn) whose last count before all of these was above."""
     order = Window.partitionBy("prefix", "peer_asn").orderBy(*SEQUENCE)
-    above = (F.col("n_updates") >= min_updates) & F.coalesce(F.col("n_updates") > F.col("threshold"), F.lit(False))
-    rows = counts.withColumn("_above", above).withColumn("_before", F.lag("_above").over(order))
+    rows = counts.withColumn("_above", above_threshold(min_updates)).withColumn("_before", F.lag("_above").over(order))
+    if running is not None:
+        known = running.select("prefix", "peer_asn", F.lit(True).alias("_running"))
+        rows = rows.join(known, ["prefix", "peer_asn"], "left").withColumn("_before", F.coalesce("_before", "_running")).drop("_running")
     fired = rows.filter(F.col("_above") & ~F.coalesce("_before", F.lit(False))).drop("_above", "_before")
     return fired.withColumn("severity", _severity(F.col("n_updates") / F.col("threshold") >= 2))
 

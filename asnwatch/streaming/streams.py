@@ -93,8 +93,8 @@ def suppress_stream(leaks: DataFrame, window_us: int = detect.LEAK_WINDOW_US) ->
 
 
 def stream_churn_counts(ops: DataFrame, window_us: int = detect.CHURN_WINDOW_US) -> DataFrame:
-    """Announcements in the trailing window by prefix and peer. State: the times within the window; a quiet
-    vantage's state is dropped after it, which changes no count."""
+    """Announcements in the trailing window by prefix and peer. State: the times within the window of the
+    last row. A quiet vantage keeps them: with an event-time timeout Spark would drop late rows."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times = list(state.get[0]) if state.exists else []
@@ -112,21 +112,29 @@ def stream_churn_counts(ops: DataFrame, window_us: int = detect.CHURN_WINDOW_US)
 
 def churn_batches(sink: Callable[[DataFrame, int], None], ring_path: str, **parameters) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch`` over ``stream_churn_counts``: thresholds from the counts of this batch and the
-    last ones before it, kept as a small table under ``ring_path``. Each batch writes a new version named by
-    its number, so a replayed batch starts from the same ring."""
-    keep = parameters.get("baseline", detect.BASELINE)
+    last ones before it, kept as a small table under ``ring_path``. Beside it, in ``running``, are the vantages
+    whose last count was above its threshold, so that an episode that goes on is not reported again. Each batch
+    writes new versions named by its number, so a replayed batch starts from the same state."""
+    keep, least = parameters.get("baseline", detect.BASELINE), parameters.get("min_updates", detect.MIN_UPDATES)
+    vantage = ["prefix", "peer_asn"]
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        counts = batch.withColumn("fresh", F.lit(True))
+        counts, running = batch.withColumn("fresh", F.lit(True)), None
         if number:
             old = spark.read.schema("msg_id long, event_us long, pos int, prefix string, peer_asn long, n_updates int").parquet(f"{ring_path}/{number - 1}")
             counts = counts.unionByName(old.withColumn("fresh", F.lit(False)))
+            running = spark.read.schema("prefix string, peer_asn long").parquet(f"{ring_path}/running/{number - 1}")
         counts = counts.persist()
-        judged = detect.detect_churn(detect.churn_threshold(counts, **parameters), parameters.get("min_updates", detect.MIN_UPDATES))
-        sink(judged.filter("fresh").drop("fresh"), number)
-        # The ring, and each vantage's last count, so that an episode that goes on is not reported again.
+        judged = detect.churn_threshold(counts, **parameters).filter("fresh").drop("fresh").persist()
+        sink(detect.detect_churn(judged, least, running), number)
+        last = judged.withColumn("above", detect.above_threshold(least)).groupBy(*vantage).agg(F.max_by("above", F.struct(*_SEQ)).alias("above"))
+        above = last.filter("above").select(*vantage)
+        if running is not None:
+            above = above.union(running.join(last, vantage, "left_anti"))
+        above.write.mode("overwrite").parquet(f"{ring_path}/running/{number}")
         counts.drop("fresh").orderBy(F.desc("event_us"), F.desc("msg_id"), F.desc("pos")).limit(keep).write.mode("overwrite").parquet(f"{ring_path}/{number}")
+        judged.unpersist()
         counts.unpersist()
 
     return run

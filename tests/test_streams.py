@@ -5,6 +5,8 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__
+from asnwatch.operators import detect
+from asnwatch.streaming import streams
 
 DATA = "/root/testdata/sf0.001"
 PAIRS = {
@@ -30,3 +32,29 @@ def test_stream_equals_batch(spark, name):
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_churn_over_batches_equals_batch(spark, tmp_path):
+    """Files in time order, one a micro-batch; other vantages fill the ring while an episode goes on."""
+    rows = []
+    for second in range(36):
+        # Two vantages that announce much, in every third file only, and many quiet ones between.
+        busy = [f"busy{k}" for k in range(2) for _ in range(6)] if second // 3 % 3 == 0 else []
+        rows += [(p, 1, second) for p in busy] + [(f"quiet{i}", 2, second) for i in range(12)]
+    schema = "msg_id long, event_us long, pos int, prefix string, peer_asn long, family byte, net_key string, op string"
+    rows = [(i, second * 1_000_000, 0, prefix, peer, 4, prefix, "A") for i, (prefix, peer, second) in enumerate(rows)]
+    path, window, options = str(tmp_path), 10_000_000, {"min_updates": 13, "floor": 13.0, "baseline": 40, "deviations": 2.0}
+    for k in range(12):
+        part = [r for r in rows if r[1] // 3_000_000 == k]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    ops = spark.createDataFrame(rows, schema)
+    counts = detect.vantage_counts(ops, window)
+    want = detect.detect_churn(detect.churn_threshold(counts, **options), options["min_updates"])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    sink = lambda df, number: df.write.parquet(f"{path}/out/batch={number}")
+    job = streams.stream_churn_counts(stream, window).writeStream.foreachBatch(streams.churn_batches(sink, f"{path}/ring", **options))
+    job.option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema("msg_id long, n_updates int, threshold double, severity short, batch int").parquet(f"{path}/out")
+    columns = ["msg_id", "n_updates", "threshold", "severity"]
+    assert len(list((tmp_path / "out").iterdir())) == 12
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect())) != []
