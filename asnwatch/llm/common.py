@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,9 @@ from pyspark.sql.types import StructType
 #: A slice of an Arrow batch holds at most so many rows and, unless one row is longer, bytes of text.
 SLICE_ROWS = 4096
 SLICE_BYTES = 8 << 20
+#: Rows of an Arrow batch of wide rows, and of small rows that one task takes when few are dealt anew.
+WIDE_ROWS = 512
+TASK_ROWS = 50_000
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -41,10 +47,39 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
             for part in slices(batch, text, most):
                 out = each(part)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in kind], schema=kind)
+        del each
+        release()
 
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Give what a task has freed back to the system: its worker waits for the next task and may serve another operator."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = WIDE_ROWS) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows in jobs that run meanwhile."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has about ``rows`` small rows at most, in no more tasks than these need: every task of a map side
+    leaves files. Tables of many rows stay as they are."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def ddl(df: DataFrame, columns: list[str]) -> str:
     """The named columns of ``df`` as a schema string."""
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
@@ -89,7 +124,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder named by spark.checkpoint.dir."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/asnwatch-checkpoints")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="asnwatch-"))
     return df.checkpoint(eager=True)
 
 
@@ -97,4 +135,4 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["checkpointed", "ddl", "hash_fraction", "id_bucket", "largest", "map_texts", "read", "sample_to", "slices", "texts_of"]
+__all__ = ["checkpointed", "ddl", "few_tasks", "hash_fraction", "id_bucket", "largest", "map_texts", "read", "release", "sample_to", "slices", "small_batches", "texts_of"]

@@ -1,28 +1,32 @@
 """Near duplicates: a Jaccard join over word shingles with a MinHash LSH forest.
 
-Texts with equal shingle sets are one node. Every node has a path of DEPTH MinHash labels in each of
-TREES prefix tries. The join matches long prefixes first, in one tree, then in three, then in the rest: of
-each component with nodes in a bucket one node is verified against one of the bucket's largest
-component, and verified pairs merge components. Then the prefix is shortened until a pair at the
-threshold meets in some tree with the target recall. At that depth all pairs of a bucket whose nodes are
-not in one component yet are compared. So a crowd of near copies costs a few comparisons a node to find its
-class, and no pair goes unseen because its bucket is large. Links are counted after that: both ends of a link
-are in one class, so each class is cut into blocks and every two blocks are compared exactly.
-
-Contract for odd input: a text of fewer than WORDS words is one shingle; a text without words, null
-or empty, resembles nothing and is a class of its own; copies, also repeated rows, share a class; rows
-with one id are one document, and a null id has a null class; the smallest id names a class.
+Texts with equal shingle sets are one node. Every node has a path of DEPTH MinHash labels in each of TREES
+prefix tries; a trie node is a beginning of a path, so nodes under it are those with equal beginnings. The join
+starts at the longest prefixes. There, first in one tree and then in all, one node of each component under a
+trie node is verified against one of its largest component, and verified pairs merge components: a crowd of
+near copies costs a few comparisons a node. Then, level by level, all pairs of different components that meet
+under a prefix of that length are verified and the prefixes are shortened, until the recall that the weakest
+links found so far let expect reaches the target, or links at the threshold itself do. Before the exact
+comparison of shingle sets, sizes and one-bit labels rule pairs out. Links are counted after that: both ends
+of a link are in one class, so each class is cut into blocks and every two blocks are compared exactly.
+
+Contract for odd input: a text of fewer than WORDS words is one shingle; a text without words, null or empty,
+resembles nothing and is a class of its own; copies, also repeated rows, share a class; rows that repeat an id
+with another text count by their texts; a null id has a null class and links nothing; the smallest id names a
+class; long texts are taken whole; ids keep their type; an empty table has no classes.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asnwatch.llm.common import checkpointed, map_texts, texts_of
+from asnwatch.llm.common import checkpointed, few_tasks, map_texts, small_batches, texts_of
 from asnwatch.llm.licenses import word_table
 
 WORDS = 5
@@ -30,22 +34,27 @@ THRESHOLD = 0.8
 TREES = 16
 DEPTH = 8
 TARGET_RECALL = 0.995
+#: Links of a similarity less than this above the threshold are the weakest ones, which the measured recall is of.
+WEAKEST = 0.1
 SEED = 6
-#: Bits, of TREES * DEPTH one-bit labels, in which a pair at the threshold may differ: 5.6 standard deviations above its mean.
-MOST_BITS = 32
-#: Candidate ids are broadcast up to this number (8 bytes each), beyond it joined by shuffle.
+#: One-bit labels may differ in so many standard deviations more than those of a pair at the threshold do.
+SPREAD = 5.6
+#: Candidate ids are broadcast up to this number (40 bytes each), beyond it joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Nodes and bytes of shingles of a block, about, when links are counted.
-BLOCK_NODES = 512
-BLOCK_BYTES = 2 << 20
+#: Nodes under a prefix that are compared with others in one task.
+BUCKET_NODES = 4096
+#: Nodes and bytes of shingles of a block, about, when links are counted, and shingles compared at once.
+BLOCK_NODES = 1024
+BLOCK_BYTES = 4 << 20
+BLOCK_WIDTH = 1024
 
 _LABELS = TREES * DEPTH
-#: Trees that are matched together, few at first: each round leaves fewer components for the next.
-_ROUNDS = tuple(tuple(range(a, b)) for a, b in ((0, 1), (1, 4), (4, 16)))
 _rng = np.random.default_rng(SEED)
 _FACTORS = _rng.integers(1, 1 << 32, _LABELS, dtype=np.uint32) | np.uint32(1)
 _TERMS = _rng.integers(0, 1 << 32, _LABELS, dtype=np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: What a pair is judged by before its sets are fetched.
+_SKETCH = ("size", "bits1", "bits2")
 
 
 def shingles(text: str, table: bytes = word_table(), n: int = WORDS) -> np.ndarray:
@@ -71,146 +80,164 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return ((low.astype(np.uint64) * _MIX) >> np.uint64(48)).astype("<u2")
 
 
-def shallowest(threshold: float = THRESHOLD, target: float = TARGET_RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with the target recall."""
-    return next((k for k in range(depth, 0, -1) if 1 - (1 - threshold**k) ** trees >= target), 1)
-
-
-def _sketches(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    def make():
-        table = word_table()
-
-        def each(batch: pa.RecordBatch) -> dict:
-            sets = [shingles(t, table) for t in texts_of(batch, text_column)]
-            return {
-                "doc_id": batch.column(id_column),
-                "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                "signature": [signature(s).tobytes() if len(s) else None for s in sets],
-            }
-
-        return each
-
-    return map_texts(docs.select(F.col(id_column).cast("long").alias(id_column), text_column), make, "doc_id long, set_key binary, signature binary", text_column)
-
-
-def _buckets(nodes: DataFrame, depth: int, trees: tuple[int, ...] = tuple(range(TREES))) -> DataFrame:
-    """(key, node, comp, bits1, bits2): each node once for each of ``trees``, in the bucket of its prefix."""
-
-    def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            labels = np.frombuffer(b"".join(batch.column("signature").to_pylist()), "<u2").reshape(n, TREES, DEPTH)
-            key = np.broadcast_to((np.array(trees, np.uint64) + np.uint64(1)) * _MIX, (n, len(trees))).copy()
-            for i in range(depth):
-                key = (key ^ labels[:, trees, i]) * _MIX
-                key ^= key >> np.uint64(31)
-            bits = np.packbits((labels & 1).astype(bool).reshape(n, _LABELS), axis=1).view(np.int64).reshape(n, 2)
-            columns = [key.view(np.int64).ravel()] + [np.repeat(x, len(trees)) for x in (batch.column("node").to_numpy(), batch.column("comp").to_numpy(), bits[:, 0], bits[:, 1])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "comp", "bits1", "bits2"])
-
-    return nodes.select("node", "comp", "signature").mapInArrow(run, "key long, node long, comp long, bits1 long, bits2 long")
-
-
-def _with_components(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return nodes.withColumn("comp", F.col("node"))
-    return nodes.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+def recall(similarity: float, depth: int, trees: int = TREES) -> float:
+    """How likely a pair of that similarity meets under a prefix of ``depth`` labels in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
-def _joined(links: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """New links, and one link of each node to its root so far."""
-    if roots is None:
-        return links
-    return links.union(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")))
-
+def shallowest(threshold: float = THRESHOLD, target: float = TARGET_RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
+    """The longest prefix at which a pair at the threshold meets in some tree with the target recall, else 1."""
+    return next((k for k in range(depth, 0, -1) if recall(threshold, k, trees) >= target), 1)
 
-def _mixed(buckets: DataFrame) -> DataFrame:
-    """The rows of buckets with nodes of several components."""
-    keys = buckets.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    return buckets.join(keys.select("key"), "key")
 
+def most_bits(threshold: float) -> int:
+    """One-bit labels in which a pair at the threshold may differ: SPREAD standard deviations above the mean."""
+    p = (1 - threshold) / 2
+    return min(_LABELS, math.ceil(_LABELS * p + SPREAD * math.sqrt(_LABELS * p * (1 - p))))
 
-def _star_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs (a, b): in each mixed bucket, the smallest node of every component with that of the largest one,
-    the first of equals, so that links point to few nodes and components stay shallow."""
-    each = _mixed(buckets).groupBy("key", "comp").agg(F.min("node").alias("node"), F.count("*").alias("n"))
-    largest = each.groupBy("key").agg(F.max_by(F.struct("node", "comp"), F.struct("n", -F.col("comp"))).alias("top"))
-    pairs = each.join(largest, "key").filter(F.col("comp") != F.col("top.comp"))
-    return pairs.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
 
+def _named(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, text_hash, text): id and text hash tell rows of different texts apart."""
+    return docs.select(F.col(id_column).alias("id"), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("text_hash"), F.col(text_column).alias("text"))
 
-def _rest_pairs(buckets: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a bucket from different components that the one-bit labels do not rule out.
-    Nodes outside the bucket's largest component meet all of its nodes, so the largest is never paired with itself."""
-    inside = _mixed(buckets)
-    sizes = inside.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"))
-    few = inside.join(largest, "key").filter("comp <> largest").select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "comp", "bits1", "bits2")])
-    differ = F.bit_count(F.col("bits1").bitwiseXOR(F.col("bits1_"))) + F.bit_count(F.col("bits2").bitwiseXOR(F.col("bits2_")))
-    pairs = inside.join(few, (inside["key"] == few["key"]) & (F.col("comp") != F.col("comp_")) & (differ <= MOST_BITS))
-    return pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
 
+def _sketches(named: DataFrame) -> DataFrame:
+    def make():
+        table = word_table()
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose exact Jaccard similarity reaches the threshold."""
+        def each(batch: pa.RecordBatch) -> dict:
+            sets = [shingles(t, table) for t in texts_of(batch)]
+            some = [signature(s) for s in sets if len(s)]
+            bits = np.packbits((np.array(some, np.uint16).reshape(len(some), _LABELS) & 1).astype(bool), axis=1).view(np.int64).reshape(len(some), 2)
+            labels, halves = iter(some), iter(bits.tolist())
+            out: dict[str, list] = {n: [] for n in ("set_key", "size", "signature", "bits1", "bits2")}
+            for s in sets:
+                row = (xxhash.xxh3_128_digest(s.tobytes()), len(s), next(labels).tobytes(), *next(halves)) if len(s) else (None,) * 5
+                for column, x in zip(out.values(), row, strict=True):
+                    column.append(x)
+            return {"id": batch.column("id"), "text_hash": batch.column("text_hash")} | out
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= threshold * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("a", "b")], names=["a", "b"])
+        return each
 
-    left = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    both = left.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    id_type = named.schema["id"].dataType.simpleString()
+    return map_texts(named, make, f"id {id_type}, text_hash long, set_key binary, size int, signature binary, bits1 long, bits2 long")
+
+
+def _trie_nodes(nodes: DataFrame, depth: int, trees: range = range(TREES)) -> DataFrame:
+    """Each node once for each of ``trees``: ``key`` stands for the first ``depth`` labels of its path there and
+    ``next`` for the label after them."""
+    at = lambda tree, i: F.substring("signature", 2 * (tree * DEPTH + i) + 1, 2)
+    path = [F.struct(F.xxhash64(F.lit(t), F.substring("signature", 2 * t * DEPTH + 1, 2 * depth)).alias("key"), (at(t, depth) if depth < DEPTH else F.lit(None).cast("binary")).alias("next")) for t in trees]
+    return nodes.select(F.inline(F.array(*path)), *[c for c in nodes.columns if c != "signature"])
+
+
+def _alike(threshold: float, suffix: str = "_") -> Column:
+    """Whether sizes and one-bit labels leave a pair a chance to reach the threshold."""
+    differ = F.bit_count(F.col("bits1").bitwiseXOR(F.col(f"bits1{suffix}"))) + F.bit_count(F.col("bits2").bitwiseXOR(F.col(f"bits2{suffix}")))
+    size, other = F.col("size"), F.col(f"size{suffix}")
+    return (F.least(size, other) >= threshold * F.greatest(size, other)) & (differ <= most_bits(threshold))
+
+
+def _components_by_key(rows: DataFrame, n_rows: int) -> DataFrame:
+    """(key, comp, n, first): the components under each key, their sizes and smallest nodes with their sketches."""
+    first = F.min_by(F.struct("node", *_SKETCH), "node").alias("first")
+    return few_tasks(rows.groupBy("key", "comp").agg(F.count("*").alias("n"), first), n_rows)
+
+
+def _star_pairs(rows: DataFrame, n_rows: int, threshold: float) -> DataFrame:
+    """Pairs (a, b): under each key, the smallest node of the largest component, the first of equals, and that of
+    every other one. So links point to few nodes and components stay shallow."""
+    each = _components_by_key(rows, n_rows)
+    largest = each.groupBy("key").agg(F.max_by(F.struct("comp", "first"), F.struct("n", -F.col("comp"))).alias("top"), F.count("*").alias("n_comps")).filter("n_comps > 1")
+    both = each.join(few_tasks(largest, n_rows), "key").filter(F.col("comp") != F.col("top.comp"))
+    flat = both.select("first.*", *[F.col(f"top.first.{c}").alias(f"{c}_") for c in ("node", *_SKETCH)]).filter(_alike(threshold))
+    return few_tasks(flat.select(F.col("node_").alias("a"), F.col("node").alias("b")), n_rows).distinct()
+
+
+def _rest_pairs(rows: DataFrame, n_rows: int, threshold: float) -> DataFrame:
+    """All pairs (a, b) under a key from different components that their sketches do not rule out. Nodes outside the
+    key's largest component meet all of its nodes, so the largest is never paired with itself; the nodes of a
+    crowded key are dealt to several tasks. Pairs with equal next labels meet under a longer prefix already."""
+    each = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    keys = few_tasks(each, n_rows).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("n_comps"), F.sum("n").alias("n")).filter("n_comps > 1")
+    keys = keys.select("key", "largest", F.ceil(F.col("n") / BUCKET_NODES).cast("int").alias("parts"))
+    inside = few_tasks(rows, n_rows).join(few_tasks(keys, n_rows), "key")
+    dealt = inside.withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)")).drop("parts")
+    few = inside.filter("comp <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_") for c in ("node", "comp", "next", *_SKETCH)])
+    once = (F.col("comp") == F.col("largest")) | (F.col("node") < F.col("node_"))
+    fresh = F.col("next").isNull() | (F.col("next") != F.col("next_"))
+    pairs = few_tasks(dealt, n_rows).join(few_tasks(few, n_rows), ["key", "part"]).filter((F.col("comp") != F.col("comp_")) & once & fresh & _alike(threshold))
+    return few_tasks(pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")), n_rows).distinct()
+
+
+def _verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity): the pairs whose exact Jaccard similarity reaches the threshold."""
+    if n_pairs <= BROADCAST_IDS:  # only their sets are sent
+        asked = few_tasks(pairs, n_pairs).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = sets.join(F.broadcast(asked), "node", "left_semi")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
+    both = few_tasks(pairs, n_pairs).join(side("b"), "b").join(side("a"), "a")
+    both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b"))).withColumn("all", F.size("set_a") + F.size("set_b") - F.col("common"))
+    return both.filter(F.col("common") >= threshold * F.col("all")).select("a", "b", (F.col("common") / F.col("all")).alias("similarity"))
+
+
+def measured_recall(links: DataFrame, threshold: float, depth: int) -> float:
+    """The share of all weakest links that those found at ``depth`` seem to be, if each stands for as many as one over
+    the chance that it had to be found (1 if there are none)."""
+    weak = links.filter(F.col("similarity") < threshold + WEAKEST)
+    chance = 1 - F.pow(1 - F.pow("similarity", F.lit(depth)), F.lit(TREES))
+    sums = weak.agg(F.count("*").alias("found"), F.sum(1 / chance).alias("expected")).first()
+    return sums["found"] / sums["expected"] if sums["found"] else 1.0
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): root is the smallest node that it is connected to.
     Alternating large-star and small-star steps until nothing moves; hubs never gather in one task."""
+    n = links.count()
 
     def pulled(edges: DataFrame) -> DataFrame:
         """Edges (u, v) become (v, least neighbour of u)."""
         least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return edges.join(least, "u")
+        return few_tasks(edges.join(few_tasks(least, n), "u"), n)
 
-    edges, before = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()), None
+    edges = few_tasks(links, n).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    edges, before = checkpointed(few_tasks(edges, n)), None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        before = state
+            roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return checkpointed(few_tasks(roots.union(edges.select("v", "v").distinct()), n))
+        before, n = state, state[0]
         both = edges.union(edges.select("v", "u"))
         large = pulled(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = pulled(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(small.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.distinct())
+        edges = checkpointed(few_tasks(few_tasks(small, n).distinct(), n))
 
 
 def _links_of(sets: list[np.ndarray], block: np.ndarray, threshold: float) -> np.ndarray:
     """For each set, how many sets of the other block, or of its own if there is one only, reach the threshold."""
-    sizes = np.array([len(s) for s in sets])
-    ends = np.cumsum(sizes)
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
-    held = np.bincount(code)  # by shingle: how many sets have it, and from where on their numbers are listed
-    first = np.cumsum(held) - held
-    owners = np.repeat(np.arange(len(sets)), sizes)[np.argsort(code, kind="stable")]
-    low, high = block.min(), block.max()
+    sizes = np.array([len(s) for s in sets], np.float32)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(int))
+    _, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[code] > 1
+    code, owner = (np.cumsum(held > 1) - 1)[code[shared]], owner[shared]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(code[-1]) + 1 if len(code) else 0, BLOCK_WIDTH):
+        a, b = np.searchsorted(code, (start, start + BLOCK_WIDTH))
+        has = np.zeros((len(sets), BLOCK_WIDTH), np.float32)
+        has[owner[a:b], code[a:b] - start] = 1
+        both += has[left] @ has[right].T
+    linked = both >= threshold * (sizes[left][:, None] + sizes[right] - both.astype(np.float64))
     out = np.zeros(len(sets), np.int64)
-    for k in np.flatnonzero(block == low):
-        mine = code[ends[k] - sizes[k] : ends[k]]
-        n = held[mine]
-        at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        both = np.bincount(owners[at], minlength=len(sets))
-        linked = (both >= threshold * (sizes[k] + sizes - both)) & (block == high)
-        linked[k] = False
-        out[k] += linked.sum()
-        if low != high:
-            out += linked
+    if block.min() == block.max():
+        np.fill_diagonal(linked, False)
+        out[left] = linked.sum(axis=1)
+    else:
+        out[left], out[right] = linked.sum(axis=1), linked.sum(axis=0)
     return out
 
 
@@ -218,10 +245,9 @@ def link_counts(roots: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     """(node, n_links): for each node of ``roots`` (node, root), the nodes of its component whose exact similarity
     reaches the threshold. Components are cut into blocks by a hash of the node, and each two blocks of one are a
     group of their own, so a large component is spread and its pairs are never rows."""
-    members = roots.join(sets, "node")
-    sizes = roots.join(sets.select("node", F.length("shingles").alias("size")), "node").groupBy("root")
-    blocks = sizes.agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    own = members.join(blocks, "root").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    members = checkpointed(roots.join(sets, "node"))
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum(F.size("shingles")) * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    own = members.join(sizes, "root").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = each.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "shingles")
 
@@ -234,56 +260,126 @@ def link_counts(roots: DataFrame, sets: DataFrame, threshold: float) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(n, pa.int64())], names=["node", "n"])
 
         for batch in batches:
-            for *key, node, own, raw in zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "block", "shingles")), strict=True):
+            lists = batch.column("shingles")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for k, (*key, node, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "block")), strict=True)):
                 if key != group:
                     if nodes:
                         yield counted()
                     group, nodes, block, held = key, [], [], []
                 nodes.append(node)
                 block.append(own)
-                held.append(np.frombuffer(raw, np.uint64))
+                held.append(flat[ends[k] : ends[k + 1]].copy())
         if nodes:
             yield counted()
 
     dealt = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return dealt.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links"))
+    with small_batches(roots.sparkSession):
+        return checkpointed(dealt.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n_links")))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """For each row of ``docs``: its id, class_id (the smallest id of its class: documents connected by
-    similarities of ``threshold`` and more), and n_links, to how many different texts of its class its own
-    is as similar as that."""
-    sketches = checkpointed(_sketches(docs, id_column, text_column))
-    grouped = sketches.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key")
-    nodes = checkpointed(grouped.agg(F.min("doc_id").alias("node"), F.min_by("signature", "doc_id").alias("signature")))
-    floor = shallowest(threshold)
-
-    # Only nodes that share a bucket at the shortest prefix can have links; their shingles are kept.
-    alone = _buckets(nodes.withColumn("comp", F.col("node")), floor)
-    shared = alone.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    wanted = checkpointed(alone.join(shared, "key").select(F.col("node").alias("wanted")).distinct())
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+def _sets(named: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
+    """(node, shingles) of the nodes of ``wanted`` (node, rep), from the row that each is known by."""
 
     def make():
         table = word_table()
 
         def each(batch: pa.RecordBatch) -> dict:
-            return {"node": batch.column(id_column), "shingles": [shingles(t, table).tobytes() for t in texts_of(batch, text_column)]}
+            sets = [shingles(t, table) for t in texts_of(batch)]
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            return {"node": batch.column("node"), "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
 
         return each
 
-    texts = docs.select(F.col(id_column).cast("long").alias(id_column), text_column).join(side, F.col(id_column) == F.col("wanted"), "left_semi")
-    sets = checkpointed(map_texts(texts, make, "node long, shingles binary", text_column).dropDuplicates(["node"]))
+    side = wanted.select("node", F.col("rep.id").alias("id"), F.col("rep.text_hash").alias("text_hash"))
+    texts = named.join(F.broadcast(side) if n_wanted <= BROADCAST_IDS else side, ["id", "text_hash"]).select("node", "text")
+    return checkpointed(map_texts(texts, make, "node long, shingles array<long>").dropDuplicates(["node"]))
+
 
+def classified(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """For each row of ``docs``: id, text_hash, class_id, n_links, and whether the row is the ``first`` of its class, the
+    one with the smallest id and of those with the smallest text hash (repeated rows are all first)."""
+    named = _named(docs, id_column, text_column)
+    sketches = checkpointed(_sketches(named))
+    rows = sketches.select("id", "text_hash", "set_key")
+    grouped = sketches.filter(F.col("set_key").isNotNull() & F.col("id").isNotNull()).groupBy("set_key")
+    nodes = grouped.agg(F.min(F.struct("id", "text_hash")).alias("rep"), *[F.first(c).alias(c) for c in ("signature", *_SKETCH)])
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))  # numbered once, then read
+    floor = shallowest(threshold)
+
+    # Only nodes that share the shortest prefix with another can have links; their shingles are kept.
+    alone = _trie_nodes(nodes.select("node", "signature"), floor).select("key", "node")
+    shared = alone.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    wanted = checkpointed(alone.join(shared, "key").select(F.col("node").alias("wanted")).distinct())
+    n_wanted = wanted.count()
+    side = F.broadcast(few_tasks(wanted, n_wanted)) if n_wanted <= BROADCAST_IDS else wanted
+    inner = checkpointed(few_tasks(nodes.join(side, F.col("node") == F.col("wanted"), "left_semi").drop("set_key"), n_wanted))
+    sets = _sets(named, inner.select("node", "rep"), n_wanted)
+
+    found: DataFrame | None = None  # all links so far
     roots: DataFrame | None = None
-    inner = nodes.join(wanted, F.col("node") == F.col("wanted"), "left_semi")
-    inner = checkpointed(inner)
-    for depth, trees in [*[(DEPTH, t) for t in _ROUNDS if floor < DEPTH], (floor, tuple(range(TREES)))]:
-        links = _verified(_star_pairs(_buckets(_with_components(inner, roots), depth, trees)), sets, threshold)
-        roots = checkpointed(components(_joined(links, roots)))
-    links = _verified(_rest_pairs(_buckets(_with_components(inner, roots), floor)), sets, threshold)
-    roots = checkpointed(components(_joined(links, roots)))
-    degrees = link_counts(roots, sets, threshold)
-    classes = nodes.join(roots, "node", "left").join(degrees, "node", "left").select("set_key", F.coalesce("root", "node").alias("class_id"), "n_links")
-    found = sketches.select("doc_id", "set_key").join(classes, "set_key", "left")
-    return found.select(F.col("doc_id").alias(id_column), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+    def forest(depth: int, trees: range) -> tuple[DataFrame, int]:
+        sketch = inner.select("node", "signature", *_SKETCH)
+        placed = sketch.withColumn("comp", F.col("node")) if roots is None else sketch.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        return few_tasks(_trie_nodes(placed, depth, trees), n_wanted * len(trees)), n_wanted * len(trees)
+
+    steps = [(_star_pairs, DEPTH, range(1)), (_star_pairs, DEPTH, range(TREES)), *[(_rest_pairs, k, range(TREES)) for k in range(DEPTH, floor - 1, -1)]]
+    for make_pairs, depth, trees in steps if n_wanted else []:
+        pairs = checkpointed(few_tasks(make_pairs(*forest(depth, trees), threshold), n_wanted))
+        n_pairs = pairs.count()
+        if n_pairs:
+            links = checkpointed(few_tasks(_verified(pairs, n_pairs, sets, threshold), n_pairs))
+            found = links if found is None else found.union(links)
+            if not links.isEmpty():
+                chains = links.select("a", "b")
+                roots = components(chains if roots is None else chains.union(roots.filter("node <> root").select("root", "node")))
+        if make_pairs is _rest_pairs and (found is None or measured_recall(found, threshold, depth) >= TARGET_RECALL):
+            break
+
+    each = nodes.select("set_key", "node", "rep")
+    if roots is None:
+        named_classes = each.select("set_key", "rep", F.col("rep.id").alias("class_id"), F.col("rep").alias("keeper"), F.lit(0).cast("long").alias("n_links"))
+    else:
+        degrees = link_counts(roots, sets, threshold)
+        keepers = roots.join(inner.select("node", "rep"), "node").groupBy("root").agg(F.min("rep").alias("keeper"))
+        linked = roots.join(keepers, "root").join(degrees, "node", "left").select("node", "keeper", "n_links")
+        joined = each.join(linked, "node", "left").withColumn("keeper", F.coalesce("keeper", "rep"))
+        named_classes = joined.select("set_key", "keeper", F.col("keeper.id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = F.col("id").isNotNull()
+    out = rows.filter("set_key is not null").join(named_classes.select("set_key", "keeper", "class_id", "n_links"), "set_key", "left")
+    out = out.select("id", "text_hash", F.when(known, F.col("class_id")).alias("class_id"), F.when(known, F.col("n_links")).otherwise(0).alias("n_links"), (F.struct("id", "text_hash") == F.col("keeper")).alias("first"))
+    # Texts without words are not joined: they all lack a key.
+    wordless = rows.filter("set_key is null").select("id", "text_hash", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
+    return out.union(wordless).withColumn("first", ~known | F.coalesce("first", F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """For each row of ``docs``: its id, class_id (the smallest id of its class: documents connected by
+    similarities of ``threshold`` and more), and n_links, to how many different texts of its class its own
+    is as similar as that."""
+    return classified(docs, threshold, id_column, text_column).select(F.col("id").alias(id_column), "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class its first row, of repeated rows one. Rows with a
+    null id all stay, and rows without words but for repeated ones."""
+    judged = checkpointed(classified(docs, threshold, id_column, text_column).select("id", "text_hash", "first").filter("id is not null"))
+    # A text without words has an id and hash of its own like any other.
+    key = ["_id", "_text_hash"]
+    dropped = judged.filter("not first").select(F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash")).distinct()
+    again = judged.filter("first").groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash")).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    of = {n: F.col(f"c{names.index(n)}") for n in (id_column, text_column)}
+    keyed = plain.withColumns({"_id": of[id_column], "_text_hash": F.xxhash64(F.coalesce(of[text_column], F.lit("")))})
+
+    def side(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+    kept = keyed.join(side(dropped), key, "left_anti")
+    if not again.isEmpty():
+        again = side(checkpointed(again))
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates(key))
+    return kept.drop(*key).toDF(*names)

@@ -70,6 +70,45 @@ def test_near_duplicates_odd_rows(spark):
     assert near(spark, []) == []
 
 
+def test_near_duplicates_do_not_depend_on_row_order(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "c d e f g h"), (4, "c d e f g h")]  # ids 1 and 4 repeat
+    seen = [near(spark, random.Random(seed).sample(rows, len(rows))) for seed in range(3)]
+    assert seen == [[(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 0), (4, 4, 0)]] * 3
+    for seed in range(3):
+        df = spark.createDataFrame(random.Random(seed).sample([*rows, (None, a), (None, None), (7, None), (7, None)], 10), "doc_id long, text string")
+        kept = [(r.doc_id, r.text) for r in jaccard_join.one_of_each(df.selectExpr("*", "1 as _id", "2 as text_hash")).collect()]
+        assert sorted(kept, key=str) == sorted([(1, a), (1, b), (4, "c d e f g h"), (7, None), (None, a), (None, None)], key=str)
+
+
+def test_near_duplicates_keep_the_type_of_ids(spark):
+    df = spark.createDataFrame([("p", "a b c"), ("q", "A b, c"), ("r", "")], "doc_id string, text string")
+    assert sorted(tuple(r) for r in jaccard_join.near_duplicates(df).collect()) == [("p", "p", 0), ("q", "p", 0), ("r", "r", 0)]
+
+
+def test_recall_by_band(spark):
+    rng, texts = random.Random(3), []
+    for words in ([f"v{rng.randrange(10**6)}" for _ in range(150)] for _ in range(150)):
+        texts.append(words)
+        for n in (1, 2, 3):
+            changed = list(words)
+            for place in rng.sample(range(150), n):
+                changed[place] = f"z{rng.randrange(10**6)}"
+            texts.append(changed)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [set(jaccard_join.shingles(t).tolist()) for _, t in rows]
+    classes = dict((i, c) for i, c, _ in near(spark, rows))
+    bands: dict[int, list[bool]] = {}
+    for g in range(0, len(rows), 4):
+        for x in range(g, g + 4):
+            for y in range(x + 1, g + 4):
+                s = len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+                if s >= 0.8:
+                    bands.setdefault(int(s * 20), []).append(classes[x] == classes[y])
+    assert len(bands) >= 3
+    assert all(np.mean(found) >= 0.97 for found in bands.values())
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1060)]
@@ -83,6 +122,11 @@ def test_components(spark):
     assert got == {x: find(x) for x in linked}
 
 
+def test_sketches_leave_pairs_at_any_threshold():
+    assert jaccard_join.most_bits(0.8) == 32
+    assert jaccard_join.most_bits(0.45) > 128 * 0.55 / 2 + 4 * math.sqrt(128 * 0.275 * 0.725)
+
+
 def test_recall_bound():
     k = jaccard_join.shallowest()
     assert 1 - (1 - 0.8**k) ** jaccard_join.TREES >= jaccard_join.TARGET_RECALL
