@@ -74,10 +74,10 @@ def small_batches(spark: SparkSession, rows: int = WIDE_ROWS) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def few_tasks(df: DataFrame, rows: int) -> DataFrame:
-    """``df``, which has about ``rows`` small rows at most, in no more tasks than these need: every task of a map side
-    leaves files. Tables of many rows stay as they are."""
-    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+def few_tasks(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """``df``, which has about ``rows`` rows at most, in no more tasks than these need at ``each``: every task of a map
+    side leaves files. Tables of many rows stay as they are."""
+    return df.coalesce(max(1, -(-rows // each)))
 
 
 def ddl(df: DataFrame, columns: list[str]) -> str:

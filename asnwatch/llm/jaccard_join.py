@@ -7,8 +7,10 @@ trie node is verified against one of its largest component, and verified pairs m
 near copies costs a few comparisons a node. Then, level by level, all pairs of different components that meet
 under a prefix of that length are verified and the prefixes are shortened, until the recall that the weakest
 links found so far let expect reaches the target, or links at the threshold itself do. Before the exact
-comparison of shingle sets, sizes and one-bit labels rule pairs out. Links are counted after that: both ends
-of a link are in one class, so each class is cut into blocks and every two blocks are compared exactly.
+comparison of shingle sets, sizes and one-bit labels rule pairs out. Where many nodes meet, pairs would grow with
+the square of their number: at the last level these trie nodes are cut into blocks, sets are sent block by block
+and links alone come out. Links are counted after that: both ends of a link are in one class, so each class is
+cut into blocks and every two blocks are compared exactly.
 
 Contract for odd input: a text of fewer than WORDS words is one shingle; a text without words, null or empty,
 resembles nothing and is a class of its own; copies, also repeated rows, share a class; rows that repeat an id
@@ -19,6 +21,7 @@ class; long texts are taken whole; ids keep their type; an empty table has no cl
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +43,12 @@ SEED = 6
 #: One-bit labels may differ in so many standard deviations more than those of a pair at the threshold do.
 SPREAD = 5.6
 #: Candidate ids are broadcast up to this number (40 bytes each), beyond it joined by shuffle.
-BROADCAST_IDS = 1_000_000
-#: Nodes under a prefix that are compared with others in one task.
-BUCKET_NODES = 4096
-#: Nodes and bytes of shingles of a block, about, when links are counted, and shingles compared at once.
+BROADCAST_IDS = 400_000
+#: Pairs whose sets a task compares.
+TASK_PAIRS = 5_000
+#: Where more nodes than this meet under a prefix, they are compared in blocks; fewer make pairs.
+CROWD = 32
+#: Nodes and bytes of shingles of a block, about, and shingles compared at once.
 BLOCK_NODES = 1024
 BLOCK_BYTES = 4 << 20
 BLOCK_WIDTH = 1024
@@ -154,29 +159,106 @@ def _star_pairs(rows: DataFrame, n_rows: int, threshold: float) -> DataFrame:
     return few_tasks(flat.select(F.col("node_").alias("a"), F.col("node").alias("b")), n_rows).distinct()
 
 
+def _mixed(rows: DataFrame, n_rows: int) -> DataFrame:
+    """(key, largest, n, few, bytes, few_bytes) of the keys under which several components meet: the largest of them, and
+    how many nodes there are, also outside it, and bytes of shingles."""
+    each = few_tasks(rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum(F.col("size") * 8).alias("bytes")), n_rows)
+    top = F.max(F.struct("n", "comp", "bytes")).alias("top")
+    keys = each.groupBy("key").agg(top, F.count("*").alias("n_comps"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).filter("n_comps > 1")
+    return keys.select("key", F.col("top.comp").alias("largest"), "n", (F.col("n") - F.col("top.n")).alias("few"), "bytes", (F.col("bytes") - F.col("top.bytes")).alias("few_bytes"))
+
+
 def _rest_pairs(rows: DataFrame, n_rows: int, threshold: float) -> DataFrame:
-    """All pairs (a, b) under a key from different components that their sketches do not rule out. Nodes outside the
-    key's largest component meet all of its nodes, so the largest is never paired with itself; the nodes of a
-    crowded key are dealt to several tasks. Pairs with equal next labels meet under a longer prefix already."""
-    each = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    keys = few_tasks(each, n_rows).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.count("*").alias("n_comps"), F.sum("n").alias("n")).filter("n_comps > 1")
-    keys = keys.select("key", "largest", F.ceil(F.col("n") / BUCKET_NODES).cast("int").alias("parts"))
-    inside = few_tasks(rows, n_rows).join(few_tasks(keys, n_rows), "key")
-    dealt = inside.withColumn("part", F.expr("cast(pmod(xxhash64(node), parts) as int)")).drop("parts")
-    few = inside.filter("comp <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_") for c in ("node", "comp", "next", *_SKETCH)])
-    once = (F.col("comp") == F.col("largest")) | (F.col("node") < F.col("node_"))
+    """All pairs (a, b) of different components under keys of at most CROWD nodes that their sketches do not rule
+    out. Pairs with equal next labels meet under a longer prefix already."""
+    keys = _mixed(rows, n_rows).filter(F.col("n") <= CROWD).select("key")
+    inside = few_tasks(few_tasks(rows, n_rows).join(few_tasks(keys, n_rows), "key"), n_rows)
+    other = inside.select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "comp", "next", *_SKETCH)])
     fresh = F.col("next").isNull() | (F.col("next") != F.col("next_"))
-    pairs = few_tasks(dealt, n_rows).join(few_tasks(few, n_rows), ["key", "part"]).filter((F.col("comp") != F.col("comp_")) & once & fresh & _alike(threshold))
-    return few_tasks(pairs.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")), n_rows).distinct()
+    pairs = inside.join(other, "key").filter((F.col("comp") != F.col("comp_")) & (F.col("node") < F.col("node_")) & fresh & _alike(threshold))
+    return few_tasks(pairs.select(F.col("node").alias("a"), F.col("node_").alias("b")), n_rows).distinct()
+
+
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each of the sets numbered ``left`` shares with each of ``right``."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[code] > 1
+    code, owner = (np.cumsum(held > 1) - 1)[code[shared]], owner[shared]
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(code[-1]) + 1 if len(code) else 0, BLOCK_WIDTH):
+        a, b = np.searchsorted(code, (start, start + BLOCK_WIDTH))
+        has = np.zeros((len(sets), BLOCK_WIDTH), np.float32)
+        has[owner[a:b], code[a:b] - start] = 1
+        both += has[left] @ has[right].T
+    return both.astype(np.float64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple]:
+    """Of rows sorted by ``keys``: each group's key, its ``columns`` as arrays, and its shingle sets."""
+    group, held, sets = None, [], []
+    for batch in batches:
+        ends, flat = batch.column("shingles").offsets.to_numpy(), batch.column("shingles").values.to_numpy()
+        at = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
+        rest = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+        for k, (key, row) in enumerate(zip(at, rest, strict=True)):
+            if key != group:
+                if sets:
+                    yield group, *map(np.array, zip(*held, strict=True)), sets
+                group, held, sets = key, [], []
+            held.append(row)
+            sets.append(flat[ends[k] : ends[k + 1]].copy())
+    if sets:
+        yield group, *map(np.array, zip(*held, strict=True)), sets
+
+
+def _blocks(n: str, size: str) -> Column:
+    return F.ceil(F.greatest(F.col(n) / BLOCK_NODES, F.col(size) / BLOCK_BYTES)).cast("int")
+
+
+def crowded_links(rows: DataFrame, n_rows: int, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity): under keys of more than CROWD nodes, the best link of every node outside the largest
+    component to each other component that it has links to. Both sides are cut into blocks by a hash of the node,
+    each two blocks are a group of their own, and pairs are never rows."""
+    keys = _mixed(rows, n_rows).filter(F.col("n") > CROWD).select("key", "largest", _blocks("n", "bytes").alias("wide"), _blocks("few", "few_bytes").alias("high"))
+    inside = rows.join(few_tasks(keys, n_rows), "key").select("key", "node", "comp", "largest", "wide", "high")
+    block = lambda n: F.expr(f"cast(pmod(xxhash64(node), {n}) as int)")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = inside.select("key", "node", "comp", F.lit(False).alias("asks"), block("wide").alias("i"), every("high").alias("j"))
+    right = inside.filter("comp <> largest").select("key", "node", "comp", F.lit(True).alias("asks"), every("wide").alias("i"), block("high").alias("j"))
+
+    def run(batches):
+        for _, node, comp, asks, held in _groups(batches, ("key", "i", "j"), ("node", "comp", "asks")):
+            a, b = np.flatnonzero(~asks), np.flatnonzero(asks)
+            if not len(a) or not len(b):
+                continue
+            size = np.array([len(s) for s in held], float)
+            both = _overlaps(held, a, b)
+            similarity = both / (size[a][:, None] + size[b] - both)
+            linked = (both >= threshold * (size[a][:, None] + size[b] - both)) & (comp[a][:, None] != comp[b])
+            x, y = np.nonzero(linked)
+            order = np.lexsort((-similarity[x, y], comp[a][x], y))
+            x, y = x[order], y[order]
+            first = np.ones(len(x), bool)
+            first[1:] = (y[1:] != y[:-1]) | (comp[a][x[1:]] != comp[a][x[:-1]])
+            x, y = x[first], y[first]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a][x], node[b][y], similarity[x, y])], names=["a", "b", "similarity"])
+
+    dealt = left.union(right).join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    with small_batches(rows.sparkSession):
+        return checkpointed(few_tasks(dealt.mapInArrow(run, "a long, b long, similarity double").distinct(), n_rows))
 
 
 def _verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): the pairs whose exact Jaccard similarity reaches the threshold."""
-    if n_pairs <= BROADCAST_IDS:  # only their sets are sent
+    if n_pairs <= BROADCAST_IDS // 2:  # only their sets are sent
         asked = few_tasks(pairs, n_pairs).select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = sets.join(F.broadcast(asked), "node", "left_semi")
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
-    both = few_tasks(pairs, n_pairs).join(side("b"), "b").join(side("a"), "a")
+    left = few_tasks(few_tasks(pairs, n_pairs).join(side("b"), "b"), n_pairs, TASK_PAIRS)
+    both = few_tasks(left.join(side("a"), "a"), n_pairs, TASK_PAIRS)
     both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b"))).withColumn("all", F.size("set_a") + F.size("set_b") - F.col("common"))
     return both.filter(F.col("common") >= threshold * F.col("all")).select("a", "b", (F.col("common") / F.col("all")).alias("similarity"))
 
@@ -217,21 +299,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def _links_of(sets: list[np.ndarray], block: np.ndarray, threshold: float) -> np.ndarray:
     """For each set, how many sets of the other block, or of its own if there is one only, reach the threshold."""
-    sizes = np.array([len(s) for s in sets], np.float32)
-    owner = np.repeat(np.arange(len(sets)), sizes.astype(int))
-    _, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = held[code] > 1
-    code, owner = (np.cumsum(held > 1) - 1)[code[shared]], owner[shared]
-    order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[order]
+    sizes = np.array([len(s) for s in sets], float)
     left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-    both = np.zeros((len(left), len(right)), np.float32)
-    for start in range(0, int(code[-1]) + 1 if len(code) else 0, BLOCK_WIDTH):
-        a, b = np.searchsorted(code, (start, start + BLOCK_WIDTH))
-        has = np.zeros((len(sets), BLOCK_WIDTH), np.float32)
-        has[owner[a:b], code[a:b] - start] = 1
-        both += has[left] @ has[right].T
-    linked = both >= threshold * (sizes[left][:, None] + sizes[right] - both.astype(np.float64))
+    both = _overlaps(sets, left, right)
+    linked = both >= threshold * (sizes[left][:, None] + sizes[right] - both)
     out = np.zeros(len(sets), np.int64)
     if block.min() == block.max():
         np.fill_diagonal(linked, False)
@@ -246,32 +317,16 @@ def link_counts(roots: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     reaches the threshold. Components are cut into blocks by a hash of the node, and each two blocks of one are a
     group of their own, so a large component is spread and its pairs are never rows."""
     members = checkpointed(roots.join(sets, "node"))
-    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum(F.size("shingles")) * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("shingles") * 8).alias("bytes")).select("root", _blocks("n", "bytes").alias("blocks"))
     own = members.join(sizes, "root").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = each.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "shingles")
 
     def run(batches):
-        group, nodes, block, held = None, [], [], []
-
-        def counted() -> pa.RecordBatch:
+        for (_, i, j), node, block, held in _groups(batches, ("root", "i", "j"), ("node", "block")):
             # Two blocks of which one is empty have no pair; its own group counts the other.
-            n = _links_of(held, np.array(block), threshold) if group[1] == group[2] or len(set(block)) > 1 else np.zeros(len(nodes), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(n, pa.int64())], names=["node", "n"])
-
-        for batch in batches:
-            lists = batch.column("shingles")
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for k, (*key, node, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "block")), strict=True)):
-                if key != group:
-                    if nodes:
-                        yield counted()
-                    group, nodes, block, held = key, [], [], []
-                nodes.append(node)
-                block.append(own)
-                held.append(flat[ends[k] : ends[k + 1]].copy())
-        if nodes:
-            yield counted()
+            if i == j or block.min() != block.max():
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(_links_of(held, block, threshold))], names=["node", "n"])
 
     dealt = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     with small_batches(roots.sparkSession):
@@ -325,18 +380,23 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "
         placed = sketch.withColumn("comp", F.col("node")) if roots is None else sketch.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         return few_tasks(_trie_nodes(placed, depth, trees), n_wanted * len(trees)), n_wanted * len(trees)
 
+    def add(links: DataFrame) -> None:
+        nonlocal found, roots
+        if not links.isEmpty():
+            found = links if found is None else found.union(links)
+            chains = links.select("a", "b")
+            roots = components(chains if roots is None else chains.union(roots.filter("node <> root").select("root", "node")))
+
     steps = [(_star_pairs, DEPTH, range(1)), (_star_pairs, DEPTH, range(TREES)), *[(_rest_pairs, k, range(TREES)) for k in range(DEPTH, floor - 1, -1)]]
     for make_pairs, depth, trees in steps if n_wanted else []:
         pairs = checkpointed(few_tasks(make_pairs(*forest(depth, trees), threshold), n_wanted))
         n_pairs = pairs.count()
         if n_pairs:
-            links = checkpointed(few_tasks(_verified(pairs, n_pairs, sets, threshold), n_pairs))
-            found = links if found is None else found.union(links)
-            if not links.isEmpty():
-                chains = links.select("a", "b")
-                roots = components(chains if roots is None else chains.union(roots.filter("node <> root").select("root", "node")))
+            add(checkpointed(_verified(pairs, n_pairs, sets, threshold)))
         if make_pairs is _rest_pairs and (found is None or measured_recall(found, threshold, depth) >= TARGET_RECALL):
             break
+    if n_wanted:
+        add(crowded_links(*forest(depth, range(TREES)), sets, threshold))
 
     each = nodes.select("set_key", "node", "rep")
     if roots is None:

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from asnwatch.llm import hamming_search, jaccard_join, queries
@@ -63,6 +64,18 @@ def test_near_duplicates_count_every_link(spark, monkeypatch):
     assert [n for *_, n in near(spark, rows)] == [*links, links[0], links[70]]
 
 
+def test_crowds_are_compared_in_blocks(spark, monkeypatch):
+    """Without the stars that merge a crowd beforehand, its links come from blocks alone."""
+    monkeypatch.setattr(jaccard_join, "_star_pairs", lambda rows, n_rows, threshold: rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    monkeypatch.setattr(jaccard_join, "CROWD", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 16)
+    crowd = [f"c{i}" for i in range(200)]
+    rows = [(i, " ".join([*crowd[:i], f"y{i}", *crowd[i + 1 :]])) for i in range(60)]
+    far = [f"c{i}" if i < 120 else f"f{i}" for i in range(200)]  # alike, but not enough
+    rows += [(60 + i, " ".join([*far[:i], f"z{i}", *far[i + 1 :]])) for i in range(20)]
+    assert near(spark, rows) == [(i, 0, 59) for i in range(60)] + [(60 + i, 60, 19) for i in range(20)]
+
+
 def test_near_duplicates_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, "a b"), (4, "A, b!"), (5, "b a"), (None, "a b"), (6, long), (7, long + " end"), (8, "!!"), (3, "a b")]
