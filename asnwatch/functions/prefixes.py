@@ -58,7 +58,9 @@ def address_bits(prefix: Column) -> Column:
 
 
 def is_prefix(prefix: Column) -> Column:
-    return F.coalesce(address_bits(prefix).isNotNull(), F.lit(False))
+    """Whether a text is a prefix; the bits of an IPv4 prefix need not be worked out for that."""
+    long = F.when(prefix.rlike(V6), _v6_bits(F.substring_index(prefix, "/", 1)).isNotNull())
+    return F.coalesce(F.when(prefix.rlike(V4), True).otherwise(long), F.lit(False))
 
 
 def normalise_prefixes(df: DataFrame, column: str = "prefix") -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asnwatch.operators.routes import SEQUENCE
+from asnwatch.operators.spread import SPREAD_US, lagged, openings
+from asnwatch.operators.topology import degree_asof
 from asnwatch.sources.relationships import with_both_directions
 
 LOW, MEDIUM, HIGH = 0, 1, 2
@@ -35,19 +35,31 @@ def detect_hijacks(observations: DataFrame) -> DataFrame:
     return observations.filter("changed").withColumn("severity", _severity(F.col("distinct_origins") >= 3))
 
 
+def _side(relationships: DataFrame) -> DataFrame:
+    """Both directions of all relationships, broadcast if they are few."""
+    both = with_both_directions(relationships)
+    return F.broadcast(both) if relationships.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2 else both
+
+
 def relationship_lookup(pairs: DataFrame, relationships: DataFrame) -> DataFrame:
     """Add ``rel``, the role of a for b: provider, customer, peer or unknown."""
-    both = with_both_directions(relationships)
-    side = F.broadcast(both) if relationships.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2 else both
+    return _known(pairs, _side(relationships))
+
+
+def _known(pairs: DataFrame, side: DataFrame) -> DataFrame:
     return pairs.join(side, ["a", "b"], "left").withColumn("rel", F.coalesce("rel", F.lit("unknown")))
 
 
+def _role(a: Column, b: Column, ratio: float) -> Column:
+    """What an AS with degree ``a`` is for one with degree ``b``."""
+    return F.when((a <= 0) | (b <= 0), "unknown").when(a >= b * ratio, "provider").when(b >= a * ratio, "customer").otherwise("peer")
+
+
 def degree_relationship(pairs: DataFrame, degrees: DataFrame, ratio: float = DEGREE_RATIO) -> DataFrame:
     """Add ``rel`` by degrees (asn, degree): the ASN with ``ratio`` times the neighbours is the provider."""
     one = degrees.select(F.col("asn").alias("a"), F.col("degree").alias("_da"))
     two = degrees.select(F.col("asn").alias("b"), F.col("degree").alias("_db"))
-    da, db = F.coalesce("_da", F.lit(0)), F.coalesce("_db", F.lit(0))
-    rel = F.when((da <= 0) | (db <= 0), "unknown").when(da >= db * ratio, "provider").when(db >= da * ratio, "customer").otherwise("peer")
+    rel = _role(F.coalesce("_da", F.lit(0)), F.coalesce("_db", F.lit(0)), ratio)
     return pairs.join(one, "a", "left").join(two, "b", "left").withColumn("rel", rel).drop("_da", "_db")
 
 
@@ -58,14 +70,14 @@ def resolve_relationships(pairs: DataFrame, relationships: DataFrame, degrees: D
     return relationship_lookup(pairs, relationships)
 
 
-def path_triples(updates: DataFrame, collapse_prepends: bool = False) -> DataFrame:
-    """Each inner AS of each path: i from 1, y, the AS it learned the route from and the one it told."""
-    path = F.col("path")
+def path_triples(updates: DataFrame, collapse_prepends: bool = False, *carry: str) -> DataFrame:
+    """Each inner AS of each path: i from 1, y, the AS it learned the route from and the one it told, and the path."""
+    walked = F.col("path")
     if collapse_prepends:
-        path = F.filter(path, lambda x, i: (i == 0) | (F.get(F.col("path"), i - 1) != x))
-    rows = updates.withColumn("path", path).filter(F.size("path") >= 3)
-    inner = F.transform(F.sequence(F.lit(1), F.size("path") - 2), lambda i: F.struct(i.alias("i"), F.get("path", i).alias("y"), F.get("path", i + 1).alias("learned_from"), F.get("path", i - 1).alias("told")))
-    return rows.select("msg_id", "event_us", F.inline(inner))
+        walked = F.filter(walked, lambda x, i: (i == 0) | (F.get(F.col("path"), i - 1) != x))
+    rows = updates.withColumn("walked", walked).filter(F.size("walked") >= 3)
+    inner = F.transform(F.sequence(F.lit(1), F.size("walked") - 2), lambda i: F.struct(i.alias("i"), F.get("walked", i).alias("y"), F.get("walked", i + 1).alias("learned_from"), F.get("walked", i - 1).alias("told")))
+    return rows.select("msg_id", "event_us", "path", *carry, F.inline(inner))
 
 
 def _is_valley(rel_in: str, rel_out: str) -> Column:
@@ -76,38 +88,61 @@ def valley_apexes(updates: DataFrame, relationships: DataFrame, degrees: DataFra
     """Inner ASes that pass a route from a provider or peer on to a provider or peer."""
     triples = path_triples(updates, collapse_prepends)
     if degrees is not None and relationships.isEmpty():
-        known = lambda df, b, out: degree_relationship(df.withColumnsRenamed({"y": "a", b: "b"}), degrees).withColumnsRenamed({"a": "y", "b": b, "rel": out})
+        role = lambda pairs: degree_relationship(pairs, degrees)
     else:
-        known = lambda df, b, out: relationship_lookup(df.withColumnsRenamed({"y": "a", b: "b"}), relationships).withColumnsRenamed({"a": "y", "b": b, "rel": out})
+        side = _side(relationships)
+        role = lambda pairs: _known(pairs, side)
+    known = lambda df, b, out: role(df.withColumnsRenamed({"y": "a", b: "b"})).withColumnsRenamed({"a": "y", "b": b, "rel": out})
     both = known(known(triples, "learned_from", "rel_in"), "told", "rel_out")
-    return both.filter(_is_valley("rel_in", "rel_out")).select("msg_id", "event_us", "i", "y", "learned_from", "told")
+    return both.filter(_is_valley("rel_in", "rel_out")).select("msg_id", "event_us", "path", "i", "y", "learned_from", "told")
 
 
-def path_leaks(updates: DataFrame, apexes: DataFrame) -> DataFrame:
+def path_leaks(apexes: DataFrame) -> DataFrame:
     """One row for each message with an apex: the one nearest the origin, the number, severity, and the path.
-    The apexes meet the messages by id; few messages have any."""
-    per_message = apexes.groupBy("msg_id").agg(F.max_by("y", "i").alias("offending_asn"), F.count("*").cast("int").alias("violations"))
-    return updates.select("msg_id", "event_us", "path").join(per_message, "msg_id").withColumn("severity", _severity(F.col("violations") > 1))
+    Apexes carry the path of their message, so the few messages that have any are not looked up again."""
+    nearest = F.max_by(F.struct("y", "path"), "i").alias("nearest")
+    per_message = apexes.groupBy("msg_id", "event_us").agg(nearest, F.count("*").cast("int").alias("violations"))
+    return per_message.select("msg_id", "event_us", "nearest.path", F.col("nearest.y").alias("offending_asn"), "violations", _severity(F.col("violations") > 1).alias("severity"))
+
 
+def valley_apexes_by_degree(updates: DataFrame, episodes: DataFrame, ratio: float = DEGREE_RATIO, collapse_prepends: bool = False, bucket_us: int = 3_600_000_000) -> DataFrame:
+    """As ``valley_apexes``, roles by the degrees that the graph of ``episodes`` has at each message, its own new
+    edges included. The degrees of a path's ASNs meet in one row of their message."""
+    paths = updates.filter(F.size("path") >= 3).select("msg_id", "event_us", "path")
+    probes = paths.select("msg_id", "event_us", F.explode(F.array_distinct("path")).alias("asn"))
+    known = degree_asof(episodes, probes, bucket_us).groupBy("msg_id", "event_us").agg(F.map_from_entries(F.collect_list(F.struct("asn", "degree"))).alias("degrees"))
+    triples = path_triples(paths.join(known, ["msg_id", "event_us"]), collapse_prepends, "degrees")
+    at = lambda c: F.coalesce(F.try_element_at("degrees", F.col(c)), F.lit(0))
+    both = triples.withColumns({"rel_in": _role(at("y"), at("learned_from"), ratio), "rel_out": _role(at("y"), at("told"), ratio)})
+    return both.filter(_is_valley("rel_in", "rel_out")).select("msg_id", "event_us", "path", "i", "y", "learned_from", "told")
 
-def suppress_repeats(leaks: DataFrame, window_us: int = LEAK_WINDOW_US) -> DataFrame:
-    """Leaks of an AS whose violation before, reported or not, is ``window_us`` or longer ago."""
-    order = Window.partitionBy("offending_asn").orderBy("event_us", "msg_id")
-    gap = F.col("event_us") - F.lag("event_us").over(order)
-    return leaks.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") >= window_us)).drop("_gap")
 
+def suppress_repeats(leaks: DataFrame, window_us: int = LEAK_WINDOW_US, spread_us: int = SPREAD_US) -> DataFrame:
+    """Leaks of an AS whose violation before, reported or not, is ``window_us`` or longer ago. An offender's history is
+    spread over buckets of ``spread_us``."""
+    rows = lagged(leaks, ["offending_asn"], ["event_us", "msg_id"], spread_us, _last=F.col("event_us"))
+    return rows.filter(F.col("_last").isNull() | (F.col("event_us") - F.col("_last") >= window_us)).drop("_last")
 
-def vantage_counts(ops: DataFrame, window_us: int = CHURN_WINDOW_US) -> DataFrame:
+
+def vantage_counts(ops: DataFrame, window_us: int = CHURN_WINDOW_US, spread_us: int = SPREAD_US) -> DataFrame:
     """For each announcement with a peer: announcements of that prefix by that peer in the trailing window,
-    both ends included, itself and earlier ones only."""
-    rows = ops.filter("op = 'A' and peer_asn is not null")
-    key = ["prefix", "peer_asn"]
+    both ends included, itself and earlier ones only, and ``nth``, those so far. The history of a vantage is spread
+    over buckets of ``spread_us``, or of the window if that is longer; what the window reaches back for is lent to
+    the next bucket."""
+    wide = max(spread_us, window_us + 1)
+    rows = ops.filter("op = 'A' and peer_asn is not null").select("msg_id", "event_us", "pos", "prefix", "family", "net_key", "peer_asn", F.expr(f"event_us div {wide}L").alias("_own"))
+    lent = F.when(F.col("event_us") >= (F.col("_own") + 1) * wide - window_us, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
+    dealt = rows.withColumn("_bucket", F.explode(lent))
+    key = ["prefix", "peer_asn", "_bucket"]
     reach = Window.partitionBy(*key).orderBy("event_us").rangeBetween(-window_us, 0)
     order = Window.partitionBy(*key).orderBy(*SEQUENCE)
+    own = F.col("_own") == F.col("_bucket")
     # The range also counts later rows of the same time: those are the ties not yet numbered.
     ties = F.count("*").over(Window.partitionBy(*key, "event_us")) - F.row_number().over(Window.partitionBy(*key, "event_us").orderBy(*SEQUENCE))
-    counted = rows.withColumn("n_updates", (F.count("*").over(reach) - ties).cast("int"))
-    return counted.withColumn("nth", F.row_number().over(order)).select("msg_id", "event_us", "pos", "prefix", "family", "net_key", "peer_asn", "nth", "n_updates")
+    counted = dealt.withColumn("n_updates", (F.count("*").over(reach) - ties).cast("int")).withColumn("_place", F.sum(own.cast("int")).over(order)).filter(own)
+    before = openings(rows.withColumn("_bucket", F.col("_own")), ["prefix", "peer_asn"], F.lit(1))
+    whole = counted.join(before, key).withColumn("nth", (F.col("_opening") + F.col("_place")).cast("int"))
+    return whole.select("msg_id", "event_us", "pos", "prefix", "family", "net_key", "peer_asn", "nth", "n_updates")
 
 
 def with_global_index(rows: DataFrame, bucket_us: int = 60_000_000) -> DataFrame:
@@ -130,37 +165,39 @@ def churn_threshold(counts: DataFrame, min_updates: int = MIN_UPDATES, deviation
     absolute deviations of the last ``baseline`` counts over all vantages, itself included, but ``floor`` at
     least; ``floor`` alone before ``min_samples``.
 
-    Every block of ``baseline`` counts is handed to its own group and the next one's, so a group holds two
-    blocks, whatever the data; medians over a sliding window are beyond SQL aggregates."""
+    Every block of ``baseline`` counts is a row that holds its own counts and, as numbers alone, those of the block
+    before, whatever the data; each count that asks for a threshold sorts its part of them."""
+    columns = [c for c in counts.columns if c != "n_updates"]
     indexed = with_global_index(counts, bucket_us).withColumn("_block", F.expr(f"g div {baseline}L"))
-    shared = indexed.withColumn("block", F.explode(F.array("_block", F.col("_block") + 1))).select("block", "g", "n_updates", "msg_id", "pos")
-
-    def thresholds(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("g", kind="stable")
-        g, n = df["g"].to_numpy(), df["n_updates"].to_numpy()
-        asked = np.flatnonzero((g // baseline == key[0]) & (n >= min_updates))
-        value = np.full(len(asked), float(floor))
-        for out, i in enumerate(asked):
-            last = n[np.searchsorted(g, g[i] - baseline + 1) : i + 1]
-            if len(last) >= min_samples:
-                median = np.median(last)
-                value[out] = max(median + deviations * MAD_SCALE * np.median(np.abs(last - median)), floor)
-        picked = df.iloc[asked]
-        return pd.DataFrame({"msg_id": picked["msg_id"].to_numpy(), "pos": picked["pos"].to_numpy(), "threshold": value})
-
-    known = shared.groupBy("block").applyInPandas(thresholds, "msg_id long, pos int, threshold double")
-    return counts.join(known, ["msg_id", "pos"], "left")
+    number = F.struct("g", F.coalesce("n_updates", F.lit(0)).alias("n"))
+    lent = indexed.select("g", "n_updates", *columns, "_block", F.explode(F.array("_block", F.col("_block") + 1)).alias("block"))
+    mine = F.col("block") == F.col("_block")
+    blocks = lent.groupBy("block").agg(
+        F.sort_array(F.collect_list(F.when(mine, F.struct("g", "n_updates", *columns)))).alias("own"),
+        F.transform(F.sort_array(F.collect_list(F.when(~mine, number))), lambda x: x["n"]).alias("before"),
+    )
+    numbers = F.concat("before", F.transform("own", lambda x: F.coalesce(x["n_updates"], F.lit(0))))
+    rows = blocks.select(numbers.alias("_all"), F.size("before").alias("_from"), F.posexplode("own").alias("_k", "_row"))
+    asks = F.col("_row.n_updates") >= min_updates
+    stop = F.col("_from") + F.col("_k") + 1  # counts up to and with this one
+    last = F.when(asks, F.sort_array(F.slice("_all", F.greatest(stop - baseline, F.lit(0)) + 1, F.least(stop, F.lit(baseline)))))
+    middle = lambda x: (F.get(x, ((F.size(x) - 1) / 2).cast("int")) + F.get(x, (F.size(x) / 2).cast("int"))) / 2.0
+    found = rows.select("_row.*", last.alias("_last")).withColumn("_median", middle(F.col("_last")))
+    off = F.sort_array(F.transform("_last", lambda x: F.abs(x - F.col("_median"))))
+    judged = found.withColumn("_off", off).withColumn("_level", F.col("_median") + deviations * MAD_SCALE * middle(F.col("_off")))
+    threshold = F.when(F.size("_last") < min_samples, F.lit(float(floor))).otherwise(F.greatest("_level", F.lit(float(floor))))
+    return judged.select(*counts.columns, F.when(F.col("n_updates") >= min_updates, threshold).alias("threshold"))
 
 
 def above_threshold(min_updates: int = MIN_UPDATES) -> Column:
     return (F.col("n_updates") >= min_updates) & F.coalesce(F.col("n_updates") > F.col("threshold"), F.lit(False))
 
 
-def detect_churn(counts: DataFrame, min_updates: int = MIN_UPDATES, running: DataFrame | None = None) -> DataFrame:
+def detect_churn(counts: DataFrame, min_updates: int = MIN_UPDATES, running: DataFrame | None = None, spread_us: int = SPREAD_US) -> DataFrame:
     """Counts with ``threshold`` that rise above it: an episode begins where the vantage's count before was not above.
-    ``running`` names the vantages (prefix, peer_asn) whose last count before all of these was above."""
-    order = Window.partitionBy("prefix", "peer_asn").orderBy(*SEQUENCE)
-    rows = counts.withColumn("_above", above_threshold(min_updates)).withColumn("_before", F.lag("_above").over(order))
+    ``running`` names the vantages (prefix, peer_asn) whose last count before all of these was above. The history of
+    a vantage is spread over buckets of ``spread_us``."""
+    rows = lagged(counts.withColumn("_above", above_threshold(min_updates)), ["prefix", "peer_asn"], list(SEQUENCE), spread_us, _before=F.col("_above"))
     if running is not None:
         known = running.select("prefix", "peer_asn", F.lit(True).alias("_running"))
         rows = rows.join(known, ["prefix", "peer_asn"], "left").withColumn("_before", F.coalesce("_before", "_running")).drop("_running")

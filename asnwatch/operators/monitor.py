@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What marks a line of the log.
+# What marks a line of the log.
 PANIC, CONNECTED, LOADED = "panicked at", "subscribed to UPDATE stream", "AS relationships"
 _BY = ("run_id",)
 
 
-def pipeline_counters(updates: DataFrame, anomalies: DataFrame, frames: DataFrame, bucket: str = "1 day") -> DataFrame:
-    """Messages, anomalies by kind, and frames by bucket of time."""
+def pipeline_counters(updates: DataFrame, anomalies: DataFrame, frames: DataFrame, bucket: str = "1 day", late: DataFrame | None = None) -> DataFrame:
+    """Messages, anomalies by kind, frames and, if given, ``late`` messages by bucket of time."""
     start = F.window(F.timestamp_micros("event_us"), bucket)["start"].alias("bucket_start")
     parts = [updates.select(start, F.lit("messages").alias("counter")), anomalies.select(start, F.concat(F.lit("anomalies:"), "kind").alias("counter")), frames.select(start, F.lit("deltas").alias("counter"))]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("bucket_start", "counter").agg(F.count("*").alias("n"))
+    if late is not None:
+        parts.append(late.select(start, F.lit("late").alias("counter")))
+    return reduce(DataFrame.union, parts).groupBy("bucket_start", "counter").agg(F.count("*").alias("n"))
 
 
 def _ends(samples: DataFrame, columns: list[str]) -> list:

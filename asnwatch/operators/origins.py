@@ -6,26 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from asnwatch.operators.routes import SEQUENCE
+from asnwatch.operators.spread import SPREAD_US, bucketed, openings
 
 #: Origins that are remembered of one prefix.
 MOST_ORIGINS = 16
 _KEY = ("family", "net_key")
 
 
-def apply_withdrawals(ops: DataFrame) -> DataFrame:
-    """Add ``segment``: how often the prefix was withdrawn so far. A withdrawal by any peer forgets it."""
-    order = Window.partitionBy(*_KEY).orderBy(*SEQUENCE)
-    return ops.withColumn("segment", F.sum((F.col("op") == "W").cast("int")).over(order))
+def apply_withdrawals(ops: DataFrame, spread_us: int | None = SPREAD_US) -> DataFrame:
+    """Add ``segment``: how often the prefix was withdrawn so far. A withdrawal by any peer forgets it. A network's
+    history is spread over buckets of ``spread_us``, if that is not None."""
+    gone = (F.col("op") == "W").cast("int")
+    if spread_us is None:
+        return ops.withColumn("segment", F.sum(gone).over(Window.partitionBy(*_KEY).orderBy(*SEQUENCE)))
+    timed = bucketed(ops, spread_us)
+    within = Window.partitionBy(*_KEY, "_bucket").orderBy(*SEQUENCE)
+    opened = timed.join(openings(timed, list(_KEY), gone), [*_KEY, "_bucket"], "left")
+    return opened.withColumn("segment", F.coalesce("_opening", F.lit(0)) + F.sum(gone).over(within)).drop("_opening", "_bucket")
 
 
-def origin_observations(ops: DataFrame, suppress_saturated: bool = False, spread_us: int | None = None) -> DataFrame:
+def origin_observations(ops: DataFrame, suppress_saturated: bool = False, spread_us: int | None = SPREAD_US) -> DataFrame:
     """For each announcement with an origin: the origin before it, whether it is a change to an origin not
     remembered, and the number of remembered origins.
 
     Once MOST_ORIGINS are remembered no more are added, so a further origin counts as a change each time
-    it comes; with ``suppress_saturated`` only the first time. All windows share one shuffle by network.
-    If one network may hold a large part of all rows, ``spread_us`` cuts each network's history into buckets
-    of that time, which go to different tasks and open with what the buckets before them came to."""
+    it comes; with ``suppress_saturated`` only the first time. One network may hold a large part of all rows:
+    ``spread_us`` cuts each network's history into buckets of that time, which go to different tasks and open with
+    what the buckets before them came to. With None all windows share one shuffle by network."""
     rows = _in_one(ops) if spread_us is None else _spread(ops, spread_us)
     again = F.lit(False) if suppress_saturated else F.col("origin_rank") > MOST_ORIGINS
     return rows.select(
@@ -38,7 +45,7 @@ def origin_observations(ops: DataFrame, suppress_saturated: bool = False, spread
 def _in_one(ops: DataFrame) -> DataFrame:
     """Add previous_origin, first (whether the origin is new in its segment), rank (origins so far) and
     origin_rank (place of the origin among them), by windows over whole segments."""
-    rows = apply_withdrawals(ops).filter("op = 'A' and origin_asn is not null")
+    rows = apply_withdrawals(ops, None).filter("op = 'A' and origin_asn is not null")
     key = [*_KEY, "segment"]
     order = Window.partitionBy(*key).orderBy(*SEQUENCE)
     same = Window.partitionBy(*key, "origin_asn").orderBy(*SEQUENCE)
@@ -51,11 +58,7 @@ def _spread(ops: DataFrame, spread_us: int) -> DataFrame:
     """The same from windows within buckets. What a bucket inherits is a row for each (network, segment,
     bucket), and an origin's first place a row for each (network, segment, origin): aggregates, not rows."""
     earlier = lambda *key: Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    timed = ops.withColumn("bucket", F.expr(f"event_us div {spread_us}L"))
-    gone = (F.col("op") == "W").cast("int")
-    before = timed.groupBy(*_KEY, "bucket").agg(F.sum(gone).alias("n")).withColumn("opening", F.coalesce(F.sum("n").over(earlier(*_KEY)), F.lit(0))).drop("n")
-    within = Window.partitionBy(*_KEY, "bucket").orderBy(*SEQUENCE)
-    rows = timed.join(before, [*_KEY, "bucket"]).withColumn("segment", F.col("opening") + F.sum(gone).over(within)).drop("opening").filter("op = 'A' and origin_asn is not null")
+    rows = apply_withdrawals(ops, spread_us).filter("op = 'A' and origin_asn is not null").withColumn("bucket", F.expr(f"event_us div {spread_us}L"))
 
     key = [*_KEY, "segment"]
     seq = F.struct(*SEQUENCE)

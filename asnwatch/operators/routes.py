@@ -35,13 +35,14 @@ def withdrawn_prefixes(updates: DataFrame) -> DataFrame:
 
 def route_ops(updates: DataFrame) -> DataFrame:
     """All operations with parsed prefixes: op A or W, announcements before withdrawals. The messages are read
-    once: both kinds come out of one array."""
+    once: both kinds come out of one array. Of a stream they keep event_ts, the time of its watermark."""
+    kept = [*_KEPT, "event_ts"] if updates.isStreaming else _KEPT
     items = F.concat(
         F.transform(_announced(F.col("announcements")), lambda p: F.struct(F.lit("A").alias("op"), p.alias("prefix"))),
         F.transform(F.col("withdrawals"), lambda p: F.struct(F.lit("W").alias("op"), p.alias("prefix"))),
     )
-    rows = updates.select(*_KEPT, origin_asn(F.col("path")).alias("origin"), F.posexplode(items).alias("pos", "item"))
-    ops = rows.select(*_KEPT, "pos", "item.op", "item.prefix", F.when(F.col("item.op") == "A", F.col("origin")).alias("origin_asn"))
+    rows = updates.select(*kept, origin_asn(F.col("path")).alias("origin"), F.posexplode(items).alias("pos", "item"))
+    ops = rows.select(*kept, "pos", "item.op", "item.prefix", F.when(F.col("item.op") == "A", F.col("origin")).alias("origin_asn"))
     return normalise_prefixes(ops)
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from asnwatch.operators.spread import SPREAD_US, bucketed
+
 TTL_US = 900_000_000
 SWEEP_US = 60_000_000
 LAST_MESSAGE = (1 << 63) - 1
@@ -36,14 +38,22 @@ def down_tick(last_seen: str, ttl_us: int, sweep_us: int) -> Column:
     return F.expr(f"(({last_seen} + {ttl_us}L) div {sweep_us}L + 1) * {sweep_us}L")
 
 
-def edge_episodes(observations: DataFrame, ttl_us: int = TTL_US, sweep_us: int = SWEEP_US, as_of_us: int | None = None) -> DataFrame:
+def edge_episodes(observations: DataFrame, ttl_us: int = TTL_US, sweep_us: int = SWEEP_US, as_of_us: int | None = None, spread_us: int = SPREAD_US) -> DataFrame:
     """Times between coming up and going down of each edge. ``down_us`` is null while the edge is up, that is
     unless it was seen again later or ``as_of_us`` is past the sweep; without ``as_of_us`` the last episode
-    stays up. ``a`` and ``b`` are as first observed."""
-    order = Window.partitionBy("lo", "hi").orderBy("event_us", "msg_id", "hop")
-    seen = observations.withColumn("before_us", F.lag("event_us").over(order))
-    starts = seen.withColumn("starts", F.coalesce((F.col("event_us") > down_tick("before_us", ttl_us, sweep_us)).cast("int"), F.lit(1)))
-    numbered = starts.withColumn("episode", F.sum("starts").over(order))
+    stays up. ``a`` and ``b`` are as first observed. An edge's history is spread over buckets of ``spread_us``, each
+    of which opens with the number of episodes begun before it."""
+    key = ["lo", "hi", "_bucket"]
+    within = Window.partitionBy(*key).orderBy("event_us", "msg_id", "hop")
+    timed = bucketed(observations, spread_us).withColumn("_before_us", F.lag("event_us").over(within))
+    seen = timed.withColumn("_starts", (F.col("event_us") > down_tick("_before_us", ttl_us, sweep_us)).cast("int"))  # null in a bucket's first row
+    buckets = seen.groupBy(*key).agg(F.min("event_us").alias("_first_us"), F.max("event_us").alias("_last_us"), F.coalesce(F.sum("_starts"), F.lit(0)).alias("_inside"))
+    along = Window.partitionBy("lo", "hi").orderBy("_bucket")
+    buckets = buckets.withColumn("_carried_us", F.lag("_last_us").over(along))
+    buckets = buckets.withColumn("_opens", F.coalesce((F.col("_first_us") > down_tick("_carried_us", ttl_us, sweep_us)).cast("int"), F.lit(1)))
+    earlier = F.sum(F.col("_opens") + F.col("_inside")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    buckets = buckets.select(*key, (F.coalesce(earlier, F.lit(0)) + F.col("_opens")).alias("_opening"))
+    numbered = seen.join(buckets, key).withColumn("episode", F.col("_opening") + F.coalesce(F.sum("_starts").over(within), F.lit(0)))
     first = F.struct("event_us", "msg_id", "hop")
     episodes = numbered.groupBy("lo", "hi", "episode").agg(
         F.min_by("a", first).alias("a"), F.min_by("b", first).alias("b"), F.min("event_us").alias("up_us"), F.min_by("msg_id", first).alias("up_msg_id"), F.min_by("hop", first).alias("up_hop"), F.max("event_us").alias("last_seen_us")

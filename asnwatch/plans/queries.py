@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asnwatch.functions.messages import event_us
-from asnwatch.functions.prefixes import normalise_prefixes
+from asnwatch.functions.prefixes import network_key, normalise_prefixes
 from asnwatch.operators import detect, feed, geo, history, lookup, monitor, origins, routes, topology
 from asnwatch.plans import tables as t
 from asnwatch.plans.sql import D, H, sql
@@ -46,7 +46,7 @@ def _relationships(spark: SparkSession, d: str) -> DataFrame:
 
 def _episodes(spark: SparkSession, d: str) -> DataFrame:
     as_of = t.table(spark, d, "events").agg(F.max(t.micros())).first()[0] or 0
-    return topology.edge_episodes(topology.path_edges(t.updates(spark, d)), TTL, SWEEP, as_of)
+    return topology.edge_episodes(topology.path_edges(t.updates(spark, d)), TTL, SWEEP, as_of, D)
 
 
 def _live(spark: SparkSession, d: str) -> DataFrame:
@@ -54,20 +54,23 @@ def _live(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hijacks(spark: SparkSession, d: str) -> DataFrame:
-    return detect.detect_hijacks(origins.origin_observations(_ops(spark, d)))
+    return detect.detect_hijacks(origins.origin_observations(_ops(spark, d), spread_us=D))
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.updates(spark, d)
-    return detect.suppress_repeats(detect.path_leaks(rows, detect.valley_apexes(rows, _relationships(spark, d))), LEAK_WINDOW)
+    return detect.suppress_repeats(_path_leaks(spark, d), LEAK_WINDOW, D)
+
+
+def _path_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return detect.path_leaks(detect.valley_apexes(t.updates(spark, d), _relationships(spark, d)))
 
 
 def _vantage(spark: SparkSession, d: str) -> DataFrame:
-    return detect.vantage_counts(_ops(spark, d), 3 * D)
+    return detect.vantage_counts(_ops(spark, d), 3 * D, D)
 
 
 def _churn(spark: SparkSession, d: str) -> DataFrame:
-    return detect.detect_churn(detect.churn_threshold(_vantage(spark, d), **CHURN), CHURN["min_updates"])
+    return detect.detect_churn(detect.churn_threshold(_vantage(spark, d), **CHURN), CHURN["min_updates"], spread_us=D)
 
 
 def _anomalies(spark: SparkSession, d: str) -> DataFrame:
@@ -101,6 +104,30 @@ def read_updates(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("msg_id", "event_us", "peer_asn", "msg_type", _text("path").alias("path"), "origin_asn", F.size("announcements").alias("n_announced"), F.size("withdrawals").alias("n_withdrawn"))
 
 
+_READ_SQL = """SELECT event_us, peer_asn, CASE WHEN m % 9 = 0 THEN 'OTHER' ELSE 'UPDATE' END AS msg_type,
+    CASE WHEN withdraws THEN '' ELSE concat_ws(',', peer_asn, t1, t2) || CASE WHEN m % 10 = 0 THEN ',' || t2 ELSE '' END || ',' || origin || CASE WHEN m % 6 = 1 THEN ',64999' ELSE '' END END AS path
+    FROM msg WHERE NOT (m % 40 = 5 OR m % 41 = 6 OR (m % 50 = 3 AND NOT withdraws))"""
+
+
+@query(_READ_SQL)
+def read_update_files(spark: SparkSession, d: str) -> DataFrame:
+    """The frames written as text files and read from there."""
+    path = t.scratch(spark, "frames")
+    t.frames(spark, d).select("value").write.text(path)
+    return update_source.read_updates(spark, path).select("event_us", "peer_asn", "msg_type", _text("path").alias("path"))
+
+
+@query(_READ_SQL)
+def stream_update_files(spark: SparkSession, d: str) -> DataFrame:
+    """The same files followed as a stream, a few a batch."""
+    path = t.scratch(spark, "frames")
+    t.frames(spark, d).select("value").write.text(f"{path}/in")
+    rows = update_source.stream_updates(spark, f"{path}/in", max_files=2)
+    writer = rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/out").select("event_us", "peer_asn", "msg_type", _text("path").alias("path"))
+
+
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_us + 7 ELSE event_us END AS used_us FROM ev")
 def event_time(spark: SparkSession, d: str) -> DataFrame:
     rows = t.table(spark, d, "events").withColumn("us", t.micros())
@@ -155,6 +182,14 @@ def as_relationships(spark: SparkSession, d: str) -> DataFrame:
     return _relationships(spark, d)
 
 
+@query("SELECT a, b, rel FROM rels")
+def read_relationship_files(spark: SparkSession, d: str) -> DataFrame:
+    """The lines written as compressed text files and read from there."""
+    path = t.scratch(spark, "relationships")
+    t.relationship_lines(spark, d).select("value").write.option("compression", "bzip2").text(path)
+    return rel_source.read_as_relationships(spark, path)
+
+
 @query("SELECT a, b, rel, '2024-02-01' AS snapshot FROM pairs WHERE (a * 4294967296 + b) % 4 = 1")
 def latest_relationship_snapshot(spark: SparkSession, d: str) -> DataFrame:
     files = ["data/20240101.as-rel.txt.bz2", "data/20240201.as-rel2.txt.bz2", "data/20240301.as-rel2.txt.bz2", "data/20240210.as-rel.v6.txt.bz2"]
@@ -219,10 +254,9 @@ def supply_degree(spark: SparkSession, d: str) -> DataFrame:
     return topology.degree(t.supply_edges(spark, d))
 
 
-@query("""SELECT p.asn, p.event_us, p.msg_id, CAST((SELECT count(*) FROM episodes e WHERE (e.lo = p.asn OR e.hi = p.asn) AND (e.up_us, e.up_msg_id) <= (p.event_us, p.msg_id) AND (e.down_us IS NULL OR e.down_us >= p.event_us)) AS BIGINT) AS degree
-    FROM (SELECT DISTINCT t2 AS asn, event_us, msg_id FROM msg WHERE NOT withdraws AND msg_id % 4 = 0) p""")
+@query("SELECT m.asn, m.event_us, m.msg_id, CAST(m.n AS BIGINT) AS degree FROM moments m")
 def degree_asof(spark: SparkSession, d: str) -> DataFrame:
-    probes = t.updates(spark, d).filter("size(path) > 0 and msg_id % 4 = 0").select(F.get("path", F.lit(2)).alias("asn"), "event_us", "msg_id")
+    probes = t.updates(spark, d).select(F.explode(F.array_distinct("path")).alias("asn"), "event_us", "msg_id")
     return topology.degree_asof(_episodes(spark, d), probes, bucket_us=D)
 
 
@@ -241,13 +275,12 @@ def snapshot_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT msg_id, prefix, net_key, previous_origin, origin_asn AS new_origin, changed, distinct_origins FROM observed")
 def origin_observations(spark: SparkSession, d: str) -> DataFrame:
-    # 16 users share one prefix: its history is spread over days.
     return origins.origin_observations(_ops(spark, d), spread_us=D).select("msg_id", "prefix", "net_key", "previous_origin", "new_origin", "changed", "distinct_origins")
 
 
 @query("SELECT net_key, max(segment) AS n_withdrawals, count(*) AS n_ops FROM segments GROUP BY net_key")
 def apply_withdrawals(spark: SparkSession, d: str) -> DataFrame:
-    return origins.apply_withdrawals(_ops(spark, d)).groupBy("net_key").agg(F.max("segment").alias("n_withdrawals"), F.count("*").alias("n_ops"))
+    return origins.apply_withdrawals(_ops(spark, d), D).groupBy("net_key").agg(F.max("segment").alias("n_withdrawals"), F.count("*").alias("n_ops"))
 
 
 @query("""SELECT net_key, arg_max(origin_asn, event_us) AS origin, array_to_string(list(origin_asn ORDER BY event_us) FILTER (is_first AND rk <= 16), ',') AS origins
@@ -256,12 +289,12 @@ def prefix_origins(spark: SparkSession, d: str) -> DataFrame:
     return origins.prefix_origins(_ops(spark, d)).select("net_key", "origin", _text("origins").alias("origins"))
 
 
-@query("""SELECT p.net_key, max(e.prefix_len) AS matched_len, arg_max(e.origin, e.prefix_len) AS origin FROM (SELECT DISTINCT net_key FROM ops) p
-    LEFT JOIN (SELECT net_key, any_value(prefix_len) AS prefix_len, arg_max(origin_asn, event_us) AS origin FROM ops WHERE op = 'A' AND prefix_len <= 20 GROUP BY net_key) e ON starts_with(p.net_key, e.net_key) GROUP BY p.net_key""")
+@query("""SELECT p.address AS net_key, max(e.prefix_len) AS matched_len, arg_max(e.origin, e.prefix_len) AS origin FROM (SELECT DISTINCT address FROM nets) p
+    LEFT JOIN (SELECT net_key, any_value(prefix_len) AS prefix_len, arg_max(origin_asn, event_us) AS origin FROM ops WHERE op = 'A' GROUP BY net_key) e ON starts_with(p.address, e.net_key) GROUP BY p.address""")
 def longest_prefix_match(spark: SparkSession, d: str) -> DataFrame:
     ops = _ops(spark, d)
-    table = ops.filter("op = 'A' and prefix_len <= 20").groupBy("family", "net_key", "prefix_len").agg(F.max_by("origin_asn", "event_us").alias("origin"))
-    probes = ops.select("family", "net_key").distinct()
+    table = ops.filter("op = 'A'").groupBy("family", "net_key", "prefix_len").agg(F.max_by("origin_asn", "event_us").alias("origin"))
+    probes = ops.select("family", network_key(F.col("net_key"), F.col("family")).alias("net_key")).distinct()
     return lookup.longest_prefix_match(probes, table, ["origin"]).select("net_key", "matched_len", "origin")
 
 
@@ -280,8 +313,17 @@ def valley_apexes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT msg_id, offending_asn, violations, severity FROM leaks")
 def path_leaks(spark: SparkSession, d: str) -> DataFrame:
-    rows = t.updates(spark, d)
-    return detect.path_leaks(rows, detect.valley_apexes(rows, _relationships(spark, d))).select("msg_id", "offending_asn", "violations", "severity")
+    return _path_leaks(spark, d).select("msg_id", "offending_asn", "violations", "severity")
+
+
+@query("""SELECT msg_id, max_by(y, i) AS offending_asn, CAST(count(*) AS INTEGER) AS violations FROM (
+        SELECT t.*, CASE WHEN y.n <= 0 OR f.n <= 0 THEN 'unknown' WHEN y.n >= 4 * f.n THEN 'provider' WHEN f.n >= 4 * y.n THEN 'customer' ELSE 'peer' END AS rel_in,
+            CASE WHEN y.n <= 0 OR o.n <= 0 THEN 'unknown' WHEN y.n >= 4 * o.n THEN 'provider' WHEN o.n >= 4 * y.n THEN 'customer' ELSE 'peer' END AS rel_out
+        FROM triples t JOIN moments y ON y.msg_id = t.msg_id AND y.asn = t.y JOIN moments f ON f.msg_id = t.msg_id AND f.asn = t.learned_from JOIN moments o ON o.msg_id = t.msg_id AND o.asn = t.told)
+    WHERE rel_in IN ('customer', 'peer') AND rel_out IN ('customer', 'peer') GROUP BY msg_id""")
+def path_leaks_by_degree(spark: SparkSession, d: str) -> DataFrame:
+    apexes = detect.valley_apexes_by_degree(t.updates(spark, d), _episodes(spark, d), bucket_us=D)
+    return detect.path_leaks(apexes).select("msg_id", "offending_asn", "violations")
 
 
 @query("SELECT msg_id, event_us, offending_asn, severity FROM reported")
@@ -376,11 +418,7 @@ def anomaly_history(spark: SparkSession, d: str) -> DataFrame:
 
 def _stored(spark: SparkSession, d: str) -> DataFrame:
     """The history written by day and read again, in a folder of its own beside the checkpoints."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base}/history-{uuid.uuid4()}"
+    path = t.scratch(spark, "history")
     history.write_history(_history(spark, d), path)
     return history.read_history(spark, path)
 
@@ -431,6 +469,14 @@ def monitor_samples(spark: SparkSession, d: str) -> DataFrame:
     return monitor_source.clean_samples(t.monitor_samples(spark, d))
 
 
+@query("SELECT * FROM samples")
+def read_sample_files(spark: SparkSession, d: str) -> DataFrame:
+    """The samples written as CSV files and read from there."""
+    path = t.scratch(spark, "samples")
+    t.monitor_samples(spark, d).write.option("header", True).csv(path)
+    return monitor_source.read_monitor_samples(spark, path)
+
+
 @query("""SELECT run_id, scrape_ts, CAST(max(event_id) AS BIGINT) AS msgs,
     coalesce(arg_max(event_id % 91, event_id) FILTER (event_id % 3 = 0), 0) AS hijack, coalesce(arg_max(event_id % 91, event_id) FILTER (event_id % 3 = 1), 0) AS leak, coalesce(arg_max(event_id % 91, event_id) FILTER (event_id % 3 = 2), 0) AS churn,
     coalesce(max(1200) FILTER (event_id % 4 = 1), 0) AS nodes, coalesce(arg_max(event_id % 17, event_id) FILTER (event_id % 4 = 2), 0) AS edges, 0 AS dropped, 0 AS deltas, 0 AS clients

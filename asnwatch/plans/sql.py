@@ -41,6 +41,10 @@ _PARTS = {
     "sides": """SELECT a, b, arg_min(rel, turn) AS rel FROM (SELECT a, b, rel, 0 AS turn FROM rels UNION ALL SELECT b, a, CASE rel WHEN 'provider' THEN 'customer' ELSE rel END, 1 FROM rels) GROUP BY a, b""",
     "triples": "SELECT msg_id, event_us, i, path[i + 1] AS y, path[i + 2] AS learned_from, path[i] AS told FROM (SELECT *, unnest(range(1, len(path) - 1)) AS i FROM paths WHERE len(path) >= 3)",
     "apexes": "SELECT t.* FROM triples t JOIN sides r ON r.a = t.y AND r.b = t.learned_from JOIN sides o ON o.a = t.y AND o.b = t.told WHERE r.rel IN ('customer', 'peer') AND o.rel IN ('customer', 'peer')",
+    "turns": """SELECT asn, event_us, msg_id, 0 AS turn, change FROM (SELECT unnest([lo, hi]) AS asn, up_us AS event_us, up_msg_id AS msg_id, 1 AS change FROM episodes
+        UNION ALL SELECT unnest([lo, hi]), down_us, 9223372036854775807, -1 FROM episodes WHERE down_us IS NOT NULL)
+        UNION ALL SELECT DISTINCT unnest(path), event_us, msg_id, 1, 0 FROM paths""",
+    "moments": "SELECT asn, event_us, msg_id, n FROM (SELECT *, sum(change) OVER (PARTITION BY asn ORDER BY event_us, msg_id, turn) AS n FROM turns) WHERE turn = 1",
     "leaks": "SELECT msg_id, event_us, arg_max(y, i) AS offending_asn, CAST(count(*) AS INTEGER) AS violations, CAST(CASE WHEN count(*) > 1 THEN 2 ELSE 1 END AS SMALLINT) AS severity FROM apexes GROUP BY msg_id, event_us",
     "spaced": "SELECT *, event_us - lag(event_us) OVER (PARTITION BY offending_asn ORDER BY event_us, msg_id) AS gap FROM leaks",
     "reported": f"SELECT * FROM spaced WHERE gap IS NULL OR gap >= {D}",
@@ -52,8 +56,8 @@ _PARTS = {
     "thresholds": "SELECT m.g, CASE WHEN any_value(m.n) < 32 THEN 3.0 ELSE greatest(any_value(m.med) + 2 * 1.4826 * median(abs(w.n_updates - m.med)), 3.0) END AS threshold FROM medians m JOIN indexed w ON w.g BETWEEN m.g - 1023 AND m.g GROUP BY m.g",
     "above": "SELECT i.*, t.threshold, coalesce(i.n_updates >= 3 AND i.n_updates > t.threshold, false) AS is_above FROM indexed i LEFT JOIN thresholds t USING (g)",
     "churn": "SELECT *, CAST(CASE WHEN n_updates / threshold >= 2 THEN 2 ELSE 1 END AS SMALLINT) AS severity FROM (SELECT *, lag(is_above) OVER (PARTITION BY prefix, peer_asn ORDER BY event_us, msg_id, pos) AS was_above FROM above) WHERE is_above AND NOT coalesce(was_above, false)",
-    "blocks": """SELECT substring(lpad(bin(167772160 + n_nationkey * 65536), 32, '0'), 1, 16) AS net_key, 16 AS prefix_len, 'N' || n_nationkey AS country, CASE WHEN n_nationkey % 3 <> 0 THEN 'S' || n_nationkey END AS subdivision FROM nation WHERE n_nationkey < 16
-        UNION ALL SELECT substring(lpad(bin(167772160 + n_nationkey * 65536 + (n_nationkey * 48) % 256 // 16 * 16 * 256), 32, '0'), 1, 20), 20, CASE WHEN n_nationkey <> 5 THEN 'N' || n_nationkey END, 'T' || n_nationkey FROM nation WHERE n_nationkey < 16 AND n_nationkey % 2 = 1""",
+    "blocks": """SELECT substring(lpad(bin(167772160 + n_nationkey * 65536), 32, '0'), 1, 16) AS net_key, 16 AS prefix_len, 'N' || n_nationkey AS country, CASE WHEN n_nationkey % 3 <> 0 THEN 'S' || n_nationkey END AS subdivision FROM nation
+        UNION ALL SELECT substring(lpad(bin(167772160 + n_nationkey * 65536 + (n_nationkey * 48) % 256 // 16 * 16 * 256), 32, '0'), 1, 20), 20, CASE WHEN n_nationkey <> 5 THEN 'N' || n_nationkey END, 'T' || n_nationkey FROM nation WHERE n_nationkey % 2 = 1""",
     "nets": "SELECT DISTINCT net_key, rpad(net_key, 32, '0') AS address FROM ops",
     "located": "SELECT n.net_key, arg_max(b.country, b.prefix_len) FILTER (true) AS c0, max(b.prefix_len) AS best FROM nets n JOIN blocks b ON starts_with(n.address, b.net_key) GROUP BY n.net_key",
     "areas": "SELECT l.net_key, CASE WHEN b.country IS NOT NULL THEN concat_ws('-', b.country, b.subdivision) END AS region FROM located l JOIN nets n USING (net_key) JOIN blocks b ON b.prefix_len = l.best AND starts_with(n.address, b.net_key)",

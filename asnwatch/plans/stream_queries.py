@@ -1,82 +1,161 @@
-"""Registered streaming queries: a stream over ``events``, run until its files are used up, and its sink read."""
+"""Registered streaming queries: a stream over ``events``, run until its files are used up, and its sink read.
+
+The events arrive in SLICES parts, as a rule in order of time. After each the stream is started again from its
+checkpoint, so that every query runs over several micro-batches and as many restarts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from asnwatch.operators import routes, topology
 from asnwatch.plans import tables as t
 from asnwatch.plans.queries import CHURN, LEAK_WINDOW, SWEEP, TTL, query
 from asnwatch.plans.queries import _anomalies as batch_anomalies
+from asnwatch.plans.queries import _live as batch_live
 from asnwatch.plans.queries import _relationships as batch_relationships
 from asnwatch.plans.sql import D
 from asnwatch.streaming import streams
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+SLICES = 5
+LATE = 5 * D
+
+
+def _by_time(spark: SparkSession, d: str) -> list[DataFrame]:
+    events = t.table(spark, d, "events").withColumn("_us", t.micros())
+    shares = [F.percentile_approx("_us", k / SLICES) for k in range(1, SLICES)]
+    cuts = [-(1 << 62), *(x for x in events.agg(F.array(*shares)).first()[0] or []), 1 << 62]
+    return [events.filter((F.col("_us") > a) & (F.col("_us") <= b)).drop("_us") for a, b in zip(cuts, cuts[1:], strict=False)]
+
 
+def _shuffled(spark: SparkSession, d: str) -> list[DataFrame]:
+    events = t.table(spark, d, "events")
+    return [events.filter(F.col("event_id") % SLICES == k) for k in range(SLICES)]
 
-def _scratch(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream-{uuid.uuid4()}"
 
+def _run(spark: SparkSession, d: str, *start: Callable[[str], StreamingQuery], slices: Callable = _by_time) -> str:
+    """Write each slice and run the streams that ``start`` begins over it, one after the other; the folder of all that."""
+    path = t.scratch(spark, "stream")
+    for part in slices(spark, d):
+        part.write.mode("append").parquet(f"{path}/events")
+        for each in start:
+            each(path).awaitTermination()
+    return path
 
-def _updates(spark: SparkSession, d: str) -> DataFrame:
-    stream = spark.readStream.schema(EVENTS).parquet(f"{d}/events.parque[t]")  # a pattern: the table may be a file or a folder
-    return t.message_rows(stream).withWatermark("event_ts", "0 seconds")
 
+def _updates(spark: SparkSession, path: str) -> DataFrame:
+    return t.message_rows(spark.readStream.schema(EVENTS).parquet(f"{path}/events")).withWatermark("event_ts", "0 seconds")
 
-def _drained(stream: DataFrame, spark: SparkSession, path: str | None = None) -> DataFrame:
-    path = path or _scratch(spark)
+
+def _to_files(stream: DataFrame, path: str) -> StreamingQuery:
     writer = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    return writer.trigger(availableNow=True).start()
+
+
+def _to_batches(stream: DataFrame, run: Callable[[DataFrame, int], None], path: str) -> StreamingQuery:
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
 
 
 @query("SELECT msg_id, prefix, previous_origin, origin_asn AS new_origin, distinct_origins, severity FROM hijacks")
 def stream_hijacks(spark: SparkSession, d: str) -> DataFrame:
-    rows = _drained(streams.stream_hijacks(routes.route_ops(_updates(spark, d))), spark)
-    return rows.select("msg_id", "prefix", "previous_origin", "new_origin", "distinct_origins", "severity")
+    found = lambda path: streams.stream_hijacks(routes.route_ops(_updates(spark, path)))
+    path = _run(spark, d, lambda path: _to_files(found(path), path))
+    return spark.read.schema(found(path).schema).parquet(f"{path}/out").select("msg_id", "prefix", "previous_origin", "new_origin", "distinct_origins", "severity")
 
 
 @query("SELECT msg_id, event_us, offending_asn, violations, severity FROM reported")
 def stream_leaks(spark: SparkSession, d: str) -> DataFrame:
-    path = _scratch(spark)
-    found = _drained(streams.leak_stream(_updates(spark, d), batch_relationships(spark, d)), spark, f"{path}/leaks")
-    again = spark.readStream.schema(found.schema).parquet(f"{path}/leaks/out")
-    return _drained(streams.suppress_stream(again, LEAK_WINDOW), spark, f"{path}/reported").select("msg_id", "event_us", "offending_asn", "violations", "severity")
+    relationships = batch_relationships(spark, d)
+    leaks = lambda path: streams.leak_stream(_updates(spark, path), relationships)
+
+    def reported(path: str) -> DataFrame:
+        return streams.suppress_stream(spark.readStream.schema(leaks(path).schema).parquet(f"{path}/leaks/out"), LEAK_WINDOW)
+
+    path = _run(spark, d, lambda path: _to_files(leaks(path), f"{path}/leaks"), lambda path: _to_files(reported(path), f"{path}/reported"))
+    return spark.read.schema(reported(path).schema).parquet(f"{path}/reported/out").select("msg_id", "event_us", "offending_asn", "violations", "severity")
 
 
 @query("SELECT msg_id, prefix, peer_asn, n_updates, round(threshold, 6) AS threshold, severity FROM churn")
 def stream_churn(spark: SparkSession, d: str) -> DataFrame:
-    path = _scratch(spark)
-    sink = lambda df, number: df.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
-    counts = streams.stream_churn_counts(routes.route_ops(_updates(spark, d)), 3 * D)
-    job = counts.writeStream.foreachBatch(streams.churn_batches(sink, f"{path}/ring", **CHURN)).option("checkpointLocation", f"{path}/state").outputMode("append")
-    job.trigger(availableNow=True).start().awaitTermination()
+    def start(path: str) -> StreamingQuery:
+        sink = lambda df, number: df.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+        counts = streams.stream_churn_counts(routes.route_ops(_updates(spark, path)), 3 * D)
+        return _to_batches(counts, streams.churn_batches(sink, f"{path}/ring", **CHURN), path)
+
+    path = _run(spark, d, start)
     out = spark.read.schema("msg_id long, event_us long, pos int, prefix string, peer_asn long, n_updates int, threshold double, severity short").parquet(f"{path}/out")
     return out.select("msg_id", "prefix", "peer_asn", "n_updates", F.round("threshold", 6).alias("threshold"), "severity")
 
 
+def _link_changes(spark: SparkSession, path: str) -> DataFrame:
+    observed = topology.canonical_edge(topology.path_pairs(_updates(spark, path), "event_ts"))
+    return streams.stream_edges(observed, TTL, SWEEP)
+
+
 @query("SELECT 'LinkUp' AS kind, a, b, up_us AS event_us FROM episodes UNION ALL SELECT 'LinkDown', lo, hi, down_us FROM episodes WHERE down_us IS NOT NULL")
 def stream_edges(spark: SparkSession, d: str) -> DataFrame:
-    edges = _updates(spark, d)
-    observed = topology.canonical_edge(topology.path_pairs(edges, "event_ts"))
-    return _drained(streams.stream_edges(observed, TTL, SWEEP), spark)
+    path = _run(spark, d, lambda path: _to_files(_link_changes(spark, path), path))
+    return spark.read.schema(_link_changes(spark, path).schema).parquet(f"{path}/out")
+
+
+@query("""SELECT 'live' AS part, '{"kind":"LinkUp","a":' || a || ',"b":' || b || '}' AS value FROM episodes
+    UNION ALL SELECT 'live', '{"kind":"LinkDown","a":' || lo || ',"b":' || hi || '}' FROM episodes WHERE down_us IS NOT NULL
+    UNION ALL SELECT 'snapshot', '{"kind":"LinkUp","a":' || lo || ',"b":' || hi || '}' FROM live""")
+def stream_change_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Link frames written to the feed's sink batch by batch, and what a subscriber reads who begins with a snapshot."""
+
+    def start(path: str) -> StreamingQuery:
+        frames = _link_changes(spark, path).withColumns({"region": F.lit(None).cast("string"), "severity": F.lit(None).cast("float")})
+        return _to_batches(frames, streams.feed_batches(f"{path}/feed"), path)
+
+    path = _run(spark, d, start)
+    edges = batch_live(spark, d)
+    rows = streams.subscription(spark, f"{path}/feed", edges, most=edges.count())
+    return rows.select(F.when(F.col("batch") < 0, "snapshot").otherwise("live").alias("part"), "value")
+
+
+@query(f"""SELECT m.msg_id, m.event_us FROM msg m JOIN (SELECT k, max(newest) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_us
+    FROM (SELECT msg_id % {SLICES} AS k, max(event_us) AS newest FROM msg GROUP BY 1)) b ON b.k = m.msg_id % {SLICES} WHERE m.event_us < b.before_us - {LATE}""")
+def stream_late_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Messages that arrive out of order, and of them those more than LATE behind."""
+
+    def start(path: str) -> StreamingQuery:
+        sink = lambda df, number: df.write.mode("overwrite").parquet(f"{path}/on_time/{number}")
+        return _to_batches(_updates(spark, path).select("msg_id", "event_us"), streams.late_batches(sink, f"{path}/policy", LATE), path)
+
+    path = _run(spark, d, start, slices=_shuffled)
+    return streams.late_rows(spark, f"{path}/policy", "msg_id long, event_us long")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS messages, min(event_us) AS first_us, max(event_us) AS last_us FROM msg")
+def stream_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Live counters of a stream, a row a batch, summed up."""
+
+    def start(path: str) -> StreamingQuery:
+        sink = lambda df, number: df.write.mode("overwrite").parquet(f"{path}/out/{number}")
+        return _to_batches(_updates(spark, path).select("msg_id", "event_us"), streams.counted_batches(sink, f"{path}/counters"), path)
+
+    path = _run(spark, d, start)
+    rows = spark.read.schema("batch long, messages long, first_us long, last_us long").option("recursiveFileLookup", "true").parquet(f"{path}/counters")
+    return rows.agg(F.coalesce(F.sum("messages"), F.lit(0)).alias("messages"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
 
 
 @query("SELECT kind, CAST(day AS VARCHAR) AS day, count(*) AS n FROM history GROUP BY 1, 2")
 def stream_history(spark: SparkSession, d: str) -> DataFrame:
-    """Anomalies written to a folder and followed from there into the history."""
+    """Anomalies written to a folder day by day and followed from there into the history."""
     from asnwatch.operators import history
 
-    path = _scratch(spark)
-    batch_anomalies(spark, d).write.parquet(f"{path}/anomalies")
-    rows = spark.readStream.schema(spark.read.parquet(f"{path}/anomalies").schema).parquet(f"{path}/anomalies")
-    job = rows.writeStream.foreachBatch(streams.history_batches(f"{path}/history")).option("checkpointLocation", f"{path}/state")
-    job.trigger(availableNow=True).start().awaitTermination()
-    stored = history.read_history(spark, f"{path}/history")
-    return stored.groupBy("kind", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
-
+    path = t.scratch(spark, "stream")
+    found = batch_anomalies(spark, d)
+    found.write.parquet(f"{path}/anomalies")
+    stored = spark.read.schema(found.schema).parquet(f"{path}/anomalies")
+    for k in range(SLICES):
+        stored.filter(F.col("msg_id") % SLICES == k).write.mode("append").parquet(f"{path}/arriving")
+        rows = spark.readStream.schema(found.schema).parquet(f"{path}/arriving")
+        _to_batches(rows, streams.history_batches(f"{path}/history"), path).awaitTermination()
+    kept = history.read_history(spark, f"{path}/history")
+    return kept.groupBy("kind", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))

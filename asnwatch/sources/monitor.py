@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from asnwatch.schemas import MONITOR_SAMPLES
 
-#: Metric names, without the namespace before them, by sample column.
+# Metric names, without the namespace before them, and kinds of anomaly, by sample column.
 METRICS = {
     "msgs": "messages_processed_total",
     "nodes": "graph_nodes",

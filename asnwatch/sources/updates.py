@@ -16,16 +16,23 @@ def _all(items: Column, ok) -> Column:
     return F.coalesce(F.forall(items, lambda x: F.coalesce(ok(x), F.lit(False))), F.lit(True))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator of one row, so that they are worked out once, however often they are used:
+    the optimiser neither copies them into filters nor into each other."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parse_frames(raw: DataFrame, value: str = "value") -> DataFrame:
-    """Add ``frame`` (FRAME) and ``outcome`` to JSON texts: routing, control or quarantine. A frame is
-    rejected whole if its JSON is broken or a prefix, path element or peer ASN of it is bad."""
+    """Add ``frame`` (FRAME), the fields that are checked as columns (_path, _peer_asn, _announced) and ``outcome``
+    to JSON texts: routing, control or quarantine. A frame is rejected whole if its JSON is broken or a prefix,
+    path element or peer ASN of it is bad."""
     frame = F.from_json(F.col(value), f"{FRAME}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    df = raw.withColumn("frame", frame)
     data = F.col("frame.data")
+    parsed = _once(_once(raw, frame=frame), _path=flatten_as_path(data["path"]), _peer_asn=normalise_peer_asn(data["peer_asn"]))
     announced = F.flatten(F.transform(data["announcements"], lambda a: F.coalesce(a["prefixes"], F.array().cast("array<string>"))))
     good = (
-        (data["peer_asn"].isNull() | normalise_peer_asn(data["peer_asn"]).isNotNull())
-        & _all(flatten_as_path(data["path"]), lambda x: x.isNotNull())
+        (data["peer_asn"].isNull() | F.col("_peer_asn").isNotNull())
+        & _all(F.col("_path"), lambda x: x.isNotNull())
         & _all(announced, is_prefix)
         & _all(data["withdrawals"], is_prefix)
     )
@@ -35,7 +42,7 @@ def parse_frames(raw: DataFrame, value: str = "value") -> DataFrame:
         .when(data.isNotNull() & good, "routing")
         .otherwise("quarantine")
     )
-    return df.withColumn("outcome", outcome)
+    return _once(parsed, outcome=outcome)
 
 
 def to_updates(parsed: DataFrame, msg_id: str = "msg_id", fallback_us: Column | None = None) -> DataFrame:
@@ -49,9 +56,9 @@ def to_updates(parsed: DataFrame, msg_id: str = "msg_id", fallback_us: Column |
         F.timestamp_micros(us).alias("event_ts"),
         data["host"].alias("host"),
         data["peer"].alias("peer"),
-        normalise_peer_asn(data["peer_asn"]).alias("peer_asn"),
+        F.col("_peer_asn").alias("peer_asn"),
         normalise_msg_type(data["type"]).alias("msg_type"),
-        F.coalesce(flatten_as_path(data["path"]), F.array().cast("array<bigint>")).alias("path"),
+        F.coalesce("_path", F.array().cast("array<bigint>")).alias("path"),
         data["origin"].alias("origin_attr"),
         F.coalesce(data["announcements"], F.array().cast(ANNOUNCEMENTS)).alias("announcements"),
         F.coalesce(data["withdrawals"], F.array().cast("array<string>")).alias("withdrawals"),
@@ -61,7 +68,7 @@ def to_updates(parsed: DataFrame, msg_id: str = "msg_id", fallback_us: Column |
 def split_frames(raw: DataFrame, value: str = "value", msg_id: str = "msg_id", fallback_us: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(updates, control frames, quarantined frames)."""
     parsed = parse_frames(raw, value)
-    rest = parsed.drop("frame")
+    rest = parsed.drop("frame", "_path", "_peer_asn")
     return to_updates(parsed, msg_id, fallback_us), rest.filter("outcome = 'control'"), rest.filter("outcome = 'quarantine'")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -93,21 +93,28 @@ def suppress_stream(leaks: DataFrame, window_us: int = detect.LEAK_WINDOW_US) ->
 
 
 def stream_churn_counts(ops: DataFrame, window_us: int = detect.CHURN_WINDOW_US) -> DataFrame:
-    """Announcements in the trailing window by prefix and peer. State: the times within the window of the
-    last row. A quiet vantage keeps them: with an event-time timeout Spark would drop late rows."""
+    """Announcements in the trailing window by prefix and peer. State: the times within the window of the last row.
+    The watermark drops it once it has passed them by the window: a count after that is 1 in any case. Rows later
+    than the watermark are dropped; ``late_batches`` keeps them before they come here."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
         out = []
-        for r in _in_order(frames, _SEQ).itertuples(index=False):
-            times = [x for x in times if x >= r.event_us - window_us]
-            times.append(int(r.event_us))
-            out.append((r.msg_id, r.event_us, r.pos, key[0], key[1], len(times)))
-        state.update((times,))
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            times = list(state.get[0]) if state.exists else []
+            for r in _in_order(frames, _SEQ).itertuples(index=False):
+                times = [x for x in times if x >= r.event_us - window_us]
+                times.append(int(r.event_us))
+                out.append((r.msg_id, r.event_us, r.pos, key[0], key[1], len(times)))
+            state.update((times,))
+            state.setTimeoutTimestamp(max((max(times) + window_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["msg_id", "event_us", "pos", "prefix", "peer_asn", "n_updates"])
 
-    rows = ops.filter("op = 'A' and peer_asn is not null").select("prefix", "peer_asn", *_SEQ)
-    return rows.groupBy("prefix", "peer_asn").applyInPandasWithState(step, "msg_id long, event_us long, pos int, prefix string, peer_asn long, n_updates int", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+    rows = ops.filter("op = 'A' and peer_asn is not null").select("prefix", "peer_asn", *_SEQ, "event_ts")
+    return rows.groupBy("prefix", "peer_asn").applyInPandasWithState(
+        step, "msg_id long, event_us long, pos int, prefix string, peer_asn long, n_updates int", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def churn_batches(sink: Callable[[DataFrame, int], None], ring_path: str, **parameters) -> Callable[[DataFrame, int], None]:
@@ -187,11 +194,58 @@ def history_batches(path: str, prune_every: int = 0, retention_days: int = histo
     return run
 
 
-def change_feed(edges: DataFrame, live: DataFrame, most: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """What a subscriber reads: frames of the current links, then the stream of frames."""
-    return feed.delta_frames(feed.snapshot_frames(edges, most)), feed.delta_frames(live)
+def feed_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` over change frames: the sink that subscribers follow, JSON lines in a folder a batch, in the
+    order of the frames. A replayed batch overwrites itself."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        order = [c for c in feed.ORDER if c in batch.columns]
+        frames = feed.delta_frames(batch).repartitionByRange(*order).sortWithinPartitions(*order)
+        frames.select("value").write.mode("overwrite").text(f"{path}/batch={number:09d}")
+
+    return run
+
+
+def subscription(spark: SparkSession, path: str, edges: DataFrame, after_batch: int = -1, most: int = 2000) -> DataFrame:
+    """What a new subscriber reads of a feed's sink: (batch, value), frames of up to ``most`` current links as batch
+    ``after_batch`` and then the frames of all later batches. Frames may repeat; folding them changes nothing."""
+    first = feed.delta_frames(feed.snapshot_frames(edges, most)).select(F.lit(after_batch).alias("batch"), "value")
+    later = spark.read.schema("value string, batch int").text(path).filter(F.col("batch") > after_batch)
+    return first.union(later.select("batch", "value"))
+
+
+def late_batches(sink: Callable[[DataFrame, int], None], path: str, delay_us: int) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` over updates: rows more than ``delay_us`` older than the newest row of all batches before go to
+    the table ``late`` under ``path``, the others to ``sink``. The newest time is kept in a version a batch, so a
+    replayed batch is divided alike."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = spark.read.schema("newest_us long").parquet(f"{path}/newest/{number - 1}").first() if number else None
+        newest = before["newest_us"] if before else None
+        batch = batch.persist()
+        late = F.lit(False) if newest is None else F.col("event_us") < newest - delay_us
+        batch.filter(late).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/late/{number}")
+        sink(batch.filter(~late), number)
+        batch.agg(F.greatest(F.max("event_us"), F.lit(newest).cast("long")).alias("newest_us")).write.mode("overwrite").parquet(f"{path}/newest/{number}")
+        batch.unpersist()
+
+    return run
+
+
+def late_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table of late rows that ``late_batches`` keeps."""
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/late")
+
 
+def counted_batches(sink: Callable[[DataFrame, int], None], path: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: live counters. Rows and their first and last time are observed while ``sink`` reads the batch, with
+    no job of their own, and written as a row a batch under ``path``."""
 
-def late_rows(updates: DataFrame, watermark_us: int) -> DataFrame:
-    """Rows of a batch older than a watermark, for a table of their own."""
-    return updates.filter(F.col("event_us") < watermark_us)
+    def run(batch: DataFrame, number: int) -> None:
+        seen = Observation(f"batch {number}")
+        sink(batch.observe(seen, F.count("*").alias("messages"), F.min("event_us").alias("first_us"), F.max("event_us").alias("last_us")), number)
+        row = [(number, *(seen.get[c] for c in ("messages", "first_us", "last_us")))]
+        batch.sparkSession.createDataFrame(row, "batch long, messages long, first_us long, last_us long").write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return run

@@ -41,6 +41,9 @@ def test_origins_against_single_pass(spark, seed):
     rows = [(s, op, p, None if op == "W" else o) for s, op, p, o in rows]
     assert observed(spark, rows) == list(interpreter.origins(rows))
     assert observed(spark, rows, spread_us=370) == list(interpreter.origins(rows))
+    assert observed(spark, rows, spread_us=None) == list(interpreter.origins(rows))
+    segments = lambda **options: sorted((r.msg_id, r.segment) for r in origins.apply_withdrawals(ops_of(spark, rows), **options).collect())
+    assert segments(spread_us=370) == segments(spread_us=None)
     table = {r.net_key: (r.origin, r.origins) for r in origins.prefix_origins(ops_of(spark, rows)).collect()}
     want = {}
     for s, op, p, o in rows:
@@ -68,9 +71,10 @@ def test_edges_against_single_pass(spark, seed):
     for _ in range(300):
         us += rng.choice([0, 1, 5, 10, 40])
         rows.append((us, [rng.randrange(6) for _ in range(rng.randrange(5))]))
-    episodes = topology.edge_episodes(topology.path_edges(paths_of(spark, rows)), ttl_us=30, sweep_us=10, as_of_us=us)
-    got = [("up", r.a, r.b, r.event_us) for r in topology.link_up(episodes).collect()] + [("down", r.a, r.b, r.event_us) for r in topology.link_down(episodes).collect()]
-    assert sorted(got) == sorted(interpreter.edges(rows, 30, 10))
+    for spread_us in (7, 100, 1 << 40):
+        episodes = topology.edge_episodes(topology.path_edges(paths_of(spark, rows)), ttl_us=30, sweep_us=10, as_of_us=us, spread_us=spread_us)
+        got = [("up", r.a, r.b, r.event_us) for r in topology.link_up(episodes).collect()] + [("down", r.a, r.b, r.event_us) for r in topology.link_down(episodes).collect()]
+        assert sorted(got) == sorted(interpreter.edges(rows, 30, 10))
 
 
 def test_graph_tables(spark):
@@ -123,13 +127,42 @@ def test_leaks_against_single_pass(spark, seed):
     rel = lambda a, b: known.get((a, b)) or flip.get(known.get((b, a)), "unknown")
     messages = [(i, i * 7, [rng.randrange(8) for _ in range(rng.randrange(6))]) for i in range(300)]
     updates = spark.createDataFrame(messages, "msg_id long, event_us long, path array<long>")
-    found = detect.path_leaks(updates, detect.valley_apexes(updates, rels))
+    found = detect.path_leaks(detect.valley_apexes(updates, rels))
     want = list(interpreter.leaks(messages, rel, 60))
     assert sorted((r.msg_id, r.offending_asn, r.violations) for r in found.collect()) == sorted(w[:3] for w in want)
-    assert sorted(r.msg_id for r in detect.suppress_repeats(found, 60).collect()) == sorted(w[0] for w in want if w[3])
+    for spread_us in (25, 1 << 40):
+        assert sorted(r.msg_id for r in detect.suppress_repeats(found, 60, spread_us).collect()) == sorted(w[0] for w in want if w[3])
     assert {r.severity for r in found.filter("violations > 1").collect()} <= {2}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_leaks_by_degrees_of_the_moment(spark, seed):
+    """Roles change as edges come and go; degrees are counted anew for each message."""
+    rng = random.Random(seed)
+    us, messages = 0, []
+    for i in range(200):
+        us += rng.choice([1, 5, 40])
+        messages.append((i, us, [rng.choice([1, 1, 2, 3, 4, 5, 6, 7, 8, 9]) for _ in range(rng.randrange(6))]))
+    updates = spark.createDataFrame(messages, "msg_id long, event_us long, path array<long>")
+    episodes = topology.edge_episodes(topology.path_edges(updates), 30, 10, us, spread_us=50)
+    found = detect.path_leaks(detect.valley_apexes_by_degree(updates, episodes, ratio=2.0, bucket_us=25))
+    want, links = [], {}
+    for i, us, path in messages:
+        tick = (us - 1) // 10 * 10  # the last sweep before the message
+        links = {k: seen for k, seen in links.items() if not (seen // 10 + 4) * 10 <= tick}
+        links |= {(min(a, b), max(a, b)): us for a, b in zip(path, path[1:], strict=False) if a != b}
+        degree = lambda x, links=links: sum(x in k for k in links)
+
+        def rel(a, b, degree=degree):
+            da, db = degree(a), degree(b)
+            return "unknown" if not da or not db else "provider" if da >= 2 * db else "customer" if db >= 2 * da else "peer"
+
+        hits = [path[k] for k in range(len(path) - 2, 0, -1) if {rel(path[k], path[k + 1]), rel(path[k], path[k - 1])} <= {"customer", "peer"}]
+        if hits:
+            want.append((i, hits[0], len(hits), path))
+    assert sorted((r.msg_id, r.offending_asn, r.violations, r.path) for r in found.collect()) == want != []
+
+
 def test_leak_at_exact_window_is_reported(spark):
     rows = spark.createDataFrame([(0, 0, 5), (1, 60, 5), (2, 119, 5), (3, 120, 5)], "msg_id long, event_us long, offending_asn long")
     assert sorted(r.msg_id for r in detect.suppress_repeats(rows, 60).collect()) == [0, 1]
@@ -143,10 +176,11 @@ def test_churn_against_single_pass(spark, seed):
         us += 0 if rng.random() < 0.2 else rng.choice([1, 2, 30])
         rows.append((i, us, f"10.{0 if 300 < i < 360 else rng.randrange(4)}.0.0/16", 1 if 300 < i < 360 else rng.randrange(3)))
     df = normalise_prefixes(spark.createDataFrame([(i, u, 0, "A", p, q) for i, u, p, q in rows], "msg_id long, event_us long, pos int, op string, prefix string, peer_asn long"))
-    counts = detect.vantage_counts(df, 50)
     options = {"min_updates": 4, "deviations": 1.5, "floor": 3.0, "baseline": 64}
-    fired = detect.detect_churn(detect.churn_threshold(counts, **options, bucket_us=100), 4).orderBy("msg_id").collect()
     want = list(interpreter.churn(rows, 50, 1.5, 3.0, 4, capacity=64))
+    counts = detect.vantage_counts(df, 50, 60)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, detect.vantage_counts(df, 50, 1 << 40).collect()))
+    fired = detect.detect_churn(detect.churn_threshold(counts, **options, bucket_us=100), 4, spread_us=60).orderBy("msg_id").collect()
     assert [(r.msg_id, r.n_updates) for r in fired] == [w[:2] for w in want]
     assert all(abs(r.threshold - w[2]) < 1e-9 for r, w in zip(fired, want, strict=True))
 

@@ -17,33 +17,56 @@ def message(**data):
     return {"type": "ris_message", "data": data}
 
 
+# Two blocks of announcements, a set in the middle of the path, a quoted peer with blanks.
 FULL = message(
-    timestamp=1700000000.5, peer="192.0.2.1", peer_asn="64500", host="rrc00", type="UPDATE", path=[64500, 100, [200, 300]], origin="IGP",
-    announcements=[{"next_hop": "192.0.2.1", "prefixes": ["10.1.2.0/24", "2001:db8::/32"]}], withdrawals=["10.9.0.0/16"],
+    withdrawals=["10.77.128.0/17", "fd00:77::/48"], type="KEEPALIVE", origin="EGP", host="rrc21", peer="198.51.100.7", peer_asn=" 64777 ", timestamp=1719792000.000125,
+    path=[64777, [3001, 3002], 3003], announcements=[{"next_hop": "198.51.100.7", "prefixes": ["10.1.2.0/24"]}, {"next_hop": "fe80::7", "prefixes": ["fd00:1:2::/47"]}],
 )
 
 
 def test_full_update(spark):
     row = source.split_frames(frames(spark, FULL))[0].first()
-    assert row.path == [64500, 100, 200, 300]
-    assert (row.event_us, row.peer_asn, row.msg_type) == (1700000000500000, 64500, "UPDATE")
+    assert row.path == [64777, 3001, 3002, 3003]
+    assert (row.event_us, row.peer_asn, row.msg_type, row.origin_attr) == (1719792000000125, 64777, "KEEPALIVE", "EGP")
     ops = routes.route_ops(source.split_frames(frames(spark, FULL))[0]).orderBy("pos").collect()
-    assert [(r.op, r.prefix, r.origin_asn) for r in ops] == [("A", "10.1.2.0/24", 300), ("A", "2001:db8::/32", 300), ("W", "10.9.0.0/16", None)]
-    assert [r.family for r in ops] == [4, 6, 4]
-
-
-def test_defaults_control_and_quarantine(spark):
-    raw = frames(
-        spark, {"type": "ris_error", "data": {"message": "x"}}, message(type="OPEN"), '{"type":"ris_message","data":{"pa', "no json",
-        message(type="UPDATE", announcements=[{"next_hop": "x", "prefixes": ["10.0.0.0/33"]}]), message(type="UPDATE", withdrawals=["x/8"]),
-        message(type="UPDATE", peer_asn=64501), message(type="UPDATE", peer_asn="abc"), message(type="X", path=[1.5]), message(type="X", path=[2**32]), {"type": "pong"},
-    )
-    got = [r.outcome for r in source.parse_frames(raw).orderBy("msg_id").collect()]
-    assert got == ["control", "routing", "quarantine", "quarantine", "quarantine", "quarantine", "routing", "quarantine", "quarantine", "quarantine", "control"]
+    assert [(r.op, r.prefix, r.origin_asn) for r in ops] == [("A", "10.1.2.0/24", 3003), ("A", "fd00:1:2::/47", 3003), ("W", "10.77.128.0/17", None), ("W", "fd00:77::/48", None)]
+    assert [r.family for r in ops] == [4, 6, 4, 6]
+
+
+OUTCOMES = [
+    (message(), "routing"),
+    (message(peer_asn=3010), "routing"),
+    (message(path=[3011, [3012, 3013], []]), "routing"),
+    (message(announcements=[{"next_hop": "y", "prefixes": []}], withdrawals=[]), "routing"),
+    (message(peer_asn=-5), "quarantine"),
+    (message(peer_asn="AS3010"), "quarantine"),
+    (message(path=[3010, "x"]), "quarantine"),
+    (message(path=[7.25]), "quarantine"),
+    (message(path=[4294967296]), "quarantine"),
+    (message(announcements=[{"next_hop": "y", "prefixes": ["10.8.0.0/16", "10.300.0.0/16"]}]), "quarantine"),
+    (message(withdrawals=["fd00::/129"]), "quarantine"),
+    ("[]", "quarantine"),
+    ("", "quarantine"),
+    (json.dumps(message(path=[3010]))[:-4], "quarantine"),
+    ({"data": {"host": "rrc21"}}, "quarantine"),
+    ({"type": "ris_rrc_list", "data": None}, "control"),
+    ({"type": "ris_subscribe_ok"}, "control"),
+]
+
+
+def test_outcomes(spark):
+    raw = frames(spark, *[frame for frame, _ in OUTCOMES])
+    assert [r.outcome for r in source.parse_frames(raw).orderBy("msg_id").collect()] == [outcome for _, outcome in OUTCOMES]
     rows = {r.msg_id: r for r in source.split_frames(raw)[0].collect()}
-    assert (rows[1].path, rows[1].announcements, rows[1].withdrawals, rows[1].peer_asn, rows[1].msg_type) == ([], [], [], None, "OPEN")
-    assert rows[6].peer_asn == 64501
-    assert {r.outcome: r.n_frames for r in source.frame_counts(raw).collect()} == {"control": 2, "routing": 2, "quarantine": 7}
+    assert (rows[0].path, rows[0].announcements, rows[0].withdrawals, rows[0].peer_asn, rows[0].msg_type) == ([], [], [], None, "OTHER")
+    assert (rows[1].peer_asn, rows[2].path) == (3010, [3011, 3012, 3013])
+    counts = {r.outcome: r.n_frames for r in source.frame_counts(raw).collect()}
+    assert counts == {o: sum(x == o for _, x in OUTCOMES) for o in ("routing", "control", "quarantine")}
+
+
+def test_frames_are_parsed_once(spark):
+    plan = source.split_frames(frames(spark, FULL))[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
 
 
 @pytest.mark.parametrize(
@@ -76,10 +99,11 @@ def test_prefixes(spark, text, family, length, start):
 
 
 def test_filters(spark):
-    rows = source.split_frames(frames(spark, FULL, message(type="UPDATE", host="rrc01", path=[7], withdrawals=["10.1.0.0/16"])))[0]
+    both = message(host="rrc21", path=[64777, [3001, 3002], 3003], announcements=[{"next_hop": "y", "prefixes": ["10.1.2.0/24", "2001:db8::/32"]}])
+    rows = source.split_frames(frames(spark, both, message(type="UPDATE", host="rrc01", path=[7], withdrawals=["10.1.0.0/16"])))[0]
     ids = lambda df: sorted(r.msg_id for r in df.collect())
     assert ids(routes.filter_collector(rows, "rrc01")) == [1]
-    assert ids(routes.filter_path_asn(rows, 200)) == [0]
+    assert ids(routes.filter_path_asn(rows, 3002)) == [0]
     assert ids(routes.filter_prefix(rows, None, more_specific=True)) == [0, 1]
     assert ids(routes.filter_prefix(rows, "10.1.0.0/16")) == [1]
     assert ids(routes.filter_prefix(rows, "10.1.0.0/16", more_specific=True)) == [0, 1]

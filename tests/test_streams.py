@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from asnwatch.operators import detect
@@ -42,19 +43,68 @@ def test_churn_over_batches_equals_batch(spark, tmp_path):
         busy = [f"busy{k}" for k in range(2) for _ in range(6)] if second // 3 % 3 == 0 else []
         rows += [(p, 1, second) for p in busy] + [(f"quiet{i}", 2, second) for i in range(12)]
     schema = "msg_id long, event_us long, pos int, prefix string, peer_asn long, family byte, net_key string, op string"
-    rows = [(i, second * 1_000_000, 0, prefix, peer, 4, prefix, "A") for i, (prefix, peer, second) in enumerate(rows)]
+    begin = 1_719_792_000_000_000  # in batch 0 the watermark is the epoch
+    rows = [(i, begin + second * 1_000_000, 0, prefix, peer, 4, prefix, "A") for i, (prefix, peer, second) in enumerate(rows)]
     path, window, options = str(tmp_path), 10_000_000, {"min_updates": 13, "floor": 13.0, "baseline": 40, "deviations": 2.0}
     for k in range(12):
-        part = [r for r in rows if r[1] // 3_000_000 == k]
+        part = [r for r in rows if (r[1] - begin) // 3_000_000 == k]
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
     ops = spark.createDataFrame(rows, schema)
+    timed = lambda df: df.withColumn("event_ts", F.timestamp_micros("event_us")).withWatermark("event_ts", "0 seconds")
     counts = detect.vantage_counts(ops, window)
     want = detect.detect_churn(detect.churn_threshold(counts, **options), options["min_updates"])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
     sink = lambda df, number: df.write.parquet(f"{path}/out/batch={number}")
-    job = streams.stream_churn_counts(stream, window).writeStream.foreachBatch(streams.churn_batches(sink, f"{path}/ring", **options))
+    job = streams.stream_churn_counts(timed(stream), window).writeStream.foreachBatch(streams.churn_batches(sink, f"{path}/ring", **options))
     job.option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     got = spark.read.schema("msg_id long, n_updates int, threshold double, severity short, batch int").parquet(f"{path}/out")
     columns = ["msg_id", "n_updates", "threshold", "severity"]
-    assert len(list((tmp_path / "out").iterdir())) == 12
+    assert len(list((tmp_path / "out").iterdir())) >= 12  # and one without rows, which drops state
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect())) != []
+
+
+def test_quiet_vantages_leave_no_state(spark, tmp_path):
+    path, schema = str(tmp_path), "msg_id long, event_us long, pos int, prefix string, peer_asn long, op string"
+    for k in range(4):  # other vantages in each file, a minute apart
+        rows = [(k * 100 + i, (28_663_200 + k) * 60_000_000 + i * 1_000, 0, f"p{k}-{i % 20}", 1, "A") for i in range(60)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").withColumn("event_ts", F.timestamp_micros("event_us")).withWatermark("event_ts", "0 seconds")
+    writer = streams.stream_churn_counts(stream, 10_000_000).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+    job = writer.trigger(availableNow=True).start()
+    job.awaitTermination()
+    assert spark.read.parquet(f"{path}/out").count() == 240
+    assert sorted({r.n_updates for r in spark.read.parquet(f"{path}/out").collect()}) == [1, 2, 3]
+    assert job.lastProgress["stateOperators"][0]["numRowsTotal"] == 20  # of 80 vantages seen
+
+
+def test_late_rows_are_set_aside_alike_in_a_replay(spark, tmp_path):
+    path, kept = str(tmp_path), {}
+    run = streams.late_batches(lambda df, number: kept.update({number: sorted(r.event_us for r in df.collect())}), path, 10)
+    batches = [[100, 95], [120, 89, 91], [109, 110, 200], [180]]
+    for number, times in [*enumerate(batches), (2, batches[2]), (3, batches[3])]:
+        run(spark.createDataFrame([(x,) for x in times], "event_us long"), number)
+    assert kept == {0: [95, 100], 1: [91, 120], 2: [110, 200], 3: []}
+    assert sorted((r.batch, r.event_us) for r in streams.late_rows(spark, path, "event_us long, batch int").collect()) == [(1, 89), (2, 109), (3, 180)]
+
+
+def test_subscribers_fold_snapshot_and_feed(spark, tmp_path):
+    path = str(tmp_path)
+    write = streams.feed_batches(path)
+    frames = lambda *rows: spark.createDataFrame([(k, a, b, us, None, None) for us, k, a, b in rows], "kind string, a long, b long, event_us long, region string, severity float")
+    write(frames((1, "LinkUp", 1, 2), (2, "LinkUp", 3, 2)), 0)
+    write(frames((9, "LinkDown", 1, 2), (4, "LinkUp", 5, 6)), 1)
+    write(frames((9, "LinkDown", 1, 2), (4, "LinkUp", 5, 6)), 1)  # a replay
+    edges = spark.createDataFrame([(1, 2, 1), (2, 3, 2)], "lo long, hi long, last_seen_us long")
+    got = [(r.batch, r.value) for r in streams.subscription(spark, path, edges, after_batch=0).orderBy("batch").collect()]
+    up, down = '{"kind":"LinkUp","a":%d,"b":%d}', '{"kind":"LinkDown","a":%d,"b":%d}'
+    assert sorted(got[:2]) == [(0, up % (1, 2)), (0, up % (2, 3))]
+    assert got[2:] == [(1, up % (5, 6)), (1, down % (1, 2))]
+
+
+def test_batches_are_counted_as_they_are_read(spark, tmp_path):
+    path = str(tmp_path)
+    run = streams.counted_batches(lambda df, number: df.write.format("noop").mode("overwrite").save(), path)
+    for number, times in enumerate([[5, 3], [], [9]]):
+        run(spark.createDataFrame([(x,) for x in times], "event_us long"), number)
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path).orderBy("batch").collect()
+    assert [tuple(r) for r in rows] == [(0, 2, 3, 5), (1, 0, None, None), (2, 1, 9, 9)]

@@ -79,6 +79,7 @@ def test_history_round_trip_and_retention(spark, tmp_path):
     assert history.history_query(back, prefix="10.1.2.0/24", since="2024-01-01", until="2024-02-01").count() == 1
     assert history.history_query(back, prefix="10.0.0.0/8", min_severity=1).count() == 3
     assert history.history_query(back, kind="path_leak").count() == 0
+    assert history.history_query(back.withColumn("region", F.when(F.col("day") > "2024-01-31", "N1-S1").otherwise("N2")), region="N2").count() == 2
     manifest = history.day_manifest(back)
     now = F.lit("2024-03-01").cast("timestamp")
     assert [str(r.day) for r in history.prune_by_age(manifest, now, 61).collect()] == ["2023-11-22"]
@@ -103,21 +104,24 @@ def samples(spark, *rows):
 
 
 def test_run_report(spark):
-    s = samples(spark, (0, 1024, 0, 1000, 0, 0, 1), (10, 2048, 500, 500, 40000, 0, 3), (20, 3072, 1000, 900, 80000, 0, 2))
+    # Twelve seconds; the byte counter was reset in between.
+    s = samples(spark, (3, 3072, 40, 7_000, 250, 3, 4), (9, 6144, 130, 600, 850, 5, 9), (15, 6144, 280, 1_200, 3_250, 9, 6))
     r = monitor.run_summary(s).first()
-    assert (r.msgs_total, r.msgs_per_s, r.cpu_core_pct, r.rss_avg_mib, r.clients_peak) == (80000, 4000, 50, 2, 3)
-    assert r.reconnected and r.measured
-    log = spark.createDataFrame([("r", i, x) for i, x in enumerate(["t \x1b[32mINFO\x1b[0m subscribed to UPDATE stream", "t INFO x", "t WARN y", "t ERROR z", "panicked at q", ""])], "run_id string, line_no long, value string")
+    assert (r.msgs_total, r.msgs_per_s, r.cpu_core_pct, r.rss_avg_mib, r.clients_peak) == (3_000, 250, 20, 5, 9)
+    assert (r.reconnected, r.measured, r.bytes_per_msg) == (True, True, 0.4)
+    said = ["t \x1b[33mWARN\x1b[0m slow disk", "t INFO 7 rows", "panicked at row 7", "", "t INFO feed subscribed to UPDATE stream", "t ERROR no route", "t INFO feed subscribed to UPDATE stream", "t DEBUG x"]
+    log = spark.createDataFrame([("r", i, x) for i, x in enumerate(said)], "run_id string, line_no long, value string")
     counts = monitor.log_summary(log).first()
-    assert (counts.info, counts.warn, counts.error, counts.panics, counts.connections) == (2, 1, 1, 1, 1)
-    assert [x.line for x in monitor.log_excerpt(log).filter("part = 'problem'").orderBy("place").collect()] == ["t WARN y", "t ERROR z"]
-    none, calm = spark.createDataFrame([], "run_id string"), monitor.log_summary(log.filter("line_no < 2"))
+    assert (counts.info, counts.warn, counts.error, counts.panics, counts.connections) == (3, 1, 1, 1, 2)
+    assert [x.line for x in monitor.log_excerpt(log).filter("part = 'problem'").orderBy("place").collect()] == ["t WARN slow disk", "t ERROR no route"]
+    none, calm = spark.createDataFrame([], "run_id string"), monitor.log_summary(log.filter("line_no = 1 or line_no = 4"))
     verdict = lambda summary, found, died: monitor.run_verdict(summary, found, died).first().verdict
+    assert verdict(monitor.run_summary(s), monitor.log_summary(log.filter("line_no <> 2")), none) == "WARN"
     assert verdict(monitor.run_summary(s), monitor.log_summary(log), none) == "FAIL"
     assert verdict(monitor.run_summary(s), calm, none) == "PASS"
     assert verdict(monitor.run_summary(s), calm, spark.createDataFrame([("r",)], "run_id string")) == "FAIL"
-    dropping = samples(spark, (0, 1, 0, 0, 0, 0, 0), (9, 1, 0, 0, 100, 50, 0))
-    assert verdict(monitor.run_summary(dropping), calm, none) == "WARN"
+    assert verdict(monitor.run_summary(samples(spark, (0, 1, 0, 0, 7, 0, 0), (4, 1, 0, 0, 707, 8, 0))), calm, none) == "WARN"
+    assert verdict(monitor.run_summary(samples(spark, (0, 1, 0, 0, 7, 0, 0), (4, 1, 0, 0, 7, 0, 0))), calm, none) == "WARN"
 
 
 def test_metrics_text(spark):
