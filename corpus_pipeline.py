@@ -1,8 +1,8 @@
 """Corpus preparation in stages, each a step over all documents that its predecessor kept.
 
 Rows are kept or dropped whole: columns keep their names and values, also names that an operator uses.
-A filter that has nothing to learn from keeps every row. Rows with a null id are never duplicates;
-of rows that repeat an id one stays.
+A filter that has nothing to learn from keeps every row. Rows with a null id are never duplicates; of rows
+that repeat an id and its text one stays, rows that repeat an id with another text count by their texts.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts in no language that the documents' own ``lang`` column teaches."""
+    """Drop texts without a letter and those not likelier in one than in all other languages together that the
+    documents' own ``lang`` column teaches. A text in an untaught language goes to the nearest taught one."""
     model = langid.train(docs.filter(id_bucket(4) != 2))
     if not model.languages:
         return docs
@@ -44,16 +45,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each class of near duplicates."""
-    classes = checkpointed(jaccard_join.near_duplicates(docs))
-    dropped = classes.filter("doc_id <> class_id").select("doc_id").distinct()
-    if dropped.count() <= jaccard_join.BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    repeated = classes.filter("doc_id = class_id").groupBy("doc_id").count().filter("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
+    """Keep of each class of near duplicates the document with the smallest id."""
+    return jaccard_join.one_of_each(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,12 +56,13 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [("quality", quality), ("language", language), ("near_duplicates", near_duplicates), ("best_fit_packing", best_fit_packing)]
 
-#: Trained models and tokenizers are beyond SQL; tests compare with a brute-force version.
+#: Trained models and tokenizers are beyond SQL; a test compares with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; what one keeps is stored before the next one reads it, more than once."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
