@@ -6,12 +6,14 @@ maximisation (forward-backward) fits the pieces on a bounded sample of labelled
 
 Contract for odd input: a null text, or one without a letter, is ``und`` with score 0; null
 languages are not learned from; repeated rows are scored alike; without training rows every text
-is ``und``. Words over CHUNK bytes are scored in chunks of that length.
+is ``und``. Words of any length are summed over whole, in the sample those over LONGEST_TAUGHT bytes teach
+nothing; equally likely languages go to the first by name; ids and carried columns keep their types.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,16 +24,19 @@ from pyspark.sql import functions as F
 from asnwatch.llm.common import checkpointed, ddl, hash_fraction, map_texts, texts_of
 
 UNDETERMINED = "und"
-CHUNK = 32
-LONGEST_PIECE = 12
+#: Bytes of the longest word of the sample that the fit reads.
+LONGEST_TAUGHT = 4096
 #: Texts of each language that the fit reads, about, at most.
 SAMPLE_PER_LANGUAGE = 1500
 ROUNDS = 3
 #: Dirichlet count of every piece, so that none has probability 0.
 SMOOTHING = 0.05
-#: Words scored together, words that a task remembers, and bytes of text whose words are held at a time.
+#: Words and bytes of words scored together, words that a task remembers, and bytes of text whose words are held at a time.
 BATCH = 20_000
+BATCH_BYTES = 160_000
 REMEMBERED = 200_000
+#: Sums over segmentations are scaled anew after so many bytes.
+RESCALED = 8
 SLICE = 2 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -51,7 +56,7 @@ def vocabulary(path: str | None = None) -> list[bytes]:
         piece = model.id_to_piece(i)
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and piece == piece.lower():
             raw = piece.replace("▁", " ").encode()
-            if len(raw) <= LONGEST_PIECE and _WORD.fullmatch(piece.replace("▁", "")):
+            if _WORD.fullmatch(piece.replace("▁", "")):  # others match no word
                 pieces.add(raw)
     return sorted(pieces)
 
@@ -98,7 +103,7 @@ class Lattice:
         state = self.first[text[:-1]]
         for length in range(1, self.depth + 1):
             ok = self.piece[state] >= 0
-            keys.append(offset[ok] * 64 + length)
+            keys.append(offset[ok] * (self.depth + 1) + length)
             owners.append(owner[ok])
             found.append(self.piece[state[ok]])
             inside = place + length < stop
@@ -112,36 +117,61 @@ class Lattice:
         order = np.argsort(key, kind="stable")
         key, who, which = key[order], who[order], which[order]
         cuts = np.flatnonzero(np.diff(key)) + 1
-        groups = [(int(k[0]) >> 6, int(k[0]) & 63, w, p) for k, w, p in zip(np.split(key, cuts), np.split(who, cuts), np.split(which, cuts), strict=True) if len(k)]
+        groups = [(*divmod(int(k[0]), self.depth + 1), w, p) for k, w, p in zip(np.split(key, cuts), np.split(who, cuts), np.split(which, cuts), strict=True) if len(k)]
         return sizes, groups
 
-    def forward(self, words: list[bytes], prob: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-        sizes, groups = self.matches(words)
-        alpha = np.zeros((int(sizes.max()) + 1, len(words), prob.shape[1]))
-        alpha[0] = 1
-        for offset, length, who, which in groups:
-            alpha[offset + length, who] += alpha[offset, who] * prob[which]
-        return alpha, sizes, groups
-
     def log_probability(self, words: list[bytes], prob: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each word's probability in each language."""
+        """Natural logarithm of each word's probability in each language, the words not empty."""
         out = np.empty((len(words), prob.shape[1]))
-        for i in range(0, len(words), BATCH):
-            alpha, sizes, _ = self.forward(words[i : i + BATCH], prob)
-            out[i : i + BATCH] = np.log(alpha[sizes, np.arange(len(sizes))])
+        for part in _lots(words, BATCH_BYTES):
+            out[part] = self._forward([words[i] for i in part], prob)
+        return out
+
+    def _forward(self, words: list[bytes], prob: np.ndarray) -> np.ndarray:
+        """Words in order of length. ``ring`` holds the sums up to the next places that a piece may reach, in each
+        language relative to ``scale``."""
+        sizes, groups = self.matches(words)
+        ring = np.zeros((self.depth + 1, len(words), prob.shape[1]))
+        ring[0] = 1
+        scale = np.zeros(ring.shape[1:])
+        out, at, done = np.empty(scale.shape), -1, 0
+        for offset, length, who, which in groups:
+            if offset > at:  # all that leads here is summed
+                if at >= 0:
+                    ring[at % len(ring)] = 0
+                at, row = offset, ring[offset % len(ring)]
+                over = int(np.searchsorted(sizes, offset, side="right"))
+                out[done:over] = np.log(row[done:over]) + scale[done:over]
+                done = over
+                if offset and offset % RESCALED == 0:
+                    by = row[done:].copy()
+                    ring[:, done:] /= by
+                    scale[done:] += np.log(by)
+            ring[(offset + length) % len(ring), who] += row[who] * prob[which]
+        last = ring[(at + 1) % len(ring), done:]
+        out[done:] = np.log(last) + scale[done:]
         return out
 
     def expected_counts(self, words: list[bytes], weight: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in each language; weight holds the words' counts by language."""
         out = np.zeros(prob.shape)
-        for i in range(0, len(words), BATCH):
-            alpha, sizes, groups = self.forward(words[i : i + BATCH], prob)
-            every = np.arange(len(sizes))
-            scale = weight[i : i + BATCH] / alpha[sizes, every]
+        for part in _lots(words, BATCH_BYTES, padded=True):
+            some = [words[i] for i in part]
+            sizes, groups = self.matches(some)
+            every = np.arange(len(some))
+            # Each byte's factor is divided by the word's mean one, so that sums of long words stay in range.
+            mean = self._forward(some, prob) / sizes[:, None]
+            alpha = np.zeros((int(sizes[-1]) + 1, len(some), prob.shape[1]))
+            alpha[0] = 1
+            factors = []
+            for offset, length, who, which in groups:
+                factors.append(prob[which] * np.exp(-length * mean[who]))
+                alpha[offset + length, who] += alpha[offset, who] * factors[-1]
+            scale = weight[part] / alpha[sizes, every]
             beta = np.zeros_like(alpha)
             beta[sizes, every] = 1
-            for offset, length, who, which in reversed(groups):
-                onward = prob[which] * beta[offset + length, who]
+            for (offset, length, who, which), factor in zip(reversed(groups), reversed(factors), strict=True):
+                onward = factor * beta[offset + length, who]
                 beta[offset, who] += onward
                 share = alpha[offset, who] * onward * scale[who]
                 for lang in range(prob.shape[1]):
@@ -149,6 +179,21 @@ class Lattice:
         return out
 
 
+def _lots(words: list[bytes], most: int, padded: bool = False) -> Iterator[np.ndarray]:
+    """Numbers of the words in order of length, in lots of at most BATCH and, unless it is one word, ``most`` bytes
+    (each word as long as the lot's longest if ``padded``)."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    start, held = 0, 0
+    for i, size in enumerate(sizes[order].tolist()):
+        held = (i - start + 1) * size if padded else held + size
+        if i > start and (i - start >= BATCH or held > most):
+            yield order[start:i]
+            start, held = i, size
+    if len(words):
+        yield order[start:]
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """Piece probabilities by language; its size is bounded by the vocabulary."""
@@ -158,12 +203,9 @@ class LanguageModel:
     probability: np.ndarray
 
 
-def chunks_of(text: str) -> list[bytes]:
-    """The words of a text, each with its start mark, long ones cut."""
-    words = [b" " + w.encode() for w in _WORD.findall(text.lower())]
-    if any(len(w) > CHUNK for w in words):
-        return [w[i : i + CHUNK] for w in words for i in range(0, len(w), CHUNK)]
-    return words
+def words_of(text: str) -> list[bytes]:
+    """The words of a text, each with its start mark."""
+    return [b" " + w.encode() for w in _WORD.findall(text.lower())]
 
 
 def _normalised(counts: np.ndarray) -> np.ndarray:
@@ -188,8 +230,9 @@ def train(docs: DataFrame, pieces: list[bytes] | None = None, lang_column: str =
             counts: dict[tuple[int, bytes], int] = {}
             for lang, text in zip(batch.column(lang_column).to_pylist(), texts_of(batch, text_column), strict=True):
                 i = number[lang]
-                for word in chunks_of(text):
-                    counts[i, word] = counts.get((i, word), 0) + 1
+                for word in words_of(text):
+                    if len(word) <= LONGEST_TAUGHT:
+                        counts[i, word] = counts.get((i, word), 0) + 1
             return {"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": list(counts.values())}
 
         return each
@@ -216,9 +259,7 @@ def train(docs: DataFrame, pieces: list[bytes] | None = None, lang_column: str =
     prob = np.full((len(pieces), len(languages)), 1 / len(pieces))
     for _ in range(rounds):
         prob = _normalised(round_of(prob))
-    # Pieces that no language uses keep single bytes only: the others cost memory and change nothing much.
-    used = [i for i, p in enumerate(pieces) if len(p) == 1 or prob[i].max() > 2 * prob[i].min()]
-    return LanguageModel(languages, tuple(pieces[i] for i in used), prob[used])
+    return LanguageModel(languages, tuple(pieces), prob)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -236,7 +277,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
 
         def each(batch: pa.RecordBatch) -> dict:
             nonlocal number, known
-            texts = [chunks_of(t) for t in texts_of(batch, text_column)]
+            texts = [words_of(t) for t in texts_of(batch, text_column)]
             sizes = np.array([len(t) for t in texts])
             best, score, rate = np.full(len(texts), -1), np.zeros(len(texts)), np.full(len(texts), np.nan)
             if lattice and sizes.sum():
