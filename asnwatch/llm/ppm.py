@@ -3,11 +3,12 @@
 The model is a trie of byte contexts up to ORDER. A symbol unseen in a context escapes to the next
 shorter one (method C: as often as the context has distinct symbols), and symbols of the longer
 contexts are excluded there. Below the empty context all remaining bytes are equally likely.
-A text is its UTF-8 bytes and an end mark; an empty text has nothing to code.
+A text is its UTF-8 bytes and an end mark; an empty text is the end mark alone.
 
-Contract for odd input: a null or empty text has no words and score 0 (its end token still counts for
-the word model); rows with a null id are scored but never learned from; repeated rows are scored and
-learned from as often as they occur; without training rows every byte is equally likely.
+Contract for odd input: a null or empty text has no words and one symbol, its end; rows with a null id are scored but never learned from; repeated rows are scored and
+learned from as often as they occur; long texts are coded whole; equally frequent contexts and words are all
+broadcast or all joined, with the same result; without training rows every byte is equally likely; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ class ContextTrie:
         """Of a whole text and its end; with ``adaptive``, each symbol is learned after it is coded."""
         raw, score = text.encode("utf-8", "surrogatepass"), 0.0
         history = bytes([EDGE] * self.order)
-        for symbol in [*raw, EDGE] if raw else []:
+        for symbol in [*raw, EDGE]:
             score += math.log10(self.probability(history, symbol))
             if adaptive:
                 self.learn(history, symbol)
@@ -74,14 +75,13 @@ class ContextTrie:
 
 
 def byte_rows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all texts that have any, ORDER edges before each and one edge at the end; the places
-    of the coded symbols, and the number of coded symbols of each text."""
+    """The bytes of all texts, ORDER edges before each and one edge at the end; the places of the coded
+    symbols, and the number of coded symbols of each text."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     edges = bytes([EDGE] * ORDER)
-    data = np.frombuffer(b"".join(edges + r + bytes([EDGE]) for r in raw if r), np.uint8)
-    sizes = np.array([len(r) + 1 if r else 0 for r in raw], np.int64)
-    some = sizes[sizes > 0]
-    first = np.cumsum(some + ORDER) - some
+    data = np.frombuffer(b"".join(edges + r + bytes([EDGE]) for r in raw), np.uint8)
+    sizes = np.array([len(r) + 1 for r in raw], np.int64)
+    first = np.cumsum(sizes + ORDER) - sizes
     coded = np.ones(len(data), bool)
     for n in range(1, ORDER + 1):
         coded[first - n] = False
@@ -179,10 +179,7 @@ class ByteModel:
                 long = long << 8 | data[at - n]
             apart = np.flatnonzero(self.rare[long >> 6] >> (long & 63).astype(np.uint64) & np.uint64(1))
             value[apart] = 0
-        out = np.zeros(len(texts))
-        some = np.flatnonzero(sizes)
-        if len(some):
-            out[some] = np.add.reduceat(value, np.cumsum(sizes[some]) - sizes[some], dtype=np.float64)
+        out = np.add.reduceat(value, np.cumsum(sizes) - sizes, dtype=np.float64) if len(texts) else np.zeros(0)
         return out, np.repeat(np.arange(len(texts)), sizes)[apart], long[apart], numbers[at][apart]
 
 
@@ -262,6 +259,25 @@ def rare_rows(rare: DataFrame, shorter: list[Counts], used: np.ndarray) -> DataF
     return rare.groupBy("context").agg(F.collect_list(F.struct("gram", "n")).alias("seen")).mapInArrow(run, "word binary, logs array<float>")
 
 
+def adaptive_score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """For each row of ``docs``: id, n_symbols and score, the log10 probability of the text under a model that starts
+    empty and learns each symbol after it is coded; code length in bits is -score / log10(2). A map over rows."""
+    kept = docs.select(id_column, text_column)
+
+    def make():
+        def each(batch: pa.RecordBatch) -> dict:
+            texts = texts_of(batch, text_column)
+            return {
+                id_column: batch.column(id_column),
+                "n_symbols": [len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts],
+                "score": [ContextTrie().log10_probability(t, adaptive=True) for t in texts],
+            }
+
+        return each
+
+    return map_texts(kept, make, f"{id_column} {kept.schema[id_column].dataType.simpleString()}, n_symbols long, score double", text_column)
+
+
 def word_counts(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """(word, n) over all texts; words are bytes with A-Z lower-cased, the end of each text the empty word."""
 
