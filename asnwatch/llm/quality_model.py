@@ -2,8 +2,9 @@
 partition-summed normal equations fit ridge scores, isotonic regression calibrates them.
 
 Contract for odd input: a null or empty text has statistics 0 and is scored like any other; rows
-without a label are not learned from; repeated rows are scored alike; without training rows every
-score is 0.5.
+without a label are not learned from; repeated rows are scored alike; of labelled rows that repeat an id one
+teaches, the one with the smallest statistics; of labels that repeat an id the largest holds; long texts are taken
+whole; without training rows every score is 0.5.
 """
 
 from __future__ import annotations
@@ -116,7 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_
 
     id_type = docs.schema[id_column].dataType.simpleString()
     joined = docs.select(id_column, text_column).join(F.broadcast(chosen), id_column)  # at most about `sample` ids
-    rows = checkpointed(map_texts(joined, make, f"{id_column} {id_type}, label int, stats array<double>", text_column, SLICE).repartition(SHARDS, id_column))
+    each_id = map_texts(joined, make, f"{id_column} {id_type}, label int, stats array<double>", text_column, SLICE).groupBy(id_column, "label").agg(F.min("stats").alias("stats"))
+    rows = checkpointed(each_id.repartition(SHARDS, id_column))
     rows = rows.withColumn("calibrates", F.floor(hash_fraction(id_column) * 1_000_003) % CALIBRATION == 0)
     moments = rows.select(*[f(F.col("stats")[i]).alias(f"{f.__name__}{i}") for i in range(width) for f in (F.avg, F.stddev_pop)]).first()
     rng = np.random.default_rng(SEED)

@@ -3,8 +3,9 @@
 Per-coordinate learning rates and L1 leave a short list of (hash, weight) pairs, which is broadcast.
 
 Contract for odd input: a null or empty text has no feature and gets the score of the bias alone;
-rows without a label are not learned from; repeated rows are scored alike; without training rows
-every score is 0.5.
+rows without a label are not learned from; repeated rows are scored alike; of labelled rows that repeat an id
+one teaches, the one with the smallest grams; of labels that repeat an id the largest holds; long texts are taken
+whole; without training rows every score is 0.5.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ EPOCHS = 8
 #: Bytes of text whose grams are held at a time.
 SLICE = 2 << 20
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 3.0, 0.0
-#: A hash must occur in so many sampled texts, and in this share of them, to be learned.
+#: A hash must occur in so many sampled texts to be learned; what of the others is of use is left to L1.
 LEAST_TEXTS = 2
-LEAST_SHARE = 0.0005
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _GRAMS = ((0,), (0, 1), (0, 2))
@@ -88,9 +88,11 @@ def weights_of(z: np.ndarray, n: np.ndarray, free: np.ndarray | bool = False) ->
 def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", sample_per_class: int = SAMPLE_PER_CLASS, epochs: int = EPOCHS) -> ToxicityModel:
     """Fit on texts whose id ``labels`` has. The sample is drawn by a hash of the id, at most about
     ``sample_per_class`` texts of each class, and rows are weighted back to the classes' shares. Each epoch,
-    SHARDS tasks go on from the same state over their rows and the states are averaged."""
-    known = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max(label_column).alias("label"))
-    sizes = {int(r[0]): r[1] for r in known.groupBy("label").count().collect()}
+    SHARDS tasks go on from the same state over their rows; what they change in a coordinate is averaged over
+    those of them that met it, so that rare coordinates move as far as frequent ones."""
+    toxic = (F.col(label_column) == 1).cast("int")
+    known = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max(toxic).alias("label"))
+    sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}  # two rows at most
     if not sizes:
         return ToxicityModel(np.zeros(0, np.uint32), np.zeros(0), 0.0)
     share = {k: min(1.0, sample_per_class / n) for k, n in sizes.items()}
@@ -108,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
 
     id_type = docs.schema[id_column].dataType.simpleString()
     rows = map_texts(sample, make, f"{id_column} {id_type}, label int, grams binary", text_column, SLICE)
-    rows = checkpointed(rows.repartition(SHARDS, id_column))
+    rows = checkpointed(rows.groupBy(id_column, "label").agg(F.min("grams").alias("grams")).repartition(SHARDS, id_column))
 
     def frequent(batches):
         for batch in batches:
@@ -117,8 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
                 h, c = np.unique(every[every >> 28 == part], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64))], names=["hash", "n"])
 
-    least = max(LEAST_TEXTS, LEAST_SHARE * rows.count())
-    kept = rows.mapInArrow(frequent, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    kept = rows.mapInArrow(frequent, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TEXTS)
     hashes = np.sort(kept.select("hash").toArrow()["hash"].to_numpy().astype(np.uint32))  # bounded by the sample
     prior = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
     z, n = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1)
@@ -141,15 +142,12 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
             z, n = z0.copy(), n0.copy()
             ftrl_pass([r for _, r in sorted(seen, key=lambda x: x[0])], z, n)
             moved = np.flatnonzero(n != n0)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(moved, -1)), pa.array(np.append((z - z0)[moved], 1.0)), pa.array(np.append((n - n0)[moved], 0.0))], names=["at", "dz", "dn"])
+            yield pa.RecordBatch.from_arrays([pa.array(moved), pa.array((z - z0)[moved]), pa.array((n - n0)[moved])], names=["at", "dz", "dn"])
 
-        moves = rows.mapInArrow(run, "at long, dz double, dn double").groupBy("at").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn")).toArrow()
+        moves = rows.mapInArrow(run, "at long, dz double, dn double").groupBy("at").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toArrow()
         at, dz, dn = (moves[c].to_numpy() for c in ("at", "dz", "dn"))
-        shards = max(dz[at == -1].sum(), 1.0)
-        real = at >= 0
-        z[at[real]] += dz[real] / shards
-        n[at[real]] += dn[real] / shards
+        z[at] += dz
+        n[at] += dn
     w = weights_of(z, n, np.arange(len(z)) == len(z) - 1)
     some = np.flatnonzero(w[:-1])
     return ToxicityModel(hashes[some], w[some], float(w[-1]))
