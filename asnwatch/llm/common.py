@@ -36,12 +36,27 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         start = end
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, text: str = "text", most: int = SLICE_BYTES) -> DataFrame:
+#: What this Python worker keeps for its next tasks, one large object at most.
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """The object of that name that this worker keeps, made if it keeps none or another one."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def map_texts(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, text: str = "text", most: int = SLICE_BYTES, holds: str = "") -> DataFrame:
     """mapInArrow over slices of bounded size. ``make`` runs once for each task and returns the
-    batch function, which maps a record batch to columns in the order of ``schema``."""
+    batch function, which maps a record batch to columns in the order of ``schema``. What a worker keeps
+    from another operator than the one that ``holds`` it is dropped first."""
     kind = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if holds not in _held:
+            _held.clear()
         each = make()
         for batch in batches:
             for part in slices(batch, text, most):
@@ -135,4 +150,4 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["checkpointed", "ddl", "few_tasks", "hash_fraction", "id_bucket", "largest", "map_texts", "read", "release", "sample_to", "slices", "small_batches", "texts_of"]
+__all__ = ["checkpointed", "ddl", "few_tasks", "hash_fraction", "held", "id_bucket", "largest", "map_texts", "read", "release", "sample_to", "slices", "small_batches", "texts_of"]

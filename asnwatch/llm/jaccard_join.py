@@ -156,7 +156,7 @@ def _star_pairs(rows: DataFrame, n_rows: int, threshold: float) -> DataFrame:
     largest = each.groupBy("key").agg(F.max_by(F.struct("comp", "first"), F.struct("n", -F.col("comp"))).alias("top"), F.count("*").alias("n_comps")).filter("n_comps > 1")
     both = each.join(few_tasks(largest, n_rows), "key").filter(F.col("comp") != F.col("top.comp"))
     flat = both.select("first.*", *[F.col(f"top.first.{c}").alias(f"{c}_") for c in ("node", *_SKETCH)]).filter(_alike(threshold))
-    return few_tasks(flat.select(F.col("node_").alias("a"), F.col("node").alias("b")), n_rows).distinct()
+    return few_tasks(flat.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")), n_rows).distinct()
 
 
 def _mixed(rows: DataFrame, n_rows: int) -> DataFrame:
@@ -372,7 +372,8 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "
     inner = checkpointed(few_tasks(nodes.join(side, F.col("node") == F.col("wanted"), "left_semi").drop("set_key"), n_wanted))
     sets = _sets(named, inner.select("node", "rep"), n_wanted)
 
-    found: DataFrame | None = None  # all links so far
+    found: DataFrame | None = None  # all links so far, and all pairs looked at
+    asked: DataFrame | None = None
     roots: DataFrame | None = None
 
     def forest(depth: int, trees: range) -> tuple[DataFrame, int]:
@@ -380,23 +381,38 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "
         placed = sketch.withColumn("comp", F.col("node")) if roots is None else sketch.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         return few_tasks(_trie_nodes(placed, depth, trees), n_wanted * len(trees)), n_wanted * len(trees)
 
-    def add(links: DataFrame) -> None:
-        nonlocal found, roots
-        if not links.isEmpty():
-            found = links if found is None else found.union(links)
-            chains = links.select("a", "b")
-            roots = components(chains if roots is None else chains.union(roots.filter("node <> root").select("root", "node")))
-
-    steps = [(_star_pairs, DEPTH, range(1)), (_star_pairs, DEPTH, range(TREES)), *[(_rest_pairs, k, range(TREES)) for k in range(DEPTH, floor - 1, -1)]]
-    for make_pairs, depth, trees in steps if n_wanted else []:
-        pairs = checkpointed(few_tasks(make_pairs(*forest(depth, trees), threshold), n_wanted))
-        n_pairs = pairs.count()
-        if n_pairs:
-            add(checkpointed(_verified(pairs, n_pairs, sets, threshold)))
-        if make_pairs is _rest_pairs and (found is None or measured_recall(found, threshold, depth) >= TARGET_RECALL):
-            break
+    def merge(links: DataFrame) -> None:
+        nonlocal roots
+        chains = links.select("a", "b")
+        roots = components(chains if roots is None else chains.union(roots.filter("node <> root").select("root", "node")))
+
+    def verified(pairs: DataFrame) -> DataFrame | None:
+        """The links among pairs not asked for before, none if there are no such pairs; they count as found."""
+        nonlocal asked, found
+        if asked is not None:
+            pairs = few_tasks(pairs, n_wanted).join(few_tasks(asked, n_wanted), ["a", "b"], "left_anti")
+        pairs = checkpointed(few_tasks(pairs, n_wanted))
+        asked = pairs if asked is None else asked.union(pairs)
+        if not (n_pairs := pairs.count()):
+            return None
+        links = checkpointed(_verified(pairs, n_pairs, sets, threshold))
+        found = links if found is None else found.union(links)
+        return links
+
     if n_wanted:
-        add(crowded_links(*forest(depth, range(TREES)), sets, threshold))
+        for trees in (range(1), range(TREES)):
+            if (links := verified(_star_pairs(*forest(DEPTH, trees), threshold))) is not None:
+                merge(links)
+        merged = found
+        for depth in range(DEPTH, floor - 1, -1):
+            verified(_rest_pairs(*forest(depth, range(TREES)), threshold))
+            if depth == floor or found is None or measured_recall(found, threshold, depth) >= TARGET_RECALL:
+                break
+        if found is not merged:
+            merge(found)
+        crowded = crowded_links(*forest(depth, range(TREES)), sets, threshold)
+        if not crowded.isEmpty():
+            merge(crowded)
 
     each = nodes.select("set_key", "node", "rep")
     if roots is None:

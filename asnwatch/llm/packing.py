@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -22,14 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from asnwatch.llm.common import checkpointed, map_texts
+from asnwatch.llm.common import checkpointed, held, map_texts
 
 CAPACITY = 4096
 END = 1
 #: Chunks (words with what clings to them) whose ids a worker remembers, words encoded in one call, and bytes of text taken at a time.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 AT_ONCE = 2_000
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Chunks that are learned at a time.
+LESSON = 40_000
 _RANK_BITS = 44
 
 
@@ -93,7 +94,9 @@ class CachedTokenizer:
             self.forget()
         found = pa.compute.index_in(chunks.dictionary, self.known)
         if found.null_count:
-            self.learn(chunks.dictionary.filter(found.is_null()))
+            fresh = chunks.dictionary.filter(found.is_null())
+            for start in range(0, len(fresh), LESSON):
+                self.learn(fresh.slice(start, LESSON))
             found = pa.compute.index_in(chunks.dictionary, self.known)
         number = found.to_numpy()[chunks.indices.to_numpy()]
         size = self.size[number]
@@ -110,12 +113,6 @@ def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - before, size) + np.arange(size.sum())
 
 
-@lru_cache(1)
-def shared_tokenizer(path: str) -> CachedTokenizer:
-    """One for each Python worker, so that its tasks share the remembered words."""
-    return CachedTokenizer(path)
-
-
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -129,7 +126,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     kept = docs.select(id_column, text_column)
 
     def make():
-        model = shared_tokenizer(path)
+        model = held(f"tokenizer {path}", lambda: CachedTokenizer(path))
         task = TaskContext.get().partitionId()
         counted = np.zeros(capacity + 1, np.int64)
 
@@ -148,7 +145,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
 
         return each
 
-    return map_texts(kept, make, f"{id_column} {kept.schema[id_column].dataType.simpleString()}, piece int, start long, length int, ids_crc32 long, task int, nth long", text_column, SLICE)
+    return map_texts(kept, make, f"{id_column} {kept.schema[id_column].dataType.simpleString()}, piece int, start long, length int, ids_crc32 long, task int, nth long", text_column, SLICE, f"tokenizer {path}")
 
 
 class SumIndex:

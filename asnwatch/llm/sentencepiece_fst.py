@@ -15,14 +15,13 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from asnwatch.llm.common import map_texts, texts_of
+from asnwatch.llm.common import held, map_texts, texts_of
 
 MARK = "▁"
 #: Segments and pairs of pieces that a worker remembers.
@@ -187,10 +186,9 @@ class PieceTransducer:
         return raw.decode("utf-8", "replace")
 
 
-@lru_cache(1)
 def shared_transducer(path: str) -> PieceTransducer:
     """One for each Python worker, so that its tasks share what it remembers."""
-    return PieceTransducer(path)
+    return held(f"transducer {path}", lambda: PieceTransducer(path))
 
 
 def encode(docs: DataFrame, model: str | None = None, digest: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -221,7 +219,7 @@ def encode(docs: DataFrame, model: str | None = None, digest: bool = False, id_c
         return each
 
     columns = "n_ids long, n_byte_ids long, ids_crc32 long, round_trip boolean" if digest else "ids array<int>"
-    return map_texts(kept, make, f"{id_column} {id_type}, {columns}", text_column)
+    return map_texts(kept, make, f"{id_column} {id_type}, {columns}", text_column, holds=f"transducer {path}")
 
 
 def decode(encoded: DataFrame, model: str | None = None, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
