@@ -2,6 +2,9 @@ import math
 import random
 import re
 from collections import Counter
+from functools import lru_cache
+from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -46,6 +49,31 @@ def test_license_contract(spark, tmp_path):
     assert got[len(texts) - 1].labels == "gpl-3"
 
 
+def test_notices_by_brute_force():
+    rng = random.Random(21)
+    every = {**licenses.BASE_PHRASES, **licenses.NOTICE_PHRASES}
+    vocabulary = [w for p in ("cc by nc sa", "gnu general public license version 2 3", "creative commons attribution sharealike") for w in p.split()]
+    machine = licenses.automaton()
+    for _ in range(200):
+        words = rng.choices(vocabulary, k=40) + rng.choice(list(every)).split() + ["x"] + rng.choice(list(every)).split()
+        spans = [(s, s + len(p.split()) - 1, label, p in licenses.BASE_PHRASES) for p, label in every.items() for s in range(len(words)) if words[s : s + len(p.split())] == p.split()]
+        want = [x for x in spans if x[3] or not any(y[0] <= x[0] and x[1] <= y[1] and y[1] - y[0] > x[1] - x[0] for y in spans)]
+        assert sorted(licenses.notices(f" {' '.join(words)} ", machine)) == sorted(want)
+
+
+def test_license_scan_is_linear_in_notices(spark):
+    rows = [(i, "cc by nc x " * n) for i, n in enumerate((1, 60_000))]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("doc_id", "size(spans) as n", "spans[size(spans) - 1] as last").collect()}
+    assert (got[0].n, got[1].n, got[1].last["first"]) == (1, 60_000, 4 * 59_999)
+
+
+def test_tags_give_expressions(spark):
+    texts = ["/* SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception */", "é SPDX License\nIdentifier:\tZlib\nMIT", "spdx-license-identifier", "SPDX-License-Identifier: LGPL-2.1 OR MIT\r\nSPDX-License-Identifier: MPL-2.0"]
+    got = {r.doc_id: r for r in licenses.license_scan(docs_of(spark, texts)).collect()}
+    assert [got[i].labels for i in range(4)] == [["apache-2"], ["zlib"], [], ["lgpl", "mit", "mpl"]]
+    assert [got[i].expression for i in range(4)] == ["(apache-2.0 with llvm-exception)", "(zlib)", None, "(lgpl-2.1 or mit) AND (mpl-2.0)"]
+
+
 @pytest.mark.parametrize(
     ("expression", "postfix"),
     [("MIT", "MIT"), ("A or B and C", "A B C and or"), ("(A OR B) AND C", "A B or C and"), ("A WITH x OR B", "A x with B or"), ("A B", None), ("(A", None), ("A)", None), ("AND A", None), ("", None), ("()", None)],
@@ -98,7 +126,8 @@ def test_lattice_sums_all_segmentations():
     def brute(word, lang):
         return 1.0 if not word else sum(prob[number[word[:n]], lang] * brute(word[n:], lang) for n in range(1, len(word) + 1) if word[:n] in number)
 
-    words = [b" abc", b" a", b"abcabc", b" x", b"abab"]
+    words = [b" abc", b" a", b"abcabc", b" x", b"abab", b"abcbcababcab" * 3]  # the last is longer than a rescaled stretch
+    brute = lru_cache(None)(brute)
     got = lattice.log_probability(words, prob)
     want = np.log([[brute(w, k) for k in range(2)] for w in words])
     assert np.allclose(got, want)
@@ -111,6 +140,24 @@ def test_lattice_sums_all_segmentations():
     assert np.allclose(counts[i], (lattice.log_probability(words, more) - got).sum(axis=0) / 1e-6, rtol=1e-3)
 
 
+def test_long_words_are_summed_whole():
+    """A word's probability by a plain forward algorithm in logarithms, over more bytes than doubles could hold."""
+    pieces = sorted([bytes([b]) for b in range(256)] + ["до".encode(), "примеч".encode(), " дост".encode(), "ательностями".encode()])
+    prob = np.random.default_rng(1).dirichlet(np.ones(len(pieces)), 2).T
+    number = {p: i for i, p in enumerate(pieces)}
+    for word in ("достопримечательностями", "достопримечательностями" * 40):
+        raw = b" " + word.encode()
+        total = np.full((len(raw) + 1, 2), -np.inf)
+        total[0] = 0
+        for end in range(1, len(raw) + 1):
+            for start in range(max(0, end - 24), end):
+                if raw[start:end] in number:
+                    total[end] = np.logaddexp(total[end], total[start] + np.log(prob[number[raw[start:end]]]))
+        assert np.allclose(langid.Lattice(pieces).log_probability([b" x", raw], prob)[1], total[-1])
+        counts = langid.Lattice(pieces).expected_counts([raw], np.ones((1, 2)), prob)
+        assert np.allclose((counts * np.array([len(p) for p in pieces])[:, None]).sum(axis=0), len(raw))
+
+
 def test_language_contract(spark, tmp_path):
     rng = random.Random(2)
     parts = {"en": ["the", "ing", "and", "tion"], "de": ["der", "sch", "ung", "ich"]}
@@ -156,6 +203,68 @@ def test_models_without_rows(spark):
     assert [r.score for r in quality_model.score(docs, quality_model.train(docs, none)).collect()] == [0.5, 0.5]
 
 
+def test_ftrl_against_one_coordinate_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARDS", 1)
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["vile", "calm", "sea", "sky", "tree", "stone"][(0 if i % 4 == 0 else 1) :]) for _ in range(8))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, rows[4]], "doc_id long, text string")  # one row twice
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, epochs=3)
+
+    features = {i: sorted(set(toxicity.grams([t])[0].tolist())) for i, t in rows}
+    held = Counter(h for f in features.values() for h in f)
+    prior = 15.5 / 61
+    z, n = {"bias": -math.log(prior / (1 - prior)) * (toxicity.BETA + 1) / toxicity.ALPHA}, {"bias": 1.0}
+
+    def weight(k):
+        l1 = 0.0 if k == "bias" else toxicity.L1
+        if abs(z.get(k, 0.0)) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((toxicity.BETA + math.sqrt(n.get(k, 0.0))) / toxicity.ALPHA)
+
+    for epoch in range(3):
+        for i in sorted(features, key=lambda i: crc32(f"{epoch} {i}".encode())):
+            keys = [h for h in features[i] if held[h] >= toxicity.LEAST_TEXTS] + ["bias"]
+            w = {k: weight(k) for k in keys}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - int(i % 4 == 0)
+            for k in keys:
+                old = n.get(k, 0.0)
+                n[k] = old + g * g
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n[k]) - math.sqrt(old)) / toxicity.ALPHA * w[k]
+    want = {k: weight(k) for k in z if k != "bias" and weight(k)}
+    assert dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True)) == pytest.approx(want)
+    assert model.bias == pytest.approx(weight("bias"))
+
+
+def test_quality_model_against_one_solution(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(["good", "words", "#$%", "A!"][: 2 if i % 3 else 4]) * rng.randrange(1, 4) for _ in range(rng.randrange(5, 40)))) for i in range(90)]
+    docs = spark.createDataFrame([*rows, rows[7]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int")
+    model = quality_model.train(docs, labels)
+    part = {r.doc_id: r.p for r in labels.select("doc_id", (F.floor(quality_model.hash_fraction("doc_id") * 1_000_003) % quality_model.CALIBRATION).alias("p")).collect()}
+    x, y = np.array([quality_model.statistics(t) for _, t in rows]), np.array([float(i % 3 > 0) for i, _ in rows])
+    rng = np.random.default_rng(quality_model.SEED)
+    frequencies, phases = rng.normal(0, quality_model.SCALE, (x.shape[1], quality_model.FEATURES)), rng.uniform(0, 2 * np.pi, quality_model.FEATURES)
+    deviation = np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1)
+    features = lambda x: np.hstack([np.cos(np.clip((x - x_mean) / deviation, -8, 8) @ frequencies + phases) * np.sqrt(2 / quality_model.FEATURES), np.ones((len(x), 1))])
+    x_mean = x.mean(axis=0)
+    fits = np.array([part[i] != 0 for i, _ in rows])
+    f = features(x[fits])
+    penalty = np.eye(f.shape[1]) * quality_model.RIDGE
+    penalty[-1, -1] = 1e-6
+    weights = np.linalg.solve(f.T @ f + penalty, f.T @ y[fits])
+    assert np.allclose(features(x) @ weights, model.raw(x), atol=1e-5)
+    # Calibration: the levels are the isotonic fit of the bins' means, found here by the min-max formula.
+    bins = np.floor(np.clip(features(x[~fits]) @ weights, -0.5, 1.5) * quality_model.BINS / 2)
+    found = sorted(set(bins))
+    mean = lambda a, b: y[~fits][np.isin(bins, found[a : b + 1])].mean()
+    levels = [max(min(mean(a, b) for b in range(k, len(found))) for a in range(k + 1)) for k in range(len(found))]
+    assert np.allclose(levels, model.levels)
+    got = {r.doc_id: r.score for r in quality_model.score(docs, model).collect()}
+    assert np.allclose([got[i] for i, _ in rows], np.interp(model.raw(x), (np.array(found) + 0.5) * 2 / quality_model.BINS, levels) * 0.99 + np.clip(model.raw(x), 0, 1) * 0.01)
+
+
 def test_isotonic():
     y = quality_model.isotonic(np.array([1.0, 0.0, 2.0, 1.0, 3.0]), np.ones(5))
     assert y.tolist() == [0.5, 0.5, 1.5, 1.5, 3.0]
@@ -185,8 +294,6 @@ def test_sentencepiece_query(spark, tmp_path):
 
 
 def test_packing_contract(spark, tmp_path):
-    from zlib import crc32
-
     from tokenizers import Tokenizer
 
     rng = random.Random(5)
@@ -227,6 +334,21 @@ def test_packing_plan_uses_each_piece_once(seed):
     assert used.tolist() == counts.tolist()
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_sum_index_against_all_combinations(seed):
+    rng = random.Random(seed)
+    counts = np.array([0, *(rng.choice([0, 0, 0, 1, 2]) for _ in range(25))])
+    index = packing.SumIndex(counts)
+    while counts.any():
+        pool = [x for x in range(len(counts)) for _ in range(counts[x])]
+        sums = {sum(c): len(c) for k in (3, 2, 1) for c in combinations(pool, k)}
+        for total in range(1, len(counts)):
+            found = index.find(total)
+            assert (found is None) == (total not in sums)
+            assert found is None or (sum(found) == total and len(found) == sums[total] and not Counter(found) - Counter(pool))
+        counts[rng.choice(pool)] -= 1  # the index follows what is taken
+
+
 def test_ppm_table_against_trie(spark):
     rng = random.Random(6)
     texts = ["".join(rng.choices("abé c", k=rng.randrange(0, 30))) for _ in range(40)] + [None]
@@ -234,7 +356,7 @@ def test_ppm_table_against_trie(spark):
     for text in texts:
         raw = (text or "").encode()
         history = bytes([ppm.EDGE] * ppm.ORDER)
-        for symbol in [*raw, ppm.EDGE] if raw else []:
+        for symbol in [*raw, ppm.EDGE]:
             trie.learn(history, symbol)
             history = (history + bytes([symbol]))[1:]
     model = ppm.byte_model(ppm.gram_counts(docs_of(spark, texts)))
@@ -253,7 +375,7 @@ def test_ppm_scores_in_contexts_beyond_the_table(spark, monkeypatch):
     for text in texts[:50]:
         raw = (text or "").encode()
         history = bytes([ppm.EDGE] * ppm.ORDER)
-        for symbol in [*raw, ppm.EDGE] if raw else []:
+        for symbol in [*raw, ppm.EDGE]:
             trie.learn(history, symbol)
             history = (history + bytes([symbol]))[1:]
     assert sum(len(c) == ppm.ORDER for c in trie.counts) > 100
@@ -262,8 +384,6 @@ def test_ppm_scores_in_contexts_beyond_the_table(spark, monkeypatch):
 
 
 def test_lm_contract(spark, tmp_path):
-    from zlib import crc32
-
     rng = random.Random(7)
     texts = [*ODD] + [" ".join(rng.choice(["Alpha", "beta", "gamma", f"rare{i}"]) for _ in range(20)) for i in range(100)]
     got = {r.doc_id: r for r in queries.op9_ppm_scoring(spark, tables(spark, tmp_path, texts)).collect()}
@@ -284,4 +404,29 @@ def test_lm_without_training_rows(spark):
     rows = {r.doc_id: r for r in ppm.score(docs, F.lit(False)).collect()}
     assert (rows[0].n_tokens, rows[0].n_known, rows[0].train_tokens) == (2, 0, 0)
     assert rows[0].score == pytest.approx(-3 * math.log10(256))
-    assert rows[1].score == 0
+    assert rows[1].score == pytest.approx(-math.log10(256))
+
+
+def test_lm_adaptive_score(spark):
+    texts = ["abababababab" * 5, "the cat", "", None]
+    got = {r.doc_id: r for r in ppm.adaptive_score(docs_of(spark, texts)).collect()}
+
+    def coded(text):  # escapes and exclusion worked out anew from all that came before
+        raw, total = [255] * 3 + list((text or "").encode()) + [255], 0.0
+        for at in range(3, len(raw)):
+            p, out = 1.0, set()
+            for n in (3, 2, 1, 0):
+                seen = Counter(raw[i] for i in range(3, at) if raw[i - n : i] == raw[at - n : at] and raw[i] not in out)
+                if raw[at] in seen:
+                    p *= seen[raw[at]] / (seen.total() + len(seen))
+                    break
+                if seen:
+                    p *= len(seen) / (seen.total() + len(seen))
+                    out |= set(seen)
+            else:
+                p /= 256 - len(out)
+            total += math.log10(p)
+        return total
+
+    assert [got[i].score for i in range(4)] == pytest.approx([coded(t) for t in texts])
+    assert [got[i].n_symbols for i in range(4)] == [61, 8, 1, 1]
