@@ -1,11 +1,13 @@
 import math
 import random
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from asnwatch.llm import hamming_search, jaccard_join, queries
+from asnwatch.llm import common, hamming_search, jaccard_join, langid, packing, quality_model, queries
 
 
 def near(spark, rows, **options):
@@ -170,6 +172,18 @@ def test_search_against_brute_force(spark, tmp_path):
     assert got == brute(vectors, 10)
 
 
+def test_search_folds_vectors_of_other_lengths(spark):
+    rng = np.random.default_rng(4)
+    for size in (40, 64, 150):
+        vectors = [(i, rng.normal(size=size).round(3).tolist()) for i in range(60)]
+        df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").selectExpr("*", "1 as id", "2 as code", "3 as rank", "4 as distance", "'x' as segment")
+        got = {}
+        for r in sorted(hamming_search.top_k(df, df.filter("vec_id % 50 = 0"), k=5).collect(), key=lambda r: (r.query_id, r.rank)):
+            got.setdefault(r.query_id, []).append((r.neighbour_id, r.distance))
+        folded = [(i, [sum(v[b::64]) if b < size else 0.0 for b in range(64)]) for i, v in vectors]
+        assert got == brute(folded, 5)
+
+
 def test_search_over_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, -1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     rows = hamming_search.top_k(df, df.filter("vec_id = 0"), k=3, bits=2).collect()
@@ -177,6 +191,32 @@ def test_search_over_few_rows(spark):
     assert hamming_search.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def kept_by_brute_force(spark, name, rows, path):
+    """Ids that a stage keeps of ``rows`` (doc_id, text, lang), by loops over texts with the models that it trains."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = [t or "" for _, t, _ in rows]
+    if name == "quality":
+        model = quality_model.train(docs, common.read(spark, path, "labels").filter(common.id_bucket(3) != 1))
+        return [i for (i, *_), score in zip(rows, model.score(np.array([quality_model.statistics(t) for t in texts])), strict=True) if score >= 0.5]
+    if name == "language":
+        model = langid.train(docs.filter(common.id_bucket(4) != 2))
+        lattice, kept = langid.Lattice(list(model.pieces)), []
+        for (i, *_), text in zip(rows, texts, strict=True):
+            words = langid.words_of(text)
+            if words:
+                total = lattice.log_probability(words, model.probability).sum(axis=0)
+                if 1 / np.exp(total - total.max()).sum() >= 0.5:
+                    kept.append(i)
+        return kept
+    sets = [set(jaccard_join.shingles(t).tolist()) for t in texts]
+    class_of = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            if rows[x][:2] == rows[y][:2] or (sets[x] and sets[y] and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])):
+                class_of = [class_of[y] if c == class_of[x] else c for c in class_of]
+    return [min(rows[x][0] for x in range(len(rows)) if class_of[x] == c) for c in set(class_of)]
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(11)
     parts = {"en": ["the", "ing", "and", "tion", "er"], "de": ["der", "sch", "ung", "ich", "ver"]}
@@ -195,19 +235,53 @@ def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{path}/documents.parquet")
     seen = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
         docs = stage(spark, docs, path)
         docs.write.parquet(f"{path}/{name}")
         docs = spark.read.parquet(f"{path}/{name}")
         assert docs.columns == ["doc_id", "text", "lang", "source", "score", "lang_pred"]
         seen.append(sorted(r.doc_id for r in docs.collect()))
+        assert seen[-1] == sorted(kept_by_brute_force(spark, name, before, path))
     good = {i for i, q, _ in labels if q}
     assert good <= set(seen[0])
     assert not {i for i, q, _ in labels if not q} & set(seen[0])
     assert good <= set(seen[1])
     assert not {1002, 1003} & set(seen[1])
     assert seen[2] == sorted(good)
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, path).collect()
-    assert {r.doc_id for r in packed} == good
-    total = sum(r.length for r in packed)
-    assert len({r.sequence_id for r in packed}) <= math.ceil(total / 4096) + 1
-    assert {r.doc_id for r in corpus_pipeline.run(spark, path).collect()} == good
+    model = Tokenizer.from_file(packing.tokenizer_path())
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = {i: [*model.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
+    for packed in (corpus_pipeline.STAGES[-1][1](spark, docs, path).collect(), corpus_pipeline.run(spark, path).collect()):
+        assert {(r.doc_id, r.start, r.length, r.ids_crc32) for r in packed} == {(i, 0, len(x), crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+        for sequence in {r.sequence_id for r in packed}:
+            place = 0
+            for r in sorted((r for r in packed if r.sequence_id == sequence), key=lambda r: r.offset):
+                assert r.offset == place
+                place += r.length
+            assert place <= 4096
+        assert len({r.sequence_id for r in packed}) <= math.ceil(sum(r.length for r in packed) / 4096) + 1
+
+
+def test_all_queries_over_empty_tables(spark, tmp_path):
+    path = str(tmp_path)
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("embeddings", "vec_id long, embedding array<float>")):
+        spark.createDataFrame([], schema).write.parquet(f"{path}/{name}.parquet")
+    for query in (*queries.QUERIES.values(), corpus_pipeline.run):
+        assert query(spark, path).collect() == []
+
+
+def test_clashing_columns_change_nothing(spark, tmp_path):
+    """Extra columns with the names of results and inner columns."""
+    rng = random.Random(17)
+    rows = [(i, " ".join(rng.choices(["the", "and", "der", "und", "MIT", "License", "#"], k=rng.randrange(3, 60))), "en" if i % 2 else "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    vectors = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(64)]) for i in range(60)], "vec_id long, embedding array<double>")
+    labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    found = []
+    for extra in ((), ("score", "label", "node", "class_id", "piece", "length", "word", "n", "task", "code", "rank", "kept", "held_out", "lang_pred", "stats", "grams", "id", "comp", "_id")):
+        path = str(tmp_path / str(len(extra)))
+        for name, df in (("documents", docs), ("embeddings", vectors), ("labels", labels)):
+            df.selectExpr("*", *[f"'clash' as {c}" for c in extra]).write.parquet(f"{path}/{name}.parquet")
+        found.append({name: sorted(map(str, query(spark, path).collect())) for name, query in queries.QUERIES.items() if name != "op8_best_fit_packing"})
+        found[-1]["op8"] = sorted((r.doc_id, r.length, r.ids_crc32) for r in queries.op8_best_fit_packing(spark, path).collect())
+    assert found[0] == found[1]
