@@ -143,6 +143,11 @@ def _alike(threshold: float, suffix: str = "_") -> Column:
     return (F.least(size, other) >= threshold * F.greatest(size, other)) & (differ <= most_bits(threshold))
 
 
+def _merge(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join: where both sides are small, a broadcast of one would cost the driver more than it saves."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _components_by_key(rows: DataFrame, n_rows: int) -> DataFrame:
     """(key, comp, n, first): the components under each key, their sizes and smallest nodes with their sketches."""
     first = F.min_by(F.struct("node", *_SKETCH), "node").alias("first")
@@ -154,7 +159,7 @@ def _star_pairs(rows: DataFrame, n_rows: int, threshold: float) -> DataFrame:
     every other one. So links point to few nodes and components stay shallow."""
     each = _components_by_key(rows, n_rows)
     largest = each.groupBy("key").agg(F.max_by(F.struct("comp", "first"), F.struct("n", -F.col("comp"))).alias("top"), F.count("*").alias("n_comps")).filter("n_comps > 1")
-    both = each.join(few_tasks(largest, n_rows), "key").filter(F.col("comp") != F.col("top.comp"))
+    both = _merge(each, largest, "key").filter(F.col("comp") != F.col("top.comp"))
     flat = both.select("first.*", *[F.col(f"top.first.{c}").alias(f"{c}_") for c in ("node", *_SKETCH)]).filter(_alike(threshold))
     return few_tasks(flat.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")), n_rows).distinct()
 
@@ -172,10 +177,10 @@ def _rest_pairs(rows: DataFrame, n_rows: int, threshold: float) -> DataFrame:
     """All pairs (a, b) of different components under keys of at most CROWD nodes that their sketches do not rule
     out. Pairs with equal next labels meet under a longer prefix already."""
     keys = _mixed(rows, n_rows).filter(F.col("n") <= CROWD).select("key")
-    inside = few_tasks(few_tasks(rows, n_rows).join(few_tasks(keys, n_rows), "key"), n_rows)
+    inside = few_tasks(_merge(few_tasks(rows, n_rows), keys, "key"), n_rows)
     other = inside.select("key", *[F.col(c).alias(f"{c}_") for c in ("node", "comp", "next", *_SKETCH)])
     fresh = F.col("next").isNull() | (F.col("next") != F.col("next_"))
-    pairs = inside.join(other, "key").filter((F.col("comp") != F.col("comp_")) & (F.col("node") < F.col("node_")) & fresh & _alike(threshold))
+    pairs = _merge(inside, other, "key").filter((F.col("comp") != F.col("comp_")) & (F.col("node") < F.col("node_")) & fresh & _alike(threshold))
     return few_tasks(pairs.select(F.col("node").alias("a"), F.col("node_").alias("b")), n_rows).distinct()
 
 
@@ -223,7 +228,7 @@ def crowded_links(rows: DataFrame, n_rows: int, sets: DataFrame, threshold: floa
     component to each other component that it has links to. Both sides are cut into blocks by a hash of the node,
     each two blocks are a group of their own, and pairs are never rows."""
     keys = _mixed(rows, n_rows).filter(F.col("n") > CROWD).select("key", "largest", _blocks("n", "bytes").alias("wide"), _blocks("few", "few_bytes").alias("high"))
-    inside = rows.join(few_tasks(keys, n_rows), "key").select("key", "node", "comp", "largest", "wide", "high")
+    inside = _merge(rows, keys, "key").select("key", "node", "comp", "largest", "wide", "high")
     block = lambda n: F.expr(f"cast(pmod(xxhash64(node), {n}) as int)")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = inside.select("key", "node", "comp", F.lit(False).alias("asks"), block("wide").alias("i"), every("high").alias("j"))
@@ -246,7 +251,7 @@ def crowded_links(rows: DataFrame, n_rows: int, sets: DataFrame, threshold: floa
             x, y = x[first], y[first]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a][x], node[b][y], similarity[x, y])], names=["a", "b", "similarity"])
 
-    dealt = left.union(right).join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = _merge(left.union(right), sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     with small_batches(rows.sparkSession):
         return checkpointed(few_tasks(dealt.mapInArrow(run, "a long, b long, similarity double").distinct(), n_rows))
 
@@ -254,11 +259,11 @@ def crowded_links(rows: DataFrame, n_rows: int, sets: DataFrame, threshold: floa
 def _verified(pairs: DataFrame, n_pairs: int, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): the pairs whose exact Jaccard similarity reaches the threshold."""
     if n_pairs <= BROADCAST_IDS // 2:  # only their sets are sent
-        asked = few_tasks(pairs, n_pairs).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = few_tasks(few_tasks(pairs, n_pairs).select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n_pairs)
         sets = sets.join(F.broadcast(asked), "node", "left_semi")
     side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
-    left = few_tasks(few_tasks(pairs, n_pairs).join(side("b"), "b"), n_pairs, TASK_PAIRS)
-    both = few_tasks(left.join(side("a"), "a"), n_pairs, TASK_PAIRS)
+    left = few_tasks(_merge(few_tasks(pairs, n_pairs), side("b"), "b"), n_pairs, TASK_PAIRS)
+    both = few_tasks(_merge(left, side("a"), "a"), n_pairs, TASK_PAIRS)
     both = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b"))).withColumn("all", F.size("set_a") + F.size("set_b") - F.col("common"))
     return both.filter(F.col("common") >= threshold * F.col("all")).select("a", "b", (F.col("common") / F.col("all")).alias("similarity"))
 
@@ -280,7 +285,7 @@ def components(links: DataFrame) -> DataFrame:
     def pulled(edges: DataFrame) -> DataFrame:
         """Edges (u, v) become (v, least neighbour of u)."""
         least = edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return few_tasks(edges.join(few_tasks(least, n), "u"), n)
+        return few_tasks(_merge(edges, least, "u"), n)
 
     edges = few_tasks(links, n).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     edges, before = checkpointed(few_tasks(edges, n)), None
@@ -316,9 +321,9 @@ def link_counts(roots: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     """(node, n_links): for each node of ``roots`` (node, root), the nodes of its component whose exact similarity
     reaches the threshold. Components are cut into blocks by a hash of the node, and each two blocks of one are a
     group of their own, so a large component is spread and its pairs are never rows."""
-    members = checkpointed(roots.join(sets, "node"))
+    members = checkpointed(_merge(roots, sets, "node"))
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("shingles") * 8).alias("bytes")).select("root", _blocks("n", "bytes").alias("blocks"))
-    own = members.join(sizes, "root").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    own = _merge(members, sizes, "root").withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = each.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "shingles")
 
@@ -349,7 +354,7 @@ def _sets(named: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
 
     side = wanted.select("node", F.col("rep.id").alias("id"), F.col("rep.text_hash").alias("text_hash"))
     texts = named.join(F.broadcast(side) if n_wanted <= BROADCAST_IDS else side, ["id", "text_hash"]).select("node", "text")
-    return checkpointed(map_texts(texts, make, "node long, shingles array<long>").dropDuplicates(["node"]))
+    return checkpointed(few_tasks(map_texts(texts, make, "node long, shingles array<long>").dropDuplicates(["node"]), n_wanted, TASK_PAIRS))
 
 
 def classified(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -378,7 +383,7 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "
 
     def forest(depth: int, trees: range) -> tuple[DataFrame, int]:
         sketch = inner.select("node", "signature", *_SKETCH)
-        placed = sketch.withColumn("comp", F.col("node")) if roots is None else sketch.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        placed = sketch.withColumn("comp", F.col("node")) if roots is None else few_tasks(_merge(sketch, roots, "node", "left"), n_wanted).withColumn("comp", F.coalesce("root", "node")).drop("root")
         return few_tasks(_trie_nodes(placed, depth, trees), n_wanted * len(trees)), n_wanted * len(trees)
 
     def merge(links: DataFrame) -> None:
@@ -390,7 +395,7 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "
         """The links among pairs not asked for before, none if there are no such pairs; they count as found."""
         nonlocal asked, found
         if asked is not None:
-            pairs = few_tasks(pairs, n_wanted).join(few_tasks(asked, n_wanted), ["a", "b"], "left_anti")
+            pairs = _merge(few_tasks(pairs, n_wanted), few_tasks(asked, n_wanted), ["a", "b"], "left_anti")
         pairs = checkpointed(few_tasks(pairs, n_wanted))
         asked = pairs if asked is None else asked.union(pairs)
         if not (n_pairs := pairs.count()):
