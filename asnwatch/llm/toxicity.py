@@ -142,12 +142,18 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
             z, n = z0.copy(), n0.copy()
             ftrl_pass([r for _, r in sorted(seen, key=lambda x: x[0])], z, n)
             moved = np.flatnonzero(n != n0)
-            yield pa.RecordBatch.from_arrays([pa.array(moved), pa.array((z - z0)[moved]), pa.array((n - n0)[moved])], names=["at", "dz", "dn"])
-
-        moves = rows.mapInArrow(run, "at long, dz double, dn double").groupBy("at").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toArrow()
-        at, dz, dn = (moves[c].to_numpy() for c in ("at", "dz", "dn"))
-        z[at] += dz
-        n[at] += dn
+            row = [moved.astype(np.int32), (z - z0)[moved], (n - n0)[moved]]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=["at", "dz", "dn"])
+
+        # A row a shard: the coordinates that it met, bounded by the sample.
+        met, dz, dn = np.zeros(len(z), np.int64), np.zeros(len(z)), np.zeros(len(z))
+        for shard in rows.mapInArrow(run, "at binary, dz binary, dn binary").toArrow().to_pylist():
+            at = np.frombuffer(shard["at"], np.int32)
+            met[at] += 1
+            dz[at] += np.frombuffer(shard["dz"])
+            dn[at] += np.frombuffer(shard["dn"])
+        z += dz / np.maximum(met, 1)
+        n += dn / np.maximum(met, 1)
     w = weights_of(z, n, np.arange(len(z)) == len(z) - 1)
     some = np.flatnonzero(w[:-1])
     return ToxicityModel(hashes[some], w[some], float(w[-1]))
