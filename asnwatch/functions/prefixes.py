@@ -16,7 +16,7 @@ V6 = r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*/(?:12[0-8]|1[01][0-9]|[1-9]?[0-9])$"
 
 
 def _v4_bits(address: Column) -> Column:
-    return F.array_join(F.transform(F.split(address, r"\."), lambda x: F.lpad(F.conv(x, 10, 2), 8, "0")), "")
+    return F.concat(*[F.lpad(F.conv(F.split_part(address, F.lit("."), F.lit(i)), 10, 2), 8, "0") for i in (1, 2, 3, 4)])
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:

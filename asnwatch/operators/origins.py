@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from asnwatch.operators.routes import SEQUENCE
-from asnwatch.operators.spread import SPREAD_US, bucketed, openings
+from asnwatch.operators.spread import SPREAD_US, bucketed, openings, stored
 
 #: Origins that are remembered of one prefix.
 MOST_ORIGINS = 16
@@ -58,7 +58,7 @@ def _spread(ops: DataFrame, spread_us: int) -> DataFrame:
     """The same from windows within buckets. What a bucket inherits is a row for each (network, segment,
     bucket), and an origin's first place a row for each (network, segment, origin): aggregates, not rows."""
     earlier = lambda *key: Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    rows = apply_withdrawals(ops, spread_us).filter("op = 'A' and origin_asn is not null").withColumn("bucket", F.expr(f"event_us div {spread_us}L"))
+    rows = stored(apply_withdrawals(ops, spread_us).filter("op = 'A' and origin_asn is not null").withColumn("bucket", F.expr(f"event_us div {spread_us}L")))
 
     key = [*_KEY, "segment"]
     seq = F.struct(*SEQUENCE)

@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 SPREAD_US = 3_600_000_000
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder in spark.checkpoint.dir, for what reads it more than once. Without
+    such a folder, and for a stream, it stays a plan."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None or df.isStreaming:
+        return df
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def bucketed(rows: DataFrame, spread_us: int) -> DataFrame:
     """Add ``_bucket``."""
     return rows.withColumn("_bucket", F.expr(f"event_us div {spread_us}L"))
@@ -25,7 +37,8 @@ def openings(bucketed_rows: DataFrame, key: list[str], value: Column) -> DataFra
 
 
 def lagged(rows: DataFrame, key: list[str], order: list[str], spread_us: int = SPREAD_US, **columns: Column) -> DataFrame:
-    """Add for each of ``columns`` its value in the key's row before, null in the first one."""
+    """Add for each of ``columns`` its value in the key's row before, null in the first one. Rows are read twice: those
+    that cost much should be ``stored``."""
     timed = bucketed(rows, spread_us)
     last = timed.groupBy(*key, "_bucket").agg(F.max_by(F.struct(*[c.alias(n) for n, c in columns.items()]), F.struct(*order)).alias("_ends"))
     before = last.select(*key, "_bucket", F.lag("_ends").over(Window.partitionBy(*key).orderBy("_bucket")).alias("_carried"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from asnwatch.functions.messages import event_us
 from asnwatch.functions.prefixes import network_key, normalise_prefixes
 from asnwatch.operators import detect, feed, geo, history, lookup, monitor, origins, routes, topology
+from asnwatch.operators.spread import stored
 from asnwatch.plans import tables as t
 from asnwatch.plans.sql import D, H, sql
 from asnwatch.sources import monitor as monitor_source
@@ -53,28 +54,31 @@ def _live(spark: SparkSession, d: str) -> DataFrame:
     return topology.current_edges(_episodes(spark, d))
 
 
-def _hijacks(spark: SparkSession, d: str) -> DataFrame:
-    return detect.detect_hijacks(origins.origin_observations(_ops(spark, d), spread_us=D))
-
-
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return detect.suppress_repeats(_path_leaks(spark, d), LEAK_WINDOW, D)
+def _hijacks(spark: SparkSession, d: str, ops: DataFrame | None = None) -> DataFrame:
+    return detect.detect_hijacks(origins.origin_observations(stored(_ops(spark, d)) if ops is None else ops, spread_us=D))
 
 
 def _path_leaks(spark: SparkSession, d: str) -> DataFrame:
     return detect.path_leaks(detect.valley_apexes(t.updates(spark, d), _relationships(spark, d)))
 
 
-def _vantage(spark: SparkSession, d: str) -> DataFrame:
-    return detect.vantage_counts(_ops(spark, d), 3 * D, D)
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return detect.suppress_repeats(stored(_path_leaks(spark, d)), LEAK_WINDOW, D)
+
+
+def _vantage(spark: SparkSession, d: str, ops: DataFrame | None = None) -> DataFrame:
+    return detect.vantage_counts(stored(_ops(spark, d)) if ops is None else ops, 3 * D, D)
 
 
-def _churn(spark: SparkSession, d: str) -> DataFrame:
-    return detect.detect_churn(detect.churn_threshold(_vantage(spark, d), **CHURN), CHURN["min_updates"], spread_us=D)
+def _churn(spark: SparkSession, d: str, ops: DataFrame | None = None) -> DataFrame:
+    judged = stored(detect.churn_threshold(stored(_vantage(spark, d, ops)), **CHURN))
+    return detect.detect_churn(judged, CHURN["min_updates"], spread_us=D)
 
 
 def _anomalies(spark: SparkSession, d: str) -> DataFrame:
-    return detect.anomalies(_hijacks(spark, d), _leaks(spark, d), _churn(spark, d))
+    """All kinds, hijacks and churn from one stored table of operations."""
+    ops = stored(_ops(spark, d))
+    return detect.anomalies(_hijacks(spark, d, ops), _leaks(spark, d), _churn(spark, d, ops))
 
 
 def _history(spark: SparkSession, d: str) -> DataFrame:
@@ -275,7 +279,7 @@ def snapshot_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT msg_id, prefix, net_key, previous_origin, origin_asn AS new_origin, changed, distinct_origins FROM observed")
 def origin_observations(spark: SparkSession, d: str) -> DataFrame:
-    return origins.origin_observations(_ops(spark, d), spread_us=D).select("msg_id", "prefix", "net_key", "previous_origin", "new_origin", "changed", "distinct_origins")
+    return origins.origin_observations(stored(_ops(spark, d)), spread_us=D).select("msg_id", "prefix", "net_key", "previous_origin", "new_origin", "changed", "distinct_origins")
 
 
 @query("SELECT net_key, max(segment) AS n_withdrawals, count(*) AS n_ops FROM segments GROUP BY net_key")
@@ -338,7 +342,7 @@ def vantage_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT i.msg_id, i.n_updates, round(t.threshold, 6) AS threshold FROM indexed i LEFT JOIN thresholds t USING (g)")
 def churn_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return detect.churn_threshold(_vantage(spark, d), **CHURN).select("msg_id", "n_updates", F.round("threshold", 6).alias("threshold"))
+    return detect.churn_threshold(stored(_vantage(spark, d)), **CHURN).select("msg_id", "n_updates", F.round("threshold", 6).alias("threshold"))
 
 
 @query("SELECT msg_id, prefix, peer_asn, n_updates, round(threshold, 6) AS threshold, severity FROM churn")
