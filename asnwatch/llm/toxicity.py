@@ -30,7 +30,7 @@ EPOCHS = 8
 SLICE = 2 << 20
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 3.0, 0.0
 #: A hash must occur in so many sampled texts to be learned; what of the others is of use is left to L1.
-LEAST_TEXTS = 2
+LEAST_TEXTS = 4
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _GRAMS = ((0,), (0, 1), (0, 2))
@@ -110,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
 
     id_type = docs.schema[id_column].dataType.simpleString()
     rows = map_texts(sample, make, f"{id_column} {id_type}, label int, grams binary", text_column, SLICE)
-    rows = checkpointed(rows.groupBy(id_column, "label").agg(F.min("grams").alias("grams")).repartition(SHARDS, id_column))
+    rows = checkpointed(rows.groupBy(id_column, "label").agg(F.min("grams").alias("grams")).coalesce(SHARDS))
 
     def frequent(batches):
         for batch in batches:
@@ -152,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
             met[at] += 1
             dz[at] += np.frombuffer(shard["dz"])
             dn[at] += np.frombuffer(shard["dn"])
+        state.destroy()  # every worker has a copy on disk
         z += dz / np.maximum(met, 1)
         n += dn / np.maximum(met, 1)
     w = weights_of(z, n, np.arange(len(z)) == len(z) - 1)
