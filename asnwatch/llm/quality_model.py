@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_
     id_type = docs.schema[id_column].dataType.simpleString()
     joined = docs.select(id_column, text_column).join(F.broadcast(chosen), id_column)  # at most about `sample` ids
     each_id = map_texts(joined, make, f"{id_column} {id_type}, label int, stats array<double>", text_column, SLICE).groupBy(id_column, "label").agg(F.min("stats").alias("stats"))
-    rows = checkpointed(each_id.repartition(SHARDS, id_column))
+    rows = checkpointed(each_id.coalesce(SHARDS))
     rows = rows.withColumn("calibrates", F.floor(hash_fraction(id_column) * 1_000_003) % CALIBRATION == 0)
     moments = rows.select(*[f(F.col("stats")[i]).alias(f"{f.__name__}{i}") for i in range(width) for f in (F.avg, F.stddev_pop)]).first()
     rng = np.random.default_rng(SEED)
@@ -138,15 +138,15 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_
             x = model.features(x)
             left, right, n = left + x.T @ x, right + x.T @ y, n + len(y)
         if n:
-            yield pa.RecordBatch.from_pylist([{"left": left.ravel().tolist(), "right": right.tolist()}])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (left, right)], names=["left", "right"])
 
-    parts = rows.filter(~F.col("calibrates")).mapInArrow(equations, "left array<double>, right array<double>").collect()  # one row of fixed size a shard
+    parts = rows.filter(~F.col("calibrates")).mapInArrow(equations, "left binary, right binary").toArrow().to_pylist()  # one row of fixed size a shard
     if not parts:
         return model
-    left = sum(np.array(p["left"]) for p in parts).reshape(FEATURES + 1, FEATURES + 1)
+    left = sum(np.frombuffer(p["left"]) for p in parts).reshape(FEATURES + 1, FEATURES + 1)
     penalty = np.eye(FEATURES + 1) * RIDGE
     penalty[-1, -1] = 1e-6
-    weights = np.linalg.solve(left + penalty, sum(np.array(p["right"]) for p in parts))
+    weights = np.linalg.solve(left + penalty, sum(np.frombuffer(p["right"]) for p in parts))
     model = QualityModel(model.mean, model.deviation, frequencies, phases, weights, np.zeros(0), np.zeros(0))
 
     def binned(batches):
