@@ -123,7 +123,7 @@ def sample_to(df: DataFrame, bound: int, column: str = "doc_id") -> DataFrame:
 
 def largest(df: DataFrame, column: str, bound: int) -> DataFrame:
     """Rows with the largest positive values of ``column``, ``bound`` at most, cut where values are at least 4 %
-    apart. Only a histogram of some hundred rows reaches the driver, so the size of ``df`` does not matter."""
+    apart (none if more rows than that have the largest ones); callers treat the others exactly. Only a histogram of some hundred rows reaches the driver, so the size of ``df`` does not matter."""
     step = F.floor(F.log2(column) * 16)
     sizes = df.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
     total, cut = 0, None

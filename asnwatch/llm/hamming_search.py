@@ -7,7 +7,8 @@ All in DataFrame functions.
 
 Contract for odd input: rows with a null id or null vector are neither indexed nor searched; a null or
 NaN component counts as not positive; rows that repeat an id with the same vector count once; equal
-distances are ordered by id; with fewer than k other rows all of them are returned.
+distances are ordered by id; with fewer than k other rows all of them are returned; vectors of other lengths than
+the code are folded onto it, component i onto bit i mod bits; an empty table gives no rows.
 """
 
 from __future__ import annotations

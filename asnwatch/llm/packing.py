@@ -5,7 +5,8 @@ The plan is made from the histogram alone (at most ``capacity`` numbers, however
 every piece finds its place by the rank that it has among the pieces of its length.
 
 Contract for odd input: a null or empty text is the end mark alone, a piece of length 1; repeated rows
-are packed each for itself; an empty table gives no pieces.
+are packed each for itself; long texts are encoded whole and cut into pieces; pieces of equal length are placed
+in the order of their tasks; an empty table gives no pieces.
 """
 
 from __future__ import annotations

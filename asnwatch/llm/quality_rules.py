@@ -2,7 +2,8 @@
 measurements are stored, and versioned policies and ablations read the ledger only.
 
 Contract for odd input: a null or empty text has no words, all measurements 0, and fails
-``too_few_words``; repeated rows get equal entries; an empty table gives an empty ledger.
+``too_few_words``; repeated rows get equal entries; long texts are measured whole; an
+empty table gives an empty ledger.
 """
 
 from __future__ import annotations

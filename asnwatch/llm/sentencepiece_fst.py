@@ -8,7 +8,8 @@ scores. For BPE models a fourth machine forbids (weight infinity) two pieces sid
 would not leave so; exactly one path then has a finite weight, and it is what merging gives.
 
 Contract for odd input: a null or empty text has no ids and decodes to an empty text; repeated rows are
-encoded alike; text that only the fallback covers comes back byte for byte.
+encoded alike; text that only the fallback covers comes back byte for byte; long texts are encoded whole;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
