@@ -96,6 +96,26 @@ def op10_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from asnwatch.llm.conversation_repair import damaged, repair
+
+    return repair(damaged(read(spark, sf_dir, "conversations")))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from asnwatch.llm.lexical_search import search
+
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from asnwatch.llm.token_codes import read_documents, shared_folder, write_documents
+
+    path = shared_folder(spark)
+    write_documents(read(spark, sf_dir, "documents"), path)
+    return read_documents(spark, path)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_quality_rules": op2_quality_rules,
@@ -107,6 +127,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ppm_scoring": op9_ppm_scoring,
     "op10_hamming_search": op10_hamming_search,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_token_codes": op13_token_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -151,4 +174,21 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, CAST(distance AS INTEGER) AS distance FROM ranked WHERE rank <= 10
     """,
+    "op12_lexical_search": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+        ), i AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+        ), stats AS (
+            SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0
+        ), tf AS (
+            SELECT doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY doc_id, term
+        ), w AS (
+            SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, stats GROUP BY term
+        ), scored AS (
+            SELECT i.item_id, tf.doc_id, sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (50 + (50 * tf.n * n_docs) // n_terms))))::BIGINT AS score
+            FROM i JOIN tf USING (term) JOIN w USING (term), stats GROUP BY i.item_id, tf.doc_id
+        )
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 50
+    """,
 }
