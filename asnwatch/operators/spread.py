@@ -5,7 +5,7 @@ summed or looked up, and joined back to the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Length of a bucket unless the caller knows better.
@@ -45,3 +45,11 @@ def lagged(rows: DataFrame, key: list[str], order: list[str], spread_us: int = S
     within = Window.partitionBy(*key, "_bucket").orderBy(*order)
     first = F.row_number().over(within) == 1
     return timed.join(before, [*key, "_bucket"]).withColumns({n: F.when(first, F.col(f"_carried.{n}")).otherwise(F.lag(c).over(within)) for n, c in columns.items()}).drop("_bucket", "_carried")
+
+
+def drop_versions(spark: SparkSession, path: str, number: int) -> None:
+    """Of a table with a version a batch under ``path``, remove those before the one that batch ``number`` began with: a
+    replay of that batch needs it still, those before are never read again."""
+    if number >= 2:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 2}")
+        old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)

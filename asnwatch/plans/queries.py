@@ -11,6 +11,7 @@ from asnwatch.operators import detect, feed, geo, history, lookup, monitor, orig
 from asnwatch.operators.spread import stored
 from asnwatch.plans import tables as t
 from asnwatch.plans.sql import D, H, sql
+from asnwatch.schemas import UPDATES
 from asnwatch.sources import monitor as monitor_source
 from asnwatch.sources import relationships as rel_source
 from asnwatch.sources import updates as update_source
@@ -108,28 +109,38 @@ def read_updates(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("msg_id", "event_us", "peer_asn", "msg_type", _text("path").alias("path"), "origin_asn", F.size("announcements").alias("n_announced"), F.size("withdrawals").alias("n_withdrawn"))
 
 
-_READ_SQL = """SELECT event_us, peer_asn, CASE WHEN m % 9 = 0 THEN 'OTHER' ELSE 'UPDATE' END AS msg_type,
+FILES = 4
+_READ_SQL = f"""SELECT (msg_id % {FILES}) * {1 << update_source.LINE_BITS} + line AS msg_id, event_us, peer_asn, CASE WHEN m % 9 = 0 THEN 'OTHER' ELSE 'UPDATE' END AS msg_type,
     CASE WHEN withdraws THEN '' ELSE concat_ws(',', peer_asn, t1, t2) || CASE WHEN m % 10 = 0 THEN ',' || t2 ELSE '' END || ',' || origin || CASE WHEN m % 6 = 1 THEN ',64999' ELSE '' END END AS path
-    FROM msg WHERE NOT (m % 40 = 5 OR m % 41 = 6 OR (m % 50 = 3 AND NOT withdraws))"""
+    FROM (SELECT *, row_number() OVER (PARTITION BY msg_id % {FILES} ORDER BY msg_id) - 1 AS line FROM msg) WHERE NOT (m % 40 = 5 OR m % 41 = 6 OR (m % 50 = 3 AND NOT withdraws))"""
+
+
+def _frame_files(spark: SparkSession, d: str) -> DataFrame:
+    """The frames in order, dealt out to FILES files: file, value."""
+    rows = t.frames(spark, d).withColumn("file", F.col("msg_id") % FILES)
+    return rows.repartition(FILES, "file").sortWithinPartitions("file", "msg_id").select("file", "value")
 
 
 @query(_READ_SQL)
 def read_update_files(spark: SparkSession, d: str) -> DataFrame:
-    """The frames written as text files and read from there."""
+    """The frames written as text files and read from there, numbered by file and line."""
     path = t.scratch(spark, "frames")
-    t.frames(spark, d).select("value").write.text(path)
-    return update_source.read_updates(spark, path).select("event_us", "peer_asn", "msg_type", _text("path").alias("path"))
+    _frame_files(spark, d).write.partitionBy("file").text(path)
+    return update_source.read_updates(spark, path).select("msg_id", "event_us", "peer_asn", "msg_type", _text("path").alias("path"))
 
 
 @query(_READ_SQL)
 def stream_update_files(spark: SparkSession, d: str) -> DataFrame:
-    """The same files followed as a stream, a few a batch."""
+    """The same files followed as a stream, one arriving after the other, to the table of numbered updates."""
     path = t.scratch(spark, "frames")
-    t.frames(spark, d).select("value").write.text(f"{path}/in")
-    rows = update_source.stream_updates(spark, f"{path}/in", max_files=2)
-    writer = rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(rows.schema).parquet(f"{path}/out").select("event_us", "peer_asn", "msg_type", _text("path").alias("path"))
+    frames = stored(_frame_files(spark, d))
+    for k in range(FILES):
+        frames.filter(F.col("file") == k).select("value").write.mode("append").text(f"{path}/in/file={k}")
+        run = update_source.numbered_batches(update_source.update_batches(f"{path}/updates"), f"{path}/numbers")
+        writer = update_source.stream_frames(spark, f"{path}/in/*").writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(UPDATES).parquet(f"{path}/updates")
+    return rows.select("msg_id", "event_us", "peer_asn", "msg_type", _text("path").alias("path"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_us + 7 ELSE event_us END AS used_us FROM ev")

@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -116,3 +117,49 @@ def test_filters(spark):
 def test_event_time_falls_back(spark):
     raw = frames(spark, message(type="UPDATE"))
     assert source.split_frames(raw, fallback_us=F.lit(77))[0].first().event_us == 77
+
+
+def _written(path, files):
+    for name, values in files.items():
+        (path / name).parent.mkdir(parents=True, exist_ok=True)
+        opened = gzip.open if name.endswith(".gz") else open
+        with opened(path / name, "wt") as f:
+            f.writelines(json.dumps(v) + "\n" if v else "\n" for v in values)
+
+
+@pytest.mark.parametrize("split", ["128m", "300b"])
+def test_ids_are_file_and_line(spark, tmp_path, split):
+    at = lambda k: message(timestamp=1_719_792_000 + k, peer="x" * (k % 9 * 10))
+    files = {"000.txt": [at(0)], "001.txt": [at(k) for k in range(1, 40)], "002.txt": [], "003.txt.gz": [at(50), None, "pong", at(50), at(50)], "day2/000.txt": [at(60)] * 30}
+    _written(tmp_path, files)
+    names = sorted(files, key=lambda n: (n.rpartition("/")[0], n))
+    names.remove("002.txt")  # a file without lines has no number
+    want = sorted((names.index(n) << source.LINE_BITS | i, int(v["data"]["timestamp"]) * 1_000_000) for n in names for i, v in enumerate(files[n]) if isinstance(v, dict))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = source.read_updates(spark, f"{tmp_path}/*.txt*,{tmp_path}/day2".split(",")).select("msg_id", "event_us").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, got)) == want
+
+
+def test_stream_gives_the_ids_of_batch(spark, tmp_path):
+    repeated = [message(timestamp=1_719_792_000, peer="same")] * 3
+    path, seen = str(tmp_path), {}
+    sink = source.update_batches(f"{path}/updates")
+    run = source.numbered_batches(lambda df, n: (sink(df, n), seen.setdefault(n, df.count())), f"{path}/numbers")
+    for name, values in {"b.txt": repeated, "a.txt": [message(timestamp=1_719_792_007), *repeated]}.items():
+        _written(tmp_path / "in", {name: values})
+        query = source.stream_frames(spark, f"{path}/in").writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/state")
+        query.trigger(availableNow=True).start().awaitTermination()
+    stored = spark.read.parquet(f"{path}/updates").select("msg_id", "event_us")
+    ids = sorted(r.msg_id for r in stored.collect())
+    assert ids == [0, 1, 2, *[1 << source.LINE_BITS | k for k in range(4)]]  # b.txt came first
+    by_arrival = source.read_updates(spark, f"{path}/in", files=source.file_numbers(spark, f"{path}/numbers")).select("msg_id", "event_us")
+    assert sorted(map(tuple, by_arrival.collect())) == sorted(map(tuple, stored.collect()))
+    followed = source.stream_updates(spark, f"{path}/updates").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state2")
+    followed.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.msg_id for r in spark.read.parquet(f"{path}/out").collect()) == ids
+    run(source.file_lines(spark.read.text(f"{path}/in/a.txt")), 1)  # a replay
+    assert sorted(r.msg_id for r in spark.read.parquet(f"{path}/updates").collect()) == ids
