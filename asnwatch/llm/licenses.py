@@ -10,6 +10,7 @@ unknown; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -129,6 +130,7 @@ def word_table() -> bytes:
     return bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
 
+@lru_cache(10_000)
 def family(identifier: str) -> str:
     """The family with the longest prefix of the identifier, else the identifier itself."""
     key = identifier.lower()
@@ -225,17 +227,18 @@ def notices(line: str, machine: ahocorasick.Automaton) -> list[tuple[int, int, s
     return kept
 
 
-def expressions(raw: bytes, spaced: bytes, after: list[int]) -> list[str]:
-    """What stands on the line behind each of the words numbered ``after``. ``spaced`` is ``raw`` with spaces for all
-    that is in no word, byte for byte."""
+def expressions(raw: bytes, spaced: bytes, tags: list[tuple[int, int]]) -> list[str]:
+    """What stands behind each of the ``tags`` (first and last word) on its line, up to the next tag; each once. ``spaced``
+    is ``raw`` with spaces for all that is in no word, byte for byte."""
     letter = np.frombuffer(spaced, np.uint8) != 0x20
     ends = np.flatnonzero(letter & ~np.append(letter[1:], False)) + 1
+    starts = np.flatnonzero(letter & ~np.append(False, letter[:-1]))
+    nexts = [*starts[[first for first, _ in tags[1:]]].tolist(), len(raw)]
     out = []
-    for word in after:
-        start = int(ends[word])
-        stop = raw.find(b"\n", start)
-        out.append(raw[start : stop if stop >= 0 else len(raw)].decode("utf-8", "replace").lower().lstrip(" \t:").rstrip("*/-# .;,\t\r"))
-    return out
+    for start, limit in zip(ends[[last for _, last in tags]].tolist(), nexts, strict=True):
+        stop = raw.find(b"\n", start, limit)
+        out.append(raw[start : limit if stop < 0 else stop])
+    return list(dict.fromkeys(x.decode("utf-8", "replace").lower().lstrip(" \t:").rstrip("*/-# .;,\t\r") for x in dict.fromkeys(out)))
 
 
 def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -255,7 +258,7 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 found = notices(f" {b' '.join(words).decode('utf-8', 'surrogatepass')} ", machine)
                 terms = dict.fromkeys(x[2] for x in found if x[2])
                 labels = set(terms)
-                if tags := [x[1] for x in found if not x[2]]:
+                if tags := [x[:2] for x in found if not x[2]]:
                     for said in expressions(raw, spaced, tags):
                         if names := identifiers(said):
                             terms[f"({said})"] = None

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 from functools import lru_cache
 from itertools import combinations
@@ -67,6 +68,18 @@ def test_license_scan_is_linear_in_notices(spark):
     assert (got[0].n, got[1].n, got[1].last["first"]) == (1, 60_000, 4 * 59_999)
 
 
+def test_tags_on_one_line(spark):
+    tag = "SPDX-License-Identifier: "
+    texts = [f"{tag}MIT " * 60_000, f"{tag}MIT {tag}GPL-2.0 OR EPL-2.0 // {tag}MIT\n{tag}{tag}ISC", f"{tag}MIT OR {tag}Zlib", " ".join(f"{tag}x{i}" for i in range(20_000))]
+    start = time.monotonic()
+    got = {r.doc_id: r for r in licenses.license_scan(docs_of(spark, texts)).selectExpr("doc_id", "expression", "score", "labels").collect()}
+    assert time.monotonic() - start < 30
+    assert (got[0].expression, got[0].score, got[0].labels) == ("(mit)", 1.0, ["mit"])
+    assert (got[1].expression, got[1].score, got[1].labels) == ("(mit) AND (gpl-2.0 or epl-2.0) AND (isc)", 0.7, ["epl", "gpl-2", "isc", "mit"])
+    assert (got[2].expression, got[2].score) == ("(mit or) AND (zlib)", licenses.UNKNOWN)
+    assert len(got[3].labels) == 20_000
+
+
 def test_tags_give_expressions(spark):
     texts = ["/* SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception */", "é SPDX License\nIdentifier:\tZlib\nMIT", "spdx-license-identifier", "SPDX-License-Identifier: LGPL-2.1 OR MIT\r\nSPDX-License-Identifier: MPL-2.0"]
     got = {r.doc_id: r for r in licenses.license_scan(docs_of(spark, texts)).collect()}
