@@ -6,8 +6,7 @@ maximisation (forward-backward) fits the pieces on a bounded sample of labelled
 
 Contract for odd input: a null text, or one without a letter, is ``und`` with score 0; null
 languages are not learned from; repeated rows are scored alike; without training rows every text
-is ``und``. Words of any length are summed over whole, in the sample those over LONGEST_TAUGHT bytes teach
-nothing; equally likely languages go to the first by name; ids and carried columns keep their types.
+is ``und``. Words of any length are summed over whole, also when they teach; equally likely languages go to the first by name; ids and carried columns keep their types.
 """
 
 from __future__ import annotations
@@ -24,8 +23,6 @@ from pyspark.sql import functions as F
 from asnwatch.llm.common import checkpointed, ddl, hash_fraction, map_texts, texts_of
 
 UNDETERMINED = "und"
-#: Bytes of the longest word of the sample that the fit reads.
-LONGEST_TAUGHT = 4096
 #: Texts of each language that the fit reads, about, at most.
 SAMPLE_PER_LANGUAGE = 1500
 ROUNDS = 3
@@ -153,25 +150,32 @@ class Lattice:
         return out
 
     def expected_counts(self, words: list[bytes], weight: np.ndarray, prob: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece in each language; weight holds the words' counts by language."""
+        """Expected uses of each piece in each language; weight holds the words' counts by language. Sums from either
+        end are kept relative to ``log_scale``, which goes on every RESCALED bytes, so words of any length stay in range."""
         out = np.zeros(prob.shape)
         for part in _lots(words, BATCH_BYTES, padded=True):
             some = [words[i] for i in part]
             sizes, groups = self.matches(some)
-            every = np.arange(len(some))
-            # Each byte's factor is divided by the word's mean one, so that sums of long words stay in range.
-            mean = self._forward(some, prob) / sizes[:, None]
-            alpha = np.zeros((int(sizes[-1]) + 1, len(some), prob.shape[1]))
+            every, longest = np.arange(len(some)), int(sizes[-1])
+            alpha = np.zeros((longest + 1, len(some), prob.shape[1]))
             alpha[0] = 1
-            factors = []
+            log_scale = np.zeros((longest // RESCALED + 1, *alpha.shape[1:]))
+            at = 0
             for offset, length, who, which in groups:
-                factors.append(prob[which] * np.exp(-length * mean[who]))
-                alpha[offset + length, who] += alpha[offset, who] * factors[-1]
+                if offset > at and offset % RESCALED == 0:  # all that leads here is summed
+                    by = np.where((sizes[:, None] > offset) & (alpha[offset] > 0), alpha[offset], 1.0)
+                    alpha[offset : offset + self.depth] /= by
+                    log_scale[offset // RESCALED] = log_scale[offset // RESCALED - 1] + np.log(by)
+                at = offset
+                alpha[offset + length, who] += alpha[offset, who] * prob[which]
             scale = weight[part] / alpha[sizes, every]
             beta = np.zeros_like(alpha)
             beta[sizes, every] = 1
-            for (offset, length, who, which), factor in zip(reversed(groups), reversed(factors), strict=True):
-                onward = factor * beta[offset + length, who]
+            for offset, length, who, which in reversed(groups):
+                onward = prob[which] * beta[offset + length, who]
+                here, there = offset // RESCALED, np.minimum((offset + length) // RESCALED, (sizes[who] - 1) // RESCALED)
+                if (offset + length) // RESCALED > here:
+                    onward *= np.exp(log_scale[here, who] - log_scale[there, who])
                 beta[offset, who] += onward
                 share = alpha[offset, who] * onward * scale[who]
                 for lang in range(prob.shape[1]):
@@ -231,8 +235,7 @@ def train(docs: DataFrame, pieces: list[bytes] | None = None, lang_column: str =
             for lang, text in zip(batch.column(lang_column).to_pylist(), texts_of(batch, text_column), strict=True):
                 i = number[lang]
                 for word in words_of(text):
-                    if len(word) <= LONGEST_TAUGHT:
-                        counts[i, word] = counts.get((i, word), 0) + 1
+                    counts[i, word] = counts.get((i, word), 0) + 1
             return {"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": list(counts.values())}
 
         return each

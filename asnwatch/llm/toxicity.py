@@ -16,21 +16,24 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asnwatch.llm.common import checkpointed, hash_fraction, map_texts, texts_of
+from asnwatch.llm.common import checkpointed, hash_fraction, map_texts, slices, texts_of
 from asnwatch.llm.licenses import word_table
 
 #: Labelled texts of each class that the fit reads, about, at most.
 SAMPLE_PER_CLASS = 10_000
+#: Bytes of their text, about, at most; a single text may be longer.
+SAMPLE_BYTES = 64 << 20
 SHARDS = 4
-EPOCHS = 8
+EPOCHS = 4
 #: Bytes of text whose grams are held at a time.
 SLICE = 2 << 20
-ALPHA, BETA, L1, L2 = 4.0, 1.0, 3.0, 0.0
-#: A hash must occur in so many sampled texts to be learned; what of the others is of use is left to L1.
-LEAST_TEXTS = 4
+#: Bytes of grams (four each) whose texts a shard takes in the order of the epoch; slices follow each other as stored.
+SHUFFLED = 16 << 20
+ALPHA, BETA, L1, L2 = 8.0, 1.0, 3.0, 0.0
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _GRAMS = ((0,), (0, 1), (0, 2))
@@ -66,14 +69,15 @@ class ToxicityModel:
     bias: float
 
 
-def ftrl_pass(rows: list[tuple[np.ndarray, float, float]], z: np.ndarray, n: np.ndarray) -> None:
-    """One pass of FTRL-proximal over (feature numbers, label, weight); the last coordinate is the
-    bias, free of L1. Changes z and n in place."""
+def ftrl_pass(rows: list[tuple], z: np.ndarray, n: np.ndarray) -> None:
+    """One pass of FTRL-proximal over (feature numbers, label, weight) and, if some features stand for several, how many each
+    stands for; the last coordinate is the bias, free of L1. Changes z and n in place."""
     bias = len(z) - 1
-    for at, label, weight in rows:
+    for at, label, weight, *times in rows:
         at = np.append(at, bias)
         w = weights_of(z[at], n[at], at == bias)
-        p = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w.sum())))))
+        margin = float(w @ np.append(times[0], 1) if times else w.sum())
+        p = 1 / (1 + math.exp(-max(-35.0, min(35.0, margin))))
         g = weight * (p - label)
         root = np.sqrt(n[at])
         n[at] += g * g
@@ -85,17 +89,23 @@ def weights_of(z: np.ndarray, n: np.ndarray, free: np.ndarray | bool = False) ->
     return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + np.where(free, 0.0, L2)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", sample_per_class: int = SAMPLE_PER_CLASS, epochs: int = EPOCHS) -> ToxicityModel:
-    """Fit on texts whose id ``labels`` has. The sample is drawn by a hash of the id, at most about
-    ``sample_per_class`` texts of each class, and rows are weighted back to the classes' shares. Each epoch,
+def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_column: str = "doc_id", text_column: str = "text", sample_per_class: int = SAMPLE_PER_CLASS, epochs: int = EPOCHS, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
+    """Fit on texts whose id ``labels`` has. The sample is drawn by a hash of the id, of each class at most about
+    ``sample_per_class`` texts and ``sample_bytes`` of text, and rows are weighted back to the classes' shares. Each epoch,
     SHARDS tasks go on from the same state over their rows; what they change in a coordinate is averaged over
-    those of them that met it, so that rare coordinates move as far as frequent ones."""
+    those of them that met it, so that rare coordinates move as far as frequent ones.
+
+    Grams that one text alone holds have the same coordinate after every step, as each sees the gradients of that text
+    and no others; so one coordinate a text stands for all of them, and no gram is left out."""
+    spark = docs.sparkSession
     toxic = (F.col(label_column) == 1).cast("int")
     known = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(id_column).agg(F.max(toxic).alias("label"))
+    lengths = docs.select(id_column, F.octet_length(text_column).alias("size")).join(known, id_column)
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}  # two rows at most
     if not sizes:
         return ToxicityModel(np.zeros(0, np.uint32), np.zeros(0), 0.0)
-    share = {k: min(1.0, sample_per_class / n) for k, n in sizes.items()}
+    held = {r[0]: r[1] or 0 for r in lengths.groupBy("label").agg(F.sum("size")).collect()}
+    share = {k: min(1.0, sample_per_class / n, sample_bytes / max(held.get(k, 0), 1)) for k, n in sizes.items()}
     picked = known.filter(hash_fraction(id_column) < F.when(F.col("label") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0)))
     sample = docs.select(id_column, text_column).join(F.broadcast(picked), id_column)  # at most 2 * sample_per_class ids
 
@@ -119,28 +129,45 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
                 h, c = np.unique(every[every >> 28 == part], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64))], names=["hash", "n"])
 
-    kept = rows.mapInArrow(frequent, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TEXTS)
+    kept = rows.mapInArrow(frequent, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1")
     hashes = np.sort(kept.select("hash").toArrow()["hash"].to_numpy().astype(np.uint32))  # bounded by the sample
+    sent_hashes = spark.sparkContext.broadcast(hashes)
+    counts = {r["shard"]: r["count"] for r in rows.groupBy(F.spark_partition_id().alias("shard")).count().collect()}  # SHARDS rows
+    first = dict(zip(sorted(counts), np.cumsum([0, *[counts[k] for k in sorted(counts)]]).tolist(), strict=False))
     prior = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
-    z, n = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1)
+    # Shared grams, then a coordinate for each text's own ones, then the bias, which begins at the classes' share.
+    z, n = np.zeros(len(hashes) + sum(counts.values()) + 1), np.zeros(len(hashes) + sum(counts.values()) + 1)
     n[-1] = 1.0
-    z[-1] = -math.log(prior / (1 - prior)) * (BETA + 1.0) / ALPHA  # the bias begins at the classes' share
+    z[-1] = -math.log(prior / (1 - prior)) * (BETA + 1.0) / ALPHA
     weight = {k: 1 / s for k, s in share.items()}
-    sent_hashes = docs.sparkSession.sparkContext.broadcast(hashes)
-    for epoch in range(epochs):
-        state = docs.sparkSession.sparkContext.broadcast((z, n))
 
-        def run(batches, epoch=epoch, state=state):
-            table, (z0, n0), seen = sent_hashes.value, state.value, []
-            for batch in batches:
-                for i, label, raw in zip(batch.column(id_column).to_pylist(), batch.column("label").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+    def numbered(batches):
+        """(slice, coordinates of each row's shared grams, the others, the row's own coordinate)."""
+        table, row = sent_hashes.value, len(sent_hashes.value) + first.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            for part in slices(batch, "grams", SHUFFLED):
+                found = []
+                for raw in part.column("grams").to_pylist():
                     h = np.frombuffer(raw, np.uint32)
                     at = np.searchsorted(table, h)
                     ok = at < len(table)
                     ok[ok] = table[at[ok]] == h[ok]
-                    seen.append((crc32(f"{epoch} {i}".encode()), (at[ok], float(label == 1), weight.get(label, 1.0))))
+                    found.append((at[ok], h[~ok], row))
+                    row += 1
+                yield part, found
+
+    for epoch in range(epochs):
+        state = spark.sparkContext.broadcast((z, n))
+
+        def run(batches, epoch=epoch, state=state):
+            z0, n0 = state.value
             z, n = z0.copy(), n0.copy()
-            ftrl_pass([r for _, r in sorted(seen, key=lambda x: x[0])], z, n)
+            for part, found in numbered(batches):
+                seen = []
+                for i, label, (at, own, row) in zip(part.column(id_column).to_pylist(), part.column("label").to_pylist(), found, strict=True):
+                    times = np.append(np.ones(len(at)), [len(own)] if len(own) else [])
+                    seen.append((crc32(f"{epoch} {i}".encode()), (np.append(at, [row] if len(own) else []).astype(np.int64), float(label == 1), weight.get(label, 1.0), times)))
+                ftrl_pass([r for _, r in sorted(seen, key=lambda x: x[0])], z, n)
             moved = np.flatnonzero(n != n0)
             row = [moved.astype(np.int32), (z - z0)[moved], (n - n0)[moved]]
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row], names=["at", "dz", "dn"])
@@ -156,8 +183,23 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_co
         z += dz / np.maximum(met, 1)
         n += dn / np.maximum(met, 1)
     w = weights_of(z, n, np.arange(len(z)) == len(z) - 1)
-    some = np.flatnonzero(w[:-1])
-    return ToxicityModel(hashes[some], w[some], float(w[-1]))
+    some = np.flatnonzero(w[: len(hashes)])
+    shared, own = (hashes[some], w[some]), w[len(hashes) : -1]
+    alone = (np.zeros(0, np.uint32), np.zeros(0))
+    if own.any():  # the texts' own grams that L1 has left a weight
+        sent = spark.sparkContext.broadcast(own)
+
+        def expand(batches):
+            for _, found in numbered(batches):
+                mine = [(h, sent.value[row - len(sent_hashes.value)]) for _, h, row in found]
+                mine = [(h, x) for h, x in mine if x]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *[h.astype(np.int64) for h, _ in mine]])), pa.array(np.concatenate([np.zeros(0), *[np.full(len(h), x) for h, x in mine]]))], names=["hash", "weight"])
+
+        found = rows.mapInArrow(expand, "hash long, weight double").toArrow()
+        alone = (found["hash"].to_numpy().astype(np.uint32), found["weight"].to_numpy())
+    every, weights = np.concatenate([shared[0], alone[0]]), np.concatenate([shared[1], alone[1]])
+    order = np.argsort(every)
+    return ToxicityModel(every[order], weights[order], float(w[-1]))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -171,6 +171,20 @@ def test_long_words_are_summed_whole():
         assert np.allclose((counts * np.array([len(p) for p in pieces])[:, None]).sum(axis=0), len(raw))
 
 
+def test_long_words_teach(spark):
+    pieces = sorted([bytes([b]) for b in range(256)] + [b"ab", b"qz", b" qz"])
+    prob = np.full((len(pieces), 2), 1e-7)
+    prob[pieces.index(b"ab")] = 0.9  # half the word is likely, half is not: plain sums leave the range of doubles either way
+    word = b" " + b"ab" * 6000 + b"qz" * 6000
+    counts = langid.Lattice(pieces).expected_counts([b" ab", word], np.array([[1.0, 0.0], [2.0, 1.0]]), prob)
+    assert np.allclose((counts * np.array([len(p) for p in pieces])[:, None]).sum(axis=0), [3 + 2 * len(word), len(word)])
+    assert np.allclose(counts[pieces.index(b"ab")], [12_001, 6000], rtol=1e-3)
+    rows = [(0, "qz" * 9000, "xx"), (1, "the word and the other", "en"), (2, "and the next", "en")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = langid.identify(spark.createDataFrame([(9, "qzqz"), (8, "the")], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {9: "xx", 8: "en"}
+
+
 def test_language_contract(spark, tmp_path):
     rng = random.Random(2)
     parts = {"en": ["the", "ing", "and", "tion"], "de": ["der", "sch", "ung", "ich"]}
@@ -237,7 +251,7 @@ def test_ftrl_against_one_coordinate_at_a_time(spark, monkeypatch):
 
     for epoch in range(3):
         for i in sorted(features, key=lambda i: crc32(f"{epoch} {i}".encode())):
-            keys = [h for h in features[i] if held[h] >= toxicity.LEAST_TEXTS] + ["bias"]
+            keys = [*features[i], "bias"]
             w = {k: weight(k) for k in keys}
             g = 1 / (1 + math.exp(-sum(w.values()))) - int(i % 4 == 0)
             for k in keys:
@@ -249,6 +263,19 @@ def test_ftrl_against_one_coordinate_at_a_time(spark, monkeypatch):
     assert model.bias == pytest.approx(weight("bias"))
 
 
+def test_grams_of_one_text_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "L1", 0.01)
+    rows = [(i, f"only{i} here{i} {'bad thing' if i % 2 else 'good thing'}") for i in range(40)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"), epochs=2)
+    weights = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+    for i, text in rows:
+        own = {round(weights.get(h, 0.0), 9) for h in set(toxicity.grams([text])[0].tolist()) & set(toxicity.grams([f"only{i} here{i}"])[0].tolist())}
+        assert len(own) == 1 and (own.pop() > 0) == (i % 2 == 1)
+    assert (np.diff(model.hashes.astype(np.int64)) > 0).all()
+    few = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"), epochs=1, sample_bytes=200)
+    assert len(few.hashes) < len(model.hashes) / 2
+
+
 def test_quality_model_against_one_solution(spark):
     rng = random.Random(13)
     rows = [(i, " ".join(rng.choice(["good", "words", "#$%", "A!"][: 2 if i % 3 else 4]) * rng.randrange(1, 4) for _ in range(rng.randrange(5, 40)))) for i in range(90)]
