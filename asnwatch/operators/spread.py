@@ -48,8 +48,8 @@ def lagged(rows: DataFrame, key: list[str], order: list[str], spread_us: int = S
 
 
 def drop_versions(spark: SparkSession, path: str, number: int) -> None:
-    """Of a table with a version a batch under ``path``, remove those before the one that batch ``number`` began with: a
-    replay of that batch needs it still, those before are never read again."""
-    if number >= 2:
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 2}")
+    """Of a table with a version a batch under ``path``, remove the one three batches before ``number``: replays of this
+    batch and of the one before need the later ones, earlier ones are never read again."""
+    if number >= 3:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 3}")
         old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)

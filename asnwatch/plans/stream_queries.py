@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from asnwatch.operators import routes, topology
+from asnwatch.operators.spread import stored
 from asnwatch.plans import tables as t
 from asnwatch.plans.queries import CHURN, LEAK_WINDOW, SWEEP, TTL, query
 from asnwatch.plans.queries import _anomalies as batch_anomalies
@@ -40,6 +41,7 @@ def _shuffled(spark: SparkSession, d: str) -> list[DataFrame]:
 def _run(spark: SparkSession, d: str, *start: Callable[[str], StreamingQuery], slices: Callable = _by_time) -> str:
     """Write each slice and run the streams that ``start`` begins over it, one after the other; the folder of all that."""
     path = t.scratch(spark, "stream")
+    streams.use_state_store(spark)
     for part in slices(spark, d):
         part.write.mode("append").parquet(f"{path}/events")
         for each in start:
@@ -69,14 +71,10 @@ def stream_hijacks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT msg_id, event_us, offending_asn, violations, severity FROM reported")
 def stream_leaks(spark: SparkSession, d: str) -> DataFrame:
-    relationships = batch_relationships(spark, d)
-    leaks = lambda path: streams.leak_stream(_updates(spark, path), relationships)
-
-    def reported(path: str) -> DataFrame:
-        return streams.suppress_stream(spark.readStream.schema(leaks(path).schema).parquet(f"{path}/leaks/out"), LEAK_WINDOW)
-
-    path = _run(spark, d, lambda path: _to_files(leaks(path), f"{path}/leaks"), lambda path: _to_files(reported(path), f"{path}/reported"))
-    return spark.read.schema(reported(path).schema).parquet(f"{path}/reported/out").select("msg_id", "event_us", "offending_asn", "violations", "severity")
+    relationships = stored(batch_relationships(spark, d))
+    found = lambda path: streams.stream_leaks(_updates(spark, path), relationships, LEAK_WINDOW)
+    path = _run(spark, d, lambda path: _to_files(found(path), path))
+    return spark.read.schema(found(path).schema).parquet(f"{path}/out").select("msg_id", "event_us", "offending_asn", "violations", "severity")
 
 
 @query("SELECT msg_id, prefix, peer_asn, n_updates, round(threshold, 6) AS threshold, severity FROM churn")

@@ -1,120 +1,211 @@
 """Streams of anomalies, edges and change frames.
 
-Each keyed detector keeps the small state that its rule needs and sees a key's rows of a batch in order.
-Rows that come in a later batch than rows of a later time count as of their own time but after those; a
-batch run over the archive corrects that. Input rows are what ``operators`` make of a stream of updates.
+Each keyed detector keeps the small state that its rule needs in the RocksDB state store (``use_state_store``), reads and writes
+the parts of it that a batch touches, and drops it by a timer in event time once the watermark shows that it decides nothing
+more. A key's rows of a batch are worked out as arrays, in order. Rows that come in a later batch than rows of a later
+time count as of their own time but after those; ``late_batches`` sets them aside and ``repair`` brings the tables
+to what a batch run over the archive gives. Input rows are what ``operators`` make of a stream of updates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from asnwatch.operators import detect, feed, history, topology
 from asnwatch.operators.origins import MOST_ORIGINS
+from asnwatch.operators.spread import drop_versions
 from asnwatch.sources.relationships import with_both_directions
 
 _SEQ = ["event_us", "msg_id", "pos"]
 
 
+def use_state_store(spark: SparkSession) -> None:
+    """Keep the state of streams that are started from now on in RocksDB, as the detectors need; a stream that goes on
+    from its checkpoint keeps its own."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def _in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     """All rows of a key in this batch; a key's share of one micro-batch fits a task."""
     parts = list(frames)
     return pd.concat(parts).sort_values(by, kind="stable") if parts else pd.DataFrame()
 
 
+def _keyed(rows: DataFrame, key: list[str], processor: StatefulProcessor, out: str, timed: bool = True, time_column: str = "") -> DataFrame:
+    return rows.groupBy(*key).transformWithStateInPandas(processor, out, "append", "eventtime" if timed else "none", eventTimeColumnName=time_column)
+
+
+class _Origins(StatefulProcessor):
+    """Of a network: the last origin and how many are remembered (a value), and those origins (a map, looked up one by one)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "origin long, remembered int")
+        self.known = handle.getMapState("known", "origin long", "place int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        every = _in_order(rows, _SEQ)
+        every["segment"] = (every["op"] == "W").cumsum()
+        said = every[(every["op"] == "A") & every["origin_asn"].notna()].copy()
+        last, remembered = self.latest.get() or (None, 0)
+        segment, origin = said["segment"], said["origin_asn"].astype("int64")
+        first = ~pd.DataFrame({"segment": segment, "origin": origin}).duplicated()
+        if last is not None:
+            old = {x for x in origin[segment == 0].unique().tolist() if self.known.containsKey((x,))}
+            first &= ~((segment == 0) & origin.isin(old))
+        place = first.astype(int).groupby(segment).cumsum() + np.where(segment == 0, remembered, 0)
+        own = place.where(first).groupby([segment, origin]).transform("max").fillna(0)  # 0: remembered before
+        before = origin.astype("Int64").groupby(segment).shift()
+        if last is not None and len(said) and segment.iloc[0] == 0:
+            before.iloc[0] = last
+        said = said.assign(previous_origin=before, new_origin=origin, distinct_origins=np.minimum(place, MOST_ORIGINS), family=key[0], net_key=key[1])
+        said["severity"] = np.where(said["distinct_origins"] >= 3, detect.HIGH, detect.MEDIUM)
+        fired = said[before.notna() & (first | (own > MOST_ORIGINS))]
+
+        end = every["segment"].iloc[-1]
+        if end and last is not None:
+            self.latest.clear()
+            self.known.clear()
+        mine = segment == end
+        if mine.any():
+            for x, n in zip(origin[mine & first].tolist(), place[mine & first].tolist(), strict=True):
+                if n <= MOST_ORIGINS:
+                    self.known.updateValue((x,), (n,))
+            self.latest.update((int(origin[mine].iloc[-1]), int(min(place[mine].iloc[-1], MOST_ORIGINS))))
+        yield fired[["msg_id", "event_us", "pos", "prefix", "family", "net_key", "previous_origin", "new_origin", "distinct_origins", "severity"]]
+
+    def close(self) -> None:
+        pass
+
+
 def stream_hijacks(ops: DataFrame) -> DataFrame:
-    """Origin changes by network. State: the last origin and up to MOST_ORIGINS remembered ones; a withdrawal
-    clears it."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, known = state.get if state.exists else (None, [])
-        known, out = list(known), []
-        for r in _in_order(frames, _SEQ).itertuples(index=False):
-            if r.op == "W":
-                last, known = None, []
-            elif r.origin_asn is not None and r.origin_asn == r.origin_asn:
-                origin = int(r.origin_asn)
-                fresh = origin not in known
-                if fresh and len(known) < MOST_ORIGINS:
-                    known.append(origin)
-                if last is not None and fresh:
-                    severity = detect.HIGH if len(known) >= 3 else detect.MEDIUM
-                    out.append((r.msg_id, r.event_us, r.pos, r.prefix, key[0], key[1], last, origin, len(known), severity))
-                last = origin
-        state.update((last, known))
-        yield pd.DataFrame(out, columns=["msg_id", "event_us", "pos", "prefix", "family", "net_key", "previous_origin", "new_origin", "distinct_origins", "severity"])
-
-    keyed = ops.select("family", "net_key", *_SEQ, "op", "prefix", "origin_asn").groupBy("family", "net_key")
+    """Origin changes by network, as ``detect.detect_hijacks``. What a network's origins are stays until a withdrawal."""
     out = "msg_id long, event_us long, pos int, prefix string, family byte, net_key string, previous_origin long, new_origin long, distinct_origins int, severity short"
-    return keyed.applyInPandasWithState(step, out, "last long, known array<long>", "append", GroupStateTimeout.NoTimeout)
+    return _keyed(ops.select("family", "net_key", *_SEQ, "op", "prefix", "origin_asn"), ["family", "net_key"], _Origins(), out, timed=False)
 
 
-def leak_stream(updates: DataFrame, relationships: DataFrame) -> DataFrame:
-    """A row for each message with a valley, by a stream-static join. The inner ASes of a message are gathered
-    by its id under the watermark: a message's rows come in one batch, so it is complete when it is met."""
-    sides = with_both_directions(relationships)
-    inner = sides.select(F.col("a").alias("y"), F.col("b").alias("learned_from"), F.col("rel").alias("rel_in"))
-    outer = sides.select(F.col("a").alias("y"), F.col("b").alias("told"), F.col("rel").alias("rel_out"))
-    apexes = detect.path_triples(updates).join(inner, ["y", "learned_from"]).join(outer, ["y", "told"])
-    apexes = apexes.filter(F.col("rel_in").isin("customer", "peer") & F.col("rel_out").isin("customer", "peer"))
+class _Valleys(StatefulProcessor):
+    """The apexes of a message, which come in one batch: no state."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(frames, ["i"])
-        severity = detect.HIGH if len(rows) > 1 else detect.MEDIUM
-        yield pd.DataFrame({"msg_id": [key[0]], "event_us": [rows["event_us"].iloc[-1]], "offending_asn": [rows["y"].iloc[-1]], "violations": [len(rows)], "severity": [severity]})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
 
-    keyed = apexes.select("msg_id", "event_us", "i", "y").groupBy("msg_id")
-    return keyed.applyInPandasWithState(step, "msg_id long, event_us long, offending_asn long, violations int, severity short", "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = _in_order(rows, ["i"])
+        severity = detect.HIGH if len(found) > 1 else detect.MEDIUM
+        yield pd.DataFrame({"msg_id": [key[0]], "event_us": found["event_us"].iloc[-1:].to_numpy(), "event_ts": found["event_ts"].iloc[-1:].to_numpy(), "offending_asn": found["y"].iloc[-1:].to_numpy(), "violations": [len(found)], "severity": [severity]})
 
+    def close(self) -> None:
+        pass
 
-def suppress_stream(leaks: DataFrame, window_us: int = detect.LEAK_WINDOW_US) -> DataFrame:
-    """Leaks of the stream above, stored and followed, without repeats. State by offender: its last violation.
-    A stream may hold one keyed state of this kind, so the two are two queries."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = _in_order(frames, ["event_us", "msg_id"])
-        keep = []
-        for us in rows["event_us"]:
-            keep.append(last is None or us - last >= window_us)
-            last = int(us)
-        state.update((last,))
-        yield rows[keep]
+class _Offenders(StatefulProcessor):
+    """Of an offender: when its last violation was, until it is so long ago that the next one is reported in any case."""
 
-    columns = ["msg_id", "event_us", "offending_asn", "violations", "severity"]
-    return leaks.select(*columns).groupBy("offending_asn").applyInPandasWithState(
-        step, "msg_id long, event_us long, offending_asn long, violations int, severity short", "last long", "append", GroupStateTimeout.NoTimeout
-    )
+    def __init__(self, window_us: int):
+        self.window_us = window_us
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "event_us long")
 
-def stream_churn_counts(ops: DataFrame, window_us: int = detect.CHURN_WINDOW_US) -> DataFrame:
-    """Announcements in the trailing window by prefix and peer. State: the times within the window of the last row.
-    The watermark drops it once it has passed them by the window: a count after that is 1 in any case. Rows later
-    than the watermark are dropped; ``late_batches`` keeps them before they come here."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            state.remove()
+    def _until(self, last: int, timer_values) -> None:
+        self.handle.registerTimer(max((last + self.window_us) // 1000 + 1, timer_values.getCurrentWatermarkInMs() + 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = _in_order(rows, ["event_us", "msg_id"])
+        last = self.last.get()
+        times = found["event_us"].to_numpy()
+        gaps = np.diff(times, prepend=last[0] if last else times[0] - self.window_us)
+        self.last.update((int(times[-1]),))
+        if not last:  # one timer a key: it is set on when it comes too early
+            self._until(int(times[-1]), timerValues)
+        yield found[gaps >= self.window_us][["msg_id", "event_us", "event_ts", "offending_asn", "violations", "severity"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.last.get()[0]
+        if (last + self.window_us) // 1000 < timerValues.getCurrentWatermarkInMs():
+            self.last.clear()
         else:
-            times = list(state.get[0]) if state.exists else []
-            for r in _in_order(frames, _SEQ).itertuples(index=False):
-                times = [x for x in times if x >= r.event_us - window_us]
-                times.append(int(r.event_us))
-                out.append((r.msg_id, r.event_us, r.pos, key[0], key[1], len(times)))
-            state.update((times,))
-            state.setTimeoutTimestamp(max((max(times) + window_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["msg_id", "event_us", "pos", "prefix", "peer_asn", "n_updates"])
+            self._until(last, timerValues)
+        yield pd.DataFrame()
 
+    def close(self) -> None:
+        pass
+
+
+def leak_stream(updates: DataFrame, relationships: DataFrame) -> DataFrame:
+    """A row for each message with a valley, by a stream-static join. A message's rows come in one batch, so it is
+    complete when it is met."""
+    sides = with_both_directions(relationships)
+    inner = sides.select(F.col("a").alias("y"), F.col("b").alias("learned_from"), F.col("rel").alias("rel_in"))
+    outer = sides.select(F.col("a").alias("y"), F.col("b").alias("told"), F.col("rel").alias("rel_out"))
+    apexes = detect.path_triples(updates, False, "event_ts").join(inner, ["y", "learned_from"]).join(outer, ["y", "told"])
+    apexes = apexes.filter(F.col("rel_in").isin("customer", "peer") & F.col("rel_out").isin("customer", "peer"))
+    out = "msg_id long, event_us long, event_ts timestamp, offending_asn long, violations int, severity short"
+    return _keyed(apexes.select("msg_id", "event_us", "event_ts", "i", "y"), ["msg_id"], _Valleys(), out, time_column="event_ts")
+
+
+def stream_leaks(updates: DataFrame, relationships: DataFrame, window_us: int = detect.LEAK_WINDOW_US) -> DataFrame:
+    """Leaks without repeats, as ``detect.suppress_repeats`` of ``detect.path_leaks``: two keyed steps of one query, by message
+    and then by offender; the time of a leak carries the watermark from one to the other."""
+    out = "msg_id long, event_us long, event_ts timestamp, offending_asn long, violations int, severity short"
+    return _keyed(leak_stream(updates, relationships), ["offending_asn"], _Offenders(window_us), out, time_column="event_ts")
+
+
+class _Vantage(StatefulProcessor):
+    """Of a prefix and peer: the times within the window before the last row (a list that is added to; it is written anew when
+    a time falls out of it), until a count after them is 1 in any case."""
+
+    def __init__(self, window_us: int):
+        self.window_us = window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "event_us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = _in_order(rows, _SEQ)
+        now = found["event_us"].to_numpy()
+        old = np.sort(np.fromiter((x[0] for x in self.times.get()), np.int64))
+        since = now - self.window_us
+        counts = len(old) - np.searchsorted(old, since) + np.arange(1, len(now) + 1) - np.searchsorted(now, since)
+        every = np.append(old, now)
+        kept = every >= now[-1] - self.window_us
+        if kept[: len(old)].all():
+            self.times.appendList([(x,) for x in every[kept][len(old) :].tolist()])
+        else:
+            self.times.put([(x,) for x in every[kept].tolist()])
+        if not len(old):
+            self._until(int(every.max()), timerValues)
+        yield pd.DataFrame({"msg_id": found["msg_id"], "event_us": now, "pos": found["pos"], "prefix": key[0], "peer_asn": key[1], "n_updates": counts})
+
+    def _until(self, last: int, timer_values) -> None:
+        self.handle.registerTimer(max((last + self.window_us) // 1000 + 2, timer_values.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = max(x[0] for x in self.times.get())
+        if (last + self.window_us) // 1000 + 1 < timerValues.getCurrentWatermarkInMs():
+            self.times.clear()
+        else:
+            self._until(last, timerValues)
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_churn_counts(ops: DataFrame, window_us: int = detect.CHURN_WINDOW_US) -> DataFrame:
+    """Announcements in the trailing window by prefix and peer. Rows later than the watermark are dropped; ``late_batches``
+    keeps them before they come here."""
     rows = ops.filter("op = 'A' and peer_asn is not null").select("prefix", "peer_asn", *_SEQ, "event_ts")
-    return rows.groupBy("prefix", "peer_asn").applyInPandasWithState(
-        step, "msg_id long, event_us long, pos int, prefix string, peer_asn long, n_updates int", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    out = "msg_id long, event_us long, pos int, prefix string, peer_asn long, n_updates int"
+    return _keyed(rows, ["prefix", "peer_asn"], _Vantage(window_us), out)
 
 
 def churn_batches(sink: Callable[[DataFrame, int], None], ring_path: str, **parameters) -> Callable[[DataFrame, int], None]:
@@ -141,39 +232,63 @@ def churn_batches(sink: Callable[[DataFrame, int], None], ring_path: str, **para
             above = above.union(running.join(last, vantage, "left_anti"))
         above.write.mode("overwrite").parquet(f"{ring_path}/running/{number}")
         counts.drop("fresh").orderBy(F.desc("event_us"), F.desc("msg_id"), F.desc("pos")).limit(keep).write.mode("overwrite").parquet(f"{ring_path}/{number}")
+        drop_versions(spark, ring_path, number)
+        drop_versions(spark, f"{ring_path}/running", number)
         judged.unpersist()
         counts.unpersist()
 
     return run
 
 
-def stream_edges(observations: DataFrame, ttl_us: int = topology.TTL_US, sweep_us: int = topology.SWEEP_US) -> DataFrame:
-    """Links coming up and going down: (kind, a, b, event_us). State by edge: when it was last seen. An edge
-    goes down at its sweep when the watermark passes it, or when it is seen again later than it."""
-    down_at = lambda us: ((us + ttl_us) // sweep_us + 1) * sweep_us
-    columns = ["kind", "a", "b", "event_us"]
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        lo, hi = key
-        out = []
-        if state.hasTimedOut:
-            out.append((feed.LINK_DOWN, lo, hi, down_at(state.get[0])))
-            state.remove()
+class _Link(StatefulProcessor):
+    """Of an edge that is up: when it was last seen. It goes down at its sweep, when the watermark has passed that or it is
+    seen again later."""
+
+    def __init__(self, ttl_us: int, sweep_us: int):
+        self.ttl_us, self.sweep_us = ttl_us, sweep_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "event_us long")
+
+    def _down_at(self, us):
+        return ((us + self.ttl_us) // self.sweep_us + 1) * self.sweep_us
+
+    def _until(self, last: int, timer_values) -> None:
+        self.handle.registerTimer(max(self._down_at(last) // 1000 + 1, timer_values.getCurrentWatermarkInMs() + 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = _in_order(rows, ["event_us", "msg_id", "hop"])
+        times, last = found["event_us"].to_numpy(), self.last.get()
+        seen = np.maximum.accumulate(np.append(last[0] if last else times[0], times))
+        down = self._down_at(seen[:-1])
+        again = times > down
+        up = again.copy()
+        up[0] |= not last
+        self.last.update((int(seen[-1]),))
+        if not last:
+            self._until(int(seen[-1]), timerValues)
+        yield pd.DataFrame({"kind": feed.LINK_DOWN, "a": key[0], "b": key[1], "event_us": down[again]})
+        yield pd.DataFrame({"kind": feed.LINK_UP, "a": found["a"].to_numpy()[up], "b": found["b"].to_numpy()[up], "event_us": times[up]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.last.get()[0]
+        down = self._down_at(last)
+        if down // 1000 < timerValues.getCurrentWatermarkInMs():
+            self.last.clear()
+            yield pd.DataFrame({"kind": [feed.LINK_DOWN], "a": [key[0]], "b": [key[1]], "event_us": [down]})
         else:
-            last = state.get[0] if state.exists else None
-            for r in _in_order(frames, ["event_us", "msg_id", "hop"]).itertuples(index=False):
-                if last is not None and r.event_us > down_at(last):
-                    out.append((feed.LINK_DOWN, lo, hi, down_at(last)))
-                    last = None
-                if last is None:
-                    out.append((feed.LINK_UP, r.a, r.b, r.event_us))
-                last = int(r.event_us) if last is None else max(last, int(r.event_us))
-            state.update((last,))
-            state.setTimeoutTimestamp(max(down_at(last) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=columns)
+            self._until(last, timerValues)
+            yield pd.DataFrame()
 
+    def close(self) -> None:
+        pass
+
+
+def stream_edges(observations: DataFrame, ttl_us: int = topology.TTL_US, sweep_us: int = topology.SWEEP_US) -> DataFrame:
+    """Links coming up and going down: (kind, a, b, event_us)."""
     rows = observations.select("lo", "hi", "a", "b", "event_us", "msg_id", "hop", "event_ts")
-    return rows.groupBy("lo", "hi").applyInPandasWithState(step, "kind string, a long, b long, event_us long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return _keyed(rows, ["lo", "hi"], _Link(ttl_us, sweep_us), "kind string, a long, b long, event_us long")
 
 
 def history_batches(path: str, prune_every: int = 0, retention_days: int = history.RETENTION_DAYS, max_bytes: int = history.MAX_BYTES) -> Callable[[DataFrame, int], None]:
@@ -228,6 +343,7 @@ def late_batches(sink: Callable[[DataFrame, int], None], path: str, delay_us: in
         batch.filter(late).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/late/{number}")
         sink(batch.filter(~late), number)
         batch.agg(F.greatest(F.max("event_us"), F.lit(newest).cast("long")).alias("newest_us")).write.mode("overwrite").parquet(f"{path}/newest/{number}")
+        drop_versions(spark, f"{path}/newest", number)
         batch.unpersist()
 
     return run

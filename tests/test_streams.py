@@ -1,12 +1,13 @@
 """The streaming twins over the smallest tables give what the batch operators give."""
 
+import random
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from asnwatch.operators import detect
+from asnwatch.operators import detect, origins
 from asnwatch.streaming import streams
 
 DATA = "/root/testdata/sf0.001"
@@ -51,6 +52,7 @@ def test_churn_over_batches_equals_batch(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
     ops = spark.createDataFrame(rows, schema)
     timed = lambda df: df.withColumn("event_ts", F.timestamp_micros("event_us")).withWatermark("event_ts", "0 seconds")
+    streams.use_state_store(spark)
     counts = detect.vantage_counts(ops, window)
     want = detect.detect_churn(detect.churn_threshold(counts, **options), options["min_updates"])
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
@@ -69,12 +71,68 @@ def test_quiet_vantages_leave_no_state(spark, tmp_path):
         rows = [(k * 100 + i, (28_663_200 + k) * 60_000_000 + i * 1_000, 0, f"p{k}-{i % 20}", 1, "A") for i in range(60)]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in").withColumn("event_ts", F.timestamp_micros("event_us")).withWatermark("event_ts", "0 seconds")
+    streams.use_state_store(spark)
     writer = streams.stream_churn_counts(stream, 10_000_000).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
     job = writer.trigger(availableNow=True).start()
     job.awaitTermination()
     assert spark.read.parquet(f"{path}/out").count() == 240
     assert sorted({r.n_updates for r in spark.read.parquet(f"{path}/out").collect()}) == [1, 2, 3]
-    assert job.lastProgress["stateOperators"][0]["numRowsTotal"] == 20  # of 80 vantages seen
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress]
+    assert rows[0] == rows[-1] == min(rows)  # those of 20 vantages, of 80 seen
+
+
+def _stream(spark, path, rows, schema, files):
+    """A stream over ``rows`` (times first), dealt out to files by order, with a watermark."""
+    streams.use_state_store(spark)
+    for k in range(files):
+        part = rows[len(rows) * k // files : len(rows) * (k + 1) // files]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return stream.withColumn("event_ts", F.timestamp_micros("event_us")).withWatermark("event_ts", "0 seconds")
+
+
+def _finish(stream, path):
+    job = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return job, stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def test_hijacks_over_batches_equal_batch(spark, tmp_path):
+    rng = random.Random(12)
+    rows = []
+    for i in range(400):  # one network that meets many origins, one that is withdrawn often, one with few
+        net = rng.choice(["0001", "0010", "0011"])
+        gone = rng.random() < {"0001": 0.0, "0010": 0.2, "0011": 0.03}[net]
+        origin = None if gone or rng.random() < 0.05 else rng.randrange(30 if net == "0001" else 4)
+        rows.append((1_719_792_000_000_000 + i // 3 * 1_000_000, i, i % 2, "W" if gone else "A", net, 4, net, origin))
+    schema = "event_us long, msg_id long, pos int, op string, prefix string, family byte, net_key string, origin_asn long"
+    _, got = _finish(streams.stream_hijacks(_stream(spark, str(tmp_path), rows, schema, 5)), str(tmp_path))
+    ops = spark.createDataFrame(rows, schema).withColumns({"prefix_len": F.lit(4), "peer_asn": F.lit(1).cast("long")})
+    columns = ["msg_id", "net_key", "previous_origin", "new_origin", "distinct_origins", "severity"]
+    want = detect.detect_hijacks(origins.origin_observations(ops)).select(columns).collect()
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want))
+    assert {r.distinct_origins for r in want} == set(range(2, 17))
+
+
+def test_repeated_frames_leak_one_by_one(spark, tmp_path):
+    begin = 1_719_792_000_000_000
+    at = [0, 0, 5, 30, 200, 259, 320, 900, 900]  # seconds; the first two and the last two are alike but for their number
+    rows = [(begin + s * 1_000_000, i, [1, 2, 3]) for i, s in enumerate(at)] + [(begin + 901_000_000, 99, [7, 8, 9])]
+    relationships = spark.createDataFrame([(1, 2, "provider"), (3, 2, "provider")], "a long, b long, rel string")
+    stream = _stream(spark, str(tmp_path), rows, "event_us long, msg_id long, path array<long>", 5)
+    job, got = _finish(streams.stream_leaks(stream, relationships), str(tmp_path))
+    assert sorted((r.msg_id, r.offending_asn, r.violations, r.severity) for r in got.collect()) == [(i, 2, 1, 1) for i in (0, 4, 6, 7)]
+
+
+def test_quiet_offenders_leave_no_state(spark, tmp_path):
+    begin = 1_719_792_000_000_000
+    rows = [(begin + i * 10_000_000, i, [1, 100 + i, 3]) for i in range(50)]
+    relationships = spark.createDataFrame([(x, 100 + i, "provider") for i in range(50) for x in (1, 3)], "a long, b long, rel string")
+    stream = _stream(spark, str(tmp_path), rows, "event_us long, msg_id long, path array<long>", 5)
+    job, got = _finish(streams.stream_leaks(stream, relationships), str(tmp_path))
+    assert got.count() == 50
+    kept = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in job.recentProgress]
+    assert kept[-1] < 30  # of the last minute's offenders alone
 
 
 def test_late_rows_are_set_aside_alike_in_a_replay(spark, tmp_path):
