@@ -9,11 +9,12 @@ LINK_UP, LINK_DOWN, AREA = "LinkUp", "LinkDown", "AreaDegraded"
 #: The total order of frames.
 ORDER = ("event_us", "msg_id", "stage", "pos")
 #: Sweeps come after all messages of their time.
-_SWEEP = (1 << 63) - 1
+SWEEP = (1 << 63) - 1
 _TYPES = {"event_us": "bigint", "msg_id": "bigint", "stage": "int", "pos": "int", "kind": "string", "a": "bigint", "b": "bigint", "region": "string", "severity": "float"}
 
 
-def _frames(df: DataFrame) -> DataFrame:
+def as_frames(df: DataFrame) -> DataFrame:
+    """The columns of a frame, absent ones null."""
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in _TYPES.items()])
 
 
@@ -22,11 +23,11 @@ def deltas(link_ups: DataFrame | None = None, link_downs: DataFrame | None = Non
     links that a sweep takes down after the messages of that time."""
     parts = []
     if link_ups is not None:
-        parts.append(_frames(link_ups.withColumns({"kind": F.lit(LINK_UP), "stage": F.lit(0), "pos": F.col("hop")})))
+        parts.append(as_frames(link_ups.withColumns({"kind": F.lit(LINK_UP), "stage": F.lit(0), "pos": F.col("hop")})))
     if areas is not None:
-        parts.append(_frames(areas.withColumns({"kind": F.lit(AREA), "severity": F.col("severity_index")})))
+        parts.append(as_frames(areas.withColumns({"kind": F.lit(AREA), "severity": F.col("severity_index")})))
     if link_downs is not None:
-        parts.append(_frames(link_downs.withColumns({"kind": F.lit(LINK_DOWN), "msg_id": F.lit(_SWEEP), "stage": F.lit(9), "pos": F.lit(0)})))
+        parts.append(as_frames(link_downs.withColumns({"kind": F.lit(LINK_DOWN), "msg_id": F.lit(SWEEP), "stage": F.lit(9), "pos": F.lit(0)})))
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
@@ -66,4 +67,4 @@ def snapshot_frames(edges: DataFrame, most: int = 2000) -> DataFrame:
     """What a new reader is sent first: up to ``most`` live links as frames."""
     from asnwatch.operators.topology import snapshot_edges
 
-    return _frames(snapshot_edges(edges, most).withColumns({"kind": F.lit(LINK_UP), "a": F.col("lo"), "b": F.col("hi"), "event_us": F.col("last_seen_us"), "stage": F.lit(0), "pos": F.lit(0), "msg_id": F.lit(0)}))
+    return as_frames(snapshot_edges(edges, most).withColumns({"kind": F.lit(LINK_UP), "a": F.col("lo"), "b": F.col("hi"), "event_us": F.col("last_seen_us"), "stage": F.lit(0), "pos": F.lit(0), "msg_id": F.lit(0)}))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from asnwatch.functions.prefixes import normalise_prefixes
 from asnwatch.schemas import HISTORY
 
 RETENTION_DAYS = 30
+FILE_BYTES = 128 << 20
+_LAYOUT = ("day", "family", "net_key", "observed_at")
 MAX_BYTES = 2 << 30
 _COLUMNS = [c.strip().split()[0] for c in HISTORY.replace("array<bigint>", "array").split(",")]
 
@@ -27,8 +33,33 @@ def to_history(anomalies: DataFrame) -> DataFrame:
 
 
 def write_history(history: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet, a folder a day; rows are dealt by day first so that a day gets few files, and a large one several."""
-    history.repartition("day", F.pmod(F.xxhash64("kind", "prefix"), F.lit(16))).write.partitionBy("day").mode(mode).parquet(path)
+    """Parquet, a folder a day. Rows are dealt out by range and sorted by network within a day, so that a day gets few files, a large
+    one several, and pages and row groups hold narrow ranges of networks, which lookups by prefix skip by their bounds."""
+    history.repartitionByRange(*_LAYOUT).sortWithinPartitions(*_LAYOUT).write.partitionBy("day").mode(mode).parquet(path)
+
+
+def compact_history(spark: SparkSession, path: str, before, file_bytes: int = FILE_BYTES) -> int:
+    """Write the days before the date ``before`` anew that have more files than their bytes need at ``file_bytes`` each, laid
+    out as ``write_history`` does, and put them in the place of the old ones, day by day. Returns how many days."""
+    rows = read_history(spark, path).filter(F.col("day") < F.lit(before).cast("date"))
+    files = rows.select("day", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("n")).distinct()
+    sizes = files.groupBy("day").agg(F.count("*").alias("files"), F.sum("n").alias("bytes"))
+    days = [r["day"] for r in sizes.filter(F.col("files") > F.ceil(F.col("bytes") / file_bytes)).collect()]  # a row a day
+    if not days:
+        return 0
+    name = uuid.uuid4()
+    fresh, old = f"{path}/_fresh-{name}", f"{path}/_old-{name}"  # readers pass over such folders
+    write_history(rows.filter(F.col("day").isin(days)).select(*_COLUMNS, "day"), fresh)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    system.mkdirs(hadoop.Path(old))
+    for day in days:
+        place, new, aside = (hadoop.Path(f"{x}/day={day}") for x in (path, fresh, old))
+        if not (system.rename(place, aside) and system.rename(new, place)):
+            raise OSError(f"cannot put day {day} in its place; what it held is in {old}")
+    system.delete(hadoop.Path(old), True)
+    system.delete(hadoop.Path(fresh), True)
+    return len(days)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -91,8 +122,9 @@ def history_query(history: DataFrame, prefix: str | None = None, kind: str | Non
         if found["net_key"] is None:
             raise ValueError(f"not a prefix: {prefix}")
         key = found["net_key"]
-        around = [key[:n] for n in range(len(key) + 1)]
-        rows = rows.filter((F.col("family") == found["family"]) & (F.col("net_key").isin(around) | F.col("net_key").startswith(key)))
+        # Equalities one by one, as a long list would reach the files as one wide range.
+        around = reduce(or_, [F.col("net_key") == key[:n] for n in range(len(key))], F.col("net_key").startswith(key))
+        rows = rows.filter((F.col("family") == found["family"]) & around)
     return rows
 
 

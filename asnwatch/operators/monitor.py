@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 # What marks a line of the log.
 PANIC, CONNECTED, LOADED = "panicked at", "subscribed to UPDATE stream", "AS relationships"
 _BY = ("run_id",)
+#: Seconds of a run whose samples one task numbers.
+SPAN_S = 86_400
 
 
-def pipeline_counters(updates: DataFrame, anomalies: DataFrame, frames: DataFrame, bucket: str = "1 day", late: DataFrame | None = None) -> DataFrame:
-    """Messages, anomalies by kind, frames and, if given, ``late`` messages by bucket of time."""
+def pipeline_counters(updates: DataFrame, anomalies: DataFrame | None = None, frames: DataFrame | None = None, bucket: str = "1 day", late: DataFrame | None = None) -> DataFrame:
+    """Messages and, of what is given, anomalies by kind, frames and ``late`` messages by bucket of time."""
     start = F.window(F.timestamp_micros("event_us"), bucket)["start"].alias("bucket_start")
-    parts = [updates.select(start, F.lit("messages").alias("counter")), anomalies.select(start, F.concat(F.lit("anomalies:"), "kind").alias("counter")), frames.select(start, F.lit("deltas").alias("counter"))]
+    parts = [updates.select(start, F.lit("messages").alias("counter"))]
+    if anomalies is not None:
+        parts.append(anomalies.select(start, F.concat(F.lit("anomalies:"), "kind").alias("counter")))
+    if frames is not None:
+        parts.append(frames.select(start, F.lit("deltas").alias("counter")))
     if late is not None:
         parts.append(late.select(start, F.lit("late").alias("counter")))
     return reduce(DataFrame.union, parts).groupBy("bucket_start", "counter").agg(F.count("*").alias("n"))
@@ -58,11 +64,18 @@ def run_summary(samples: DataFrame, clk_tck: int = 100, nproc: int = 4) -> DataF
     )
 
 
-def rate_series(samples: DataFrame, target_rows: int = 12) -> DataFrame:
-    """About ``target_rows`` samples of each run, evenly spaced, with the message rate since the one kept before."""
+def rate_series(samples: DataFrame, target_rows: int = 12, span_s: int = SPAN_S) -> DataFrame:
+    """About ``target_rows`` samples of each run, evenly spaced, with the message rate since the one kept before. Samples are
+    numbered within spans of ``span_s``, which go on from the sizes of those before, so that a long run is spread; only
+    what is kept of a run meets."""
+    timed = samples.withColumn("_span", F.expr(f"elapsed_s div {span_s}L"))
+    sizes = timed.groupBy(*_BY, "_span").agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy(*_BY).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    step = F.greatest(F.floor(F.sum("_size").over(Window.partitionBy(*_BY)) / target_rows), F.lit(1))
+    spans = sizes.select(*_BY, "_span", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"), step.alias("_step"))
+    place = F.row_number().over(Window.partitionBy(*_BY, "_span").orderBy("elapsed_s")) - 1
+    kept = timed.withColumn("_place", place).join(spans, [*_BY, "_span"]).filter("(_before + _place) % _step = 0")
     order = Window.partitionBy(*_BY).orderBy("elapsed_s")
-    step = F.greatest(F.floor(F.count("*").over(Window.partitionBy(*_BY)) / target_rows), F.lit(1))
-    kept = samples.withColumn("_n", F.row_number().over(order) - 1).withColumn("_step", step).filter("_n % _step = 0")
     dt = F.greatest(F.col("elapsed_s") - F.lag("elapsed_s").over(order), F.lit(1))
     rate = F.coalesce(F.greatest(F.col("msgs") - F.lag("msgs").over(order), F.lit(0)) / dt, F.lit(0.0))
     return kept.withColumn("msgs_per_s", rate).select(*_BY, "elapsed_s", "rss_kb", "msgs", "msgs_per_s", "nodes", "edges", "dropped", "clients")

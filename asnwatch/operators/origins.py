@@ -55,38 +55,43 @@ def _in_one(ops: DataFrame) -> DataFrame:
 
 
 def _spread(ops: DataFrame, spread_us: int) -> DataFrame:
-    """The same from windows within buckets. What a bucket inherits is a row for each (network, segment,
-    bucket), and an origin's first place a row for each (network, segment, origin): aggregates, not rows."""
-    earlier = lambda *key: Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    """The same from windows within buckets of a segment. What a row needs to know of other buckets comes from aggregates: a row
+    for each origin that a bucket meets has its first and last sight there; from these follow the origin's place in its
+    segment, and what the buckets before came to. Rows are joined by (network, segment, bucket, origin), never by
+    network or origin alone, so that a network with one origin for ever is spread as well."""
+    key = [*_KEY, "segment"]
+    within = [*key, "bucket"]
     rows = stored(apply_withdrawals(ops, spread_us).filter("op = 'A' and origin_asn is not null").withColumn("bucket", F.expr(f"event_us div {spread_us}L")))
 
-    key = [*_KEY, "segment"]
     seq = F.struct(*SEQUENCE)
-    firsts = rows.groupBy(*key, "origin_asn").agg(F.min(seq).alias("first_seq"), F.min("bucket").alias("first_bucket"))
-    firsts = firsts.withColumn("origin_rank", F.row_number().over(Window.partitionBy(*key).orderBy("first_seq")))
-    ends = rows.groupBy(*key, "bucket").agg(F.max_by("origin_asn", seq).alias("last_origin"))
-    new = firsts.groupBy(*key, F.col("first_bucket").alias("bucket")).agg(F.max("origin_rank").alias("top"))
-    inherited = ends.join(new, [*key, "bucket"], "left").select(
-        *key, "bucket", F.lag("last_origin").over(Window.partitionBy(*key).orderBy("bucket")).alias("before_origin"), F.coalesce(F.max("top").over(earlier(*key)), F.lit(0)).alias("before_rank")
-    )
-    rows = rows.join(firsts.drop("first_bucket"), [*key, "origin_asn"]).withColumn("first", seq == F.col("first_seq")).drop("first_seq").join(inherited, [*key, "bucket"])
-    order = Window.partitionBy(*key, "bucket").orderBy(*SEQUENCE)
-    return rows.withColumns({
+    sights = rows.groupBy(*within, "origin_asn").agg(F.min(seq).alias("seen"), F.max(seq).alias("last"))
+    whole = Window.partitionBy(*key, "origin_asn")
+    sights = sights.withColumn("first_seq", F.min("seen").over(whole)).withColumn("is_first", F.col("seen") == F.col("first_seq"))
+    placed = sights.withColumn("origin_rank", F.dense_rank().over(Window.partitionBy(*key).orderBy("first_seq")))
+    ends = placed.groupBy(*within).agg(F.max_by("origin_asn", "last").alias("last_origin"), F.max(F.when(F.col("is_first"), F.col("origin_rank"))).alias("top"))
+    by_time = Window.partitionBy(*key).orderBy("bucket")
+    opening = ends.select(
+        *within, F.lag("last_origin").over(by_time).alias("before_origin"),
+        F.coalesce(F.max("top").over(by_time.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_rank"),
+    )
+    known = placed.select(*within, "origin_asn", "first_seq", "origin_rank").join(opening, within)
+    joined = rows.join(known, [*within, "origin_asn"]).withColumn("first", seq == F.col("first_seq")).drop("first_seq")
+    order = Window.partitionBy(*within).orderBy(*SEQUENCE)
+    return joined.withColumns({
         "previous_origin": F.coalesce(F.lag("origin_asn").over(order), F.col("before_origin")),
         "rank": F.greatest(F.col("before_rank"), F.max(F.when(F.col("first"), F.col("origin_rank"))).over(order)),
     })
 
 
-def prefix_origins(ops: DataFrame, as_of_us: int | None = None) -> DataFrame:
+def prefix_origins(ops: DataFrame, as_of_us: int | None = None, spread_us: int | None = SPREAD_US) -> DataFrame:
     """Networks announced and not withdrawn since: current origin and the remembered ones, in order of first
-    sight. Only each key's current segment is gathered, and of it one row for each origin."""
+    sight. Of each segment a row for each origin is gathered, of which those of the last segment stay."""
     if as_of_us is not None:
         ops = ops.filter(F.col("event_us") <= as_of_us)
-    last_withdrawal = ops.filter("op = 'W'").groupBy(*_KEY).agg(F.max(F.struct(*SEQUENCE)).alias("gone"))
-    live = ops.filter("op = 'A' and origin_asn is not null").join(last_withdrawal, list(_KEY), "left").filter(F.col("gone").isNull() | (F.struct(*SEQUENCE) > F.col("gone")))
-    each = live.groupBy(*_KEY, "prefix_len", "origin_asn").agg(F.min(F.struct(*SEQUENCE)).alias("first"), F.max(F.struct(*SEQUENCE)).alias("last"))
-    first = Window.partitionBy(*_KEY).orderBy("first")
-    ranked = each.withColumn("place", F.row_number().over(first))
+    seq = F.struct(*SEQUENCE)
+    each = apply_withdrawals(ops, spread_us).groupBy(*_KEY, "prefix_len", "segment", "origin_asn").agg(F.min(seq).alias("first"), F.max(seq).alias("last"))
+    newest = each.withColumn("newest", F.max("segment").over(Window.partitionBy(*_KEY))).filter("segment = newest and origin_asn is not null")
+    ranked = newest.withColumn("place", F.row_number().over(Window.partitionBy(*_KEY).orderBy("first")))
     return ranked.groupBy(*_KEY, "prefix_len").agg(
         F.max_by("origin_asn", "last").alias("origin"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= MOST_ORIGINS, F.struct("place", "origin_asn")))), lambda x: x["origin_asn"]).alias("origins"),

@@ -5,6 +5,10 @@ summed or looked up, and joined back to the rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +28,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def side_by_side(*makers: Callable[[], DataFrame]) -> list[DataFrame]:
+    """What each of ``makers`` returns, made in threads of their own, so that the jobs that they run share the cluster."""
+    with ThreadPoolExecutor(len(makers)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(m)) for m in makers]]
+
+
 def bucketed(rows: DataFrame, spread_us: int) -> DataFrame:
     """Add ``_bucket``."""
     return rows.withColumn("_bucket", F.expr(f"event_us div {spread_us}L"))
@@ -47,9 +57,9 @@ def lagged(rows: DataFrame, key: list[str], order: list[str], spread_us: int = S
     return timed.join(before, [*key, "_bucket"]).withColumns({n: F.when(first, F.col(f"_carried.{n}")).otherwise(F.lag(c).over(within)) for n, c in columns.items()}).drop("_bucket", "_carried")
 
 
-def drop_versions(spark: SparkSession, path: str, number: int) -> None:
-    """Of a table with a version a batch under ``path``, remove the one three batches before ``number``: replays of this
-    batch and of the one before need the later ones, earlier ones are never read again."""
-    if number >= 3:
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - 3}")
+def drop_versions(spark: SparkSession, path: str, number: int, versions: int = 3) -> None:
+    """Of a table with a version a batch under ``path``, keep the last ``versions``, up to the one of batch ``number``. A
+    replay of a batch needs the one before it."""
+    if number >= versions:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{number - versions}")
         old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from asnwatch.functions.messages import event_us
 from asnwatch.functions.prefixes import network_key, normalise_prefixes
 from asnwatch.operators import detect, feed, geo, history, lookup, monitor, origins, routes, topology
-from asnwatch.operators.spread import stored
+from asnwatch.operators.spread import side_by_side, stored
 from asnwatch.plans import tables as t
 from asnwatch.plans.sql import D, H, sql
 from asnwatch.schemas import UPDATES
@@ -48,7 +48,7 @@ def _relationships(spark: SparkSession, d: str) -> DataFrame:
 
 def _episodes(spark: SparkSession, d: str) -> DataFrame:
     as_of = t.table(spark, d, "events").agg(F.max(t.micros())).first()[0] or 0
-    return topology.edge_episodes(topology.path_edges(t.updates(spark, d)), TTL, SWEEP, as_of, D)
+    return stored(topology.edge_episodes(topology.path_edges(t.updates(spark, d)), TTL, SWEEP, as_of, D))
 
 
 def _live(spark: SparkSession, d: str) -> DataFrame:
@@ -77,9 +77,10 @@ def _churn(spark: SparkSession, d: str, ops: DataFrame | None = None) -> DataFra
 
 
 def _anomalies(spark: SparkSession, d: str) -> DataFrame:
-    """All kinds, hijacks and churn from one stored table of operations."""
+    """All kinds, hijacks and churn from one stored table of operations. The detectors store what they read twice; they do
+    so side by side, as none of them fills a cluster on its own."""
     ops = stored(_ops(spark, d))
-    return detect.anomalies(_hijacks(spark, d, ops), _leaks(spark, d), _churn(spark, d, ops))
+    return detect.anomalies(*side_by_side(lambda: _hijacks(spark, d, ops), lambda: _leaks(spark, d), lambda: _churn(spark, d, ops)))
 
 
 def _history(spark: SparkSession, d: str) -> DataFrame:
@@ -87,8 +88,8 @@ def _history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _deltas(spark: SparkSession, d: str) -> DataFrame:
-    episodes = _episodes(spark, d)
-    return feed.deltas(topology.link_up(episodes), topology.link_down(episodes), geo.area_degraded(_anomalies(spark, d), t.regions(spark, d)))
+    episodes, areas = side_by_side(lambda: _episodes(spark, d), lambda: stored(geo.area_degraded(_anomalies(spark, d), t.regions(spark, d))))
+    return feed.deltas(topology.link_up(episodes), topology.link_down(episodes), areas)
 
 
 # Feed messages
@@ -301,7 +302,7 @@ def apply_withdrawals(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT net_key, arg_max(origin_asn, event_us) AS origin, array_to_string(list(origin_asn ORDER BY event_us) FILTER (is_first AND rk <= 16), ',') AS origins
     FROM (SELECT *, max(segment) OVER (PARTITION BY net_key) AS newest FROM (SELECT r.*, s.newest_segment FROM ranked r JOIN (SELECT net_key, max(segment) AS newest_segment FROM segments GROUP BY net_key) s USING (net_key)) WHERE segment = newest_segment) GROUP BY net_key""")
 def prefix_origins(spark: SparkSession, d: str) -> DataFrame:
-    return origins.prefix_origins(_ops(spark, d)).select("net_key", "origin", _text("origins").alias("origins"))
+    return origins.prefix_origins(_ops(spark, d), spread_us=D).select("net_key", "origin", _text("origins").alias("origins"))
 
 
 @query("""SELECT p.address AS net_key, max(e.prefix_len) AS matched_len, arg_max(e.origin, e.prefix_len) AS origin FROM (SELECT DISTINCT address FROM nets) p
@@ -522,7 +523,7 @@ def counter_delta(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT run_id, elapsed_s, msgs, round(coalesce(greatest(msgs - lag(msgs) OVER w, 0) / greatest(elapsed_s - lag(elapsed_s) OVER w, 1), 0.0), 6) AS msgs_per_s FROM (
     SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY elapsed_s) - 1 AS i, greatest(count(*) OVER (PARTITION BY run_id) // 12, 1) AS step FROM samples) WHERE i % step = 0 WINDOW w AS (PARTITION BY run_id ORDER BY elapsed_s)""")
 def rate_series(spark: SparkSession, d: str) -> DataFrame:
-    return monitor.rate_series(t.monitor_samples(spark, d)).select("run_id", "elapsed_s", "msgs", F.round("msgs_per_s", 6).alias("msgs_per_s"))
+    return monitor.rate_series(t.monitor_samples(spark, d), span_s=500).select("run_id", "elapsed_s", "msgs", F.round("msgs_per_s", 6).alias("msgs_per_s"))
 
 
 @query("SELECT * FROM logsum")

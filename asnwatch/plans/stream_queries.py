@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from asnwatch.operators import routes, topology
+from asnwatch.operators import feed, monitor, routes, topology
 from asnwatch.operators.spread import stored
 from asnwatch.plans import tables as t
 from asnwatch.plans.queries import CHURN, LEAK_WINDOW, SWEEP, TTL, query
@@ -19,7 +19,8 @@ from asnwatch.plans.queries import _anomalies as batch_anomalies
 from asnwatch.plans.queries import _live as batch_live
 from asnwatch.plans.queries import _relationships as batch_relationships
 from asnwatch.plans.sql import D
-from asnwatch.streaming import streams
+from asnwatch.schemas import UPDATES
+from asnwatch.streaming import repair, streams
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 SLICES = 5
@@ -77,7 +78,11 @@ def stream_leaks(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(found(path).schema).parquet(f"{path}/out").select("msg_id", "event_us", "offending_asn", "violations", "severity")
 
 
-@query("SELECT msg_id, prefix, peer_asn, n_updates, round(threshold, 6) AS threshold, severity FROM churn")
+_CHURN_SQL = "SELECT msg_id, prefix, peer_asn, n_updates, round(threshold, 6) AS threshold, severity FROM churn"
+_FIRED = "msg_id long, event_us long, pos int, prefix string, peer_asn long, n_updates int, threshold double, severity short"
+
+
+@query(_CHURN_SQL)
 def stream_churn(spark: SparkSession, d: str) -> DataFrame:
     def start(path: str) -> StreamingQuery:
         sink = lambda df, number: df.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
@@ -85,7 +90,7 @@ def stream_churn(spark: SparkSession, d: str) -> DataFrame:
         return _to_batches(counts, streams.churn_batches(sink, f"{path}/ring", **CHURN), path)
 
     path = _run(spark, d, start)
-    out = spark.read.schema("msg_id long, event_us long, pos int, prefix string, peer_asn long, n_updates int, threshold double, severity short").parquet(f"{path}/out")
+    out = spark.read.schema(_FIRED).parquet(f"{path}/out")
     return out.select("msg_id", "prefix", "peer_asn", "n_updates", F.round("threshold", 6).alias("threshold"), "severity")
 
 
@@ -94,10 +99,13 @@ def _link_changes(spark: SparkSession, path: str) -> DataFrame:
     return streams.stream_edges(observed, TTL, SWEEP)
 
 
-@query("SELECT 'LinkUp' AS kind, a, b, up_us AS event_us FROM episodes UNION ALL SELECT 'LinkDown', lo, hi, down_us FROM episodes WHERE down_us IS NOT NULL")
+_EDGES_SQL = "SELECT 'LinkUp' AS kind, a, b, up_us AS event_us FROM episodes UNION ALL SELECT 'LinkDown', lo, hi, down_us FROM episodes WHERE down_us IS NOT NULL"
+
+
+@query(_EDGES_SQL)
 def stream_edges(spark: SparkSession, d: str) -> DataFrame:
     path = _run(spark, d, lambda path: _to_files(_link_changes(spark, path), path))
-    return spark.read.schema(_link_changes(spark, path).schema).parquet(f"{path}/out")
+    return spark.read.schema(_link_changes(spark, path).schema).parquet(f"{path}/out").select("kind", "a", "b", "event_us")
 
 
 @query("""SELECT 'live' AS part, '{"kind":"LinkUp","a":' || a || ',"b":' || b || '}' AS value FROM episodes
@@ -129,6 +137,98 @@ def stream_late_rows(spark: SparkSession, d: str) -> DataFrame:
     return streams.late_rows(spark, f"{path}/policy", "msg_id long, event_us long")
 
 
+# Late rows beside detectors: one in twenty comes a slice after its time.
+
+
+def _some_late(spark: SparkSession, d: str) -> list[DataFrame]:
+    events = t.table(spark, d, "events").withColumn("_us", t.micros())
+    low, high = events.agg(F.min("_us"), F.max("_us")).first()
+    arrival = F.expr(f"(_us - {low or 0}L) div {((high or 0) - (low or 0)) // SLICES + 1}L")
+    late = (F.col("event_id") % 20 == 7) & (arrival < SLICES - 1)
+    events = events.withColumn("_k", arrival + late.cast("int"))
+    return [events.filter(F.col("_k") == k).drop("_us", "_k") for k in range(SLICES)]
+
+
+def _on_time(spark: SparkSession, path: str) -> DataFrame:
+    return spark.readStream.schema(UPDATES).parquet(f"{path}/on_time").drop("batch").withWatermark("event_ts", "0 seconds")
+
+
+def _set_aside(spark: SparkSession, path: str) -> StreamingQuery:
+    """Rows older than any of a batch before go to the table of late rows, the others to ``on_time``."""
+    sink = lambda df, number: df.write.mode("overwrite").parquet(f"{path}/on_time/batch={number}")
+    return _to_batches(_updates(spark, path), streams.late_batches(sink, f"{path}/policy", 0), f"{path}/aside")
+
+
+def _archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(all updates, late ones)."""
+    late = streams.late_rows(spark, f"{path}/policy", UPDATES)
+    return spark.read.schema(UPDATES).option("recursiveFileLookup", "true").parquet(f"{path}/on_time").union(late), late
+
+
+@query(_EDGES_SQL)
+def stream_late_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Link changes of a stream from which late rows were kept, repaired by those."""
+    changes = lambda path: streams.stream_edges(topology.canonical_edge(topology.path_pairs(_on_time(spark, path), "event_ts")), TTL, SWEEP)
+    path = _run(spark, d, lambda path: _set_aside(spark, path), lambda path: _to_files(changes(path), path), slices=_some_late)
+    every, late = _archive(spark, path)
+    as_of = every.agg(F.max("event_us")).first()[0] or 0
+    written = spark.read.schema(changes(path).schema).parquet(f"{path}/out")
+    return repair.repair_edges(written, topology.path_edges(every), topology.path_edges(late), as_of, TTL, SWEEP, D)
+
+
+@query(_CHURN_SQL)
+def stream_late_churn(spark: SparkSession, d: str) -> DataFrame:
+    """Churn of a stream from which late rows were kept, repaired by those."""
+
+    def start(path: str) -> StreamingQuery:
+        to = lambda table: lambda df, number: df.write.mode("overwrite").parquet(f"{path}/{table}/batch={number}")
+        counts = streams.stream_churn_counts(routes.route_ops(_on_time(spark, path)), 3 * D)
+        return _to_batches(counts, streams.churn_batches(to("out"), f"{path}/ring", to("judged"), **CHURN), path)
+
+    path = _run(spark, d, lambda path: _set_aside(spark, path), start, slices=_some_late)
+    every, late = (stored(routes.route_ops(x)) for x in _archive(spark, path))
+    judged = spark.read.schema(_FIRED.replace(", severity short", "")).parquet(f"{path}/judged").drop("batch")
+    out = repair.repair_churn(judged, spark.read.schema(_FIRED).parquet(f"{path}/out").drop("batch"), every, late, 3 * D, D, **CHURN)
+    return out.select("msg_id", "prefix", "peer_asn", "n_updates", F.round("threshold", 6).alias("threshold"), "severity")
+
+
+_ARRIVING = f"""SELECT m.event_us, k + CASE WHEN msg_id % 20 = 7 AND k < {SLICES - 1} THEN 1 ELSE 0 END AS arrival FROM (SELECT msg.*, (event_us - low) // width AS k
+    FROM msg, (SELECT min(event_us) AS low, (max(event_us) - min(event_us)) // {SLICES} + 1 AS width FROM ev)) m"""
+
+
+@query(f"""SELECT date_trunc('day', make_timestamp(a.event_us)) AS bucket_start, CASE WHEN coalesce(a.event_us < b.newest_us, false) THEN 'late' ELSE 'messages' END AS counter, count(*) AS n FROM ({_ARRIVING}) a
+    JOIN (SELECT arrival, max(max(event_us)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest_us FROM ({_ARRIVING}) GROUP BY arrival) b USING (arrival) GROUP BY 1, 2""")
+def stream_late_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Messages on time and late ones by day."""
+    path = _run(spark, d, lambda path: _set_aside(spark, path), slices=_some_late)
+    every, late = _archive(spark, path)
+    on_time = every.join(late.select("msg_id"), "msg_id", "left_anti")
+    return monitor.pipeline_counters(on_time, late=late)
+
+
+@query("""SELECT 'links' AS part, lo || '-' || hi AS name, CAST(up_us AS VARCHAR) AS value FROM live UNION ALL SELECT 'subscriber', lo || '-' || hi, '' FROM live
+    UNION ALL SELECT 'regions', region, CAST(CAST(arg_max(weight, event_us * 10 + stage) AS DECIMAL(3, 2)) AS VARCHAR) FROM degraded GROUP BY region""")
+def stream_whole_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The whole change feed as one stream, folded: links and regions by a reader of all frames, links by a subscriber who
+    begins in the middle with the table of live links."""
+    regions = stored(t.regions(spark, d))
+
+    def start(path: str) -> StreamingQuery:
+        rows = streams.whole_feed(_updates(spark, path), TTL, SWEEP, 3 * D)
+        return _to_batches(rows, streams.whole_feed_batches(f"{path}/feed", regions, versions=100, **CHURN), path)
+
+    path = _run(spark, d, start)
+    frames = stored(streams.feed_frames(spark, f"{path}/feed"))
+    name = F.concat_ws("-", "lo", "hi").alias("name")
+    links = feed.current_links(frames).select(F.lit("links").alias("part"), name, F.col("since_us").cast("string").alias("value"))
+    areas = feed.region_severity(frames).select(F.lit("regions").alias("part"), F.col("region").alias("name"), F.col("severity").cast("decimal(3,2)").cast("string").alias("value"))
+    middle = (frames.agg(F.max("batch")).first()[0] or 0) // 2
+    read = streams.subscription_at(spark, f"{path}/feed", middle).withColumn("frame", F.from_json("value", "kind string, a long, b long"))
+    read = topology.canonical_edge(read.filter("frame.a is not null").select("batch", *feed.ORDER, "frame.*"))
+    last = read.groupBy("lo", "hi").agg(F.max_by("kind", F.struct("batch", *feed.ORDER)).alias("kind")).filter(F.col("kind") == feed.LINK_UP)
+    return links.union(areas).union(last.select(F.lit("subscriber"), name, F.lit("")))
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS messages, min(event_us) AS first_us, max(event_us) AS last_us FROM msg")
 def stream_counters(spark: SparkSession, d: str) -> DataFrame:
     """Live counters of a stream, a row a batch, summed up."""

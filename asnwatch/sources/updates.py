@@ -159,7 +159,7 @@ def update_batches(path: str) -> Callable[[DataFrame, int], None]:
 def stream_updates(spark: SparkSession, path: str, late: str = "10 minutes", max_files: int = 100) -> DataFrame:
     """A stream of numbered updates from the table that ``update_batches`` writes, with a watermark: rows later than
     ``late`` may be dropped by stateful operators."""
-    return spark.readStream.schema(UPDATES).option("maxFilesPerTrigger", max_files).parquet(path).select(*[c.split()[0] for c in UPDATES.split(", ")]).withWatermark("event_ts", late)
+    return spark.readStream.schema(UPDATES).option("maxFilesPerTrigger", max_files).parquet(path).drop("batch").withWatermark("event_ts", late)
 
 
 def kafka_updates(spark: SparkSession, servers: str, topic: str, late: str = "10 minutes", max_offsets: int = 1_000_000) -> DataFrame:

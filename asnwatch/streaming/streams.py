@@ -10,6 +10,7 @@ to what a batch run over the archive gives. Input rows are what ``operators`` ma
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from threading import Event, Thread
 
 import numpy as np
 import pandas as pd
@@ -17,12 +18,15 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from asnwatch.operators import detect, feed, history, topology
+from asnwatch.functions.prefixes import normalise_prefixes
+from asnwatch.operators import detect, feed, geo, history, routes, topology
 from asnwatch.operators.origins import MOST_ORIGINS
 from asnwatch.operators.spread import drop_versions
 from asnwatch.sources.relationships import with_both_directions
 
 _SEQ = ["event_us", "msg_id", "pos"]
+#: Seconds that ``counted_batches`` waits for what was observed after its sink has ended.
+OBSERVED_S = 10
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -208,11 +212,12 @@ def stream_churn_counts(ops: DataFrame, window_us: int = detect.CHURN_WINDOW_US)
     return _keyed(rows, ["prefix", "peer_asn"], _Vantage(window_us), out)
 
 
-def churn_batches(sink: Callable[[DataFrame, int], None], ring_path: str, **parameters) -> Callable[[DataFrame, int], None]:
+def churn_batches(sink: Callable[[DataFrame, int], None], ring_path: str, keep_judged: Callable[[DataFrame, int], None] | None = None, **parameters) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch`` over ``stream_churn_counts``: thresholds from the counts of this batch and the
     last ones before it, kept as a small table under ``ring_path``. Beside it, in ``running``, are the vantages
     whose last count was above its threshold, so that an episode that goes on is not reported again. Each batch
-    writes new versions named by its number, so a replayed batch starts from the same state."""
+    writes new versions named by its number, so a replayed batch starts from the same state. ``keep_judged`` gets all
+    counts of a batch with their thresholds, what ``repair.repair_churn`` starts from."""
     keep, least = parameters.get("baseline", detect.BASELINE), parameters.get("min_updates", detect.MIN_UPDATES)
     vantage = ["prefix", "peer_asn"]
 
@@ -225,6 +230,8 @@ def churn_batches(sink: Callable[[DataFrame, int], None], ring_path: str, **para
             running = spark.read.schema("prefix string, peer_asn long").parquet(f"{ring_path}/running/{number - 1}")
         counts = counts.persist()
         judged = detect.churn_threshold(counts, **parameters).filter("fresh").drop("fresh").persist()
+        if keep_judged:
+            keep_judged(judged, number)
         sink(detect.detect_churn(judged, least, running), number)
         last = judged.withColumn("above", detect.above_threshold(least)).groupBy(*vantage).agg(F.max_by("above", F.struct(*_SEQ)).alias("above"))
         above = last.filter("above").select(*vantage)
@@ -268,15 +275,19 @@ class _Link(StatefulProcessor):
         self.last.update((int(seen[-1]),))
         if not last:
             self._until(int(seen[-1]), timerValues)
-        yield pd.DataFrame({"kind": feed.LINK_DOWN, "a": key[0], "b": key[1], "event_us": down[again]})
-        yield pd.DataFrame({"kind": feed.LINK_UP, "a": found["a"].to_numpy()[up], "b": found["b"].to_numpy()[up], "event_us": times[up]})
+        yield self._down(key, down[again])
+        fresh = found[up]
+        yield pd.DataFrame({"kind": feed.LINK_UP, "a": fresh["a"], "b": fresh["b"], "event_us": fresh["event_us"], "msg_id": fresh["msg_id"], "stage": 0, "pos": fresh["hop"]})
+
+    def _down(self, key, times) -> pd.DataFrame:
+        return pd.DataFrame({"kind": feed.LINK_DOWN, "a": key[0], "b": key[1], "event_us": times, "msg_id": feed.SWEEP, "stage": 9, "pos": 0})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last = self.last.get()[0]
         down = self._down_at(last)
         if down // 1000 < timerValues.getCurrentWatermarkInMs():
             self.last.clear()
-            yield pd.DataFrame({"kind": [feed.LINK_DOWN], "a": [key[0]], "b": [key[1]], "event_us": [down]})
+            yield self._down(key, np.array([down]))
         else:
             self._until(last, timerValues)
             yield pd.DataFrame()
@@ -286,9 +297,9 @@ class _Link(StatefulProcessor):
 
 
 def stream_edges(observations: DataFrame, ttl_us: int = topology.TTL_US, sweep_us: int = topology.SWEEP_US) -> DataFrame:
-    """Links coming up and going down: (kind, a, b, event_us)."""
+    """Links coming up and going down, with their order among all frames: (kind, a, b, event_us, msg_id, stage, pos)."""
     rows = observations.select("lo", "hi", "a", "b", "event_us", "msg_id", "hop", "event_ts")
-    return _keyed(rows, ["lo", "hi"], _Link(ttl_us, sweep_us), "kind string, a long, b long, event_us long")
+    return _keyed(rows, ["lo", "hi"], _Link(ttl_us, sweep_us), "kind string, a long, b long, event_us long, msg_id long, stage int, pos int")
 
 
 def history_batches(path: str, prune_every: int = 0, retention_days: int = history.RETENTION_DAYS, max_bytes: int = history.MAX_BYTES) -> Callable[[DataFrame, int], None]:
@@ -356,12 +367,76 @@ def late_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def counted_batches(sink: Callable[[DataFrame, int], None], path: str) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: live counters. Rows and their first and last time are observed while ``sink`` reads the batch, with
-    no job of their own, and written as a row a batch under ``path``."""
+    no job of their own, and written as a row a batch under ``path``. A sink that reads nothing costs a job that counts."""
 
     def run(batch: DataFrame, number: int) -> None:
+        done = Event()
+        counts = (F.count("*").alias("messages"), F.min("event_us").alias("first_us"), F.max("event_us").alias("last_us"))
         seen = Observation(f"batch {number}")
-        sink(batch.observe(seen, F.count("*").alias("messages"), F.min("event_us").alias("first_us"), F.max("event_us").alias("last_us")), number)
-        row = [(number, *(seen.get[c] for c in ("messages", "first_us", "last_us")))]
-        batch.sparkSession.createDataFrame(row, "batch long, messages long, first_us long, last_us long").write.mode("overwrite").parquet(f"{path}/{number}")
+        observed = batch.observe(seen, *counts)
+        sink(observed, number)
+        waiter = Thread(target=lambda: (seen.get, done.set()), daemon=True)
+        waiter.start()
+        row = seen.get if done.wait(OBSERVED_S) else batch.agg(*counts).first().asDict()
+        values = [(number, *(row[c] for c in ("messages", "first_us", "last_us")))]
+        batch.sparkSession.createDataFrame(values, "batch long, messages long, first_us long, last_us long").write.mode("overwrite").parquet(f"{path}/{number}")
 
     return run
+
+
+def whole_feed(updates: DataFrame, ttl_us: int = topology.TTL_US, sweep_us: int = topology.SWEEP_US, window_us: int = detect.CHURN_WINDOW_US) -> DataFrame:
+    """All that the change feed is made of, as one stream from three keyed detectors: rows of ``part`` link (frames), hijack
+    and count (of announcements, for the churn baseline), for ``whole_feed_batches``."""
+    ops = routes.route_ops(updates)
+    links = stream_edges(topology.canonical_edge(topology.path_pairs(updates, "event_ts")), ttl_us, sweep_us).withColumn("part", F.lit("link"))
+    hijacks = stream_hijacks(ops).withColumn("part", F.lit("hijack"))
+    counts = stream_churn_counts(ops, window_us).withColumn("part", F.lit("count"))
+    return links.unionByName(hijacks, allowMissingColumns=True).unionByName(counts, allowMissingColumns=True)
+
+
+_LIVE = "lo long, hi long, a long, b long, event_us long, msg_id long, stage int, pos int, kind string"
+
+
+def whole_feed_batches(path: str, regions: DataFrame, versions: int = 3, **churn) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` over ``whole_feed``. Under ``path``, frames/batch=N holds the frames of a batch in one order, links and
+    areas of hijacks and churn that ``regions`` places, with their JSON as ``value``; live/N is the table of links that are up
+    after batch N, made of the one before and the batch's frames. The last ``versions`` of it are kept. A
+    replayed batch overwrites itself."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        links = batch.filter("part = 'link'").select("kind", "a", "b", *feed.ORDER)
+        hijacks = batch.filter("part = 'hijack'")
+
+        def write(fired: DataFrame, number: int) -> None:
+            found = detect.anomalies(hijacks, None, normalise_prefixes(fired))
+            frames = feed.as_frames(links).union(feed.as_frames(geo.area_degraded(found, regions).withColumns({"kind": F.lit(feed.AREA), "severity": F.col("severity_index")})))
+            feed.delta_frames(frames).repartitionByRange(*feed.ORDER).sortWithinPartitions(*feed.ORDER).write.mode("overwrite").parquet(f"{path}/frames/batch={number}")
+
+        counts = batch.filter("part = 'count'").select(*_SEQ, "prefix", "peer_asn", "n_updates")
+        churn_batches(write, f"{path}/ring", **churn)(counts, number)
+        fresh = topology.canonical_edge(links)
+        if number:
+            fresh = spark.read.schema(_LIVE).parquet(f"{path}/live/{number - 1}").unionByName(fresh)
+        rest = [c for c in fresh.columns if c not in ("lo", "hi")]
+        last = fresh.groupBy("lo", "hi").agg(F.max_by(F.struct(*rest), F.struct(*feed.ORDER)).alias("last"))
+        last.select("lo", "hi", "last.*").filter(F.col("kind") == feed.LINK_UP).write.mode("overwrite").parquet(f"{path}/live/{number}")
+        drop_versions(spark, f"{path}/live", number, versions)
+        batch.unpersist()
+
+    return run
+
+
+def feed_frames(spark: SparkSession, path: str) -> DataFrame:
+    """All frames that ``whole_feed_batches`` has written, with their batch."""
+    return spark.read.schema("event_us long, msg_id long, stage int, pos int, kind string, a long, b long, region string, severity float, value string, batch int").parquet(f"{path}/frames")
+
+
+def subscription_at(spark: SparkSession, path: str, batch: int) -> DataFrame:
+    """What a subscriber reads who begins after ``batch``, with the order to read it in: the links that were up then, as frames,
+    and the frames of later batches, which follow without gap or overlap."""
+    live = spark.read.schema(_LIVE).parquet(f"{path}/live/{batch}").withColumns({"a": F.col("lo"), "b": F.col("hi"), "batch": F.lit(batch)})
+    snapshot = feed.delta_frames(live.withColumns({"region": F.lit(None).cast("string"), "severity": F.lit(None).cast("float")}))
+    columns = ["batch", *feed.ORDER, "value"]
+    return snapshot.select(columns).union(feed_frames(spark, path).filter(F.col("batch") > batch).select(columns))

@@ -138,3 +138,45 @@ def test_history_batches_replay(spark, tmp_path):
     write(anomaly_rows(spark, 1704067300000000, 1704067400000000), 1)
     write(anomaly_rows(spark, 1704067300000000, 1704067400000000), 1)
     assert history.read_history(spark, path).count() == 3
+
+
+def _hijack_history(spark, n, days=3):
+    return history.to_history(
+        spark.range(n).selectExpr(
+            f"1719792000000000 + (id % {days}) * 86400000000L + id as event_us", "'prefix_hijack' as kind", "cast(1 as smallint) as severity", "'x' as prefix",
+            "1L as previous_origin", "2L as new_origin", "cast(null as bigint) as offending_asn", "cast(null as array<bigint>) as as_path", "cast(null as int) as updates_in_window", "cast(null as double) as threshold",
+            "lpad(bin(xxhash64(id) & 16777215), 24, '0') as net_key", "cast(4 as tinyint) as family",
+        )
+    )
+
+
+def _rows_scanned(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_prefix_lookups_read_few_rows_and_small_files_are_swapped(spark, tmp_path):
+    path, rows = str(tmp_path / "h"), _hijack_history(spark, 240_000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for k in range(4):
+            history.write_history(rows.filter(f"pmod(xxhash64(event_us), 4) = {k}"), path)
+        before = day_files(tmp_path)
+        lookup = lambda: history.history_query(history.read_history(spark, path), prefix="77.0.0.0/12")
+        want = sorted(r.observed_at for r in lookup().collect())
+        assert len(want) > 10
+        assert history.compact_history(spark, path, "2024-07-03") == 2
+        after = day_files(tmp_path)
+        assert after["day=2024-07-03"] == before["day=2024-07-03"] >= 4
+        assert all(after[d] < before[d] for d in ("day=2024-07-01", "day=2024-07-02"))
+        assert sorted(r.observed_at for r in lookup().collect()) == want
+        assert history.read_history(spark, path).count() == 240_000
+        assert history.compact_history(spark, path, "2024-07-01") == 0
+        history.compact_history(spark, path, "2024-07-04")
+        assert _rows_scanned(lookup()) <= 240_000 / 3  # pages outside the prefix are skipped
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def day_files(tmp_path):
+    return {d.name: len(list(d.rglob("part-*.parquet"))) for d in (tmp_path / "h").iterdir() if d.name.startswith("day=")}
