@@ -31,9 +31,9 @@ EDGE = 0xFF
 #: Contexts of each order in the broadcast table, at most: all shorter ones and the most frequent of the longest.
 #: Symbols in any other context that was seen are joined by it.
 CONTEXTS = (1, 256, 65_536, 65_536)
-#: Words whose counts are broadcast, and their greatest length in bytes; all others are joined.
-FREQUENT = 65_536
-FREQUENT_BYTES = 40
+#: Words whose counts are broadcast: so many of at most that length in bytes, and so many longer ones of at most that; all others are joined.
+FREQUENT, FREQUENT_BYTES = 65_536, 40
+LONG, LONG_BYTES = 256, 65_536
 #: Count of every word before any is seen.
 PRIOR = 0.1
 
@@ -304,7 +304,8 @@ def score(docs: DataFrame, learns: Column, id_column: str = "doc_id", text_colum
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     floor = math.log10(size["n"] + PRIOR * (size["v"] + 1))
     short = largest(counts.filter(F.length("word") <= FREQUENT_BYTES), "n", FREQUENT).collect()  # FREQUENT rows at most
-    frequent = {bytes(r["word"]): r["n"] for r in short}
+    longer = counts.filter((F.length("word") > FREQUENT_BYTES) & (F.length("word") <= LONG_BYTES))
+    frequent = {bytes(r["word"]): r["n"] for r in [*short, *largest(longer, "n", LONG).collect()]}  # LONG * LONG_BYTES at most
     model, others = fitted(checkpointed(gram_counts(training, text_column)))
     sent = docs.sparkSession.sparkContext.broadcast((frequent, model))
     kept = docs.select(id_column, text_column)
