@@ -24,11 +24,11 @@ LEAK_WINDOW = D
 CHURN = {"min_updates": 3, "deviations": 2.0, "floor": 3.0, "bucket_us": H}
 
 
-def query(oracle: str | None = None):
+def query(oracle: str | None = None, decoded: bool = False):
     def register(f):
         QUERIES[f.__name__] = f
         if oracle:
-            ORACLE_SQL[f.__name__] = sql(" ".join(oracle.split()))
+            ORACLE_SQL[f.__name__] = sql(" ".join(oracle.split()), decoded)
         return f
 
     return register
@@ -38,17 +38,17 @@ def _text(column: str):
     return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
 
 
-def _ops(spark: SparkSession, d: str) -> DataFrame:
-    return routes.route_ops(t.updates(spark, d))
+def _ops(spark: SparkSession, d: str, messages: DataFrame | None = None) -> DataFrame:
+    return routes.route_ops(t.updates(spark, d) if messages is None else messages)
 
 
 def _relationships(spark: SparkSession, d: str) -> DataFrame:
     return rel_source.parse_as_relationships(t.relationship_lines(spark, d))
 
 
-def _episodes(spark: SparkSession, d: str) -> DataFrame:
+def _episodes(spark: SparkSession, d: str, messages: DataFrame | None = None) -> DataFrame:
     as_of = t.table(spark, d, "events").agg(F.max(t.micros())).first()[0] or 0
-    return stored(topology.edge_episodes(topology.path_edges(t.updates(spark, d)), TTL, SWEEP, as_of, D))
+    return stored(topology.edge_episodes(topology.path_edges(t.updates(spark, d) if messages is None else messages), TTL, SWEEP, as_of, D))
 
 
 def _live(spark: SparkSession, d: str) -> DataFrame:
@@ -59,12 +59,12 @@ def _hijacks(spark: SparkSession, d: str, ops: DataFrame | None = None) -> DataF
     return detect.detect_hijacks(origins.origin_observations(stored(_ops(spark, d)) if ops is None else ops, spread_us=D))
 
 
-def _path_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return detect.path_leaks(detect.valley_apexes(t.updates(spark, d), _relationships(spark, d)))
+def _path_leaks(spark: SparkSession, d: str, messages: DataFrame | None = None) -> DataFrame:
+    return detect.path_leaks(detect.valley_apexes(t.updates(spark, d) if messages is None else messages, _relationships(spark, d)))
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return detect.suppress_repeats(stored(_path_leaks(spark, d)), LEAK_WINDOW, D)
+def _leaks(spark: SparkSession, d: str, messages: DataFrame | None = None) -> DataFrame:
+    return detect.suppress_repeats(stored(_path_leaks(spark, d, messages)), LEAK_WINDOW, D)
 
 
 def _vantage(spark: SparkSession, d: str, ops: DataFrame | None = None) -> DataFrame:
@@ -76,19 +76,19 @@ def _churn(spark: SparkSession, d: str, ops: DataFrame | None = None) -> DataFra
     return detect.detect_churn(judged, CHURN["min_updates"], spread_us=D)
 
 
-def _anomalies(spark: SparkSession, d: str) -> DataFrame:
+def _anomalies(spark: SparkSession, d: str, messages: DataFrame | None = None) -> DataFrame:
     """All kinds, hijacks and churn from one stored table of operations. The detectors store what they read twice; they do
     so side by side, as none of them fills a cluster on its own."""
-    ops = stored(_ops(spark, d))
-    return detect.anomalies(*side_by_side(lambda: _hijacks(spark, d, ops), lambda: _leaks(spark, d), lambda: _churn(spark, d, ops)))
+    ops = stored(_ops(spark, d, messages))
+    return detect.anomalies(*side_by_side(lambda: _hijacks(spark, d, ops), lambda: _leaks(spark, d, messages), lambda: _churn(spark, d, ops)))
 
 
 def _history(spark: SparkSession, d: str) -> DataFrame:
     return history.to_history(geo.resolve_region(_anomalies(spark, d), t.regions(spark, d)))
 
 
-def _deltas(spark: SparkSession, d: str) -> DataFrame:
-    episodes, areas = side_by_side(lambda: _episodes(spark, d), lambda: stored(geo.area_degraded(_anomalies(spark, d), t.regions(spark, d))))
+def _deltas(spark: SparkSession, d: str, messages: DataFrame | None = None) -> DataFrame:
+    episodes, areas = side_by_side(lambda: _episodes(spark, d, messages), lambda: stored(geo.area_degraded(_anomalies(spark, d, messages), t.regions(spark, d))))
     return feed.deltas(topology.link_up(episodes), topology.link_down(episodes), areas)
 
 
@@ -394,6 +394,13 @@ def deltas(spark: SparkSession, d: str) -> DataFrame:
     return _deltas(spark, d).select("event_us", "msg_id", "stage", "kind", "a", "b", "region", "severity")
 
 
+@query("SELECT event_us, msg_id, CAST(stage AS INTEGER) AS stage, kind, a, b, region, severity FROM deltas", decoded=True)
+def frames_to_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """From JSON frames to the change feed in one run: decoded once, stored, and read by all detectors."""
+    messages = stored(update_source.split_frames(t.frames(spark, d))[0])
+    return _deltas(spark, d, messages).select("event_us", "msg_id", "stage", "kind", "a", "b", "region", "severity")
+
+
 @query("""SELECT event_us, CASE kind WHEN 'AreaDegraded' THEN '{"kind":"AreaDegraded","region":"' || region || '","severity":' || severity || '}' ELSE '{"kind":"' || kind || '","a":' || a || ',"b":' || b || '}' END AS value FROM deltas""")
 def delta_frames(spark: SparkSession, d: str) -> DataFrame:
     return feed.delta_frames(_deltas(spark, d)).select("event_us", "value")

@@ -84,17 +84,28 @@ _PARTS = {
 }
 
 
-def sql(select: str) -> str:
+#: In place of parts above, for what is read from frames: those that are neither control frames nor broken, with AS sets.
+_DECODED = {
+    "decoded": "SELECT * FROM msg WHERE NOT (m % 40 = 5 OR m % 41 = 6 OR (m % 50 = 3 AND NOT withdraws))",
+    "net": "SELECT *, addr - addr % (1 << (32 - plen)) AS net FROM decoded",
+    "ops": _PARTS["ops"].replace("THEN origin END AS origin_asn", "THEN CASE WHEN m % 6 = 1 THEN 64999 ELSE origin END END AS origin_asn"),
+    "paths": """SELECT msg_id, event_us, withdraws, CASE WHEN withdraws THEN [] ELSE [peer_asn, t1, t2] || CASE WHEN m % 10 = 0 THEN [t2] ELSE [] END || [origin]
+        || CASE WHEN m % 6 = 1 THEN [64999] ELSE [] END END AS path FROM decoded""",
+}
+
+
+def sql(select: str, decoded: bool = False) -> str:
     """``select`` with the parts that it names, and those that they name, as common table expressions."""
     import re
 
+    parts = {**_PARTS, **_DECODED} if decoded else _PARTS
     needed: list[str] = []
 
     def add(text: str) -> None:
         for name in re.findall(r"\b(?:FROM|JOIN|from|join|,)\s*\(?\s*([a-z]\w*)", text):
-            if name in _PARTS and name not in needed:
-                add(_PARTS[name])
+            if name in parts and name not in needed:
+                add(parts[name])
                 needed.append(name)
 
     add(select)
-    return ("WITH " + ", ".join(f"{n} AS ({_PARTS[n]})" for n in needed) + " " if needed else "") + select
+    return ("WITH " + ", ".join(f"{n} AS ({parts[n]})" for n in needed) + " " if needed else "") + select

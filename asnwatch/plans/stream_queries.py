@@ -1,7 +1,7 @@
 """Registered streaming queries: a stream over ``events``, run until its files are used up, and its sink read.
 
-The events arrive in SLICES parts, as a rule in order of time. After each the stream is started again from its
-checkpoint, so that every query runs over several micro-batches and as many restarts."""
+The events arrive in SLICES parts, as a rule in order of time, a micro-batch each. On the way the stream is started again
+from its checkpoint, so that every query runs over several micro-batches and a restart at least."""
 
 from __future__ import annotations
 
@@ -24,6 +24,7 @@ from asnwatch.streaming import repair, streams
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 SLICES = 5
+FILES = 4
 LATE = 5 * D
 
 
@@ -39,19 +40,22 @@ def _shuffled(spark: SparkSession, d: str) -> list[DataFrame]:
     return [events.filter(F.col("event_id") % SLICES == k) for k in range(SLICES)]
 
 
-def _run(spark: SparkSession, d: str, *start: Callable[[str], StreamingQuery], slices: Callable = _by_time) -> str:
-    """Write each slice and run the streams that ``start`` begins over it, one after the other; the folder of all that."""
+def _run(spark: SparkSession, d: str, *start: Callable[[str], StreamingQuery], slices: Callable = _by_time, starts: int = 2) -> str:
+    """Write the slices, FILES files each, and run the streams that ``start`` begins over them, one after the other, ``starts``
+    times on the way; the folder of all that. A micro-batch takes as many files as a slice has."""
     path = t.scratch(spark, "stream")
     streams.use_state_store(spark)
-    for part in slices(spark, d):
-        part.write.mode("append").parquet(f"{path}/events")
-        for each in start:
-            each(path).awaitTermination()
+    for k, part in enumerate(slices(spark, d), 1):
+        part.repartition(FILES).write.mode("append").parquet(f"{path}/events")
+        if k * starts // SLICES > (k - 1) * starts // SLICES:
+            for each in start:
+                each(path).awaitTermination()
     return path
 
 
 def _updates(spark: SparkSession, path: str) -> DataFrame:
-    return t.message_rows(spark.readStream.schema(EVENTS).parquet(f"{path}/events")).withWatermark("event_ts", "0 seconds")
+    events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", FILES).parquet(f"{path}/events")
+    return t.message_rows(events).withWatermark("event_ts", "0 seconds")
 
 
 def _to_files(stream: DataFrame, path: str) -> StreamingQuery:
@@ -133,7 +137,7 @@ def stream_late_rows(spark: SparkSession, d: str) -> DataFrame:
         sink = lambda df, number: df.write.mode("overwrite").parquet(f"{path}/on_time/{number}")
         return _to_batches(_updates(spark, path).select("msg_id", "event_us"), streams.late_batches(sink, f"{path}/policy", LATE), path)
 
-    path = _run(spark, d, start, slices=_shuffled)
+    path = _run(spark, d, start, slices=_shuffled, starts=SLICES)
     return streams.late_rows(spark, f"{path}/policy", "msg_id long, event_us long")
 
 
@@ -150,7 +154,7 @@ def _some_late(spark: SparkSession, d: str) -> list[DataFrame]:
 
 
 def _on_time(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(UPDATES).parquet(f"{path}/on_time").drop("batch").withWatermark("event_ts", "0 seconds")
+    return spark.readStream.schema(UPDATES).option("maxFilesPerTrigger", FILES).parquet(f"{path}/on_time").drop("batch").withWatermark("event_ts", "0 seconds")
 
 
 def _set_aside(spark: SparkSession, path: str) -> StreamingQuery:
@@ -169,7 +173,8 @@ def _archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def stream_late_edges(spark: SparkSession, d: str) -> DataFrame:
     """Link changes of a stream from which late rows were kept, repaired by those."""
     changes = lambda path: streams.stream_edges(topology.canonical_edge(topology.path_pairs(_on_time(spark, path), "event_ts")), TTL, SWEEP)
-    path = _run(spark, d, lambda path: _set_aside(spark, path), lambda path: _to_files(changes(path), path), slices=_some_late)
+    path = _run(spark, d, lambda path: _set_aside(spark, path), slices=_some_late, starts=SLICES)
+    _to_files(changes(path), path).awaitTermination()
     every, late = _archive(spark, path)
     as_of = every.agg(F.max("event_us")).first()[0] or 0
     written = spark.read.schema(changes(path).schema).parquet(f"{path}/out")
@@ -185,7 +190,8 @@ def stream_late_churn(spark: SparkSession, d: str) -> DataFrame:
         counts = streams.stream_churn_counts(routes.route_ops(_on_time(spark, path)), 3 * D)
         return _to_batches(counts, streams.churn_batches(to("out"), f"{path}/ring", to("judged"), **CHURN), path)
 
-    path = _run(spark, d, lambda path: _set_aside(spark, path), start, slices=_some_late)
+    path = _run(spark, d, lambda path: _set_aside(spark, path), slices=_some_late, starts=SLICES)
+    start(path).awaitTermination()
     every, late = (stored(routes.route_ops(x)) for x in _archive(spark, path))
     judged = spark.read.schema(_FIRED.replace(", severity short", "")).parquet(f"{path}/judged").drop("batch")
     out = repair.repair_churn(judged, spark.read.schema(_FIRED).parquet(f"{path}/out").drop("batch"), every, late, 3 * D, D, **CHURN)
@@ -200,7 +206,7 @@ _ARRIVING = f"""SELECT m.event_us, k + CASE WHEN msg_id % 20 = 7 AND k < {SLICES
     JOIN (SELECT arrival, max(max(event_us)) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest_us FROM ({_ARRIVING}) GROUP BY arrival) b USING (arrival) GROUP BY 1, 2""")
 def stream_late_counters(spark: SparkSession, d: str) -> DataFrame:
     """Messages on time and late ones by day."""
-    path = _run(spark, d, lambda path: _set_aside(spark, path), slices=_some_late)
+    path = _run(spark, d, lambda path: _set_aside(spark, path), slices=_some_late, starts=SLICES)
     every, late = _archive(spark, path)
     on_time = every.join(late.select("msg_id"), "msg_id", "left_anti")
     return monitor.pipeline_counters(on_time, late=late)
