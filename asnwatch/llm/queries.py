@@ -174,6 +174,45 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbour_id, CAST(distance AS INTEGER) AS distance FROM ranked WHERE rank <= 10
     """,
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE named AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+        ), kinds AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda c: ord(c)::BIGINT)),
+                lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda v, k: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT) % 20 AS kind FROM named
+        ), rows_left AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k FROM rows_left
+        ), judged AS (
+            SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS previous, NOT regexp_matches(text, '[^ \t\n\x0B\f\r]') AS blank,
+                row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again, NOT regexp_matches(text, '[.!?][ \t\n\x0B\f\r]*\z') AS cut FROM placed
+        ), inserts(here, there, cost, edits, said) AS (
+            VALUES (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (3, 2, 2, 'I', ['user:']), (2, 3, 2, 'I', ['assistant:']),
+                (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])
+        ), changes(here, there, cost, edit, role) AS (
+            VALUES (0, 0, 3, 'D', NULL), (1, 1, 3, 'D', NULL), (2, 2, 3, 'D', NULL), (3, 3, 3, 'D', NULL), (0, 1, 0, 'K', 's'), (0, 2, 0, 'K', 'u'), (1, 2, 0, 'K', 'u'), (3, 2, 0, 'K', 'u'), (2, 3, 0, 'K', 'a'),
+                (0, 2, 2, 'R', 'user'), (1, 2, 2, 'R', 'user'), (3, 2, 2, 'R', 'user'), (2, 3, 2, 'R', 'assistant')
+        ), best AS (
+            SELECT DISTINCT conv_id, 0::BIGINT AS k, 0 AS state, {'cost': 0, 'edits': '', 'said': []::VARCHAR[]} AS way FROM conversations
+            UNION ALL
+            SELECT b.conv_id, j.k, c.there, min({'cost': (b.way).cost + i.cost + c.cost + CASE WHEN c.edit <> 'D' AND j.cut THEN 1 ELSE 0 END, 'edits': (b.way).edits || i.edits || c.edit,
+                'said': list_concat(list_concat((b.way).said, i.said), CASE c.edit WHEN 'D' THEN [] WHEN 'K' THEN [j.role || ':' || j.text] ELSE [c.role || ':' || j.text] END)})
+            FROM best b JOIN judged j ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.k = b.k + 1 JOIN inserts i ON i.here = b.state
+                JOIN changes c ON c.here = i.there AND (c.edit = 'D' OR (NOT j.blank AND NOT j.again AND (c.edit = 'R' OR c.role = j.initial)))
+            GROUP BY b.conv_id, j.k, c.there
+        ), counted AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+                count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (previous IS NOT NULL AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM judged GROUP BY conv_id
+        ), ended AS (
+            SELECT b.conv_id, min({'cost': (b.way).cost + i.cost, 'edits': (b.way).edits || i.edits, 'said': list_concat((b.way).said, i.said)}) AS way
+            FROM best b LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM b.conv_id JOIN inserts i ON i.here = b.state WHERE b.k = coalesce(c.n, 0) AND i.there IN (0, 3) GROUP BY b.conv_id
+        )
+        SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            CAST((e.way).cost AS BIGINT) AS cost, (e.way).edits AS audit, sha256(array_to_string((e.way).said, chr(10))) AS repaired_sha256
+        FROM ended e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+    """,
     "op12_lexical_search": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
