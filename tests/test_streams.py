@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from asnwatch.operators import detect, origins
-from asnwatch.streaming import streams
+from asnwatch.operators import detect, feed, origins, topology
+from asnwatch.sources import blocks
+from asnwatch.streaming import repair, streams
 
 DATA = "/root/testdata/sf0.001"
 PAIRS = {
@@ -166,3 +167,59 @@ def test_batches_are_counted_as_they_are_read(spark, tmp_path):
         run(spark.createDataFrame([(x,) for x in times], "event_us long"), number)
     rows = spark.read.option("recursiveFileLookup", "true").parquet(path).orderBy("batch").collect()
     assert [tuple(r) for r in rows] == [(0, 2, 3, 5), (1, 0, None, None), (2, 1, 9, 9)]
+
+
+def test_late_rows_repair_what_they_touch(spark):
+    rng, begin = random.Random(13), 1_719_792_000_000_000
+    schema = "event_us long, msg_id long, pos int, hop int, op string, prefix string, family byte, net_key string, peer_asn long, a long, b long"
+    rows = []
+    for i in range(900):
+        us = begin + i * 1_000_000 + rng.randrange(3) * 200_000
+        busy = i // 60 % 3 == 1 and rng.random() < 0.6
+        prefix = "busy" if busy else f"q{rng.randrange(40)}"
+        rows.append((us, i, 0, 0, "W" if rng.random() < 0.03 else "A", prefix, 4, prefix, 1, rng.randrange(9), 9 + rng.randrange(3)))
+    late = [r for r in rows if 200 < r[1] < 860 and (r[1] % 23 == 5 or 60 <= r[1] % 180 < 72)]
+    every, behind = spark.createDataFrame(rows, schema), spark.createDataFrame(late, schema)
+    on_time = every.join(behind.select("msg_id"), "msg_id", "left_anti").select(every.columns)
+    window, options = 20_000_000, {"min_updates": 4, "floor": 4.0, "baseline": 60, "deviations": 2.0}
+    columns = ["msg_id", "event_us", "pos", "prefix", "peer_asn", "n_updates", "threshold"]
+    judge = lambda ops: detect.churn_threshold(detect.vantage_counts(ops, window), **options).select(columns)
+    fired = lambda ops: detect.detect_churn(judge(ops), 4).select(*columns, "severity")
+    got = repair.repair_churn(judge(on_time), fired(on_time), every, behind, window, **options)
+    want, before = (sorted(map(tuple, fired(x).collect())) for x in (every, on_time))
+    assert sorted(map(tuple, got.collect())) == want != before
+    assert repair.repair_churn(judge(on_time), fired(on_time), every, behind.filter("false"), window, **options).count() == len(before)
+
+    end = begin + 900_000_000
+    observed = lambda df: topology.canonical_edge(df.select("msg_id", "event_us", "hop", "a", "b"))
+    ttl, sweep = 30_000_000, 10_000_000
+
+    def changes(df):
+        episodes = topology.edge_episodes(observed(df), ttl, sweep, end)
+        up = topology.link_up(episodes).select(F.lit("LinkUp").alias("kind"), "a", "b", "event_us")
+        return up.union(topology.link_down(episodes).select(F.lit("LinkDown"), "a", "b", "event_us"))
+
+    got = repair.repair_edges(changes(on_time), observed(every), observed(behind), end, ttl, sweep)
+    want, before = (sorted(map(tuple, changes(x).collect())) for x in (every, on_time))
+    assert sorted(map(tuple, got.collect())) == want != before
+
+
+def test_subscribers_meet_the_feed_at_a_batch(spark, tmp_path):
+    path = str(tmp_path)
+    regions = blocks.geo_blocks(spark.createDataFrame([("10.0.0.0/8", "AA", None)], "network string, country string, subdivision string"))
+    run = streams.whole_feed_batches(path, regions, versions=2, min_updates=2, floor=2.0)
+    columns = "part string, kind string, a long, b long, event_us long, msg_id long, stage int, pos int, prefix string, family byte, net_key string, previous_origin long, new_origin long, severity short, peer_asn long, n_updates int"
+    link = lambda kind, a, b, us: ("link", kind, a, b, us, us, 0 if kind == "LinkUp" else 9, 0, *[None] * 8)
+    hijack = lambda us: ("hijack", None, None, None, us, us, None, 0, "10.1.0.0/16", 4, "0000101000000001", 1, 2, 2, None, None)
+    count = lambda us, n: ("count", None, None, None, us, us, None, 0, "10.2.0.0/16", None, None, None, None, None, 7, n)
+    batches = [[link("LinkUp", 1, 2, 1), link("LinkUp", 4, 3, 2), hijack(3)], [link("LinkDown", 1, 2, 9), link("LinkUp", 5, 6, 8), count(10, 1), count(11, 3)], [link("LinkUp", 2, 1, 20)], []]
+    for number, rows in enumerate(batches):
+        for _ in range(2):  # each batch once more
+            run(spark.createDataFrame(rows, columns), number)
+    up, down, area = '{"kind":"LinkUp","a":%d,"b":%d}', '{"kind":"LinkDown","a":%d,"b":%d}', '{"kind":"AreaDegraded","region":"AA","severity":%s}'
+    order = ["batch", *feed.ORDER]
+    frames = [(r.batch, r.value) for r in streams.feed_frames(spark, path).orderBy(order).collect()]
+    assert frames == [(0, up % (1, 2)), (0, up % (4, 3)), (0, area % "1.0"), (1, up % (5, 6)), (1, down % (1, 2)), (1, area % "0.66"), (2, up % (2, 1))]
+    read = [r.value for r in streams.subscription_at(spark, path, 2).orderBy(order).collect()]
+    assert sorted(read) == sorted([up % (3, 4), up % (5, 6), up % (1, 2)])
+    assert sorted(p.name for p in (tmp_path / "live").iterdir() if p.is_dir()) == ["2", "3"]
