@@ -264,7 +264,7 @@ def test_pipeline(spark, tmp_path):
 
 def test_all_queries_over_empty_tables(spark, tmp_path):
     path = str(tmp_path)
-    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("embeddings", "vec_id long, embedding array<float>")):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("embeddings", "vec_id long, embedding array<float>"), ("conversations", "conv_id long, turn long, role string, text string"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{path}/{name}.parquet")
     for query in (*queries.QUERIES.values(), corpus_pipeline.run):
         assert query(spark, path).collect() == []
@@ -277,10 +277,12 @@ def test_clashing_columns_change_nothing(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     vectors = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(64)]) for i in range(60)], "vec_id long, embedding array<double>")
     labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    talks = spark.createDataFrame([(i // 4, i % 4, "user" if i % 3 else "assistant", f"text {i}.") for i in range(60)], "conv_id long, turn long, role string, text string")
+    items = spark.createDataFrame([(i, f"the und {i}") for i in range(5)], "item_id long, text string")
     found = []
-    for extra in ((), ("score", "label", "node", "class_id", "piece", "length", "word", "n", "task", "code", "rank", "kept", "held_out", "lang_pred", "stats", "grams", "id", "comp", "_id")):
+    for extra in ((), ("score", "label", "node", "class_id", "piece", "length", "word", "n", "task", "code", "rank", "kept", "held_out", "lang_pred", "stats", "grams", "id", "comp", "_id", "copies", "symbols", "kind", "digest", "head", "terms", "tf", "part", "ids", "ends", "payload", "_row")):
         path = str(tmp_path / str(len(extra)))
-        for name, df in (("documents", docs), ("embeddings", vectors), ("labels", labels)):
+        for name, df in (("documents", docs), ("embeddings", vectors), ("labels", labels), ("conversations", talks), ("benchmark", items)):
             df.selectExpr("*", *[f"'clash' as {c}" for c in extra]).write.parquet(f"{path}/{name}.parquet")
         found.append({name: sorted(map(str, query(spark, path).collect())) for name, query in queries.QUERIES.items() if name != "op8_best_fit_packing"})
         found[-1]["op8"] = sorted((r.doc_id, r.length, r.ids_crc32) for r in queries.op8_best_fit_packing(spark, path).collect())
