@@ -5,7 +5,8 @@ from its checkpoint, so that every query runs over several micro-batches and a r
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,14 +46,27 @@ def _run(spark: SparkSession, d: str, *start: Callable[[str], StreamingQuery], s
     times on the way; the folder of all that. A micro-batch takes as many files as a slice has."""
     path = t.scratch(spark, "stream")
     streams.use_state_store(spark)
-    for k, part in enumerate(slices(spark, d), 1):
-        part.repartition(FILES).write.mode("append").parquet(f"{path}/events")
-        if k * starts // SLICES > (k - 1) * starts // SLICES:
-            for each in start:
-                each(path).awaitTermination()
+    with _state_partitions(spark):
+        for k, part in enumerate(slices(spark, d), 1):
+            part.repartition(FILES).write.mode("append").parquet(f"{path}/events")
+            if k * starts // SLICES > (k - 1) * starts // SLICES:
+                for each in start:
+                    each(path).awaitTermination()
     return path
 
 
+@contextmanager
+def _state_partitions(spark: SparkSession) -> Iterator[None]:
+    """No more state partitions than the cluster has cores: each costs a commit a batch, and a stream keeps their number."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), max(spark.sparkContext.defaultParallelism, 2)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _updates(spark: SparkSession, path: str) -> DataFrame:
     events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", FILES).parquet(f"{path}/events")
     return t.message_rows(events).withWatermark("event_ts", "0 seconds")
@@ -174,7 +188,8 @@ def stream_late_edges(spark: SparkSession, d: str) -> DataFrame:
     """Link changes of a stream from which late rows were kept, repaired by those."""
     changes = lambda path: streams.stream_edges(topology.canonical_edge(topology.path_pairs(_on_time(spark, path), "event_ts")), TTL, SWEEP)
     path = _run(spark, d, lambda path: _set_aside(spark, path), slices=_some_late, starts=SLICES)
-    _to_files(changes(path), path).awaitTermination()
+    with _state_partitions(spark):
+        _to_files(changes(path), path).awaitTermination()
     every, late = _archive(spark, path)
     as_of = every.agg(F.max("event_us")).first()[0] or 0
     written = spark.read.schema(changes(path).schema).parquet(f"{path}/out")
@@ -191,7 +206,8 @@ def stream_late_churn(spark: SparkSession, d: str) -> DataFrame:
         return _to_batches(counts, streams.churn_batches(to("out"), f"{path}/ring", to("judged"), **CHURN), path)
 
     path = _run(spark, d, lambda path: _set_aside(spark, path), slices=_some_late, starts=SLICES)
-    start(path).awaitTermination()
+    with _state_partitions(spark):
+        start(path).awaitTermination()
     every, late = (stored(routes.route_ops(x)) for x in _archive(spark, path))
     judged = spark.read.schema(_FIRED.replace(", severity short", "")).parquet(f"{path}/judged").drop("batch")
     out = repair.repair_churn(judged, spark.read.schema(_FIRED).parquet(f"{path}/out").drop("batch"), every, late, 3 * D, D, **CHURN)

@@ -30,9 +30,11 @@ OBSERVED_S = 10
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """Keep the state of streams that are started from now on in RocksDB, as the detectors need; a stream that goes on
-    from its checkpoint keeps its own."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Keep the state of streams that are started from now on in RocksDB, as the detectors need, and write what a batch changes
+    in it as a log; a stream that goes on from its checkpoint keeps its own store."""
+    store = "spark.sql.streaming.stateStore"
+    spark.conf.set(f"{store}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(f"{store}.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def _in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
