@@ -14,6 +14,8 @@ from asnwatch.schemas import HISTORY
 
 RETENTION_DAYS = 30
 FILE_BYTES = 128 << 20
+#: Rows of a page, the least that a lookup by prefix reads.
+PAGE_ROWS = 4096
 _LAYOUT = ("day", "family", "net_key", "observed_at")
 MAX_BYTES = 2 << 30
 _COLUMNS = [c.strip().split()[0] for c in HISTORY.replace("array<bigint>", "array").split(",")]
@@ -35,7 +37,8 @@ def to_history(anomalies: DataFrame) -> DataFrame:
 def write_history(history: DataFrame, path: str, mode: str = "append") -> None:
     """Parquet, a folder a day. Rows are dealt out by range and sorted by network within a day, so that a day gets few files, a large
     one several, and pages and row groups hold narrow ranges of networks, which lookups by prefix skip by their bounds."""
-    history.repartitionByRange(*_LAYOUT).sortWithinPartitions(*_LAYOUT).write.partitionBy("day").mode(mode).parquet(path)
+    dealt = history.repartitionByRange(*_LAYOUT).sortWithinPartitions(*_LAYOUT)
+    dealt.write.partitionBy("day").mode(mode).option("parquet.page.row.count.limit", PAGE_ROWS).parquet(path)
 
 
 def compact_history(spark: SparkSession, path: str, before, file_bytes: int = FILE_BYTES) -> int:
