@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asnwatch.operators.routes import SEQUENCE
-from asnwatch.operators.spread import SPREAD_US, lagged, openings
+from asnwatch.operators.spread import SPREAD_US, lagged, met, openings
 from asnwatch.operators.topology import degree_asof
 from asnwatch.sources.relationships import with_both_directions
 
@@ -38,7 +38,7 @@ def detect_hijacks(observations: DataFrame) -> DataFrame:
 def _side(relationships: DataFrame) -> DataFrame:
     """Both directions of all relationships, broadcast if they are few."""
     both = with_both_directions(relationships)
-    return F.broadcast(both) if relationships.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2 else both
+    return F.broadcast(both) if relationships.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2 else both.hint("merge")
 
 
 def relationship_lookup(pairs: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def degree_relationship(pairs: DataFrame, degrees: DataFrame, ratio: float = DEG
     one = degrees.select(F.col("asn").alias("a"), F.col("degree").alias("_da"))
     two = degrees.select(F.col("asn").alias("b"), F.col("degree").alias("_db"))
     rel = _role(F.coalesce("_da", F.lit(0)), F.coalesce("_db", F.lit(0)), ratio)
-    return pairs.join(one, "a", "left").join(two, "b", "left").withColumn("rel", rel).drop("_da", "_db")
+    return met(met(pairs, one, "a", "left"), two, "b", "left").withColumn("rel", rel).drop("_da", "_db")
 
 
 def resolve_relationships(pairs: DataFrame, relationships: DataFrame, degrees: DataFrame, ratio: float = DEGREE_RATIO) -> DataFrame:
@@ -111,7 +111,7 @@ def valley_apexes_by_degree(updates: DataFrame, episodes: DataFrame, ratio: floa
     paths = updates.filter(F.size("path") >= 3).select("msg_id", "event_us", "path")
     probes = paths.select("msg_id", "event_us", F.explode(F.array_distinct("path")).alias("asn"))
     known = degree_asof(episodes, probes, bucket_us).groupBy("msg_id", "event_us").agg(F.map_from_entries(F.collect_list(F.struct("asn", "degree"))).alias("degrees"))
-    triples = path_triples(paths.join(known, ["msg_id", "event_us"]), collapse_prepends, "degrees")
+    triples = path_triples(met(paths, known, ["msg_id", "event_us"]), collapse_prepends, "degrees")
     at = lambda c: F.coalesce(F.try_element_at("degrees", F.col(c)), F.lit(0))
     both = triples.withColumns({"rel_in": _role(at("y"), at("learned_from"), ratio), "rel_out": _role(at("y"), at("told"), ratio)})
     return both.filter(_is_valley("rel_in", "rel_out")).select("msg_id", "event_us", "path", "i", "y", "learned_from", "told")
@@ -141,7 +141,7 @@ def vantage_counts(ops: DataFrame, window_us: int = CHURN_WINDOW_US, spread_us:
     ties = F.count("*").over(Window.partitionBy(*key, "event_us")) - F.row_number().over(Window.partitionBy(*key, "event_us").orderBy(*SEQUENCE))
     counted = dealt.withColumn("n_updates", (F.count("*").over(reach) - ties).cast("int")).withColumn("_place", F.sum(own.cast("int")).over(order)).filter(own)
     before = openings(rows.withColumn("_bucket", F.col("_own")), ["prefix", "peer_asn"], F.lit(1))
-    whole = counted.join(before, key).withColumn("nth", (F.col("_opening") + F.col("_place")).cast("int"))
+    whole = met(counted, before, key).withColumn("nth", (F.col("_opening") + F.col("_place")).cast("int"))
     return whole.select("msg_id", "event_us", "pos", "prefix", "family", "net_key", "peer_asn", "nth", "n_updates")
 
 
@@ -155,9 +155,9 @@ def with_global_index(rows: DataFrame, bucket_us: int = 60_000_000) -> DataFrame
     inside = Window.partitionBy("_span").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     over = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     opening = spans.groupBy("_span").agg(F.sum("_n").alias("_m")).select("_span", F.coalesce(F.sum("_m").over(over), F.lit(0)).alias("_far"))
-    starts = spans.withColumn("_near", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(opening, "_span").select("_bucket", (F.col("_near") + F.col("_far")).alias("_start"))
+    starts = met(spans.withColumn("_near", F.coalesce(F.sum("_n").over(inside), F.lit(0))), opening, "_span").select("_bucket", (F.col("_near") + F.col("_far")).alias("_start"))
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*SEQUENCE))
-    return timed.withColumn("_place", place).join(starts, "_bucket").withColumn("g", F.col("_start") + F.col("_place") - 1).drop("_bucket", "_place", "_start")
+    return met(timed.withColumn("_place", place), starts, "_bucket").withColumn("g", F.col("_start") + F.col("_place") - 1).drop("_bucket", "_place", "_start")
 
 
 def churn_threshold(counts: DataFrame, min_updates: int = MIN_UPDATES, deviations: float = DEVIATIONS, floor: float = FLOOR, baseline: int = BASELINE, min_samples: int = MIN_SAMPLES, bucket_us: int = 60_000_000) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from asnwatch.operators.routes import SEQUENCE
-from asnwatch.operators.spread import SPREAD_US, bucketed, openings, stored
+from asnwatch.operators.spread import SPREAD_US, bucketed, met, openings, stored
 
 #: Origins that are remembered of one prefix.
 MOST_ORIGINS = 16
@@ -21,7 +21,7 @@ def apply_withdrawals(ops: DataFrame, spread_us: int | None = SPREAD_US) -> Data
         return ops.withColumn("segment", F.sum(gone).over(Window.partitionBy(*_KEY).orderBy(*SEQUENCE)))
     timed = bucketed(ops, spread_us)
     within = Window.partitionBy(*_KEY, "_bucket").orderBy(*SEQUENCE)
-    opened = timed.join(openings(timed, list(_KEY), gone), [*_KEY, "_bucket"], "left")
+    opened = met(timed, openings(timed, list(_KEY), gone), [*_KEY, "_bucket"], "left")
     return opened.withColumn("segment", F.coalesce("_opening", F.lit(0)) + F.sum(gone).over(within)).drop("_opening", "_bucket")
 
 
@@ -74,8 +74,8 @@ def _spread(ops: DataFrame, spread_us: int) -> DataFrame:
         *within, F.lag("last_origin").over(by_time).alias("before_origin"),
         F.coalesce(F.max("top").over(by_time.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_rank"),
     )
-    known = placed.select(*within, "origin_asn", "first_seq", "origin_rank").join(opening, within)
-    joined = rows.join(known, [*within, "origin_asn"]).withColumn("first", seq == F.col("first_seq")).drop("first_seq")
+    known = met(placed.select(*within, "origin_asn", "first_seq", "origin_rank"), opening, within)
+    joined = met(rows, known, [*within, "origin_asn"]).withColumn("first", seq == F.col("first_seq")).drop("first_seq")
     order = Window.partitionBy(*within).orderBy(*SEQUENCE)
     return joined.withColumns({
         "previous_origin": F.coalesce(F.lag("origin_asn").over(order), F.col("before_origin")),

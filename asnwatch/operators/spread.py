@@ -34,6 +34,12 @@ def side_by_side(*makers: Callable[[], DataFrame]) -> list[DataFrame]:
         return [f.result() for f in [pool.submit(inheritable_thread_target(m)) for m in makers]]
 
 
+def met(rows: DataFrame, side: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a side that may grow with them, by shuffle whatever its size is estimated at: estimates of what comes
+    out of parsed texts are far too low, and a side broadcast for that has to pass the driver."""
+    return rows.join(side.hint("merge"), on, how)
+
+
 def bucketed(rows: DataFrame, spread_us: int) -> DataFrame:
     """Add ``_bucket``."""
     return rows.withColumn("_bucket", F.expr(f"event_us div {spread_us}L"))
@@ -54,7 +60,7 @@ def lagged(rows: DataFrame, key: list[str], order: list[str], spread_us: int = S
     before = last.select(*key, "_bucket", F.lag("_ends").over(Window.partitionBy(*key).orderBy("_bucket")).alias("_carried"))
     within = Window.partitionBy(*key, "_bucket").orderBy(*order)
     first = F.row_number().over(within) == 1
-    return timed.join(before, [*key, "_bucket"]).withColumns({n: F.when(first, F.col(f"_carried.{n}")).otherwise(F.lag(c).over(within)) for n, c in columns.items()}).drop("_bucket", "_carried")
+    return met(timed, before, [*key, "_bucket"]).withColumns({n: F.when(first, F.col(f"_carried.{n}")).otherwise(F.lag(c).over(within)) for n, c in columns.items()}).drop("_bucket", "_carried")
 
 
 def drop_versions(spark: SparkSession, path: str, number: int, versions: int = 3) -> None:
