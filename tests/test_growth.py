@@ -39,3 +39,31 @@ def test_sides_that_grow_are_not_broadcast_on_an_estimate(spark):
     ]
     for df in joins:
         assert "Broadcast" not in plan(df)
+
+
+def test_counts_of_a_window_cost_the_same_whatever_it_holds(spark):
+    """A sliding range frame counts its rows anew for each row; a running sum does not. Thresholds do not carry a block of
+    counts beside each of them."""
+    ops = q._ops(spark, SF)
+    counts = detect.vantage_counts(ops, 3 * q.D, q.D)
+    assert "RangeFrame" not in plan(counts)
+    judged = plan(detect.churn_threshold(counts, **q.CHURN))
+    assert "ArrowEvalPython" in judged and "posexplode" not in judged
+
+
+def test_dense_vantage_is_counted_and_judged(spark):
+    """2,500 announcements of one vantage, twelve at a time: more than two blocks, against plain Python."""
+    from statistics import median
+
+    n, window = 2500, 900
+    rows = spark.range(n).selectExpr("id as msg_id", "id div 12 * 10 as event_us", "0 as pos", "'A' as op", "'10.0.0.0/8' as prefix", "4 as family", "'00001010' as net_key", "64500L as peer_asn")
+    counts = detect.vantage_counts(rows, window, 70)
+    got = sorted(detect.churn_threshold(counts, 3, 2.0, 3.0, bucket_us=1000).collect(), key=lambda r: r.msg_id)
+    times = [k // 12 * 10 for k in range(n)]
+    want = [sum(1 for j in range(max(0, k - 1200), k + 1) if times[j] >= times[k] - window) for k in range(n)]
+    assert [(r.nth, r.n_updates) for r in got] == [(k + 1, w) for k, w in enumerate(want)]
+    for k, r in enumerate(got):
+        last = want[max(0, k - 1023) : k + 1]
+        middle = median(last)
+        level = max(middle + 2 * detect.MAD_SCALE * median(abs(x - middle) for x in last), 3.0) if len(last) >= 32 else 3.0
+        assert r.threshold == (level if r.n_updates >= 3 else None)
