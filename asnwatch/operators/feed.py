@@ -63,8 +63,8 @@ def delta_counts(frames: DataFrame) -> DataFrame:
     return delta_frames(frames).groupBy("kind").agg(F.count("*").alias("n_frames"), F.sum(F.octet_length("value")).alias("n_bytes"))
 
 
-def snapshot_frames(edges: DataFrame, most: int = 2000) -> DataFrame:
-    """What a new reader is sent first: up to ``most`` live links as frames."""
+def snapshot_frames(edges: DataFrame, most: int | None = 2000) -> DataFrame:
+    """What a new reader is sent first: up to ``most`` live links, or all, as frames."""
     from asnwatch.operators.topology import snapshot_edges
 
     return as_frames(snapshot_edges(edges, most).withColumns({"kind": F.lit(LINK_UP), "a": F.col("lo"), "b": F.col("hi"), "event_us": F.col("last_seen_us"), "stage": F.lit(0), "pos": F.lit(0), "msg_id": F.lit(0)}))

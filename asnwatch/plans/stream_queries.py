@@ -138,7 +138,7 @@ def stream_change_feed(spark: SparkSession, d: str) -> DataFrame:
 
     path = _run(spark, d, start)
     edges = batch_live(spark, d)
-    rows = streams.subscription(spark, f"{path}/feed", edges, most=edges.count())
+    rows = streams.subscription(spark, f"{path}/feed", edges, most=None)
     return rows.select(F.when(F.col("batch") < 0, "snapshot").otherwise("live").alias("part"), "value")
 
 

@@ -14,7 +14,7 @@ from threading import Event, Thread
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,6 +27,8 @@ from asnwatch.sources.relationships import with_both_directions
 _SEQ = ["event_us", "msg_id", "pos"]
 #: Seconds that ``counted_batches`` waits for what was observed after its sink has ended.
 OBSERVED_S = 10
+#: Keys of a stream over which edges or messages, of which there are many with little work each, are dealt out.
+SHARDS = 128
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -47,6 +49,10 @@ def _keyed(rows: DataFrame, key: list[str], processor: StatefulProcessor, out: s
     return rows.groupBy(*key).transformWithStateInPandas(processor, out, "append", "eventtime" if timed else "none", eventTimeColumnName=time_column)
 
 
+def _shard(shards: int, *key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(shards)).cast("int").alias("shard")
+
+
 class _Origins(StatefulProcessor):
     """Of a network: the last origin and how many are remembered (a value), and those origins (a map, looked up one by one)."""
 
@@ -96,15 +102,17 @@ def stream_hijacks(ops: DataFrame) -> DataFrame:
 
 
 class _Valleys(StatefulProcessor):
-    """The apexes of a message, which come in one batch: no state."""
+    """The apexes of a shard's messages; those of a message come in one batch: no state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         pass
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        found = _in_order(rows, ["i"])
-        severity = detect.HIGH if len(found) > 1 else detect.MEDIUM
-        yield pd.DataFrame({"msg_id": [key[0]], "event_us": found["event_us"].iloc[-1:].to_numpy(), "event_ts": found["event_ts"].iloc[-1:].to_numpy(), "offending_asn": found["y"].iloc[-1:].to_numpy(), "violations": [len(found)], "severity": [severity]})
+        found = _in_order(rows, ["msg_id", "i"])
+        nearest = found[~found["msg_id"].duplicated(keep="last")]
+        violations = found.groupby("msg_id", sort=True)["i"].size().to_numpy()
+        severity = np.where(violations > 1, detect.HIGH, detect.MEDIUM)
+        yield nearest[["msg_id", "event_us", "event_ts"]].assign(offending_asn=nearest["y"], violations=violations, severity=severity)
 
     def close(self) -> None:
         pass
@@ -154,7 +162,7 @@ def leak_stream(updates: DataFrame, relationships: DataFrame) -> DataFrame:
     apexes = detect.path_triples(updates, False, "event_ts").join(inner, ["y", "learned_from"]).join(outer, ["y", "told"])
     apexes = apexes.filter(F.col("rel_in").isin("customer", "peer") & F.col("rel_out").isin("customer", "peer"))
     out = "msg_id long, event_us long, event_ts timestamp, offending_asn long, violations int, severity short"
-    return _keyed(apexes.select("msg_id", "event_us", "event_ts", "i", "y"), ["msg_id"], _Valleys(), out, time_column="event_ts")
+    return _keyed(apexes.select(_shard(SHARDS, "msg_id"), "msg_id", "event_us", "event_ts", "i", "y"), ["shard"], _Valleys(), out, time_column="event_ts")
 
 
 def stream_leaks(updates: DataFrame, relationships: DataFrame, window_us: int = detect.LEAK_WINDOW_US) -> DataFrame:
@@ -249,59 +257,75 @@ def churn_batches(sink: Callable[[DataFrame, int], None], ring_path: str, keep_j
     return run
 
 
-class _Link(StatefulProcessor):
-    """Of an edge that is up: when it was last seen. It goes down at its sweep, when the watermark has passed that or it is
-    seen again later."""
+class _Links(StatefulProcessor):
+    """Of the edges of a shard that are up: (lo, hi, when it was last seen), as bytes, read and written once a batch. An edge
+    goes down at its sweep, when the watermark has passed that or it is seen again later."""
 
     def __init__(self, ttl_us: int, sweep_us: int):
         self.ttl_us, self.sweep_us = ttl_us, sweep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "event_us long")
+        self.links = handle.getValueState("links", "links binary, due_ms long")
 
     def _down_at(self, us):
         return ((us + self.ttl_us) // self.sweep_us + 1) * self.sweep_us
 
-    def _until(self, last: int, timer_values) -> None:
-        self.handle.registerTimer(max(self._down_at(last) // 1000 + 1, timer_values.getCurrentWatermarkInMs() + 1))
+    def _known(self) -> tuple[np.ndarray, int | None]:
+        """(rows of lo, hi and last; the timer that is set)."""
+        kept = self.links.get()
+        return (np.frombuffer(bytes(kept[0]), np.int64).reshape(-1, 3), kept[1]) if kept else (np.empty((0, 3), np.int64), None)
+
+    def _keep(self, links: np.ndarray, due: int | None, timer_values) -> None:
+        """One timer a shard, for the first of its edges to go down; one that comes too early is set on."""
+        if not len(links):
+            self.links.clear()
+            return
+        first = max(int(self._down_at(links[:, 2]).min()) // 1000 + 1, timer_values.getCurrentWatermarkInMs() + 1)
+        if due is None or first < due:
+            self.handle.registerTimer(first)
+            due = first
+        self.links.update((links.tobytes(), due))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        found = _in_order(rows, ["event_us", "msg_id", "hop"])
-        times, last = found["event_us"].to_numpy(), self.last.get()
-        seen = np.maximum.accumulate(np.append(last[0] if last else times[0], times))
-        down = self._down_at(seen[:-1])
-        again = times > down
-        up = again.copy()
-        up[0] |= not last
-        self.last.update((int(seen[-1]),))
-        if not last:
-            self._until(int(seen[-1]), timerValues)
-        yield self._down(key, down[again])
-        fresh = found[up]
-        yield pd.DataFrame({"kind": feed.LINK_UP, "a": fresh["a"], "b": fresh["b"], "event_us": fresh["event_us"], "msg_id": fresh["msg_id"], "stage": 0, "pos": fresh["hop"]})
-
-    def _down(self, key, times) -> pd.DataFrame:
-        return pd.DataFrame({"kind": feed.LINK_DOWN, "a": key[0], "b": key[1], "event_us": times, "msg_id": feed.SWEEP, "stage": 9, "pos": 0})
+        fresh = pd.concat(list(rows))
+        old, due = self._known()
+        column = lambda k, c: np.concatenate([old[:, k] if k is not None else np.zeros(len(old), np.int64), fresh[c].to_numpy(np.int64)])
+        every = {c: column(k, c) for c, k in (("lo", 0), ("hi", 1), ("event_us", 2), ("msg_id", None), ("hop", None), ("a", None), ("b", None))}
+        every["is_new"] = np.arange(len(old) + len(fresh)) >= len(old)
+        order = np.lexsort([every[c] for c in ("hop", "msg_id", "event_us", "is_new", "hi", "lo")])  # what is known of an edge, then its rows
+        every = {c: x[order] for c, x in every.items()}
+        lo, hi, times = every["lo"], every["hi"], every["event_us"]
+        starts = np.append(True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
+        heads = np.flatnonzero(starts)
+        opening = times[heads[np.cumsum(starts) - 1]]
+        down = self._down_at(np.maximum(opening, np.append(times[0], times[:-1])))
+        again = ~starts & (times > down)
+        up = again | (starts & every["is_new"])
+        ends = np.append(heads[1:], len(times)) - 1
+        self._keep(np.stack([lo[heads], hi[heads], np.maximum(times[heads], times[ends])], axis=1), due, timerValues)
+        yield self._down(lo[again], hi[again], down[again])
+        yield pd.DataFrame({"kind": feed.LINK_UP, "a": every["a"][up], "b": every["b"][up], "event_us": times[up], "msg_id": every["msg_id"][up], "stage": 0, "pos": every["hop"][up]})
+
+    def _down(self, lo, hi, times) -> pd.DataFrame:
+        return pd.DataFrame({"kind": feed.LINK_DOWN, "a": lo, "b": hi, "event_us": times, "msg_id": feed.SWEEP, "stage": 9, "pos": 0})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last = self.last.get()[0]
-        down = self._down_at(last)
-        if down // 1000 < timerValues.getCurrentWatermarkInMs():
-            self.last.clear()
-            yield self._down(key, np.array([down]))
-        else:
-            self._until(last, timerValues)
-            yield pd.DataFrame()
+        links, _ = self._known()
+        down = self._down_at(links[:, 2])
+        gone = down // 1000 < timerValues.getCurrentWatermarkInMs()
+        self._keep(links[~gone], None, timerValues)
+        yield self._down(links[gone, 0], links[gone, 1], down[gone])
 
     def close(self) -> None:
         pass
 
 
-def stream_edges(observations: DataFrame, ttl_us: int = topology.TTL_US, sweep_us: int = topology.SWEEP_US) -> DataFrame:
-    """Links coming up and going down, with their order among all frames: (kind, a, b, event_us, msg_id, stage, pos)."""
-    rows = observations.select("lo", "hi", "a", "b", "event_us", "msg_id", "hop", "event_ts")
-    return _keyed(rows, ["lo", "hi"], _Link(ttl_us, sweep_us), "kind string, a long, b long, event_us long, msg_id long, stage int, pos int")
+def stream_edges(observations: DataFrame, ttl_us: int = topology.TTL_US, sweep_us: int = topology.SWEEP_US, shards: int = SHARDS) -> DataFrame:
+    """Links coming up and going down, with their order among all frames: (kind, a, b, event_us, msg_id, stage, pos). Edges are
+    dealt out to ``shards``, each of which is one key of the stream: a call for each edge would cost more than its work."""
+    rows = observations.select(_shard(shards, "lo", "hi"), "lo", "hi", "a", "b", "event_us", "msg_id", "hop", "event_ts")
+    return _keyed(rows, ["shard"], _Links(ttl_us, sweep_us), "kind string, a long, b long, event_us long, msg_id long, stage int, pos int")
 
 
 def history_batches(path: str, prune_every: int = 0, retention_days: int = history.RETENTION_DAYS, max_bytes: int = history.MAX_BYTES) -> Callable[[DataFrame, int], None]:
@@ -334,8 +358,8 @@ def feed_batches(path: str) -> Callable[[DataFrame, int], None]:
     return run
 
 
-def subscription(spark: SparkSession, path: str, edges: DataFrame, after_batch: int = -1, most: int = 2000) -> DataFrame:
-    """What a new subscriber reads of a feed's sink: (batch, value), frames of up to ``most`` current links as batch
+def subscription(spark: SparkSession, path: str, edges: DataFrame, after_batch: int = -1, most: int | None = 2000) -> DataFrame:
+    """What a new subscriber reads of a feed's sink: (batch, value), frames of up to ``most`` current links (None: all) as batch
     ``after_batch`` and then the frames of all later batches. Frames may repeat; folding them changes nothing."""
     first = feed.delta_frames(feed.snapshot_frames(edges, most)).select(F.lit(after_batch).alias("batch"), "value")
     later = spark.read.schema("value string, batch int").text(path).filter(F.col("batch") > after_batch)
