@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,17 +118,18 @@ _READ_SQL = f"""SELECT (msg_id % {FILES}) * {1 << update_source.LINE_BITS} + lin
     FROM (SELECT *, row_number() OVER (PARTITION BY msg_id % {FILES} ORDER BY msg_id) - 1 AS line FROM msg) WHERE NOT (m % 40 = 5 OR m % 41 = 6 OR (m % 50 = 3 AND NOT withdraws))"""
 
 
-def _frame_files(spark: SparkSession, d: str) -> DataFrame:
-    """The frames in order, dealt out to FILES files: file, value."""
-    rows = t.frames(spark, d).withColumn("file", F.col("msg_id") % FILES)
-    return rows.repartition(FILES, "file").sortWithinPartitions("file", "msg_id").select("file", "value")
+def _write_frames(spark: SparkSession, d: str, path: str, k: int) -> None:
+    """The frames of file ``k`` of FILES, in order, as one text file. One task writes it; what that sorts are the fields of
+    events, of which it makes the much longer frames as it writes them."""
+    events = t.table(spark, d, "events").select("event_id", "ts", "user_id", "event_type").filter(F.col("event_id") % FILES == k)
+    t.frame_rows(events.repartition(1).sortWithinPartitions("event_id")).select("value").write.text(f"{path}/file={k}")
 
 
 @query(_READ_SQL)
 def read_update_files(spark: SparkSession, d: str) -> DataFrame:
     """The frames written as text files and read from there, numbered by file and line."""
     path = t.scratch(spark, "frames")
-    _frame_files(spark, d).write.partitionBy("file").text(path)
+    side_by_side(*[partial(_write_frames, spark, d, path, k) for k in range(FILES)])
     return update_source.read_updates(spark, path).select("msg_id", "event_us", "peer_asn", "msg_type", _text("path").alias("path"))
 
 
@@ -134,9 +137,8 @@ def read_update_files(spark: SparkSession, d: str) -> DataFrame:
 def stream_update_files(spark: SparkSession, d: str) -> DataFrame:
     """The same files followed as a stream, one arriving after the other, to the table of numbered updates."""
     path = t.scratch(spark, "frames")
-    frames = stored(_frame_files(spark, d))
     for k in range(FILES):
-        frames.filter(F.col("file") == k).select("value").write.mode("append").text(f"{path}/in/file={k}")
+        _write_frames(spark, d, f"{path}/in", k)
         run = update_source.numbered_batches(update_source.update_batches(f"{path}/updates"), f"{path}/numbers")
         writer = update_source.stream_frames(spark, f"{path}/in/*").writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/state")
         writer.trigger(availableNow=True).start().awaitTermination()

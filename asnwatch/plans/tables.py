@@ -81,7 +81,12 @@ def message_rows(events: DataFrame) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON frames as a feed would send them (value, msg_id), some of them control frames and some broken."""
-    rows = _with_prefix(event_fields(table(spark, sf_dir, "events")))
+    return frame_rows(table(spark, sf_dir, "events"))
+
+
+def frame_rows(events: DataFrame) -> DataFrame:
+    """The same for any rows of ``events``, in their order."""
+    rows = _with_prefix(event_fields(events))
     body = F.to_json(F.struct(
         F.lit("ris_message").alias("type"),
         F.struct(

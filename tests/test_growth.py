@@ -141,3 +141,16 @@ def test_a_shard_of_links_follows_the_rule_of_each():
 def test_subscribers_to_all_links_need_no_top_k(spark):
     edges = spark.createDataFrame([(1, 2, 1, 2, 5, 7)], "lo long, hi long, a long, b long, up_us long, last_seen_us long")
     assert "TakeOrdered" not in plan(topology.snapshot_edges(edges, None)) and topology.snapshot_edges(edges, None).count() == 1
+
+
+def test_a_file_of_frames_is_made_after_its_rows_are_sorted(spark, monkeypatch, tmp_path):
+    """What one task sorts is the fields of events, not their frames."""
+    seen = []
+    rows = t.frame_rows
+    monkeypatch.setattr(t, "frame_rows", lambda events: seen.append(rows(events)) or seen[-1])
+    q._write_frames(spark, SF, str(tmp_path), 1)
+    text = plan(seen[0])
+    above, below = text.split("Sort [event_id")
+    assert "ris_message" in above and "ris_message" not in below
+    want = [r.value for r in t.frames(spark, SF).filter("msg_id % 4 = 1").orderBy("msg_id").collect()]
+    assert [r.value for r in spark.read.text(f"{tmp_path}/file=1").collect()] == want
