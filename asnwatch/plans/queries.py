@@ -79,21 +79,32 @@ def _churn(spark: SparkSession, d: str, ops: DataFrame | None = None) -> DataFra
 
 
 def _anomalies(spark: SparkSession, d: str, messages: DataFrame | None = None) -> DataFrame:
-    """All kinds, hijacks and churn from one stored table of operations. The detectors store what they read twice; they do
-    so side by side, as none of them fills a cluster on its own."""
+    """All kinds, hijacks and churn from one stored table of operations. The detectors store what they read twice and what they
+    find, few rows that are read for regions, ranges and counts; they do so side by side, as none of them fills a cluster on its own."""
     ops = stored(_ops(spark, d, messages))
-    return detect.anomalies(*side_by_side(lambda: _hijacks(spark, d, ops), lambda: _leaks(spark, d, messages), lambda: _churn(spark, d, ops)))
+    kinds = side_by_side(lambda: stored(_hijacks(spark, d, ops)), lambda: stored(_leaks(spark, d, messages)), lambda: stored(_churn(spark, d, ops)))
+    return detect.anomalies(*kinds)
 
 
 def _history(spark: SparkSession, d: str) -> DataFrame:
     return history.to_history(geo.resolve_region(_anomalies(spark, d), t.regions(spark, d)))
 
 
+def _areas(spark: SparkSession, d: str, messages: DataFrame | None = None) -> DataFrame:
+    return geo.area_degraded(_anomalies(spark, d, messages), t.regions(spark, d))
+
+
 def _deltas(spark: SparkSession, d: str, messages: DataFrame | None = None) -> DataFrame:
-    episodes, areas = side_by_side(lambda: _episodes(spark, d, messages), lambda: stored(geo.area_degraded(_anomalies(spark, d, messages), t.regions(spark, d))))
+    episodes, areas = side_by_side(lambda: _episodes(spark, d, messages), lambda: _areas(spark, d, messages))
     return feed.deltas(topology.link_up(episodes), topology.link_down(episodes), areas)
 
 
+def _link_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The feed's frames of links, all that a reader of links alone keeps of it."""
+    episodes = _episodes(spark, d)
+    return feed.deltas(topology.link_up(episodes), topology.link_down(episodes))
+
+
 # Feed messages
 
 
@@ -385,7 +396,7 @@ def resolve_asn(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT msg_id, kind, prefix, region, weight AS severity_index FROM degraded")
 def area_degraded(spark: SparkSession, d: str) -> DataFrame:
-    return geo.area_degraded(_anomalies(spark, d), t.regions(spark, d)).select("msg_id", "kind", "prefix", "region", "severity_index")
+    return _areas(spark, d).select("msg_id", "kind", "prefix", "region", "severity_index")
 
 
 # The change feed
@@ -415,17 +426,17 @@ def delta_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT lo, hi, up_us AS since_us FROM live")
 def current_links(spark: SparkSession, d: str) -> DataFrame:
-    return feed.current_links(_deltas(spark, d))
+    return feed.current_links(_link_frames(spark, d))
 
 
 @query("SELECT DISTINCT asn FROM ends")
 def current_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return feed.current_nodes(feed.current_links(_deltas(spark, d)))
+    return feed.current_nodes(feed.current_links(_link_frames(spark, d)))
 
 
 @query("SELECT region, arg_max(weight, event_us * 10 + stage) AS severity FROM degraded GROUP BY region")
 def region_severity(spark: SparkSession, d: str) -> DataFrame:
-    return feed.region_severity(_deltas(spark, d))
+    return feed.region_severity(feed.deltas(areas=_areas(spark, d)))
 
 
 @query("""SELECT '{"kind":"LinkUp","a":' || lo || ',"b":' || hi || '}' AS value FROM live ORDER BY last_seen_us DESC, lo, hi LIMIT 50""")
@@ -513,7 +524,9 @@ def metrics_text(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT bucket_start, counter, count(*) AS n FROM (SELECT date_trunc('day', make_timestamp(event_us)) AS bucket_start, 'messages' AS counter FROM msg UNION ALL SELECT date_trunc('day', make_timestamp(event_us)), 'anomalies:' || kind FROM anomalies
     UNION ALL SELECT date_trunc('day', make_timestamp(event_us)), 'deltas' FROM deltas) GROUP BY 1, 2""")
 def pipeline_counters(spark: SparkSession, d: str) -> DataFrame:
-    return monitor.pipeline_counters(t.updates(spark, d), _anomalies(spark, d), _deltas(spark, d))
+    episodes, anomalies = side_by_side(lambda: _episodes(spark, d), lambda: _anomalies(spark, d))
+    frames = feed.deltas(topology.link_up(episodes), topology.link_down(episodes), geo.area_degraded(anomalies, t.regions(spark, d)))
+    return monitor.pipeline_counters(t.updates(spark, d), anomalies, frames)
 
 
 @query("""SELECT run_id, samples, window_s, round(ticks / 100.0 / window_s * 100, 6) AS cpu_core_pct, round(rss_avg_mib, 6) AS rss_avg_mib, round(rss_peak_mib, 6) AS rss_peak_mib, measured, reconnected, round(rx / window_s / 1024, 6) AS ingress_kib_s, msgs_total,
