@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LARGEST_ASN = 4_294_967_295
 MESSAGE_TYPES = ("UPDATE", "OPEN", "NOTIFICATION", "KEEPALIVE", "RIS_PEER_STATE")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator of one row, so that they are worked out once, however often they are used:
+    the optimiser neither copies them into filters nor into each other."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def as_number(text: Column) -> Column:
     """An ASN from its decimal text, null if it is none."""
     number = F.when(text.rlike("^[0-9]{1,10}$"), text.try_cast("bigint"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asnwatch.operators.routes import SEQUENCE
-from asnwatch.operators.spread import SPREAD_US, lagged, met
+from asnwatch.operators.spread import SPREAD_US, lagged, met, stored
 from asnwatch.operators.topology import degree_asof
 from asnwatch.sources.relationships import with_both_directions
 
@@ -38,9 +40,9 @@ def detect_hijacks(observations: DataFrame) -> DataFrame:
 
 
 def _side(relationships: DataFrame) -> DataFrame:
-    """Both directions of all relationships, broadcast if they are few."""
-    both = with_both_directions(relationships)
-    return F.broadcast(both) if relationships.limit(BROADCAST_ROWS // 2 + 1).count() <= BROADCAST_ROWS // 2 else both.hint("merge")
+    """Both directions of all relationships, stored, as they are counted and joined twice, and broadcast if they are few."""
+    both = stored(with_both_directions(relationships))
+    return F.broadcast(both) if both.count() <= BROADCAST_ROWS else both.hint("merge")
 
 
 def relationship_lookup(pairs: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -186,32 +188,39 @@ def churn_threshold(counts: DataFrame, min_updates: int = MIN_UPDATES, deviation
 
 def _levels(min_updates: int, deviations: float, floor: float, baseline: int, min_samples: int):
     """A function of blocks (the counts before, their own): the thresholds of each block's own counts. It is all of its own, as
-    tasks get it as it is. Windows are sorted in lots; what stands in their middle is taken twice, so that it is whole."""
-    scale, lot = deviations * MAD_SCALE, 256
-
-    def middle(rows):
-        placed = np.sort(rows, axis=1)
-        return placed[:, (rows.shape[1] - 1) // 2] + placed[:, rows.shape[1] // 2]
-
-    def judged(windows):
-        sums = middle(windows)
-        return np.maximum(sums / 2.0 + scale * (middle(np.abs(2 * windows - sums[:, None])) / 4.0), floor)
+    tasks get it as it is. The window is one sorted list, which a count enters as the oldest leaves; the counts nearest to its
+    median stand next to each other in it, so that the median deviation is found by bisection."""
+    scale = deviations * MAD_SCALE
+
+    def level(placed, run):
+        """The threshold of a sorted window, and where the half of it begins that is nearest to the median. ``run`` is where
+        that was one count before. What stands in the middle is taken twice, so that it is whole."""
+        n = len(placed)
+        middle, half = placed[(n - 1) // 2] + placed[n // 2], (n + 1) // 2
+        over = placed[run] + placed[run + half] >= middle if run < n - half else True
+        if not over or (run and placed[run - 1] + placed[run - 1 + half] >= middle):
+            low, high = (0, min(run, n - half)) if over else (run + 1, n - half)
+            run = bisect_left(range(n), middle, low, high, key=lambda k: placed[k] + placed[k + half])
+        off = max(middle - 2 * placed[run], 2 * placed[run + half - 1] - middle)
+        beyond = off
+        if n % 2 == 0:
+            beyond = 2 * placed[run + half] - middle if run + half < n else None
+            if run and (beyond is None or middle - 2 * placed[run - 1] < beyond):
+                beyond = middle - 2 * placed[run - 1]
+        return max(middle / 2.0 + scale * ((off + beyond) / 4.0), floor), run
 
     def of_block(before, own):
-        every, out = np.concatenate([before, own]), np.full(len(own), float(floor))
-        if every.max(initial=0) < 1 << 28 and every.min(initial=0) >= 0:
-            every = every.astype(np.int32)
-        asked = np.flatnonzero(own >= min_updates)
-        stops = len(before) + asked + 1  # counts up to and with this one
-        short = (stops < baseline) & (stops >= min_samples)
-        for k, stop in zip(asked[short].tolist(), stops[short].tolist(), strict=True):
-            out[k] = judged(every[None, :stop])[0]
-        whole = (stops >= baseline) & (baseline >= min_samples)
-        if whole.any():
-            windows = np.lib.stride_tricks.sliding_window_view(every, baseline)
-            asked, starts = asked[whole], stops[whole] - baseline
-            for k in range(0, len(asked), lot):
-                out[asked[k : k + lot]] = judged(windows[starts[k : k + lot]])
+        out = np.full(len(own), float(floor))
+        if not (own >= min_updates).any():
+            return out
+        every, first = [*before.tolist(), *own.tolist()], len(before)
+        placed, run = sorted(every[max(first - baseline, 0) : first]), 0
+        for k, n in enumerate(every[first:]):
+            if first + k >= baseline:
+                del placed[bisect_left(placed, every[first + k - baseline])]
+            insort(placed, n)
+            if n >= min_updates and len(placed) >= min_samples:
+                out[k], run = level(placed, run)
         return out
 
     def of_blocks(before: pd.Series, own: pd.Series) -> pd.Series:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from asnwatch.functions.messages import as_number
+from asnwatch.functions.messages import as_number, once
 from asnwatch.schemas import RELATIONSHIPS
 
 _SNAPSHOT = r"(?:^|/)([0-9]{8})\.as-rel2?\.txt\.bz2$"
@@ -14,14 +14,14 @@ _SNAPSHOT = r"(?:^|/)([0-9]{8})\.as-rel2?\.txt\.bz2$"
 def parse_as_relationships(lines: DataFrame, value: str = "value", line_no: str = "line_no") -> DataFrame:
     """(a, b, rel) with rel seen from a: provider or peer. Comments and bad lines are skipped, further
     columns ignored, and of lines for the same (a, b) the last counts."""
-    part = F.split(F.trim(value), r"\|")
-    parsed = lines.filter(~F.trim(value).startswith("#")).select(
-        as_number(F.trim(F.get(part, F.lit(0)))).alias("a"),
-        as_number(F.trim(F.get(part, F.lit(1)))).alias("b"),
-        F.when(F.trim(F.get(part, F.lit(2))) == "-1", "provider").when(F.trim(F.get(part, F.lit(2))) == "0", "peer").alias("rel"),
-        F.col(line_no),
-    )
-    return parsed.filter("a is not null and b is not null and rel is not null").groupBy("a", "b").agg(F.max_by("rel", line_no).alias("rel"))
+    line = F.trim(value)
+    part = F.transform(F.split(line, r"\|"), lambda x: F.trim(x))
+    rows = once(lines, _part=F.when(~line.startswith("#"), part)).select(F.col("_part"), F.col(line_no).alias("_line"))
+    field = lambda k: F.get("_part", F.lit(k))
+    # Whether a is the provider is a truth value, which is gathered in place, unlike a text.
+    parsed = once(rows, a=as_number(field(0)), b=as_number(field(1)), _above=F.when(field(2) == "-1", True).when(field(2) == "0", False))
+    last = parsed.filter("a is not null and b is not null and _above is not null").groupBy("a", "b").agg(F.max_by("_above", "_line").alias("_above"))
+    return last.select("a", "b", F.when(F.col("_above"), "provider").otherwise("peer").alias("rel"))
 
 
 def read_as_relationships(spark: SparkSession, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from asnwatch.functions.messages import as_number, event_us, flatten_as_path, normalise_msg_type, normalise_peer_asn
+from asnwatch.functions.messages import as_number, event_us, flatten_as_path, normalise_msg_type, normalise_peer_asn, once
 from asnwatch.functions.prefixes import is_prefix
 from asnwatch.operators.spread import drop_versions, stored
 from asnwatch.schemas import ANNOUNCEMENTS, FRAME, UPDATES
@@ -23,19 +23,13 @@ def _all(items: Column, ok) -> Column:
     return F.coalesce(F.forall(items, lambda x: F.coalesce(ok(x), F.lit(False))), F.lit(True))
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns behind a generator of one row, so that they are worked out once, however often they are used:
-    the optimiser neither copies them into filters nor into each other."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def parse_frames(raw: DataFrame, value: str = "value") -> DataFrame:
     """Add ``frame`` (FRAME), the fields that are checked as columns (_path, _peer_asn, _announced) and ``outcome``
     to JSON texts: routing, control or quarantine. A frame is rejected whole if its JSON is broken or a prefix,
     path element or peer ASN of it is bad."""
     frame = F.from_json(F.col(value), f"{FRAME}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     data = F.col("frame.data")
-    parsed = _once(_once(raw, frame=frame), _path=flatten_as_path(data["path"]), _peer_asn=normalise_peer_asn(data["peer_asn"]))
+    parsed = once(once(raw, frame=frame), _path=flatten_as_path(data["path"]), _peer_asn=normalise_peer_asn(data["peer_asn"]))
     announced = F.flatten(F.transform(data["announcements"], lambda a: F.coalesce(a["prefixes"], F.array().cast("array<string>"))))
     good = (
         (data["peer_asn"].isNull() | F.col("_peer_asn").isNotNull())
@@ -49,7 +43,7 @@ def parse_frames(raw: DataFrame, value: str = "value") -> DataFrame:
         .when(data.isNotNull() & good, "routing")
         .otherwise("quarantine")
     )
-    return _once(parsed, outcome=outcome)
+    return once(parsed, outcome=outcome)
 
 
 def to_updates(parsed: DataFrame, msg_id: str = "msg_id", fallback_us: Column | None = None) -> DataFrame:
