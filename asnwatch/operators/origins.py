@@ -64,17 +64,15 @@ def _spread(ops: DataFrame, spread_us: int) -> DataFrame:
     rows = stored(apply_withdrawals(ops, spread_us).filter("op = 'A' and origin_asn is not null").withColumn("bucket", F.expr(f"event_us div {spread_us}L")))
 
     seq = F.struct(*SEQUENCE)
-    sights = rows.groupBy(*within, "origin_asn").agg(F.min(seq).alias("seen"), F.max(seq).alias("last"))
-    whole = Window.partitionBy(*key, "origin_asn")
-    sights = sights.withColumn("first_seq", F.min("seen").over(whole)).withColumn("is_first", F.col("seen") == F.col("first_seq"))
+    # Sights are dealt out by segment once, for all windows below; what the buckets before came to is a window over them too.
+    sights = rows.groupBy(*within, "origin_asn").agg(F.min(seq).alias("seen"), F.max(seq).alias("last")).repartition(*key)
+    sights = sights.withColumn("first_seq", F.min("seen").over(Window.partitionBy(*key, "origin_asn")))
     placed = sights.withColumn("origin_rank", F.dense_rank().over(Window.partitionBy(*key).orderBy("first_seq")))
-    ends = placed.groupBy(*within).agg(F.max_by("origin_asn", "last").alias("last_origin"), F.max(F.when(F.col("is_first"), F.col("origin_rank"))).alias("top"))
-    by_time = Window.partitionBy(*key).orderBy("bucket")
-    opening = ends.select(
-        *within, F.lag("last_origin").over(by_time).alias("before_origin"),
-        F.coalesce(F.max("top").over(by_time.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_rank"),
+    earlier = Window.partitionBy(*key).orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
+    known = placed.select(
+        *within, "origin_asn", "first_seq", "origin_rank", F.max_by("origin_asn", "last").over(earlier).alias("before_origin"),
+        F.coalesce(F.max(F.when(F.col("seen") == F.col("first_seq"), F.col("origin_rank"))).over(earlier), F.lit(0)).alias("before_rank"),
     )
-    known = met(placed.select(*within, "origin_asn", "first_seq", "origin_rank"), opening, within)
     joined = met(rows, known, [*within, "origin_asn"]).withColumn("first", seq == F.col("first_seq")).drop("first_seq")
     order = Window.partitionBy(*within).orderBy(*SEQUENCE)
     return joined.withColumns({

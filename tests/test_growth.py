@@ -154,3 +154,70 @@ def test_a_file_of_frames_is_made_after_its_rows_are_sorted(spark, monkeypatch,
     assert "ris_message" in above and "ris_message" not in below
     want = [r.value for r in t.frames(spark, SF).filter("msg_id % 4 = 1").orderBy("msg_id").collect()]
     assert [r.value for r in spark.read.text(f"{tmp_path}/file=1").collect()] == want
+
+
+def test_relationship_lines_are_parsed_after_repeats_are_gone(spark):
+    """The optimiser must not copy the parsing of a line into a filter below what makes lines distinct."""
+    text = plan(q._relationships(spark, SF))
+    above, below = text.rsplit("HashAggregate(keys=[a", 1)
+    assert "RLIKE" in above and "RLIKE" not in below
+
+
+def test_both_directions_of_relationships_are_worked_out_once(spark):
+    """They are counted for the choice of the join, and joined for either neighbour."""
+    apexes = plan(detect.valley_apexes(t.updates(spark, SF), q._relationships(spark, SF)))
+    assert "Window" not in apexes
+
+
+def test_episodes_meet_by_spans_not_by_rows(spark):
+    """Rows of an edge are aggregated where they are read; no window runs over them and nothing is joined back to them."""
+    text = plan(topology.edge_episodes(topology.path_edges(t.updates(spark, SF)), q.TTL, q.SWEEP, 0, q.D))
+    assert "Join" not in text and text.count("Exchange hashpartitioning") == 2
+    assert "Window" not in text.split("Exchange hashpartitioning")[-1]
+
+
+def test_spans_of_an_edge_are_no_longer_than_its_life(spark):
+    """With a time to live of 0 each moment is an episode of its own."""
+    rows = spark.createDataFrame([(us, n, 0, 1, 2, 1, 2) for n, us in enumerate([1, 28, 28, 32, 59, 120])], "event_us long, msg_id long, hop int, a long, b long, lo long, hi long")
+    times = lambda *options: sorted((r.up_us, r.up_msg_id, r.last_seen_us, r.down_us) for r in topology.edge_episodes(rows, *options).collect())
+    assert times(10, 5) == [(1, 0, 1, 15), (28, 1, 32, 45), (59, 4, 59, 70), (120, 5, 120, None)]
+    assert times(0, 1) == [(1, 0, 1, 2), (28, 1, 28, 29), (32, 3, 32, 33), (59, 4, 59, 60), (120, 5, 120, None)]
+
+
+def test_anomalies_are_worked_out_once(spark, monkeypatch):
+    """Regions, ranges of the history and counters read them more than once; the counters share them with the feed."""
+    assert "Exchange" not in plan(q._anomalies(spark, SF))
+    calls, found = [], q._anomalies(spark, SF)
+    monkeypatch.setattr(q, "_anomalies", lambda *args: calls.append(args) or found)
+    assert q.pipeline_counters(spark, SF).count() and len(calls) == 1
+
+
+def test_readers_of_links_need_no_anomalies(spark, monkeypatch):
+    monkeypatch.setattr(q, "_anomalies", None)
+    links = q.current_links(spark, SF)
+    assert links.count() == q._live(spark, SF).count() > 0
+    assert q.current_nodes(spark, SF).count() == topology.degree(q._live(spark, SF)).count()
+
+
+def test_sights_of_origins_are_aggregated_once(spark):
+    """The windows over them, and what each bucket opens with, share one shuffle by segment."""
+    text = plan(origins.origin_observations(spread.stored(q._ops(spark, SF)), spread_us=q.D))
+    assert text.count("Exchange") <= 5
+
+
+def test_thresholds_from_a_sorted_list_are_those_of_sorted_windows():
+    """Odd and even windows, ties, windows not yet full, against medians of each window."""
+    import random
+    from statistics import median
+
+    import pandas as pd
+
+    rng = random.Random(7)
+    for baseline, most, before, own in [(1, 5, 1, 1), (2, 9, 2, 2), (7, 4, 7, 7), (8, 1 << 40, 8, 5), (64, 30, 64, 64), (64, 1000, 0, 64)]:
+        every = [rng.randrange(most) for _ in range(before + own)]
+        got = detect._levels(2, 2.0, 1.0, baseline, 1)(pd.Series([every[:before]]), pd.Series([every[before:]]))[0]
+        for k in range(own):
+            last = every[max(0, before + k + 1 - baseline) : before + k + 1]
+            middle = median(last)
+            level = max(middle + 2 * detect.MAD_SCALE * median(abs(x - middle) for x in last), 1.0)
+            assert every[before + k] < 2 or abs(got[k] - level) <= 1e-9 * level
